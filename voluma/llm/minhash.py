@@ -4,7 +4,7 @@ One hash function orders the word shingles of a document; its ``k`` smallest val
 shingle sets become one node first, so exact copies cost one row.  Every retained value has an inverted list of nodes.  A
 node enters only the lists of the rarest values of its sketch (as many as the overlap of similar sketches demands), so a
 passage shared by many documents makes few candidates.  A linear sweep over the lists (each node with its neighbour by set
-size and with the list's leader) comes first; the union sketch of a pair estimates its similarity, and pairs that pass are
+size and with the list's most central one) comes first; the union sketch of a pair estimates its similarity, and pairs that pass are
 verified on their full shingle sets.  Then the lists are contracted by component, and only pairs across components remain,
 so a group of near copies never expands into all its pairs.  A 128-bit signature (one bit of the smallest hash in each of
 128 bins) travels with the list rows, so that a join over a long list puts out only pairs that look similar.
@@ -25,8 +25,8 @@ from .shared import stored, text_chunks
 
 #: Odd multipliers of the rolling word hash and the finaliser; any fixed odd numbers do.
 BASE, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
-#: Sketches of sets at the threshold share this part of what is expected at least (at 0.8 and k = 48: all but 1e-9 of pairs).
-SURE_SHARE = 0.45
+#: Part of their values that sketches of sets at the threshold share at least (at 0.8 and k = 48: all but 1e-6 of pairs).
+SURE_SHARE = 0.5
 #: Bins of the signature, and the deviations from the expected difference at the threshold that it allows.
 BINS, DEVIATIONS = 128, 5
 
@@ -171,10 +171,11 @@ def sketches(docs: DataFrame, width: int, k: int, id_col: str = "doc_id", text_c
 
 
 def inverted_lists(nodes: DataFrame, k: int, threshold_percent: int) -> DataFrame:
-    """value, node, n_shingles, s0, s1: each node in the lists of the rarest values of its sketch.
+    """value, node, n_shingles, centre, s0, s1: each node in the lists of the rarest values of its sketch.
 
     Two sketches of similar sets share at least ``sure`` values, so they share one among the first ``size - sure + 1`` in
-    any common order.  The order is by rising list length: values of one node come first and make no list at all.
+    any common order.  The order is by rising list length: values of one node come first and make no list at all.  ``centre``
+    grows with the lists of all values of the node: of a family of copies, the least edited have most.
     """
     t = threshold_percent / 100
     rows = nodes.select("node", "n_shingles", F.explode("sketch").alias("value"))
@@ -187,9 +188,10 @@ def inverted_lists(nodes: DataFrame, k: int, threshold_percent: int) -> DataFram
     by_node = Window.partitionBy("node", "n_shingles")
     rank = F.row_number().over(by_node.orderBy("list_length", "value"))
     alone = size - F.count("*").over(by_node)
-    first = shared.withColumn("rank", rank + alone).where(F.col("rank") <= size - sure + 1)
+    centre = F.sum(F.log2("list_length")).over(by_node)
+    first = shared.withColumn("rank", rank + alone).withColumn("centre", F.rint(centre * 16).cast("long")).where(F.col("rank") <= size - sure + 1)
     marks = nodes.select("node", "n_shingles", "s0", "s1")
-    return first.join(marks, ["node", "n_shingles"]).select("value", "node", "n_shingles", "s0", "s1")
+    return first.join(marks, ["node", "n_shingles"]).select("value", "node", "n_shingles", "centre", "s0", "s1")
 
 
 def _pair(x: str, y: str) -> list:
@@ -206,9 +208,9 @@ def _can_match(x: str, y: str, threshold_percent: int):
 
 
 def sweep_pairs(lists: DataFrame, threshold_percent: int) -> DataFrame:
-    """Linear candidates of each list: every node with the next one by set size, and with the list's leader."""
-    node = F.struct("node", "n_shingles", "s0", "s1")
-    lead = lists.groupBy("value").agg(F.min(node).alias("lead"))
+    """Linear candidates of each list: every node with the next one by set size, and with the most central one."""
+    node = F.struct("centre", "node", "n_shingles", "s0", "s1")
+    lead = lists.groupBy("value").agg(F.max(node).alias("lead"))
     star = lists.join(lead, "value").where((F.col("node") != F.col("lead.node")) & _can_match("", "lead.", threshold_percent))
     #: Cut by set size, so that one long list is not one task: near sizes stay together.
     by_value = Window.partitionBy("value", F.floor(F.log2("n_shingles") * 8)).orderBy("n_shingles", "node")
@@ -297,7 +299,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold_percent: int = 80
 
     edges = links(sweep_pairs(lists, threshold_percent))
     names = components(edges)
-    rest = links(_across(_contracted(lists, names), threshold_percent))
+    rest = links(_across(stored(_contracted(lists, names), "open"), threshold_percent))
     if not rest.isEmpty():
         names = components(edges.union(rest))
     named = nodes.select("node", "n_shingles", "rep").join(names, "node", "left").withColumn("component", F.coalesce("component", "node"))
