@@ -23,3 +23,16 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)
 """
+
+ORACLES["op7_warc_zip"] = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: substr(
+      '0000000100100011010001010110011110001001101010111100110111101111', instr('0123456789abcdef', h[i]) * 4 - 3, 4)), '') AS bits FROM p),
+d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + 16 * CAST(bits[5*j+1] AS INTEGER) + 8 * CAST(bits[5*j+2] AS INTEGER) + 4 * CAST(bits[5*j+3] AS INTEGER)
+        + 2 * CAST(bits[5*j+4] AS INTEGER) + CAST(bits[5*j+5] AS INTEGER), 1)), '') AS payload_digest FROM b),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
