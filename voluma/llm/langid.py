@@ -212,3 +212,12 @@ def identify(docs: DataFrame, filters: LanguageFilters, text_col: str = "text",
 def held_out(doc_id: Column, parts: int = 4, part: int = 2) -> Column:
     """Whether a row is kept from training: by the checksum of its id as text; a row without an id is not."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts == part, F.lit(False))
+
+
+def known_language(docs: DataFrame, filters: LanguageFilters, least_score: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they were, whose language is told: not ``und``, with a score of ``least_score`` at least."""
+    into = "_language"
+    while into in docs.columns:
+        into += "_"
+    found = identify(docs, filters, text_col, into)
+    return found.where((F.col(f"{into}.lang_pred") != UNKNOWN) & (F.col(f"{into}.score") >= least_score)).select(*docs.columns)

@@ -121,13 +121,14 @@ def _sketcher(width: int, k: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, len(n)),
+                        batch.column(2).slice(first, len(n)),
                         pa.array(n, pa.int64()),
                         pa.array(node, pa.int64()),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())),
                         pa.array(marks[:, 0]),
                         pa.array(marks[:, 1]),
                     ],
-                    ["doc_id", "n_shingles", "node", "sketch", "s0", "s1"],
+                    ["doc_id", "mark", "n_shingles", "node", "sketch", "s0", "s1"],
                 )
 
     return run
@@ -164,10 +165,10 @@ def _similar(threshold_percent: int):
 
 
 def sketches(docs: DataFrame, width: int, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, node (fingerprint of the shingle set), sketch (its k smallest hashes), s0, s1 (signature)."""
+    """doc_id, mark (hash of the text), n_shingles, node (fingerprint of the shingle set), sketch (its k smallest hashes), s0, s1 (signature)."""
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_sketcher(width, k), f"doc_id {kind}, n_shingles long, node long, sketch array<long>, s0 long, s1 long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
+    return rows.mapInArrow(_sketcher(width, k), f"doc_id {kind}, mark long, n_shingles long, node long, sketch array<long>, s0 long, s1 long")
 
 
 def inverted_lists(nodes: DataFrame, k: int, threshold_percent: int) -> DataFrame:
@@ -278,7 +279,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold_percent: int = 80, k: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+    """One row per input row: doc_id, n_shingles, component_id, kept, mark (hash of the text).
 
     Rows whose distinct ``width``-word shingle sets have a Jaccard similarity of ``threshold_percent`` or more are linked;
     component_id is the smallest doc_id reachable.  Text of fewer words: one shingle.  Null or wordless text: an empty set,
@@ -305,10 +306,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold_percent: int = 80
     named = nodes.select("node", "n_shingles", "rep").join(names, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "component").select("node", "n_shingles", "component_id")
-    linked = full.select("doc_id", "n_shingles", "node").join(named, ["node", "n_shingles"])
+    linked = full.select("doc_id", "n_shingles", "node", "mark").join(named, ["node", "n_shingles"])
     alone = rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
-    out = linked.select("doc_id", "n_shingles", "component_id").union(alone.select("doc_id", "n_shingles", "component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = linked.select("doc_id", "n_shingles", "component_id", "mark").union(alone.select("doc_id", "n_shingles", "component_id", "mark"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "mark")
+
+
+def deduplicate(docs: DataFrame, width: int = 5, threshold_percent: int = 80, k: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they were, of which one is kept for each group of near copies.
+
+    It is the one with the smallest doc_id (and then the smallest hash of the text); of rows that repeat it, one.  Rows without
+    shingles are no copies of each other and all stay.
+    """
+    found = near_duplicates(docs, width, threshold_percent, k, id_col, text_col)
+    empty = F.col("n_shingles") == 0
+    chosen = found.where("kept and n_shingles > 0").groupBy("component_id", "doc_id", "mark").agg(F.count("*").alias("rows"))
+    # Two texts of one doc_id may be in one group: the smaller hash stays.
+    chosen = chosen.groupBy("component_id").agg(F.min(F.struct("doc_id", "mark", "rows")).alias("row")).select("row.*")
+    chosen = chosen.union(found.where(empty).select("doc_id", "mark", F.lit(1).cast("long")).distinct())
+    chosen = chosen.toDF("_id", "_mark", "_rows")
+    keyed = docs.withColumn("_key", F.xxhash64(text_col))
+
+    def with_rows(condition: str) -> DataFrame:
+        own = chosen.where(condition)
+        return keyed.join(own, keyed[id_col].eqNullSafe(own["_id"]) & (keyed["_key"] == own["_mark"]), "left_semi")
+
+    return with_rows("_rows = 1").union(with_rows("_rows > 1").dropDuplicates([id_col, "_key"])).select(*docs.columns)
 
 
 def _contracted(lists: DataFrame, names: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=2)
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=2).drop("mark")
 
 
 def op6_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,12 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", F.col("main_text").alias("text"), F.col("main_chars").alias("n_chars"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_decontamination": op3_decontamination,
@@ -72,4 +78,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_licence_scan": op9_licence_scan,
     "op10_html_extraction": op10_html_extraction,
+    "pipeline": pipeline,
 }
