@@ -49,10 +49,12 @@ def _anchored(rows: DataFrame, grams: DataFrame, n: int) -> DataFrame:
 
 def _windowed(rows: DataFrame, grams: DataFrame, n: int) -> DataFrame:
     sizes = [r[0] for r in grams.select("size").distinct().collect()]  # no more than n
-    windows = [
-        F.when(F.size("words") >= s, F.transform(F.sequence(F.lit(0), F.size("words") - s), lambda i, s=s: F.struct(i.alias("start"), F.array_join(F.slice("words", i + 1, s), " ").alias("gram"))))
-        for s in sizes
-    ]
+
+    def windows_of(size: int) -> Column:
+        every = F.transform(F.sequence(F.lit(0), F.size("words") - size), lambda i: F.struct(i.alias("start"), F.array_join(F.slice("words", i + 1, size), " ").alias("gram")))
+        return F.when(F.size("words") >= size, every)
+
+    windows = [windows_of(s) for s in sizes]
     empty = F.expr("cast(array() as array<struct<start:int,gram:string>>)")
     every = F.concat(empty, *[F.coalesce(w, empty) for w in windows])
     found = rows.select("doc_id", "mark", "n_words", F.explode(every).alias("c")).select("doc_id", "mark", "n_words", "c.*")
