@@ -153,7 +153,8 @@ def tile_blend(rows: DataFrame, by: Sequence[str], sizes: dict[str, int], tile:
         tiles[axis] = F.array(*[F.lit(s) for s in starts])
     out = rows
     for axis in AXES:
-        inside = F.filter(tiles[axis], lambda s, a=axis: (F.col(a) >= s) & (F.col(a) < s + tile))
+        at = F.col(axis)
+        inside = F.filter(tiles[axis], lambda s: (at >= s) & (at < s + tile))  # noqa: B023
         out = out.withColumn(f"t{axis}", F.explode(inside))
     keys = [*by, "tz", "ty", "tx"]
     mean = out.groupBy(*keys).agg(F.avg(value).alias("_m"))

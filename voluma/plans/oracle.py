@@ -1 +1,361 @@
-ORACLES = {}
+"""DuckDB twins of the registered queries, over the same derived volumes."""
+
+from __future__ import annotations
+
+from .fixtures import METHODS
+
+F1V = """
+e1 AS (SELECT label AS volume_id, vec_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS z FROM embeddings),
+f1v AS (SELECT CAST(volume_id AS INTEGER) AS volume_id, CAST(z AS INTEGER) AS z, CAST(pos // 8 AS INTEGER) AS y, CAST(pos % 8 AS INTEGER) AS x, vec_id, pos,
+  CAST(embedding[pos + 1] AS DOUBLE) AS v, CAST((vec_id * 7919 + pos * 104729) % 101 AS INTEGER) AS h FROM e1, (SELECT unnest(range(64)) AS pos))"""
+F1 = F1V + """,
+q1 AS (SELECT volume_id, quantile_cont(v, 0.005) AS lo, quantile_cont(v, 0.995) AS hi FROM f1v GROUP BY volume_id),
+n1 AS (SELECT CAST(label AS INTEGER) AS volume_id, CAST(count(*) AS INTEGER) AS nz FROM embeddings GROUP BY label),
+s1 AS (SELECT f1v.*, CASE WHEN hi <= lo THEN CAST(0 AS DOUBLE) ELSE (least(greatest(v, lo), hi) - lo) / (hi - lo) END AS s FROM f1v JOIN q1 USING (volume_id)),
+f1 AS MATERIALIZED (SELECT s1.*, nz, s >= CAST(0.55 AS DOUBLE) AS prediction, s + (h - 50) / CAST(250 AS DOUBLE) >= CAST(0.55 AS DOUBLE) AS target FROM s1 JOIN n1 USING (volume_id))"""
+F2C = """
+f2c AS (SELECT CAST(l_partkey % 8 AS INTEGER) AS volume_id, CAST(((date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) % 32) + 32) % 32 AS INTEGER) AS z,
+  CAST((CAST(l_quantity AS INTEGER) - 1) % 16 AS INTEGER) AS y, CAST(l_orderkey % 16 AS INTEGER) AS x, l_suppkey AS id, l_tax * CAST(20 AS DOUBLE) AS distance, l_discount * CAST(9 AS DOUBLE) AS p FROM lineitem)"""
+F2 = F2C + """,
+f2 AS MATERIALIZED (SELECT volume_id, z, y, x, min(distance) AS dist, max(CAST(floor(p * CAST(1e6 AS DOUBLE)) AS BIGINT) * 10000 + id) % 10000 AS label,
+  CAST(1 AS DOUBLE) - exp(sum(ln(greatest(CAST(1 AS DOUBLE) - p, CAST(1e-7 AS DOUBLE))))) AS prob FROM f2c GROUP BY volume_id, z, y, x)"""
+_METHODS = ", ".join(f"({k}, '{m}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for k, (m, a, b) in enumerate(METHODS))
+F3 = F1 + f""",
+m3(k, method, human, macaque) AS (VALUES {_METHODS}),
+c3 AS (SELECT f1.* EXCLUDE (prediction), k, method, CASE WHEN volume_id < 5 THEN 'human' ELSE 'macaque' END AS domain,
+  CASE WHEN volume_id IN (0, 9) THEN 'calibration' ELSE 'heldout' END AS split, CASE WHEN volume_id < 5 THEN human ELSE macaque END AS threshold,
+  s + ((vec_id * 31 + pos * 17 + k * 13) % 101 - 50) / CAST(400 AS DOUBLE) AS score FROM f1, m3),
+f3 AS (SELECT *, score >= threshold AS prediction FROM c3)"""
+F4 = """
+f4 AS (SELECT event_type AS volume_id, CAST(day(ts) - 1 AS INTEGER) AS z, CAST(hour(ts) AS INTEGER) AS y, CAST(user_id % 10 AS INTEGER) AS x, round(avg(value), 6) AS value
+  FROM events GROUP BY ALL)"""
+F5 = """
+f5 AS (SELECT o_custkey AS curve_id, o_orderkey AS ord, CAST((13 * o_orderkey) % 32 AS DOUBLE) AS z, CAST((7 * o_orderkey + o_custkey) % 32 AS DOUBLE) AS y,
+  CAST((3 * o_orderkey + 5 * o_custkey) % 32 AS DOUBLE) AS x, CAST(1 + (o_custkey % 3) / CAST(2 AS DOUBLE) AS DOUBLE) AS radius FROM orders WHERE o_custkey <= 40)"""
+FACES = "o6(dz, dy, dx) AS (VALUES (-1,0,0), (1,0,0), (0,-1,0), (0,1,0), (0,0,-1), (0,0,1))"
+V, K = "volume_id", "volume_id, z, y, x"
+
+
+def _hash(key: str, seed: int) -> str:
+    return f"(((({key}) * 7919 + {seed * 104729 + 12345}) % 1000003) * 48271 % 1000003) / CAST(1000003 AS DOUBLE)"
+
+
+def _offsets(connectivity: int) -> str:
+    reach = {6: 1, 18: 2, 26: 3}[connectivity]
+    around = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if 0 < abs(a) + abs(b) + abs(c) <= reach]
+    return ", ".join(map(str, around))
+
+
+def _metrics(rows: str, by: str, prefix: str = "", digits: int = 9) -> str:
+    """The 21 metrics of a table with by, tp, fp, fn and tn."""
+
+    def sd(n: str, d: str) -> str:
+        return f"CASE WHEN {d} = 0 THEN CAST(0 AS DOUBLE) ELSE round(({n}) / CAST({d} AS DOUBLE), {digits}) END"
+
+    n = "(tp + fp + fn + tn)"
+    out = {
+        "valid_voxels": n, "prediction_positive_voxels": "tp + fp", "target_positive_voxels": "tp + fn", "tp": "tp", "fp": "fp", "fn": "fn", "tn": "tn",
+        "dice": f"CASE WHEN 2 * tp + fp + fn = 0 THEN CAST(1 AS DOUBLE) ELSE round(2 * tp / CAST(2 * tp + fp + fn AS DOUBLE), {digits}) END",
+        "iou": f"CASE WHEN tp + fp + fn = 0 THEN CAST(1 AS DOUBLE) ELSE round(tp / CAST(tp + fp + fn AS DOUBLE), {digits}) END",
+        "precision": sd("tp", "(tp + fp)"), "recall": sd("tp", "(tp + fn)"), "specificity": sd("tn", "(tn + fp)"), "accuracy": sd("tp + tn", n),
+        "fdr": sd("fp", "(tp + fp)"), "fpr": sd("fp", "(fp + tn)"), "tp_fraction": sd("tp", n), "fp_fraction": sd("fp", n), "fn_fraction": sd("fn", n),
+        "tn_fraction": sd("tn", n), "prediction_foreground_fraction": sd("tp + fp", n), "target_foreground_fraction": sd("tp + fn", n),
+    }
+    cols = ", ".join(f"CAST({v} AS BIGINT) AS {prefix}{k}" if i < 7 else f"{v} AS {prefix}{k}" for i, (k, v) in enumerate(out.items()))
+    return f"SELECT {by}, {cols} FROM {rows}"
+
+
+def _confusion(rows: str, by: str, p: str = "prediction", t: str = "target", v: str = "TRUE") -> str:
+    return (
+        f"SELECT {by}, count(*) FILTER ({v} AND {p} AND {t}) AS tp, count(*) FILTER ({v} AND {p} AND NOT {t}) AS fp, "
+        f"count(*) FILTER ({v} AND NOT {p} AND {t}) AS fn, count(*) FILTER ({v} AND NOT {p} AND NOT {t}) AS tn FROM {rows} GROUP BY {by}"
+    )
+
+
+def _correction(rounds: int, by: str = V, rows: str = "f1", p: str = "prediction") -> str:
+    """CTEs b0.. and fixed (rows with changed_in and corrected)."""
+    keys = f"{by}, z, y, x"
+    on = " AND ".join(f"a.{c} = b.{c}" for c in by.split(", "))
+    adjacent = "a.z = b.z + dz AND a.y = b.y + dy AND a.x = b.x + dx"
+    cols = ", ".join(f"a.{c.strip()}" for c in keys.split(","))
+    out = [FACES, f"st AS (SELECT {keys}, CASE WHEN {p} AND target THEN 0 WHEN target THEN 1 WHEN {p} THEN 2 END AS state FROM {rows})"]
+    out.append(f"b0 AS (SELECT {keys}, unnest([1, 2]) AS state, 0 AS changed_in FROM st WHERE state = 0)")
+    for i in range(1, rounds + 1):
+        seen = "" if i == 1 else " AND NOT EXISTS (SELECT 1 FROM (" + " UNION ALL ".join(f"SELECT * FROM b{j}" for j in range(1, i)) + ") c WHERE " + " AND ".join(f"c.{k.strip()} = a.{k.strip()}" for k in keys.split(",")) + ")"
+        out.append(f"b{i} AS (SELECT DISTINCT {cols}, a.state, {i} AS changed_in FROM st a, o6, b{i - 1} b WHERE a.state = b.state AND {on} AND {adjacent}{seen})")
+    every = " UNION ALL ".join(f"SELECT {keys}, changed_in FROM b{i}" for i in range(1, rounds + 1))
+    out.append(f"fixed AS (SELECT r.*, changed_in, CASE WHEN changed_in IS NOT NULL THEN NOT {p} ELSE {p} END AS corrected FROM {rows} r LEFT JOIN ({every}) USING ({keys}))")
+    return ",\n".join(out)
+
+
+def _components(name: str, rows: str, where: str, connectivity: int, n_rounds: int = 8) -> str:
+    """CTEs; {name} has id, volume_id, z, y, x, component (smallest id). Volumes of at most 8 x 8 x n voxels with a margin.
+
+    Every round each label takes the smallest label that its voxels touch, and then that label's own.
+    """
+    rounds = ",\n".join(
+        f"""{name}_h{i} AS MATERIALIZED (SELECT a.c, min(least(a.c, b.c)) AS m FROM {name}_{i - 1} a LEFT JOIN {name}_e e ON e.u = a.id LEFT JOIN {name}_{i - 1} b ON b.id = e.v GROUP BY a.c),
+{name}_{i} AS MATERIALIZED (SELECT a.id, g.m AS c FROM {name}_{i - 1} a JOIN {name}_h{i} h ON h.c = a.c JOIN {name}_h{i} g ON g.c = h.m)"""
+        for i in range(1, n_rounds + 1)
+    )
+    return f"""
+{name}_o(dz, dy, dx) AS (VALUES {_offsets(connectivity)}),
+{name}_v AS MATERIALIZED (SELECT volume_id, z, y, x, ((CAST(volume_id AS BIGINT) * 10000 + z + 8) * 32 + y + 8) * 32 + x + 8 AS id FROM {rows} WHERE {where}),
+{name}_e AS MATERIALIZED (SELECT a.id AS u, b.id AS v FROM {name}_v a, {name}_o JOIN {name}_v b ON b.id = a.id + (dz * 32 + dy) * 32 + dx),
+{name}_0 AS MATERIALIZED (SELECT id, id AS c FROM {name}_v),
+{rounds},
+{name} AS (SELECT v.*, c AS component FROM {name}_v v JOIN {name}_{n_rounds} USING (id))"""
+
+
+def _decoded(c: str, names: tuple[str, str, str]) -> str:
+    z, y, x = names
+    return f"CAST(({c} // 1024) % 10000 - 8 AS INTEGER) AS {z}, CAST(({c} // 32) % 32 - 8 AS INTEGER) AS {y}, CAST({c} % 32 - 8 AS INTEGER) AS {x}"
+
+
+O: dict[str, str] = {}
+ORACLES = O
+
+O["normalize_percentile"] = f"WITH {F1} SELECT {K}, round(s, 9) AS score FROM f1"
+O["normalize_inference"] = f"WITH {F1} SELECT {K}, round(CAST(CAST(s AS FLOAT) AS DOUBLE), 6) AS score FROM f1"
+O["minmax_rescale"] = f"""WITH {F1V}, m AS (SELECT volume_id, min(v) AS lo, max(v) AS hi FROM f1v GROUP BY volume_id)
+SELECT {K}, CASE WHEN hi <= lo THEN CAST(0.25 AS DOUBLE) ELSE round((v - lo) / (hi - lo) * CAST(0.5 AS DOUBLE) + CAST(0.25 AS DOUBLE), 9) END AS rescaled FROM f1v JOIN m USING (volume_id)"""
+O["intensity_summary"] = f"""WITH {F4} SELECT volume_id, round(min(value), 9) AS minimum, round(quantile_cont(value, 0.005), 9) AS p0_5, round(quantile_cont(value, 0.5), 9) AS p50,
+round(quantile_cont(value, 0.995), 9) AS p99_5, round(max(value), 9) AS maximum FROM f4 GROUP BY volume_id"""
+O["threshold_mask"] = f"WITH {F1} SELECT {K}, CAST(s AS FLOAT) >= CAST(0.55 AS FLOAT) AS mask FROM f1"
+O["multi_threshold_masks"] = f"""WITH {F1}, t(label, threshold) AS (VALUES ('low', CAST(0.4 AS DOUBLE)), ('mid', CAST(0.5 AS DOUBLE)), ('high', CAST(0.6 AS DOUBLE))),
+r AS (SELECT volume_id, label, threshold, CAST(s AS FLOAT) >= CAST(threshold AS FLOAT) AS mask FROM f1, t)
+SELECT volume_id, label, threshold, count(*) FILTER (mask) AS n_positive, round(avg(CAST(mask AS DOUBLE)), 9) AS fraction FROM r GROUP BY ALL"""
+O["error_overlay_counts"] = f"""WITH {F1} SELECT volume_id, count(*) FILTER (NOT prediction AND NOT target) AS true_negative, count(*) FILTER (prediction AND target) AS true_positive,
+count(*) FILTER (prediction AND NOT target) AS false_positive, count(*) FILTER (NOT prediction AND target) AS false_negative FROM f1 GROUP BY volume_id"""
+O["mid_slice_planes"] = f"""WITH {F1} SELECT volume_id, 'z' AS axis, y AS "row", x AS "column", round(s, 9) AS s FROM f1 WHERE z = nz // 2
+UNION ALL SELECT volume_id, 'y', z, x, round(s, 9) FROM f1 WHERE y = 4 UNION ALL SELECT volume_id, 'x', z, y, round(s, 9) FROM f1 WHERE x = 4"""
+O["slice_overlay_rgb"] = f"""WITH {F1}, p AS (SELECT *, CASE WHEN prediction AND target THEN 1 WHEN prediction THEN 2 WHEN target THEN 3 ELSE 0 END AS code FROM f1 WHERE z = nz // 2),
+m AS (SELECT volume_id, min(s) AS lo, max(s) AS hi FROM p GROUP BY volume_id),
+g AS (SELECT p.*, CAST(floor(CASE WHEN hi <= lo THEN 0 ELSE (s - lo) / (hi - lo) * 255 END) AS INTEGER) AS grey FROM p JOIN m USING (volume_id))
+SELECT {K}, CAST(CASE code WHEN 1 THEN 0 WHEN 2 THEN 230 WHEN 3 THEN 255 ELSE grey END AS INTEGER) AS r, CAST(CASE code WHEN 1 THEN 200 WHEN 2 THEN 210 WHEN 3 THEN 105 ELSE grey END AS INTEGER) AS g,
+CAST(CASE code WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 3 THEN 180 ELSE grey END AS INTEGER) AS b FROM g"""
+O["gaussian_smooth"] = f"""WITH {F1}, w AS (SELECT d, exp(CAST(-0.5 AS DOUBLE) * d * d) AS u FROM (SELECT unnest(range(-4, 5)) AS d)), t AS (SELECT sum(u) AS total FROM w)
+SELECT a.volume_id, a.z, a.y, a.x, round(sum(b.s * u / total), 8) AS s FROM f1 a, w, t, f1 b
+WHERE b.volume_id = a.volume_id AND b.y = a.y AND b.x = a.x AND b.z = least(greatest(a.z + d, 0), a.nz - 1) GROUP BY ALL"""
+
+
+def _resampled(axis: str, n: int, m: int, ratio: str) -> str:
+    return f"""{axis}p AS (SELECT j, least(greatest({(n - 1) / 2} + (j - {(m - 1) / 2}) * {ratio}, 0), {n - 1}) AS p FROM (SELECT unnest(range({m})) AS j)),
+{axis}w AS (SELECT j, i, CASE WHEN i = lo THEN 1 - (p - lo) ELSE p - lo END AS w FROM (SELECT j, p, least(CAST(floor(p) AS INTEGER), {max(n - 2, 0)}) AS lo FROM {axis}p), (SELECT unnest(range({n})) AS i) WHERE i IN (lo, lo + 1))"""
+
+
+O["trilinear_resample"] = f"""WITH {F1}, {_resampled('z', 40, 50, "CAST(0.8 AS DOUBLE)")}, {_resampled('y', 8, 5, "CAST(1.6 AS DOUBLE)")}, {_resampled('x', 8, 5, "CAST(1.6 AS DOUBLE)")}
+SELECT volume_id, CAST(zw.j AS INTEGER) AS z, CAST(yw.j AS INTEGER) AS y, CAST(xw.j AS INTEGER) AS x, round(sum(s * zw.w * yw.w * xw.w), 8) AS s
+FROM f1 JOIN zw ON zw.i = z JOIN yw ON yw.i = y JOIN xw ON xw.i = x WHERE f1.z < 40 GROUP BY ALL"""
+O["resample_plan"] = f"""WITH n AS (SELECT CAST(label AS INTEGER) AS volume_id, count(*) AS nz, CAST(0.25 AS DOUBLE) + label * CAST(0.15 AS DOUBLE) AS spacing FROM embeddings GROUP BY label)
+SELECT volume_id, CAST(round_even((nz - 1) * spacing / CAST(0.8 AS DOUBLE), 0) AS BIGINT) + 1 AS new_nz, round(greatest(CAST(0.8 AS DOUBLE) / spacing - 1, 0) / 2, 9) AS sigma FROM n"""
+O["tile_blend"] = f"""WITH {F1}, r AS (SELECT * FROM f1 WHERE z < 40), tz AS (SELECT unnest(range(0, 33, 4)) AS tz),
+t AS (SELECT r.*, tz, 0 AS ty, 0 AS tx FROM r JOIN tz ON z >= tz AND z < tz + 8), m AS (SELECT volume_id, tz, avg(s) AS m FROM t GROUP BY ALL),
+w AS (SELECT t.*, m, exp(-((z - tz - 3.5::DOUBLE) * (z - tz - 3.5::DOUBLE) + (y - 3.5::DOUBLE) * (y - 3.5::DOUBLE) + (x - 3.5::DOUBLE) * (x - 3.5::DOUBLE)) / 2) AS w FROM t JOIN m USING (volume_id, tz))
+SELECT {K}, round(sum(w * (s - m)) / sum(w), 8) AS blended, count(*) AS tiles FROM w GROUP BY {K}"""
+O["confusion_counts"] = f"WITH {F1} {_confusion('f1', V)}"
+O["voxel_metrics"] = f"WITH {F1}, c AS ({_confusion('f1', V)}) {_metrics('c', V)}"
+O["voxel_metrics_valid_mask"] = f"WITH {F1}, c AS ({_confusion('f1', V, v='(h % 3 <> 0)')}) {_metrics('c', V)}"
+O["sparse_mask_metrics"] = O["voxel_metrics"]
+_CASES = f"WITH {F3}, c AS ({_confusion('f3', 'method, domain, split, volume_id')}), cm AS ({_metrics('c', 'method, domain, split, volume_id', digits=15)})"
+_NAMES = """valid_voxels prediction_positive_voxels target_positive_voxels tp fp fn tn dice iou precision recall specificity accuracy fdr fpr tp_fraction fp_fraction
+fn_fraction tn_fraction prediction_foreground_fraction target_foreground_fraction""".split()
+O["macro_metrics_cube"] = f"""{_CASES} SELECT method, CASE WHEN grouping(split) = 1 THEN 'all' ELSE split END AS split, CASE WHEN grouping(domain) = 1 THEN 'all' ELSE domain END AS domain,
+count(*) AS n_patches, {", ".join(f"round(avg({n}), 9) AS mean_{n}" for n in _NAMES)} FROM cm GROUP BY method, CUBE (split, domain)"""
+O["heldout_summary"] = f"""{_CASES} SELECT method, count(*) AS n_patches, {", ".join(f"round(avg({n}), 9) AS mean_{n}" for n in ("dice", "iou", "precision", "recall"))}
+FROM cm WHERE split = 'heldout' GROUP BY method"""
+for _r in (1, 2):
+    O[f"neighbor_correction_round{_r}"] = f"WITH {F1}, {_correction(_r)} SELECT {K}, changed_in, corrected FROM fixed WHERE changed_in IS NOT NULL"
+O["correction_counts"] = f"""WITH {F1}, {_correction(2)} SELECT volume_id, count(*) FILTER (changed_in IS NOT NULL AND target) AS false_negatives_promoted,
+count(*) FILTER (changed_in IS NOT NULL AND NOT target) AS false_positives_removed FROM fixed GROUP BY volume_id"""
+O["corrected_metrics"] = f"WITH {F1}, {_correction(2)}, c AS ({_confusion('fixed', V, 'corrected')}) {_metrics('c', V)}"
+O["neighbor_stencil"] = f"""WITH {F1}, {FACES} SELECT a.volume_id, count(DISTINCT (a.z, a.y, a.x)) AS n_touching FROM f1 a, o6, f1 b WHERE a.target AND NOT a.prediction AND b.target AND b.prediction
+AND a.volume_id = b.volume_id AND a.z = b.z + dz AND a.y = b.y + dy AND a.x = b.x + dx GROUP BY a.volume_id"""
+_SLABS = "sl AS (SELECT *, CAST((8 * (z + 1) - 1) // nz AS INTEGER) AS slab FROM {rows})"
+_EDGES = "ed AS (SELECT {by}, slab, min(z) AS z0, max(z) + 1 AS z1, max(nz) AS nz FROM sl GROUP BY {by}, slab)"
+_DEPTH = "SELECT cm.*, CAST(z0 AS INTEGER) AS z0, CAST(z1 AS INTEGER) AS z1, round((z0 + z1) / CAST(2 AS DOUBLE) / nz, {d}) AS depth_fraction FROM cm JOIN ed USING ({by}, slab)"
+O["depth_slab_metrics"] = f"""WITH {F1}, {_SLABS.format(rows='f1')}, {_EDGES.format(by=V)}, c AS ({_confusion('sl', V + ', slab')}), cm AS ({_metrics('c', V + ', slab')}) {_DEPTH.format(by=V, d=9)}"""
+O["depth_slab_corrected"] = f"""WITH {F1}, {_SLABS.format(rows='f1')}, {_EDGES.format(by=V)}, {_correction(1, V + ', slab', 'sl')}, c AS ({_confusion('fixed', V + ', slab', 'corrected')}),
+cm AS ({_metrics('c', V + ', slab')}) {_DEPTH.format(by=V, d=9)}"""
+_TREND = {"dice": "prediction_positive_voxels + target_positive_voxels > 0", "precision": "prediction_positive_voxels > 0", "recall": "target_positive_voxels > 0"}
+O["depth_trends"] = f"""WITH {F3}, {_SLABS.format(rows='f3')}, {_EDGES.format(by='method, volume_id')}, c AS ({_confusion('sl', 'method, volume_id, slab')}), cm AS ({_metrics('c', 'method, volume_id, slab', digits=15)}),
+d AS ({_DEPTH.format(by='method, volume_id', d=15)}) SELECT method, volume_id, {", ".join(f"round(regr_slope(CASE WHEN {c} THEN {m} END, depth_fraction), 8) AS {m}_slope, count(CASE WHEN {c} THEN {m} END) AS {m}_fit_slabs" for m, c in _TREND.items())}
+FROM d GROUP BY method, volume_id"""
+
+
+def _euler(name: str, rows: str, where: str) -> str:
+    """CTEs; {name}: volume_id, vertices, edges, faces, cubes."""
+    v = f"{name}_v AS (SELECT volume_id, z, y, x FROM {rows} WHERE {where})"
+    corners = [(a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1) if a + b + c]
+    joins = " ".join(f"LEFT JOIN {name}_v c{a}{b}{c} ON c{a}{b}{c}.volume_id = o.volume_id AND c{a}{b}{c}.z = o.z + {a} AND c{a}{b}{c}.y = o.y + {b} AND c{a}{b}{c}.x = o.x + {c}" for a, b, c in corners)
+
+    def has(*cs: str) -> str:
+        return "CAST(" + " AND ".join(f"c{c}.z IS NOT NULL" for c in cs) + " AS BIGINT)"
+
+    return f"""{v}, {name} AS (SELECT o.volume_id, CAST(count(*) AS BIGINT) AS vertices, CAST(sum({has('100')} + {has('010')} + {has('001')}) AS BIGINT) AS edges,
+CAST(sum({has('100', '010', '110')} + {has('100', '001', '101')} + {has('010', '001', '011')}) AS BIGINT) AS faces,
+CAST(sum({has('100', '010', '001', '110', '101', '011', '111')}) AS BIGINT) AS cubes FROM {name}_v o {joins} GROUP BY o.volume_id)"""
+
+
+O["euler_cells"] = f"WITH {F1}, {_euler('eu', 'f1', 'prediction')} SELECT *, vertices - edges + faces - cubes AS euler FROM eu"
+O["bbox_crop"] = f"""WITH {F1}, b AS (SELECT volume_id, min(z) AS z0, max(z) AS z1, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM f1 WHERE s >= CAST(0.9 AS DOUBLE) GROUP BY volume_id)
+SELECT volume_id, z0, z1, y0, y1, x0, x1, count(*) AS n_inside FROM f1 JOIN b USING (volume_id) WHERE z BETWEEN z0 AND z1 AND y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1 GROUP BY ALL"""
+for _n in (6, 18, 26):
+    O[f"components{_n}"] = f"WITH {F1}, {_components('cc', 'f1', 'prediction', _n)} SELECT {K}, {_decoded('component', ('cz', 'cy', 'cx'))} FROM cc"
+_BOTH = f"WITH {F1}, {_components('pc', 'f1', 'prediction', 6)}, {_components('tc', 'f1', 'target', 6)}, pr AS (SELECT pc.volume_id, pc.component AS p, tc.component AS t, count(*) AS overlap FROM pc JOIN tc ON pc.id = tc.id GROUP BY ALL)"
+O["component_overlap"] = f"{_BOTH} SELECT volume_id, {_decoded('p', ('pz', 'py', 'px'))}, {_decoded('t', ('tz', 'ty', 'tx'))}, overlap FROM pr"
+O["component_metrics"] = f"""{_BOTH}, ps AS (SELECT volume_id, component AS p, count(*) AS n FROM pc GROUP BY ALL), ts AS (SELECT volume_id, component AS t, count(*) AS n FROM tc GROUP BY ALL),
+io AS (SELECT pr.*, overlap / CAST(ps.n + ts.n - overlap AS DOUBLE) AS iou FROM pr JOIN ps USING (volume_id, p) JOIN ts USING (volume_id, t)),
+g AS (SELECT DISTINCT volume_id FROM f1), np AS (SELECT volume_id, count(*) AS n FROM ps GROUP BY 1), nt AS (SELECT volume_id, count(*) AS n FROM ts GROUP BY 1),
+dp AS (SELECT volume_id, count(*) AS m, count(*) FILTER (d > 1) AS b FROM (SELECT volume_id, p, count(*) AS d FROM io GROUP BY ALL) GROUP BY 1),
+dt AS (SELECT volume_id, count(*) AS m, count(*) FILTER (d > 1) AS b FROM (SELECT volume_id, t, count(*) AS d FROM io GROUP BY ALL) GROUP BY 1),
+st AS (SELECT volume_id, count(*) AS n, avg(iou) AS a, median(iou) AS md, min(iou) AS mi, max(iou) AS ma FROM io GROUP BY 1),
+a AS (SELECT g.volume_id, coalesce(np.n, 0) AS np, coalesce(nt.n, 0) AS nt, coalesce(dp.m, 0) AS mp, coalesce(dt.m, 0) AS mt, coalesce(dp.b, 0) AS bp, coalesce(dt.b, 0) AS bt, coalesce(st.n, 0) AS n,
+  coalesce(a, 0) AS a, coalesce(md, 0) AS md, coalesce(mi, 0) AS mi, coalesce(ma, 0) AS ma
+  FROM g LEFT JOIN np USING (volume_id) LEFT JOIN nt USING (volume_id) LEFT JOIN dp USING (volume_id) LEFT JOIN dt USING (volume_id) LEFT JOIN st USING (volume_id))
+SELECT volume_id, np AS prediction_components, nt AS target_components, np - nt AS component_difference, abs(np - nt) AS component_count_error, mp AS matched_predictions, mt AS matched_targets,
+CASE WHEN np = 0 THEN CAST(0 AS DOUBLE) ELSE round(mp / CAST(np AS DOUBLE), 9) END AS component_precision, CASE WHEN nt = 0 THEN CAST(0 AS DOUBLE) ELSE round(mt / CAST(nt AS DOUBLE), 9) END AS component_recall,
+np - mp AS false_components, nt - mt AS missed_components, bt AS split_targets, bp AS merged_predictions, n AS overlap_pairs, round(a, 9) AS iou_mean, round(md, 9) AS iou_median, round(mi, 9) AS iou_min, round(ma, 9) AS iou_max FROM a"""
+
+
+def _topology(name: str, where: str) -> str:
+    """CTEs; {name}: volume_id, betti_0, betti_1, betti_2, euler, with 6-neighbours."""
+    return f"""{_components(name + 'f', 'f1', where, 6)}, {_euler(name + 'e', 'f1', where)},
+{name}x AS (SELECT volume_id, min(z) - 1 AS z0, max(z) + 1 AS z1, min(y) - 1 AS y0, max(y) + 1 AS y1, min(x) - 1 AS x0, max(x) + 1 AS x1 FROM f1 WHERE {where} GROUP BY volume_id),
+{name}d AS (SELECT volume_id, z, y, unnest(range(x0, x1 + 1)) AS x FROM (SELECT volume_id, z, unnest(range(y0, y1 + 1)) AS y, x0, x1 FROM (SELECT *, unnest(range(z0, z1 + 1)) AS z FROM {name}x))),
+{name}n AS (SELECT d.* FROM {name}d d ANTI JOIN (SELECT * FROM f1 WHERE {where}) f ON d.volume_id = f.volume_id AND d.z = f.z AND d.y = f.y AND d.x = f.x),
+{_components(name + 'b', name + 'n', 'TRUE', 26, 6)},
+{name} AS (SELECT volume_id, b0 AS betti_0, b0 + b2 - (vertices - edges + faces - cubes) AS betti_1, b2 AS betti_2, vertices - edges + faces - cubes AS euler
+  FROM (SELECT volume_id, count(DISTINCT component) AS b0 FROM {name}f GROUP BY 1) JOIN (SELECT volume_id, count(DISTINCT component) - 1 AS b2 FROM {name}b GROUP BY 1) USING (volume_id) JOIN {name}e USING (volume_id))"""
+
+
+O["topology_betti"] = f"WITH {F1}, {_topology('tp', 'prediction')} SELECT volume_id, betti_0, betti_1, betti_2, euler FROM tp"
+_DIFF = ", ".join(f"p.{n} AS prediction_{n}, t.{n} AS target_{n}, p.{n} - t.{n} AS {n}_difference, abs(p.{n} - t.{n}) AS {n}_absolute_error" for n in ("betti_0", "betti_1", "betti_2", "euler"))
+O["topology_comparison"] = f"""WITH {F1}, {_topology('tp', 'prediction')}, {_topology('tt', 'target')}
+SELECT volume_id, {_DIFF}, abs(p.betti_0 - t.betti_0) + abs(p.betti_1 - t.betti_1) + abs(p.betti_2 - t.betti_2) AS betti_error FROM tp p JOIN tt t USING (volume_id)"""
+
+_F2M = F2 + ", g2 AS (SELECT volume_id, z, y, x, CAST(CASE WHEN prob > 0 THEN label % 5 ELSE 0 END AS INTEGER) AS label FROM f2)"
+_SHELL = f"""{_F2M}, {FACES}, nb AS (SELECT a.volume_id, a.z, a.y, a.x, count(*) AS n FROM g2 a, o6 JOIN g2 b ON a.volume_id = b.volume_id AND b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx AND a.label = b.label WHERE a.label > 0 GROUP BY ALL),
+sh AS (SELECT {K}, label, CASE WHEN label = 0 THEN 0 WHEN coalesce(n, 0) = 6 THEN 2 ELSE 1 END AS class FROM g2 LEFT JOIN nb USING ({K}))"""
+O["shell_interior"] = f"WITH {_SHELL} SELECT * FROM sh"
+O["class_totals"] = f"WITH {_SHELL} SELECT volume_id, count(*) FILTER (class = 1) AS shell, count(*) FILTER (class = 2) AS interior FROM sh GROUP BY volume_id"
+_FIELD = "(CAST(0.2 AS DOUBLE) + (CAST(0.8 AS DOUBLE) - CAST(0.2 AS DOUBLE)) * (z / CAST(31 AS DOUBLE)))"
+_MEAN = f"fm AS (SELECT volume_id, CAST(label AS INTEGER) AS label, count(*) AS n_voxels, avg({_FIELD}) AS field_mean FROM f2 WHERE label > 0 GROUP BY ALL)"
+O["label_field_mean"] = f"WITH {F2}, {_MEAN} SELECT volume_id, label, n_voxels, round(field_mean, 9) AS field_mean FROM fm"
+O["subset_fixed_fraction"] = f"""WITH {F2}, l AS (SELECT volume_id, CAST(label AS INTEGER) AS label, count(*) AS n_voxels FROM f2 WHERE label > 0 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY volume_id ORDER BY {_hash('label', 7)}, label) AS rk, count(*) OVER (PARTITION BY volume_id) AS n FROM l)
+SELECT volume_id, label, n_voxels FROM r WHERE rk <= greatest(1, floor(n * CAST(0.3 AS DOUBLE)))"""
+_BERNOULLI = f"{F2}, {_MEAN}, kp AS (SELECT * FROM fm WHERE {_hash('label', 3)} < field_mean)"
+O["subset_bernoulli"] = f"WITH {_BERNOULLI} SELECT volume_id, label, n_voxels FROM kp"
+O["subset_info"] = f"""WITH {_BERNOULLI} SELECT volume_id, n_total, coalesce(n_kept, 0) AS n_kept, round(coalesce(n_kept, 0) / CAST(n_total AS DOUBLE), 9) AS fraction
+FROM (SELECT volume_id, count(*) AS n_total FROM fm GROUP BY 1) LEFT JOIN (SELECT volume_id, count(*) AS n_kept FROM kp GROUP BY 1) USING (volume_id)"""
+O["collapse_labels"] = f"""WITH {F2}, g AS (SELECT volume_id, label, CASE WHEN label > 0 THEN 1 + CAST(floor({_hash('label', 5)} * 8) AS INTEGER) ELSE 0 END AS "group" FROM f2)
+SELECT volume_id, "group", count(*) AS n_voxels, count(DISTINCT label) AS n_labels FROM g GROUP BY ALL"""
+O["level_lookup"] = f"WITH {F2} SELECT volume_id, CAST(coalesce(s_nationkey, -1) AS INTEGER) AS level, count(*) AS n_voxels FROM f2 LEFT JOIN supplier ON s_suppkey = label GROUP BY ALL"
+O["intensity_classes"] = f"""WITH {F2}, l AS (SELECT DISTINCT volume_id, label FROM f2 WHERE label > 0),
+d AS (SELECT volume_id, label, row_number() OVER (PARTITION BY volume_id ORDER BY {_hash('label', 11)}, label) % 5 AS class FROM l),
+i AS (SELECT f2.volume_id, coalesce(class, 0) AS class, prob, CASE WHEN class IS NULL THEN 0 ELSE {_hash('class + 1', 12)} END AS intensity FROM f2 LEFT JOIN d ON d.volume_id = f2.volume_id AND d.label = f2.label)
+SELECT volume_id, CAST(class AS INTEGER) AS class, count(*) AS n_voxels, round(max(intensity), 9) AS intensity, round(avg(intensity * prob + CAST(0.1 AS DOUBLE) * (1 - prob)), 9) AS mean_blend FROM i GROUP BY volume_id, class"""
+O["foreground_redraw"] = f"""WITH {F2}, l AS (SELECT volume_id, label, count(*) AS n FROM f2 WHERE label > 0 GROUP BY ALL), t AS (SELECT *, unnest(range(6)) AS draw FROM l),
+d AS (SELECT volume_id, draw, CAST(coalesce(sum(n) FILTER ({_hash('label * 31 + draw', 13)} < CAST(0.15 AS DOUBLE)), 0) AS BIGINT) AS foreground FROM t GROUP BY ALL)
+SELECT volume_id, CAST(arg_min(draw, k) AS INTEGER) AS draw, arg_min(foreground, k) AS foreground FROM (SELECT *, CASE WHEN foreground >= 700 THEN draw ELSE 12 - draw END AS k FROM d) GROUP BY volume_id"""
+O["grow_labels"] = f"""WITH {F2}, s AS (SELECT {K}, CAST(label AS INTEGER) AS label FROM f2 WHERE label % 7 = 0 AND label > 0),
+o(dz) AS (SELECT unnest(range(-2, 3))), g AS (SELECT volume_id, z + a.dz AS z, y + b.dz AS y, x + c.dz AS x, label, min(abs(a.dz) + abs(b.dz) + abs(c.dz)) AS d FROM s, o a, o b, o c WHERE abs(a.dz) + abs(b.dz) + abs(c.dz) <= 2 GROUP BY ALL),
+r AS (SELECT *, d - (CAST(0.5 AS DOUBLE) + label % 3) AS score FROM g), w AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY score, label) AS rk FROM r)
+SELECT volume_id, label, count(*) AS n_voxels FROM w WHERE rk = 1 AND score <= 0 GROUP BY ALL"""
+O["hollow_labels"] = f"""WITH {F2}, {FACES}, g AS (SELECT {K}, CASE WHEN prob > CAST(0.05 AS DOUBLE) THEN 1 ELSE 0 END AS label FROM f2),
+nb AS (SELECT a.volume_id, a.z, a.y, a.x, count(*) AS n FROM g a, o6 JOIN g b ON a.volume_id = b.volume_id AND b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx AND b.label = 1 WHERE a.label = 1 GROUP BY ALL)
+SELECT volume_id, CAST(CASE WHEN n = 6 THEN 0 ELSE label END AS INTEGER) AS label, count(*) AS n_voxels FROM g LEFT JOIN nb USING ({K}) GROUP BY 1, 2"""
+
+
+def _corner() -> str:
+    terms = []
+    for dz in (0, 1):
+        for dy in (0, 1):
+            for dx in (0, 1):
+                key = f"((CAST(volume_id AS BIGINT) * 4 + iz + {dz}) * 4 + iy + {dy}) * 4 + ix + {dx}"
+                w = " * ".join(f"f{a}" if d else f"(1 - f{a})" for a, d in zip("zyx", (dz, dy, dx)))
+                terms.append(f"{w} * {_hash(key, 17)}")
+    return " + ".join(terms)
+
+
+_AT = ", ".join(f"{a} * (CAST(3 AS DOUBLE) / {n - 1}) AS p{a}" for a, n in (("z", 32), ("y", 8), ("x", 8)))
+_LOW = ", ".join(f"CAST(least(floor(p{a}), 2) AS BIGINT) AS i{a}, p{a} - least(floor(p{a}), 2) AS f{a}" for a in "zyx")
+O["random_smooth_field"] = f"WITH {F1V}, p AS (SELECT {K}, {_AT} FROM f1v WHERE z < 32), c AS (SELECT {K}, {_LOW} FROM p) SELECT {K}, round({_corner()}, 9) AS field FROM c"
+O["flip_and_reorder"] = f"WITH {F1} SELECT volume_id, y AS z, x AS y, nz - 1 - z AS x, round(s, 9) AS s FROM f1"
+_T = "CASE WHEN nz <= 1 THEN 0 ELSE z / CAST(nz - 1 AS DOUBLE) END"
+_LO, _SPAN = "CAST(0.1 AS DOUBLE)", "(CAST(0.9 AS DOUBLE) - CAST(0.1 AS DOUBLE))"
+O["density_linear"] = f"WITH {F1} SELECT {K}, round(CAST(0.2 AS DOUBLE) + (CAST(0.8 AS DOUBLE) - CAST(0.2 AS DOUBLE)) * (1 - {_T}), 9) AS density FROM f1"
+O["density_sigmoid"] = f"WITH {F1} SELECT {K}, round({_LO} + {_SPAN} / (1 + exp(-12 * ({_T} - CAST(0.4 AS DOUBLE)))), 9) AS density FROM f1"
+O["density_gaussian"] = f"WITH {F1} SELECT {K}, round({_LO} + {_SPAN} * exp(CAST(-0.5 AS DOUBLE) * (({_T} - 0.5) / CAST(0.25 AS DOUBLE)) * (({_T} - 0.5) / CAST(0.25 AS DOUBLE))), 9) AS density FROM f1"
+O["density_radial"] = f"""WITH {F1}, d AS (SELECT {K}, sqrt((z - CAST(0.5 AS DOUBLE) * nz) * (z - CAST(0.5 AS DOUBLE) * nz) + (y - CAST(3.2 AS DOUBLE)) * (y - CAST(3.2 AS DOUBLE)) + (x - CAST(4.8 AS DOUBLE)) * (x - CAST(4.8 AS DOUBLE)))
+/ sqrt(nz * nz / CAST(4 AS DOUBLE) + 32) AS t FROM f1) SELECT {K}, round({_LO} + {_SPAN} * (1 - least(greatest(t, 0), 1)), 9) AS density FROM d"""
+O["density_uniform"] = f"WITH {F1V} SELECT {K}, CAST(0.35 AS DOUBLE) AS density FROM f1v"
+
+O["raster_scatter"] = f"WITH {F2} SELECT {K}, round(dist, 9) AS dist, label, round(prob, 9) AS prob FROM f2"
+_TESS = F5 + """,
+lg AS (SELECT curve_id, z, y, x, radius, row_number() OVER w AS leg, lead(z) OVER w AS nz, lead(y) OVER w AS ny, lead(x) OVER w AS nx, lead(radius) OVER w AS nr FROM f5 WINDOW w AS (PARTITION BY curve_id ORDER BY ord)),
+ln AS (SELECT *, sqrt((nz - z) * (nz - z) + (ny - y) * (ny - y) + (nx - x) * (nx - x)) AS length FROM lg WHERE nr IS NOT NULL),
+np AS (SELECT *, CAST(greatest(1, ceil(length / CAST(1.5 AS DOUBLE))) AS INTEGER) AS n FROM ln), sg AS (SELECT *, unnest(range(n)) AS seg FROM np),
+ts AS (SELECT curve_id, CAST(leg AS INTEGER) AS leg, CAST(seg AS INTEGER) AS seg, z + (nz - z) * (seg / CAST(n AS DOUBLE)) AS z0, y + (ny - y) * (seg / CAST(n AS DOUBLE)) AS y0, x + (nx - x) * (seg / CAST(n AS DOUBLE)) AS x0,
+  z + (nz - z) * ((seg + 1) / CAST(n AS DOUBLE)) AS z1, y + (ny - y) * ((seg + 1) / CAST(n AS DOUBLE)) AS y1, x + (nx - x) * ((seg + 1) / CAST(n AS DOUBLE)) AS x1,
+  radius + (nr - radius) * (seg / CAST(n AS DOUBLE) + (seg + 1) / CAST(n AS DOUBLE)) / 2 AS r, length FROM sg)"""
+O["tessellate"] = f"WITH {_TESS} SELECT curve_id, leg, seg, {', '.join(f'round({c}, 9) AS {c}' for c in 'z0 y0 x0 z1 y1 x1 r length'.split())} FROM ts"
+_RANGE = "unnest(range(CAST(greatest(round_even(({a}0 + {a}1) / 2, 0) - ceil(r) - 2, 0) AS INTEGER), CAST(least(round_even(({a}0 + {a}1) / 2, 0) + ceil(r) + 2, 31) AS INTEGER) + 1)) AS {a}"
+_DOT = "((z - z0) * (z1 - z0) + (y - y0) * (y1 - y0) + (x - x0) * (x1 - x0)) / greatest((z1 - z0) * (z1 - z0) + (y1 - y0) * (y1 - y0) + (x1 - x0) * (x1 - x0), CAST(1e-12 AS DOUBLE))"
+O["rasterize"] = f"""WITH {_TESS}, vz AS (SELECT *, {_RANGE.format(a='z')} FROM ts), vy AS (SELECT *, {_RANGE.format(a='y')} FROM vz), vx AS (SELECT *, {_RANGE.format(a='x')} FROM vy),
+t AS (SELECT *, least(greatest({_DOT}, 0), 1) AS t FROM vx),
+d AS (SELECT curve_id, z, y, x, r, sqrt((z - (z0 + t * (z1 - z0))) * (z - (z0 + t * (z1 - z0))) + (y - (y0 + t * (y1 - y0))) * (y - (y0 + t * (y1 - y0))) + (x - (x0 + t * (x1 - x0))) * (x - (x0 + t * (x1 - x0)))) AS d FROM t),
+p AS (SELECT *, CASE WHEN d <= r - 0.5 THEN 1 WHEN d >= r + 0.5 THEN 0 ELSE CAST(0.5 AS DOUBLE) * (1 + cos(pi() * (d - r + 0.5))) END AS p FROM d),
+s AS (SELECT CAST(z AS INTEGER) AS z, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, min(d) AS dist, max(CAST(floor(p * CAST(1e6 AS DOUBLE)) AS BIGINT) * 10000 + curve_id) % 10000 AS label, 1 - exp(sum(ln(greatest(1 - p, CAST(1e-7 AS DOUBLE))))) AS prob FROM p GROUP BY ALL)
+SELECT z, y, x, round(dist, 7) AS dist, CASE WHEN prob > 0 THEN label ELSE 0 END AS label, round(prob, 7) AS prob FROM s"""
+
+O["logit_sigmoid"] = f"WITH {F1} SELECT {K}, round(1 / (1 + exp(-(4 * s - 2))), 9) AS probability, CAST(1 / (1 + exp(-(4 * s - 2))) AS FLOAT) >= CAST(0.5 AS FLOAT) AS mask FROM f1"
+_LOGITS = F1 + """, lo AS (SELECT *, 2 - 4 * s AS l0, 4 * s - 2 + (h - 50) / CAST(50 AS DOUBLE) AS l1, 6 * s - 4 AS l2, CASE WHEN NOT target THEN 0 WHEN h % 2 = 0 THEN 1 ELSE 2 END AS ct FROM f1),
+cl AS (SELECT *, (exp(l1 - greatest(l0, l1, l2)) + exp(l2 - greatest(l0, l1, l2))) / (exp(l0 - greatest(l0, l1, l2)) + exp(l1 - greatest(l0, l1, l2)) + exp(l2 - greatest(l0, l1, l2))) AS fg,
+  CAST(CASE WHEN l0 >= l1 AND l0 >= l2 THEN 0 WHEN l1 >= l2 THEN 1 ELSE 2 END AS INTEGER) AS class FROM lo)"""
+O["logit_softmax_post"] = f"WITH {_LOGITS} SELECT {K}, round(least(greatest(fg, 0), 1), 9) AS probability, CAST(fg AS FLOAT) >= CAST(0.5 AS FLOAT) AS mask, class, class = 1 AS shell, class = 2 AS interior FROM cl"
+_LSE = "(greatest(l1, l2) + ln(exp(l1 - greatest(l1, l2)) + exp(l2 - greatest(l1, l2))))"
+O["hierarchical_logits"] = f"""WITH {_LOGITS}, f AS (SELECT {K}, {_LSE} - l0 AS f, l2 - l1 AS c, CASE WHEN target THEN CAST(1 AS DOUBLE) ELSE 0 END AS t FROM lo)
+SELECT {K}, round(f, 9) AS foreground, round(c, 9) AS core, round(greatest(f, 0) - f * t + ln(1 + exp(-abs(f))), 9) AS bce FROM f"""
+
+
+def _dice(p: str, t: str) -> str:
+    return f"CASE WHEN count(*) FILTER ({p}) + count(*) FILTER ({t}) = 0 THEN 1 ELSE 2 * count(*) FILTER ({p} AND {t}) / CAST(count(*) FILTER ({p}) + count(*) FILTER ({t}) AS DOUBLE) END"
+
+
+O["selection_score"] = f"""WITH {_LOGITS}, d AS (SELECT volume_id, {_dice('class > 0', 'ct > 0')} AS a, {_dice('class = 1', 'ct = 1')} AS b, {_dice('class = 2', 'ct = 2')} AS c FROM cl GROUP BY volume_id)
+SELECT volume_id, round(a, 9) AS foreground_dice, round(b, 9) AS shell_dice, round(c, 9) AS interior_dice, round((a + b + c) / 3, 9) AS selection_score FROM d"""
+
+
+def _loss(x: str, t: str, m: str) -> str:
+    bce = f"(greatest({x}, 0) - {x} * {t} + ln(1 + exp(-abs({x}))))"
+    p = f"(1 / (1 + exp(-{x})))"
+    return f"sum({bce} * {m}) / greatest(sum({m}), CAST(1e-8 AS DOUBLE)) + 1 - (2 * sum({p} * {t} * {m}) + 1) / (sum({p} * {m}) + sum({t} * {m}) + 1)"
+
+
+O["nested_loss"] = f"""WITH {_LOGITS}, f AS (SELECT volume_id, {_LSE} - l0 AS f, l2 - l1 AS c, CASE WHEN ct > 0 THEN CAST(1 AS DOUBLE) ELSE 0 END AS fg, CASE WHEN ct = 2 THEN CAST(1 AS DOUBLE) ELSE 0 END AS co, CAST(1 AS DOUBLE) AS one FROM lo),
+l AS (SELECT volume_id, {_loss('f', 'fg', 'one')} AS a, {_loss('c', 'co', 'fg')} AS b FROM f GROUP BY volume_id)
+SELECT volume_id, round(a, 8) AS foreground_loss, round(b, 8) AS core_loss, round((a + CAST(0.5 AS DOUBLE) * b) / CAST(1.5 AS DOUBLE), 8) AS loss FROM l"""
+_EPOCHS = "ep AS (SELECT o_custkey % 7 AS run, o_orderkey AS epoch, round((o_orderkey * 7919 % 1009) / CAST(1009 AS DOUBLE), 9) AS score FROM orders WHERE o_custkey <= 200)"
+O["running_best"] = f"""WITH {_EPOCHS}, b AS (SELECT *, max(score) OVER (PARTITION BY run ORDER BY epoch) AS best FROM ep)
+SELECT b.*, (SELECT min(e.epoch) FROM ep e WHERE e.run = b.run AND e.score = b.best AND e.epoch <= b.epoch) AS best_epoch FROM b"""
+O["resume_pick"] = f"""WITH {_EPOCHS}, r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY epoch % 3 = 0 DESC, epoch DESC) AS rk FROM ep)
+SELECT run, 'epoch_' || epoch AS path, epoch, epoch + CAST(epoch % 3 = 0 AS INTEGER) AS start_epoch FROM r WHERE rk = 1"""
+O["argument_differences"] = "SELECT DISTINCT o_orderkey, 'batch,lr' AS changed FROM orders WHERE o_custkey <= 500"
+O["split_by_id"] = "SELECT DISTINCT CAST(p_partkey % 600 AS INTEGER) AS volume, CASE WHEN p_partkey % 600 < 510 THEN 'train' WHEN p_partkey % 600 < 570 THEN 'val' ELSE 'test' END AS split FROM part"
+O["split_prefix"] = """WITH n AS (SELECT printf('%05d_label', s_suppkey) AS name FROM supplier), r AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS position, count(*) OVER () AS n FROM n)
+SELECT name, position, CASE WHEN position < greatest(1, floor(n * CAST(0.2 AS DOUBLE))) THEN 'val' ELSE 'train' END AS split FROM r"""
+O["missing_extra_pairs"] = """WITH v AS (SELECT DISTINCT CAST(label AS INTEGER) AS volume_id FROM embeddings), m(method) AS (VALUES ('m0'), ('m1'), ('m2'), ('m3')), e AS (SELECT method, volume_id FROM m, v),
+a AS (SELECT CASE WHEN method = 'm2' AND volume_id = 4 THEN 'm9' ELSE method END AS method, volume_id FROM e WHERE NOT (method = 'm1' AND volume_id = 3))
+SELECT *, 'missing' AS problem FROM (SELECT * FROM e EXCEPT SELECT * FROM a) UNION ALL SELECT *, 'extra' FROM (SELECT * FROM a EXCEPT SELECT * FROM e)"""
+O["mask_agreement"] = f"WITH {F3} SELECT method, volume_id, count(*) AS n_voxels, count(*) FILTER (h = 100) AS n_different FROM f3 GROUP BY ALL"
+O["score_range"] = f"WITH {F3} SELECT method, volume_id, CAST(0 AS BIGINT) AS not_finite, count(*) FILTER (score < -pow(2, -23) OR score > 1 + pow(2, -23)) AS out_of_range FROM f3 GROUP BY ALL"
+O["not_binary"] = f"WITH {F1V} SELECT volume_id, count(*) FILTER (h = 7) AS bad FROM f1v GROUP BY volume_id"
+O["unpaired_voxels"] = f"WITH {F1V} SELECT volume_id, count(*) FILTER (h = 5) AS only_left, count(*) FILTER (h = 3) AS only_right FROM f1v GROUP BY volume_id"
+O["repeated_keys"] = "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1"
+O["wrong_counts"] = "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) <> 4"
+O["settings_differ"] = """WITH o AS (SELECT DISTINCT o_orderkey AS job, o_custkey % 5 AS roi, o_custkey % 3 AS mode FROM orders)
+SELECT job, 'roi' AS field, NULL::VARCHAR AS recorded, CAST(roi AS VARCHAR) AS expected FROM o WHERE job % 50 = 0 UNION ALL SELECT job, 'mode', '-1', CAST(mode AS VARCHAR) FROM o WHERE job % 70 = 0"""
+O["outdated_jobs"] = "SELECT DISTINCT o_orderkey AS job, o_custkey % 5 AS setting FROM orders WHERE o_orderkey % 10 = 0 OR o_orderkey % 25 = 0"
+O["affine_check"] = "SELECT vec_id, vec_id % 4 = 0 AS differs FROM embeddings"
