@@ -58,16 +58,16 @@ def components(voxels: DataFrame, by: Sequence[str], connectivity: int = 6) -> D
     """
     line = Window.partitionBy(*by, "z", "y").orderBy("x")
     rows = voxels.select(*by, *AXES).distinct().withColumn("start", F.col("x") - F.row_number().over(line))
-    reach = 0 if connectivity == 6 else 1
     runs = rows.groupBy(*by, "z", "y", "start").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
     node = F.struct("z", "y", "x0")
     runs = saved(runs.withColumn("run", node), "runs")
-    lines = {(dz, dy): max(reach if abs(dz) + abs(dy) + abs(dx) <= {6: 1, 18: 2, 26: 3}[connectivity] else 0 for dx in (0, 1)) for dz, dy, _ in offsets(connectivity) if (dz, dy) > (0, 0)}
+    most = {6: 1, 18: 2, 26: 3}[connectivity]
+    lines = {(dz, dy): max(dx for dx in (0, 1) if abs(dz) + abs(dy) + dx <= most) for dz, dy, _ in offsets(connectivity) if (dz, dy) > (0, 0)}
     each = F.array(*[F.struct(F.lit(dz).alias("dz"), F.lit(dy).alias("dy"), F.lit(r).alias("r")) for (dz, dy), r in sorted(lines.items())])
-    left = runs.select(*by, F.explode(each).alias("o"), "z", "y", F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("run").alias("u"))
-    left = left.select(*by, (F.col("z") + F.col("o.dz")).alias("z"), (F.col("y") + F.col("o.dy")).alias("y"), "a0", "a1", "u", F.col("o.r").alias("r"))
+    left = runs.select(*by, F.explode(each).alias("o"), "z", "y", F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("run").alias("_u"))
+    left = left.select(*by, (F.col("z") + F.col("o.dz")).alias("z"), (F.col("y") + F.col("o.dy")).alias("y"), "a0", "a1", "_u", F.col("o.r").alias("r"))
     links = left.join(runs, [*by, "z", "y"]).where((F.col("a0") <= F.col("x1") + F.col("r")) & (F.col("x0") <= F.col("a1") + F.col("r")))
-    named = _stars(links.select(*by, "u", F.col("run").alias("v")), list(by))
+    named = _stars(links.select(*by, "_u", F.col("run").alias("_v")), list(by))
     named = runs.join(named, [*by, "run"], "left").withColumn("component", F.coalesce("component", "run"))
     joined = rows.join(named.select(*by, "z", "y", "start", "component"), [*by, "z", "y", "start"])
     return joined.select(*by, *AXES, "component")
@@ -78,27 +78,27 @@ def _stars(links: DataFrame, by: list[str], rounds: int = 60) -> DataFrame:
 
     def step(edges: DataFrame, large: bool) -> DataFrame:
         if large:
-            sides = edges.union(edges.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
+            sides = edges.union(edges.select(*by, F.col("_v").alias("_u"), F.col("_u").alias("_v")))
         else:
-            sides = edges.select(*by, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = sides.groupBy(*by, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        joined = sides.join(least, [*by, "u"])
-        out = joined.where("v > u") if large else joined
-        out = out.select(*by, F.col("v").alias("u"), F.col("m").alias("v"))
+            sides = edges.select(*by, F.greatest("_u", "_v").alias("_u"), F.least("_u", "_v").alias("_v"))
+        least = sides.groupBy(*by, "_u").agg(F.min("_v").alias("_m")).withColumn("_m", F.least("_u", "_m"))
+        joined = sides.join(least, [*by, "_u"])
+        out = joined.where("_v > _u") if large else joined
+        out = out.select(*by, F.col("_v").alias("_u"), F.col("_m").alias("_v"))
         if not large:
-            out = out.union(least.select(*by, "u", F.col("m").alias("v")))
-        return out.where("u <> v").distinct()
+            out = out.union(least.select(*by, "_u", F.col("_m").alias("_v")))
+        return out.where("_u <> _v").distinct()
 
     def mark(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64(*by, "u", "v"))).first())
+        return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64(*by, "_u", "_v"))).first())
 
-    edges = saved(links.where("u <> v").distinct(), "links")
+    edges = saved(links.where("_u <> _v").distinct(), "links")
     before = mark(edges)
     for _ in range(rounds):
         edges = saved(step(step(edges, True), False), "links")
         now = mark(edges)
         if now == before:
-            return edges.select(*by, F.greatest("u", "v").alias("run"), F.least("u", "v").alias("component")).distinct()
+            return edges.select(*by, F.greatest("_u", "_v").alias("run"), F.least("_u", "_v").alias("component")).distinct()
         before = now
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 

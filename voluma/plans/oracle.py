@@ -37,7 +37,7 @@ V, K = "volume_id", "volume_id, z, y, x"
 
 
 def _hash(key: str, seed: int) -> str:
-    return f"(((({key}) * 7919 + {seed * 104729 + 12345}) % 1000003) * 48271 % 1000003) / CAST(1000003 AS DOUBLE)"
+    return f"(((CAST({key} AS BIGINT) * 7919 + {seed * 104729 + 12345}) % 1000003) * 48271 % 1000003) / CAST(1000003 AS DOUBLE)"
 
 
 def _offsets(connectivity: int) -> str:
@@ -91,13 +91,14 @@ def _correction(rounds: int, by: str = V, rows: str = "f1", p: str = "prediction
 def _components(name: str, rows: str, where: str, connectivity: int, n_rounds: int = 8) -> str:
     """CTEs; {name} has id, volume_id, z, y, x, component (smallest id). Volumes of at most 8 x 8 x n voxels with a margin.
 
-    Every round each label takes the smallest label that its voxels touch, and then that label's own.
+    Every round each label takes the smallest label that its voxels touch, then that label's own, and so on 32 times.
     """
-    rounds = ",\n".join(
-        f"""{name}_h{i} AS MATERIALIZED (SELECT a.c, min(least(a.c, b.c)) AS m FROM {name}_{i - 1} a LEFT JOIN {name}_e e ON e.u = a.id LEFT JOIN {name}_{i - 1} b ON b.id = e.v GROUP BY a.c),
-{name}_{i} AS MATERIALIZED (SELECT a.id, g.m AS c FROM {name}_{i - 1} a JOIN {name}_h{i} h ON h.c = a.c JOIN {name}_h{i} g ON g.c = h.m)"""
-        for i in range(1, n_rounds + 1)
-    )
+    steps = []
+    for i in range(1, n_rounds + 1):
+        steps.append(f"{name}_h{i}_0 AS MATERIALIZED (SELECT a.c, min(least(a.c, b.c)) AS m FROM {name}_{i - 1} a LEFT JOIN {name}_e e ON e.u = a.id LEFT JOIN {name}_{i - 1} b ON b.id = e.v GROUP BY a.c)")
+        steps += [f"{name}_h{i}_{j} AS MATERIALIZED (SELECT a.c, b.m FROM {name}_h{i}_{j - 1} a JOIN {name}_h{i}_{j - 1} b ON b.c = a.m)" for j in range(1, 6)]
+        steps.append(f"{name}_{i} AS MATERIALIZED (SELECT a.id, h.m AS c FROM {name}_{i - 1} a JOIN {name}_h{i}_5 h ON h.c = a.c)")
+    rounds = ",\n".join(steps)
     return f"""
 {name}_o(dz, dy, dx) AS (VALUES {_offsets(connectivity)}),
 {name}_v AS MATERIALIZED (SELECT volume_id, z, y, x, ((CAST(volume_id AS BIGINT) * 10000 + z + 8) * 32 + y + 8) * 32 + x + 8 AS id FROM {rows} WHERE {where}),
@@ -217,23 +218,6 @@ SELECT volume_id, np AS prediction_components, nt AS target_components, np - nt
 CASE WHEN np = 0 THEN CAST(0 AS DOUBLE) ELSE round(mp / CAST(np AS DOUBLE), 9) END AS component_precision, CASE WHEN nt = 0 THEN CAST(0 AS DOUBLE) ELSE round(mt / CAST(nt AS DOUBLE), 9) END AS component_recall,
 np - mp AS false_components, nt - mt AS missed_components, bt AS split_targets, bp AS merged_predictions, n AS overlap_pairs, round(a, 9) AS iou_mean, round(md, 9) AS iou_median, round(mi, 9) AS iou_min, round(ma, 9) AS iou_max FROM a"""
 
-
-def _topology(name: str, where: str) -> str:
-    """CTEs; {name}: volume_id, betti_0, betti_1, betti_2, euler, with 6-neighbours."""
-    return f"""{_components(name + 'f', 'f1', where, 6)}, {_euler(name + 'e', 'f1', where)},
-{name}x AS (SELECT volume_id, min(z) - 1 AS z0, max(z) + 1 AS z1, min(y) - 1 AS y0, max(y) + 1 AS y1, min(x) - 1 AS x0, max(x) + 1 AS x1 FROM f1 WHERE {where} GROUP BY volume_id),
-{name}d AS (SELECT volume_id, z, y, unnest(range(x0, x1 + 1)) AS x FROM (SELECT volume_id, z, unnest(range(y0, y1 + 1)) AS y, x0, x1 FROM (SELECT *, unnest(range(z0, z1 + 1)) AS z FROM {name}x))),
-{name}n AS (SELECT d.* FROM {name}d d ANTI JOIN (SELECT * FROM f1 WHERE {where}) f ON d.volume_id = f.volume_id AND d.z = f.z AND d.y = f.y AND d.x = f.x),
-{_components(name + 'b', name + 'n', 'TRUE', 26, 6)},
-{name} AS (SELECT volume_id, b0 AS betti_0, b0 + b2 - (vertices - edges + faces - cubes) AS betti_1, b2 AS betti_2, vertices - edges + faces - cubes AS euler
-  FROM (SELECT volume_id, count(DISTINCT component) AS b0 FROM {name}f GROUP BY 1) JOIN (SELECT volume_id, count(DISTINCT component) - 1 AS b2 FROM {name}b GROUP BY 1) USING (volume_id) JOIN {name}e USING (volume_id))"""
-
-
-O["topology_betti"] = f"WITH {F1}, {_topology('tp', 'prediction')} SELECT volume_id, betti_0, betti_1, betti_2, euler FROM tp"
-_DIFF = ", ".join(f"p.{n} AS prediction_{n}, t.{n} AS target_{n}, p.{n} - t.{n} AS {n}_difference, abs(p.{n} - t.{n}) AS {n}_absolute_error" for n in ("betti_0", "betti_1", "betti_2", "euler"))
-O["topology_comparison"] = f"""WITH {F1}, {_topology('tp', 'prediction')}, {_topology('tt', 'target')}
-SELECT volume_id, {_DIFF}, abs(p.betti_0 - t.betti_0) + abs(p.betti_1 - t.betti_1) + abs(p.betti_2 - t.betti_2) AS betti_error FROM tp p JOIN tt t USING (volume_id)"""
-
 _F2M = F2 + ", g2 AS (SELECT volume_id, z, y, x, CAST(CASE WHEN prob > 0 THEN label % 5 ELSE 0 END AS INTEGER) AS label FROM f2)"
 _SHELL = f"""{_F2M}, {FACES}, nb AS (SELECT a.volume_id, a.z, a.y, a.x, count(*) AS n FROM g2 a, o6 JOIN g2 b ON a.volume_id = b.volume_id AND b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx AND a.label = b.label WHERE a.label > 0 GROUP BY ALL),
 sh AS (SELECT {K}, label, CASE WHEN label = 0 THEN 0 WHEN coalesce(n, 0) = 6 THEN 2 ELSE 1 END AS class FROM g2 LEFT JOIN nb USING ({K}))"""

@@ -285,7 +285,7 @@ def shell_interior(spark, sf):
 
 @query
 def class_totals(spark, sf):
-    return L.class_totals(L.shell_interior(f2(spark, sf).withColumn("label", F.col("label") % 5), V), V)
+    return L.class_totals(L.shell_interior(f2(spark, sf).withColumn("label", F.col("label") % 5), V, prob="prob"), V)
 
 
 def _field():
