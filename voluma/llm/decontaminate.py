@@ -104,12 +104,12 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, **column
 def clean_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
     """All rows of ``docs``; the hit words, each with what follows it up to the next word, are cut out of the text."""
     found = contamination(docs, benchmark, n, id_col, text_col, **columns).where("contaminated")
-    found = found.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "spans").dropDuplicates(["_id", "_mark"])
+    found = found.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_mark"])
     match = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_mark"))
     joined = docs.join(found, match, "left")
     anyword = WORD.replace(r"\x60", r"\x40\x5B-\x60")  # before lowering
     own = F.regexp_extract_all(text_col, F.lit(anyword), F.lit(0))
-    joined = joined.withColumn("_words", F.when(F.col("spans").isNotNull(), own)).withColumn("_rest", F.when(F.col("spans").isNotNull(), F.split(text_col, anyword, -1)))
-    keep = F.transform("_words", lambda w, i: F.when(F.exists("spans", lambda s: (s["start"] <= i) & (i < s["start"] + s["size"])), F.lit("")).otherwise(F.concat(w, F.element_at("_rest", i + 2))))
+    joined = joined.withColumn("_words", F.when(F.col("_spans").isNotNull(), own)).withColumn("_rest", F.when(F.col("_spans").isNotNull(), F.split(text_col, anyword, -1)))
+    keep = F.transform("_words", lambda w, i: F.when(F.exists("_spans", lambda s: (s["start"] <= i) & (i < s["start"] + s["size"])), F.lit("")).otherwise(F.concat(w, F.element_at("_rest", i + 2))))
     cut = F.concat(F.element_at("_rest", 1), F.array_join(keep, ""))
-    return joined.select(*[(F.when(F.col("spans").isNotNull(), cut).otherwise(F.col(c)) if c == text_col else F.col(c)).alias(c) for c in docs.columns])
+    return joined.select(*[(F.when(F.col("_spans").isNotNull(), cut).otherwise(F.col(c)) if c == text_col else F.col(c)).alias(c) for c in docs.columns])
