@@ -36,3 +36,22 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN
        CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM f
 """
+
+_STEPS = []
+for _i in range(1, 7):  # smallest label that a node touches, followed 8 times, 6 rounds
+    _STEPS.append(f"h{_i}_0 AS MATERIALIZED (SELECT a.c, min(least(a.c, b.c)) AS m FROM c{_i - 1} a LEFT JOIN e ON e.u = a.id LEFT JOIN c{_i - 1} b ON b.id = e.v GROUP BY a.c)")
+    _STEPS += [f"h{_i}_{_j} AS MATERIALIZED (SELECT a.c, b.m FROM h{_i}_{_j - 1} a JOIN h{_i}_{_j - 1} b ON b.c = a.m)" for _j in range(1, 4)]
+    _STEPS.append(f"c{_i} AS MATERIALIZED (SELECT a.id, h.m AS c FROM c{_i - 1} a JOIN h{_i}_3 h ON h.c = a.c)")
+ORACLES["op5_minhash_near_dedup"] = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, s FROM (
+  SELECT doc_id, w[i] || ' ' || w[i + 1] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w WHERE len(w) >= 2)
+  UNION ALL SELECT doc_id, w[1] FROM w WHERE len(w) = 1)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * k >= 80 * (nx.n + ny.n - k)),
+e AS MATERIALIZED (SELECT x AS u, y AS v FROM l UNION ALL SELECT y, x FROM l),
+c0 AS MATERIALIZED (SELECT doc_id AS id, doc_id AS c FROM documents),
+{", ".join(_STEPS)}
+SELECT id AS doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c AS component_id, id = c AS kept FROM c6 LEFT JOIN n ON n.doc_id = id
+"""
