@@ -96,16 +96,16 @@ def gaussian_smooth(rows: DataFrame, by: Sequence[str], axis: str, sigma: float,
     keys = [*by, *AXES]
     sent = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(float(w)).alias("w")) for d, w in zip(range(-reach, reach + 1), weights)])
     at, last = F.col(axis), F.col(size) - 1
-    own = rows.select(*keys, size, F.col(value).cast("double").alias("v"), F.explode(sent).alias("o"))
-    own = own.select(*keys, size, "v", (at + F.col("o.d")).alias("to"), F.col("o.w").alias("w")).where((F.col("to") >= 0) & (F.col("to") <= last))
+    own = rows.select(*keys, size, F.col(value).cast("double").alias("_v"), F.explode(sent).alias("_o"))
+    own = own.select(*keys, size, "_v", (at + F.col("_o.d")).alias("_to"), F.col("_o.w").alias("_w")).where((F.col("_to") >= 0) & (F.col("_to") <= last))
     parts = [own]
     for end, side in ((F.lit(0), -1), (last, 1)):
-        beyond = rows.where(at == end).select(*keys, size, F.col(value).cast("double").alias("v"), F.explode(F.sequence(F.lit(1), F.lit(max(reach, 1)))).alias("k"))
-        beyond = beyond.select(*keys, size, "v", "k", F.explode(sent).alias("o")).withColumn("to", end + side * F.col("k") + F.col("o.d"))
-        parts.append(beyond.where((F.col("to") >= 0) & (F.col("to") <= last)).select(*keys, size, "v", "to", F.col("o.w").alias("w")))
+        beyond = rows.where(at == end).select(*keys, size, F.col(value).cast("double").alias("_v"), F.explode(F.sequence(F.lit(1), F.lit(max(reach, 1)))).alias("_k"))
+        beyond = beyond.select(*keys, size, "_v", "_k", F.explode(sent).alias("_o")).withColumn("_to", end + side * F.col("_k") + F.col("_o.d"))
+        parts.append(beyond.where((F.col("_to") >= 0) & (F.col("_to") <= last)).select(*keys, size, "_v", "_to", F.col("_o.w").alias("_w")))
     every = parts[0].union(parts[1]).union(parts[2])
     others = [k for k in keys if k != axis]
-    return every.groupBy(*others, F.col("to").cast(dict(rows.dtypes)[axis]).alias(axis)).agg(F.sum(F.col("v") * F.col("w")).alias(value)).select(*keys, value)
+    return every.groupBy(*others, F.col("_to").cast(dict(rows.dtypes)[axis]).alias(axis)).agg(F.sum(F.col("_v") * F.col("_w")).alias(value)).select(*keys, value)
 
 
 def trilinear_resample(rows: DataFrame, by: Sequence[str], sizes: dict[str, int], spacing: dict[str, float], target: float, value: str = "value") -> DataFrame:
@@ -113,7 +113,7 @@ def trilinear_resample(rows: DataFrame, by: Sequence[str], sizes: dict[str, int]
 
     Along each axis every old plane sends its weight to the new planes on both sides, so no volume is gathered anywhere.
     """
-    out = rows.select(*by, *AXES, F.col(value).cast("double").alias("v"))
+    out = rows.select(*by, *AXES, F.col(value).cast("double").alias("_v"))
     for axis in AXES:
         n, s = sizes[axis], spacing[axis]
         m = int(np.rint((n - 1) * s / target)) + 1
@@ -124,11 +124,11 @@ def trilinear_resample(rows: DataFrame, by: Sequence[str], sizes: dict[str, int]
             for i, w in ((low, 1 - (p - low)), (low + 1, p - low)):
                 if w and i < n:
                     sent.setdefault(i, []).append((j, w))
-        table = rows.sparkSession.createDataFrame([(i, j, float(w)) for i, jw in sent.items() for j, w in jw], "i int, j int, w double")  # axis planes
+        table = rows.sparkSession.createDataFrame([(i, j, float(w)) for i, jw in sent.items() for j, w in jw], "_i int, _j int, _w double")  # axis planes
         others = [*by, *[a for a in AXES if a != axis]]
-        joined = out.join(F.broadcast(table), F.col(axis) == F.col("i"))
-        out = joined.groupBy(*others, F.col("j").alias(axis)).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
-    return out.select(*by, *AXES, F.col("v").alias(value))
+        joined = out.join(F.broadcast(table), F.col(axis) == F.col("_i"))
+        out = joined.groupBy(*others, F.col("_j").alias(axis)).agg(F.sum(F.col("_v") * F.col("_w")).alias("_v"))
+    return out.select(*by, *AXES, F.col("_v").alias(value))
 
 
 def resample_plan(volumes: DataFrame, target: float) -> DataFrame:
@@ -209,13 +209,13 @@ def ridge_score(rows: DataFrame, by: Sequence[str], value: str = "value", sigmas
     halo = 2 * int(4 * max(sigmas) + 0.5) + 2
     slab = F.floor(F.col("z") / block).cast("int")
     near = F.filter(F.array(slab - 1, slab, slab + 1), lambda b: (F.col("z") >= b * block - halo) & (F.col("z") < (b + 1) * block + halo) & (b >= 0))
-    cut = rows.select(*by, *AXES, F.col(value).cast("double").alias("v"), F.explode(near).alias("_block"))
+    cut = rows.select(*by, *AXES, F.col(value).cast("double").alias("_v"), F.explode(near).alias("_block"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         b = int(pdf["_block"].iloc[0])
         if not ((pdf.z >= b * block) & (pdf.z < (b + 1) * block)).any():
             return pdf.iloc[:0].assign(ridge=[])[[*by, *AXES, "ridge"]]
-        image, at, low = _dense(pdf, "v")
+        image, at, low = _dense(pdf, "_v")
         out = pdf.assign(ridge=np.round(hessian_ridge(image, sigmas)[tuple((at - low).T)], 9))
         return out[(out.z >= b * block) & (out.z < (b + 1) * block)][[*by, *AXES, "ridge"]]
 
