@@ -7,7 +7,9 @@ passage shared by many documents makes few candidates.  A linear sweep over the
 size and with the list's most central one) comes first; the union sketch of a pair estimates its similarity, and pairs that pass are
 verified on their full shingle sets.  Then the lists are contracted by component, and only pairs across components remain,
 so a group of near copies never expands into all its pairs.  A 128-bit signature (one bit of the smallest hash in each of
-128 bins) travels with the list rows, so that a join over a long list puts out only pairs that look similar.
+128 bins) travels with the list rows, so that a join over a long list puts out only pairs that look similar.  The join across
+components carries 256 bits more.  Of sets up to ``PARITY_SET`` they are the parities of the hashes per bin: two of them differ in
+no more bits than the sets have unshared members, so they refute a family of loosely related texts without error.
 """
 
 from __future__ import annotations
@@ -29,6 +31,9 @@ BASE, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 SURE_SHARE = 0.5
 #: Bins of the signature, and the deviations from the expected difference at the threshold that it allows.
 BINS, DEVIATIONS = 128, 5
+#: Bins of the wide marks, and the largest set whose wide marks are parities (in larger ones these would be half ones anyway).
+WIDE, PARITY_SET = 256, 600
+MARKS, WIDE_MARKS = ("s0", "s1"), ("w0", "w1", "w2", "w3")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -96,14 +101,22 @@ def node_of(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """Two longs: of each bin of the hash range (by its low bits) one bit of the smallest value."""
-    bits = np.zeros(BINS, np.uint8)
+def signature(hashes: np.ndarray, bins: int = BINS, first_bit: int = 0) -> np.ndarray:
+    """bins / 64 longs: of each bin of the hash range (by its bits from ``first_bit``) one bit of the smallest value."""
+    bits = np.zeros(bins, np.uint8)
     falling = hashes[::-1]
-    bits[falling & (BINS - 1)] = (falling >> 20) & 1  # the smallest of a bin is written last
+    bits[(falling >> first_bit) & (bins - 1)] = (falling >> 20) & 1  # the smallest of a bin is written last
     return np.packbits(bits).view(np.int64)
 
 
+def wide_marks(hashes: np.ndarray) -> np.ndarray:
+    """Four longs: the parities of the counts per bin, or, of a large set, a second signature from other bits."""
+    if len(hashes) > PARITY_SET:
+        return signature(hashes, WIDE, 32)
+    counts = np.bincount((hashes >> 32) & (WIDE - 1), minlength=WIDE)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sketcher(width: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = ShingleHasher(width)
@@ -113,11 +126,11 @@ def _sketcher(width: int, k: int):
                 for hashes in hasher.sets(data, offsets):
                     n.append(len(hashes))
                     node.append(node_of(hashes))
-                    marks.append(signature(hashes))
+                    marks.append(np.concatenate([signature(hashes), wide_marks(hashes)]))
                     sketch.append(hashes[:k])
                 ends = np.cumsum([0] + [len(s) for s in sketch])
                 flat = np.concatenate(sketch) if sketch else np.zeros(0, np.int64)
-                marks = np.array(marks, np.int64).reshape(-1, 2)
+                marks = np.array(marks, np.int64).reshape(-1, len(MARKS + WIDE_MARKS))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, len(n)),
@@ -125,10 +138,9 @@ def _sketcher(width: int, k: int):
                         pa.array(n, pa.int64()),
                         pa.array(node, pa.int64()),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())),
-                        pa.array(marks[:, 0]),
-                        pa.array(marks[:, 1]),
+                        *[pa.array(column) for column in marks.T],
                     ],
-                    ["doc_id", "mark", "n_shingles", "node", "sketch", "s0", "s1"],
+                    ["doc_id", "mark", "n_shingles", "node", "sketch", *MARKS, *WIDE_MARKS],
                 )
 
     return run
@@ -165,10 +177,11 @@ def _similar(threshold_percent: int):
 
 
 def sketches(docs: DataFrame, width: int, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, mark (hash of the text), n_shingles, node (fingerprint of the shingle set), sketch (its k smallest hashes), s0, s1 (signature)."""
+    """doc_id, mark (hash of the text), n_shingles, node (fingerprint of the shingle set), sketch (its k smallest hashes), s0, s1 (signature), w0 to w3 (wide marks)."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
-    return rows.mapInArrow(_sketcher(width, k), f"doc_id {kind}, mark long, n_shingles long, node long, sketch array<long>, s0 long, s1 long")
+    marks = ", ".join(f"{c} long" for c in MARKS + WIDE_MARKS)
+    return rows.mapInArrow(_sketcher(width, k), f"doc_id {kind}, mark long, n_shingles long, node long, sketch array<long>, {marks}")
 
 
 def inverted_lists(nodes: DataFrame, k: int, threshold_percent: int) -> DataFrame:
@@ -199,13 +212,30 @@ def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _differing(x: str, y: str, columns: tuple[str, ...]):
+    return sum(F.bit_count(F.col(x + c).bitwiseXOR(F.col(y + c))) for c in columns)
+
+
+def _most_differing(bins: int, threshold_percent: int) -> int:
+    """Bits in which signatures of sets at the threshold differ, and five deviations."""
+    off = (1 - threshold_percent / 100) / 2
+    return int(bins * off + DEVIATIONS * (bins * off * (1 - off)) ** 0.5)
+
+
 def _can_match(x: str, y: str, threshold_percent: int):
     """Sets whose sizes or signatures differ by more can't reach the threshold. x, y: prefixes of the columns of two nodes."""
     nx, ny = F.col(x + "n_shingles"), F.col(y + "n_shingles")
-    off = (1 - threshold_percent / 100) / 2
-    limit = int(BINS * off + DEVIATIONS * (BINS * off * (1 - off)) ** 0.5)
-    differ = sum(F.bit_count(F.col(x + s).bitwiseXOR(F.col(y + s))) for s in ("s0", "s1"))
-    return (100 * F.least(nx, ny) >= threshold_percent * F.greatest(nx, ny)) & (differ <= limit)
+    sizes = 100 * F.least(nx, ny) >= threshold_percent * F.greatest(nx, ny)
+    return sizes & (_differing(x, y, MARKS) <= _most_differing(BINS, threshold_percent))
+
+
+def _can_match_widely(x: str, y: str, threshold_percent: int):
+    """The same for the wide marks: unshared members <= (1 - t) / (1 + t) * (sum of sizes) at the threshold t."""
+    nx, ny, differ = F.col(x + "n_shingles"), F.col(y + "n_shingles"), _differing(x, y, WIDE_MARKS)
+    parities = differ * (100 + threshold_percent) <= (100 - threshold_percent) * (nx + ny)
+    signatures = differ <= _most_differing(WIDE, threshold_percent)
+    both_small, both_large = F.greatest(nx, ny) <= PARITY_SET, F.least(nx, ny) > PARITY_SET
+    return F.when(both_small, parities).when(both_large, signatures).otherwise(True)
 
 
 def sweep_pairs(lists: DataFrame, threshold_percent: int) -> DataFrame:
@@ -290,7 +320,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold_percent: int = 80
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = stored(sketches(docs, width, k), "sketches")
     full = rows.where("n_shingles > 0")
-    first = [F.first(c).alias(c) for c in ("sketch", "s0", "s1")]
+    first = [F.first(c).alias(c) for c in ("sketch", *MARKS, *WIDE_MARKS)]
     nodes = stored(full.groupBy("node", "n_shingles").agg(F.min("doc_id").alias("rep"), *first), "nodes")
     lists = stored(inverted_lists(nodes, k, threshold_percent), "lists")
 
@@ -300,7 +330,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold_percent: int = 80
 
     edges = links(sweep_pairs(lists, threshold_percent))
     names = components(edges)
-    rest = links(_across(stored(_contracted(lists, names), "open"), threshold_percent))
+    rest = links(_across(stored(_contracted(lists, nodes, names), "open"), threshold_percent))
     if not rest.isEmpty():
         names = components(edges.union(rest))
     named = nodes.select("node", "n_shingles", "rep").join(names, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -334,15 +364,19 @@ def deduplicate(docs: DataFrame, width: int = 5, threshold_percent: int = 80, k:
     return with_rows("_rows = 1").union(with_rows("_rows > 1").dropDuplicates([id_col, "_key"])).select(*docs.columns)
 
 
-def _contracted(lists: DataFrame, names: DataFrame) -> DataFrame:
-    """The lists that still hold more than one component, with each node's component."""
-    named = lists.join(names, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _contracted(lists: DataFrame, nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """The lists that still hold more than one component, with each node's component, wide marks and ``lower``, its smaller values."""
+    own = nodes.select("node", *WIDE_MARKS).join(names, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smaller = Window.partitionBy("node").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    named = lists.drop("centre").join(own, "node").withColumn("lower", F.collect_list("value").over(smaller))
     open_lists = named.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     return named.join(open_lists, "value", "left_semi")
 
 
 def _across(lists: DataFrame, threshold_percent: int) -> DataFrame:
-    """All pairs of similar-looking nodes of a list that are in different components; few are left after the sweep."""
+    """All pairs of similar-looking nodes of a list that are in different components, each once; few are left after the sweep."""
     pairs = lists.alias("x").join(lists.alias("y"), "value")
     pairs = pairs.where((F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _can_match("x.", "y.", threshold_percent))
-    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    first_of_pair = ~F.arrays_overlap("x.lower", "y.lower")  # a pair comes out of the list of its smallest common value alone
+    pairs = pairs.where(_can_match_widely("x.", "y.", threshold_percent) & first_of_pair)
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
