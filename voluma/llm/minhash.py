@@ -8,7 +8,7 @@ size and with the list's most central one) comes first; the union sketch of a pa
 verified on their full shingle sets.  Then the lists are contracted by component, and only pairs across components remain,
 so a group of near copies never expands into all its pairs.  A 128-bit signature (one bit of the smallest hash in each of
 128 bins) travels with the list rows, so that a join over a long list puts out only pairs that look similar.  The join across
-components carries 256 bits more.  Of sets up to ``PARITY_SET`` they are the parities of the hashes per bin: two of them differ in
+components carries 512 bits more.  Of sets up to ``PARITY_SET`` they are the parities of the hashes per bin: two of them differ in
 no more bits than the sets have unshared members, so they refute a family of loosely related texts without error.
 """
 
@@ -32,8 +32,8 @@ SURE_SHARE = 0.5
 #: Bins of the signature, and the deviations from the expected difference at the threshold that it allows.
 BINS, DEVIATIONS = 128, 5
 #: Bins of the wide marks, and the largest set whose wide marks are parities (in larger ones these would be half ones anyway).
-WIDE, PARITY_SET = 256, 600
-MARKS, WIDE_MARKS = ("s0", "s1"), ("w0", "w1", "w2", "w3")
+WIDE, PARITY_SET = 512, 900
+MARKS, WIDE_MARKS = ("s0", "s1"), tuple(f"w{i}" for i in range(WIDE // 64))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -110,7 +110,7 @@ def signature(hashes: np.ndarray, bins: int = BINS, first_bit: int = 0) -> np.nd
 
 
 def wide_marks(hashes: np.ndarray) -> np.ndarray:
-    """Four longs: the parities of the counts per bin, or, of a large set, a second signature from other bits."""
+    """WIDE / 64 longs: the parities of the counts per bin, or, of a large set, a second signature from other bits."""
     if len(hashes) > PARITY_SET:
         return signature(hashes, WIDE, 32)
     counts = np.bincount((hashes >> 32) & (WIDE - 1), minlength=WIDE)
@@ -177,7 +177,7 @@ def _similar(threshold_percent: int):
 
 
 def sketches(docs: DataFrame, width: int, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, mark (hash of the text), n_shingles, node (fingerprint of the shingle set), sketch (its k smallest hashes), s0, s1 (signature), w0 to w3 (wide marks)."""
+    """doc_id, mark (hash of the text), n_shingles, node (fingerprint of the shingle set), sketch (its k smallest hashes), s0, s1 (signature), w0 to w7 (wide marks)."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
     marks = ", ".join(f"{c} long" for c in MARKS + WIDE_MARKS)
