@@ -108,26 +108,33 @@ def gaussian_smooth(rows: DataFrame, by: Sequence[str], axis: str, sigma: float,
     return every.groupBy(*others, F.col("_to").cast(dict(rows.dtypes)[axis]).alias(axis)).agg(F.sum(F.col("_v") * F.col("_w")).alias(value)).select(*keys, value)
 
 
-def trilinear_resample(rows: DataFrame, by: Sequence[str], sizes: dict[str, int], spacing: dict[str, float], target: float, value: str = "value") -> DataFrame:
+def _size(size: int | str) -> Column:
+    """The length of an axis: a number or the name of its column."""
+    return (F.col(size) if isinstance(size, str) else F.lit(size)).cast("int")
+
+
+def trilinear_resample(rows: DataFrame, by: Sequence[str], sizes: dict[str, int | str], spacing: dict[str, float], target: float, value: str = "value") -> DataFrame:
     """Values on a grid of ``target`` spacing that is centred on the old one; outside, the edge holds.
 
-    Along each axis every old plane sends its weight to the new planes on both sides, so no volume is gathered anywhere.
+    A size is a number or the name of its column, which is the same for all voxels of a volume.  Along each axis every old
+    plane sends its weight to the new planes on both sides, so no volume is gathered anywhere.
     """
-    out = rows.select(*by, *AXES, F.col(value).cast("double").alias("_v"))
+    lengths = [f"_n{a}" for a in AXES]
+    out = rows.select(*by, *AXES, *[_size(sizes[a]).alias(c) for a, c in zip(AXES, lengths)], F.col(value).cast("double").alias("_v"))
     for axis in AXES:
-        n, s = sizes[axis], spacing[axis]
-        m = int(np.rint((n - 1) * s / target)) + 1
-        places = [min(max((n - 1) / 2 + (j - (m - 1) / 2) * target / s, 0.0), n - 1.0) for j in range(m)]
-        sent: dict[int, list[tuple[int, float]]] = {}
-        for j, p in enumerate(places):
-            low = min(int(p), max(n - 2, 0))
-            for i, w in ((low, 1 - (p - low)), (low + 1, p - low)):
-                if w and i < n:
-                    sent.setdefault(i, []).append((j, w))
-        table = rows.sparkSession.createDataFrame([(i, j, float(w)) for i, jw in sent.items() for j, w in jw], "_i int, _j int, _w double")  # axis planes
-        others = [*by, *[a for a in AXES if a != axis]]
-        joined = out.join(F.broadcast(table), F.col(axis) == F.col("_i"))
-        out = joined.groupBy(*others, F.col("_j").alias(axis)).agg(F.sum(F.col("_v") * F.col("_w")).alias("_v"))
+        at, n, s = F.col(axis), F.col(f"_n{axis}"), float(spacing[axis])
+        m = (F.rint((n - 1) * s / target) + 1).cast("int")
+        # The new planes between the old ones on both sides; those beyond the ends belong to the end planes.
+        first = F.when(at == 0, 0).otherwise(F.floor((at - 1 - (n - 1) / 2) * s / target + (m - 1) / 2))
+        last = F.when(at == n - 1, m - 1).otherwise(F.ceil((at + 1 - (n - 1) / 2) * s / target + (m - 1) / 2))
+        first, last = F.greatest(first.cast("int"), F.lit(0)), F.least(last.cast("int"), m - 1)
+        sent = out.withColumn("_j", F.explode(F.when(first <= last, F.sequence(first, last))))
+        place = F.least(F.greatest((n - 1) / 2 + (F.col("_j") - (m - 1) / 2) * target / s, F.lit(0.0)), (n - 1).cast("double"))
+        sent = sent.withColumn("_p", place).withColumn("_low", F.least(F.floor("_p"), F.greatest(n - 2, F.lit(0))))
+        part = F.col("_p") - F.col("_low")
+        sent = sent.withColumn("_w", F.when(at == F.col("_low"), 1 - part).when(at == F.col("_low") + 1, part)).where("_w <> 0")
+        others = [*by, *[a for a in AXES if a != axis], *lengths]
+        out = sent.groupBy(*others, F.col("_j").alias(axis)).agg(F.sum(F.col("_v") * F.col("_w")).alias("_v"))
     return out.select(*by, *AXES, F.col("_v").alias(value))
 
 
@@ -139,22 +146,20 @@ def resample_plan(volumes: DataFrame, target: float) -> DataFrame:
     return out
 
 
-def tile_blend(rows: DataFrame, by: Sequence[str], sizes: dict[str, int], tile: int, overlap: float = 0.5, value: str = "value") -> DataFrame:
+def tile_blend(rows: DataFrame, by: Sequence[str], sizes: dict[str, int | str], tile: int, overlap: float = 0.5, value: str = "value") -> DataFrame:
     """Weighted average over sliding windows: every voxel of every tile counts by a Gaussian of its place in the tile.
 
     ``value`` may be an expression of the tile's own column ``tile_id``; here each tile's value is the voxel's, less the tile's
-    mean, so that the blend shows.
+    mean, so that the blend shows.  A size is a number or the name of its column.
     """
     step = max(1, int(tile * (1 - overlap)))
     sigma = 0.125 * tile
-    tiles = {}
-    for axis in AXES:
-        starts = sorted({min(s, max(sizes[axis] - tile, 0)) for s in range(0, max(sizes[axis] - tile, 0) + step, step)})
-        tiles[axis] = F.array(*[F.lit(s) for s in starts])
     out = rows
     for axis in AXES:
-        at = F.col(axis)
-        inside = F.filter(tiles[axis], lambda s: (at >= s) & (at < s + tile))  # noqa: B023
+        at, last = F.col(axis), F.greatest(_size(sizes[axis]) - tile, F.lit(0))
+        near = F.sequence(F.greatest(F.ceil((at - tile + 1) / step), F.lit(0)).cast("int"), F.floor(at / step).cast("int"))
+        starts = F.array_distinct(F.array_append(F.transform(near, lambda k: F.least(k * step, last)), last))  # noqa: B023
+        inside = F.filter(starts, lambda s: (at >= s) & (at < s + tile))  # noqa: B023
         out = out.withColumn(f"t{axis}", F.explode(inside))
     keys = [*by, "tz", "ty", "tx"]
     mean = out.groupBy(*keys).agg(F.avg(value).alias("_m"))

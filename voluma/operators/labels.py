@@ -113,11 +113,15 @@ def hollow_labels(rows: DataFrame, by: Sequence[str], width: int, chosen: Column
     return rows.join(core, keys, "left").withColumn(label, F.when(F.col("_core"), 0).otherwise(F.col(label))).drop("_core")
 
 
-def random_field(grid: DataFrame, key: Column, nodes: int, sizes: dict[str, int], seed: int = 0) -> DataFrame:
-    """grid with field: tri-linear between hashed values at ``nodes`` points along each axis, corners at the ends."""
+def random_field(grid: DataFrame, key: Column, nodes: int, sizes: dict[str, int | str], seed: int = 0) -> DataFrame:
+    """grid with field: tri-linear between hashed values at ``nodes`` points along each axis, corners at the ends.
+
+    A size is a number or the name of its column.
+    """
     out, corner = grid, F.lit(0.0)
     for a in AXES:
-        p = F.col(a) * F.lit((nodes - 1) / max(sizes[a] - 1, 1))
+        size = F.col(sizes[a]) if isinstance(sizes[a], str) else F.lit(sizes[a])
+        p = F.col(a) * (F.lit(float(nodes - 1)) / F.greatest(size - 1, F.lit(1)))
         low = F.least(F.floor(p), F.lit(max(nodes - 2, 0)))
         out = out.withColumn(f"_i{a}", low.cast("long")).withColumn(f"_f{a}", p - low)
     for dz in (0, 1):

@@ -78,6 +78,6 @@ def f4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """curve_id, ord, z, y, x, radius: points of poly-lines in a 32^3 grid."""
     o, c = F.col("o_orderkey"), F.col("o_custkey")
-    return table(spark, sf_dir, "orders").where("o_custkey <= 40").select(
+    return table(spark, sf_dir, "orders").select(
         c.alias("curve_id"), o.alias("ord"), ((13 * o) % 32).cast("double").alias("z"), ((7 * o + c) % 32).cast("double").alias("y"), ((3 * o + 5 * c) % 32).cast("double").alias("x"), (1 + (c % 3) / 2.0).alias("radius")
     )
