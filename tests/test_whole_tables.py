@@ -1,12 +1,14 @@
 """Registered queries read whole tables, and volumes of any depth."""
 
-import duckdb
 import itertools
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from voluma.operators import intensity as I
 from voluma.operators import labels as L
+from voluma.operators import raster as R
 from voluma.plans.oracle import ORACLES
 from voluma.plans.queries import QUERIES
 
@@ -61,3 +63,12 @@ def test_all_planes(spark, name, planes):
     sf = SF.replace("0.001", "0.01")
     voxels = spark.read.parquet(f"{sf}/embeddings.parquet").count() * 64
     assert QUERIES[name](spark, sf).count() == voxels
+
+
+def test_labels_without_a_bound(spark):
+    rows = spark.createDataFrame([(0, 0, 0, 10_000, 0.2), (0, 0, 0, 3, 0.2), (0, 0, 1, 7, 0.3), (0, 0, 1, 2_000_000, 0.2), (0, 0, 2, 5_000_000_000, 0.1)], "z int, y int, x int, id long, p double")
+    out = {r.x: r.label for r in R.scatter(rows, [], F.lit(0.0), F.col("p"), F.col("id")).collect()}
+    assert out == {0: 10_000, 1: 7, 2: 5_000_000_000}
+    points = spark.createDataFrame([(12_345, 0, 4.0, 4.0, 2.0, 2.0), (12_345, 1, 4.0, 4.0, 12.0, 2.0)], "curve long, ord int, z double, y double, x double, radius double")
+    found = R.rasterise(R.tessellate(points, "curve", "ord", "radius", 2.0), (16, 16, 16), "curve")
+    assert {r.label for r in found.collect()} == {0, 12_345}

@@ -40,15 +40,18 @@ def segment_voxels(segments: DataFrame, shape: Sequence[int]) -> DataFrame:
     return out
 
 
-def scatter(rows: DataFrame, by: Sequence[str], distance: Column, prob: Column, label: Column, most_labels: int) -> DataFrame:
-    """by, z, y, x, dist (least), label (of the largest quantised probability, ties to the larger label), prob (union)."""
-    encoded = F.floor(prob * 1e6).cast("long") * most_labels + label
+def scatter(rows: DataFrame, by: Sequence[str], distance: Column, prob: Column, label: Column, most_labels: int | None = None) -> DataFrame:
+    """by, z, y, x, dist (least), label (of the largest quantised probability, ties to the larger label), prob (union).
+
+    Labels may be any numbers: ``most_labels`` is not needed and not read.
+    """
+    encoded = F.struct(F.floor(prob * 1e6).cast("long").alias("p"), label.cast("long").alias("label"))
     rows = rows.select(*by, *AXES, distance.alias("_d"), encoded.alias("_e"), F.log(F.greatest(1 - prob, F.lit(1e-7))).alias("_l"))
     out = rows.groupBy(*by, *AXES).agg(F.min("_d").alias("dist"), F.max("_e").alias("_e"), F.sum("_l").alias("_l"))
-    return out.select(*by, *AXES, "dist", F.pmod("_e", F.lit(most_labels)).alias("label"), (1 - F.exp("_l")).alias("prob"))
+    return out.select(*by, *AXES, "dist", F.col("_e.label").alias("label"), (1 - F.exp("_l")).alias("prob"))
 
 
-def rasterise(segments: DataFrame, shape: Sequence[int], curve: str, most_labels: int, by: Sequence[str] = (), soft: bool = True) -> DataFrame:
+def rasterise(segments: DataFrame, shape: Sequence[int], curve: str, most_labels: int | None = None, by: Sequence[str] = (), soft: bool = True) -> DataFrame:
     """by, z, y, x, prob, label, dist of the voxels near segments; label is 0 where prob is.
 
     A segment covers a cube by its own radius, so the result doesn't depend on how segments are batched; voxels that no cube

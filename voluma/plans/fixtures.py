@@ -11,7 +11,6 @@ from ..operators.raster import scatter
 
 #: Methods of the cohort with their thresholds per domain.
 METHODS = [("m0", 0.55, 0.52), ("m1", 0.50, 0.48), ("m2", 0.60, 0.62), ("m3", 0.45, 0.45)]
-MOST_LABELS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +51,7 @@ def f2_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def f2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """volume_id, z, y, x, dist, label, prob: sparse instance labels."""
-    out = scatter(f2_contributions(spark, sf_dir), ["volume_id"], F.col("distance"), F.col("p"), F.col("id"), MOST_LABELS)
+    out = scatter(f2_contributions(spark, sf_dir), ["volume_id"], F.col("distance"), F.col("p"), F.col("id"))
     return out.withColumn("label", F.col("label").cast("int"))
 
 

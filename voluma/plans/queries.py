@@ -16,7 +16,7 @@ from ..operators import intensity as I
 from ..operators import labels as L
 from ..operators import learning as N
 from ..operators import raster as R
-from .fixtures import METHODS, MOST_LABELS, f1, f1_values, f2, f2_contributions, f3, f4, f5, table
+from .fixtures import METHODS, f1, f1_values, f2, f2_contributions, f3, f4, f5, table
 
 V, ZYX = ["volume_id"], ["z", "y", "x"]
 KEYS = [*V, *ZYX]
@@ -378,7 +378,7 @@ QUERIES["density_uniform"] = _density(lambda: density.uniform(0.35))
 
 @query
 def raster_scatter(spark, sf):
-    return _rounded(R.scatter(f2_contributions(spark, sf), V, F.col("distance"), F.col("p"), F.col("id"), MOST_LABELS))
+    return _rounded(R.scatter(f2_contributions(spark, sf), V, F.col("distance"), F.col("p"), F.col("id")))
 
 
 @query
@@ -389,7 +389,7 @@ def tessellate(spark, sf):
 @query
 def rasterize(spark, sf):
     segments = R.tessellate(f5(spark, sf), "curve_id", "ord", "radius", 1.5)
-    return _rounded(R.rasterise(segments, (32, 32, 32), "curve_id", MOST_LABELS), 7)
+    return _rounded(R.rasterise(segments, (32, 32, 32), "curve_id"), 7)
 
 
 # Model outputs
