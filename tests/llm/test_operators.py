@@ -125,6 +125,20 @@ def test_near_duplicates(spark):
     assert kept.columns == docs(spark, texts).columns and minhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_deduplicate_without_usable_ids(spark):
+    """Null ids, and one id with unrelated texts: each group keeps one of its own rows."""
+    rng = np.random.default_rng(5)
+    base = [" ".join(f"w{n}" for n in rng.integers(0, 9000, 80)) for _ in range(9)]
+    near = [b + " end" for b in base[:4]]
+    rows = [(None, base[0]), (None, base[1]), (None, base[2]), (None, near[0]), (None, base[2]), (7, base[3]), (7, base[4]), (7, near[3]), (7, base[5]), (8, base[6]), (None, base[6] + " end"), (9, ""), (9, None), (None, base[7]), (7, base[7] + " end")]
+    table = spark.createDataFrame([(i, t, "en", "n", "m", "s") for i, t in rows], SCHEMA)
+    kept = [(r.doc_id, r.text) for r in minhash.deduplicate(table).collect()]
+    texts = [t for _, t in kept]
+    for group in ([base[0], near[0]], [base[1]], [base[2]], [base[3], near[3]], [base[4]], [base[5]], [base[6], base[6] + " end"], [base[7], base[7] + " end"]):
+        assert sum(texts.count(t) for t in group) == 1
+    assert (8, base[6]) in kept and (7, base[7] + " end") in kept and (9, "") in kept and (9, None) in kept and len(kept) == 10
+
+
 def test_language_id(spark):
     texts = ["the cat and the dog with that"] * 20 + ["der hund und die katze mit dem"] * 20
     rows = spark.createDataFrame([(i, t, "en" if i < 20 else "de") for i, t in enumerate(texts)], "doc_id long, text string, lang string")

@@ -317,6 +317,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold_percent: int = 80
     component; a null doc_id never becomes a component_id unless all of its component have none.  Empty table: no rows.
     Other columns are not read.
     """
+    return _named(docs, width, threshold_percent, k, id_col, text_col).drop("component")
+
+
+def _named(docs: DataFrame, width: int, threshold_percent: int, k: int, id_col: str, text_col: str) -> DataFrame:
+    """near_duplicates and the component itself (its smallest node; null without shingles): ids may be null or stand twice."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = stored(sketches(docs, width, k), "sketches")
     full = rows.where("n_shingles > 0")
@@ -335,11 +340,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold_percent: int = 80
         names = components(edges.union(rest))
     named = nodes.select("node", "n_shingles", "rep").join(names, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "component").select("node", "n_shingles", "component_id")
+    named = named.join(least, "component").select("node", "n_shingles", "component", "component_id")
     linked = full.select("doc_id", "n_shingles", "node", "mark").join(named, ["node", "n_shingles"])
-    alone = rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
-    out = linked.select("doc_id", "n_shingles", "component_id", "mark").union(alone.select("doc_id", "n_shingles", "component_id", "mark"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "mark")
+    alone = rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")).withColumn("component", F.lit(None).cast("long"))
+    columns = ["doc_id", "n_shingles", "component_id", "mark", "component"]
+    out = linked.select(*columns).union(alone.select(*columns))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "mark", "component")
 
 
 def deduplicate(docs: DataFrame, width: int = 5, threshold_percent: int = 80, k: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -348,11 +354,11 @@ def deduplicate(docs: DataFrame, width: int = 5, threshold_percent: int = 80, k:
     It is the one with the smallest doc_id (and then the smallest hash of the text); of rows that repeat it, one.  Rows without
     shingles are no copies of each other and all stay.
     """
-    found = near_duplicates(docs, width, threshold_percent, k, id_col, text_col)
+    found = _named(docs, width, threshold_percent, k, id_col, text_col)
     empty = F.col("n_shingles") == 0
-    chosen = found.where("kept and n_shingles > 0").groupBy("component_id", "doc_id", "mark").agg(F.count("*").alias("rows"))
-    # Two texts of one doc_id may be in one group: the smaller hash stays.
-    chosen = chosen.groupBy("component_id").agg(F.min(F.struct("doc_id", "mark", "rows")).alias("row")).select("row.*")
+    chosen = found.where("kept and n_shingles > 0").groupBy("component", "doc_id", "mark").agg(F.count("*").alias("rows"))
+    # Two texts of one doc_id (or of none) may be in one group: the smaller hash stays.
+    chosen = chosen.groupBy("component").agg(F.min(F.struct("doc_id", "mark", "rows")).alias("row")).select("row.*")
     chosen = chosen.union(found.where(empty).select("doc_id", "mark", F.lit(1).cast("long")).distinct())
     chosen = chosen.toDF("_id", "_mark", "_rows")
     keyed = docs.withColumn("_key", F.xxhash64(text_col))
