@@ -160,6 +160,20 @@ def test_secrets(spark):
     assert key not in hidden[0].text and hidden[1].text is None and hidden[2].text == ""
 
 
+def test_random_keys_of_any_alphabet():
+    own, rng = Vocabulary(BPE), np.random.default_rng(2)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for alphabet in (upper + "234567", lower + digits, upper + lower + digits, upper, upper + lower):
+        for size in (20, 32):
+            keys = ["".join(rng.choice(list(alphabet), size)) for _ in range(200)]
+            low = [k for k in keys if len(k) < 2 * len(own.encode(k))]
+            assert len(low) >= 195 and all(secrets.random_spans(k, own, 2.0) == [(0, size, "random")] for k in low)
+    assert secrets.random_spans("JBSWY3DPEHPK3PXP", own, 2.0)
+    known = ["9e107d9d372bb6826bd81d3542a419d6", "123e4567-e89b-12d3-a456-426614174000", "getUserAccountSettings2", "internationalisierung_datei", "src/main/java/org/apache/spark", "x" * 40]
+    assert not any(secrets.random_spans(k, own, 2.0) for k in known)
+    assert secrets.is_known("Network/Version/Account/Q7", own) and not secrets.is_known("QHXZJKWVPYTRMNBGFDSL", own)
+
+
 def test_flac_round_trip(spark):
     payloads = [b"", b"a", bytes(range(256)) * 40, b"\x00\xff" * 5000, b"\x80" * 4096, "ünï çødé".encode() * 900]
     padded = [p + bytes(-len(p) % 64 or (0 if p else 64)) for p in payloads]

@@ -1,7 +1,7 @@
 """Secret scan: rules for known shapes, and a token-efficiency test for random strings.
 
 A vocabulary learnt from prose spends few characters per token on random strings.  Runs of key characters whose ratio is low
-are reported, unless they are known digests (hexadecimal of a digest's length), UUIDs, or identifiers made of words.
+are reported, with or without digits, unless they are known digests (hexadecimal of a digest's length), UUIDs, or identifiers made of words.
 """
 
 from __future__ import annotations
@@ -27,7 +27,9 @@ UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 DIGEST = re.compile(r"[0-9a-fA-F]+")
 #: Lengths of the hexadecimal forms of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGEST_SIZES = frozenset((32, 40, 56, 64, 96, 128))
-PART = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}|\d{1,4}")
+#: Parts of an identifier, and what makes one a word: so many letters, and so many characters a token.
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]+")
+LEAST_WORD, WORD_RATIO = 4, 3
 KINDS = ("assign", "access", "hex", "random")
 
 
@@ -42,11 +44,17 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def is_known(run: str) -> bool:
-    """A digest, a UUID, or an identifier or path whose characters all belong to words and short numbers."""
+def is_word(part: str, vocabulary: Vocabulary) -> bool:
+    """Few long tokens, in lower case and at the start or in the middle of a text."""
+    part = part.lower()
+    return len(part) >= LEAST_WORD and any(len(part) >= WORD_RATIO * len(vocabulary.encode(s + part)) for s in ("", " "))
+
+
+def is_known(run: str, vocabulary: Vocabulary) -> bool:
+    """A digest, a UUID, or an identifier or path of which words of the vocabulary make up three quarters."""
     if UUID.fullmatch(run) or DIGEST.fullmatch(run) and len(run) in DIGEST_SIZES:
         return True
-    return sum(len(m[0]) for m in PART.finditer(run) if not m[0].isdigit()) >= 0.75 * len(run)
+    return sum(len(m[0]) for m in PART.finditer(run) if is_word(m[0], vocabulary)) >= 0.75 * len(run)
 
 
 def random_spans(text: str, vocabulary: Vocabulary, least_ratio: float) -> list[tuple[int, int, str]]:
@@ -54,7 +62,7 @@ def random_spans(text: str, vocabulary: Vocabulary, least_ratio: float) -> list[
     out = []
     for m in RUN.finditer(text):
         run = m[0]
-        if any(c.isdigit() for c in run) and not is_known(run) and len(run) < least_ratio * len(vocabulary.encode(run)):
+        if len(run) < least_ratio * len(vocabulary.encode(run)) and not is_known(run, vocabulary):
             out.append((m.start(), m.end(), "random"))
     return out
 
