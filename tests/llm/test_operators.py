@@ -233,6 +233,20 @@ def test_html(spark):
     assert out[3].main_text == "Body & text 3 More here 3" and out[8].main_text == "" and out[9].main_text == "a b"
 
 
+def test_html_near_copies_of_one_article(spark):
+    """Slightly different copies are most of a host's articles: their paragraphs stay, the site's template goes."""
+    same = [f"Paragraph {k} of the article that many pages of this host repeat without a change" for k in range(6)]
+    copies = [[p + f" edited {i}" if k == i % 6 else p for k, p in enumerate(same)] + [f"Date {i}"] for i in range(12)]
+    others = [[f"Story {i} part {k} with words of its own number {i * k}" for k in range(6)] for i in range(6)]
+    page = "<html><body><div>Site line of all pages</div><div>{}</div></body></html>"
+    pages = [(i, "http://h/", page.format("".join(f"<p>{p}</p>" for p in parts))) for i, parts in enumerate(copies + others)]
+    pages += [(100 + i, "http://k/", "<article>" + "".join(f"<p>{p}</p>" for p in parts) + "</article>") for i, parts in enumerate(copies)]
+    out = {r.page_id: r.main_text for r in html.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i, parts in enumerate(copies + others):
+        assert out[i] == " ".join(parts)
+    assert all(out[100 + i] == " ".join(parts) for i, parts in enumerate(copies))
+
+
 @pytest.mark.parametrize("limit", [4_000_000, 0])
 def test_quality(spark, limit):
     good = ["the cat sat on the mat and the dog ran off to the hill " * 3] * 30

@@ -1,8 +1,9 @@
 """Main text of web pages: site template removal by recurring subtrees, and removal of elements that are no article text.
 
 A first pass hashes the block elements of every page (tag, class, id, text and subtrees).  Spark counts, per host, the
-different articles beside which each subtree stands; copies of one article count once.  Subtrees that stand beside many
-different articles of their host are the site's template: the second pass deletes them, together with elements whose tag,
+different articles beside which each subtree stands; copies of one article count once, and so do all near copies: articles of
+which recurring subtrees make up most.  Subtrees that stand beside many different articles of their host are the site's
+template: the second pass deletes them, together with elements whose tag,
 role, class or id says that they are menus, headers, footers, sidebars, notices, adverts, forms, scripts or comments.
 """
 
@@ -17,8 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 #: A subtree is template if it stands beside this part of its host's different articles, and beside so many at least.
 LEAST_SHARE, LEAST_ARTICLES = 0.5, 5
+#: Articles of which subtrees that recur so make up more than this part are near copies of others.
+MOST_RECURRING = 0.5
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)""",
     re.DOTALL,
@@ -66,6 +71,8 @@ class Page:
         self.template = template
         self.blocks: list[tuple[bool, bool, str]] = []  # in an article, in main, text
         self.hashes: set[int] = set()
+        self.owner: dict[int, int] = {}  # block -> the innermost hashed subtree around it
+        self.unowned: list[int] = []  # blocks without one so far
         self.text: list[str] = []
         self.stack: list[list] = []  # tag, is block, first block, hash parts, skipped, in article, in main
         self.has_article = self.has_main = False
@@ -98,6 +105,7 @@ class Page:
             self.text.clear()
             if block:
                 top = self.stack[-1] if self.stack else None
+                self.unowned.append(len(self.blocks))
                 self.blocks.append((top[5] if top else False, top[6] if top else False, block))
                 if top:
                     top[3].append(block)
@@ -153,6 +161,8 @@ class Page:
         if len(parts) > 1 and tag not in ("html", "body", "article", "main"):
             key = int.from_bytes(hashlib.blake2b("\x1f".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
             self.hashes.add(key)
+            while self.unowned and self.unowned[-1] >= first:
+                self.owner[self.unowned.pop()] = key
             if key in self.template:
                 del self.blocks[first:]
             if self.stack:
@@ -160,6 +170,15 @@ class Page:
         elif len(parts) > 1 and self.stack:
             self.stack[-1][3] += parts
 
+    def own_chars(self) -> dict[int, int]:
+        """Characters of the main text that stand in each hashed subtree but in none inside it."""
+        at = 0 if self.has_article else 1 if self.has_main else None
+        out = dict.fromkeys(self.hashes, 0)
+        for i, key in self.owner.items():
+            if at is None or self.blocks[i][at]:
+                out[key] += len(self.blocks[i][2]) + 1
+        return out
+
     def main_text(self) -> str:
         """Of articles if there are any, else of main, else of all that is left."""
         at = 0 if self.has_article else 1 if self.has_main else None
@@ -168,13 +187,16 @@ class Page:
 
 def _hasher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, articles, hashes = [], [], []
+        hosts, articles, hashes, chars = [], [], [], []
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             page = Page(html or "")
             hosts.append(host)
-            articles.append(int.from_bytes(hashlib.blake2b(page.main_text().encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
-            hashes.append(list(page.hashes))
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(articles, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["host", "article", "hashes"])
+            text, own = page.main_text(), page.own_chars()
+            articles.append(int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
+            hashes.append([*own, 0])
+            chars.append([*own.values(), len(text) + 1])
+        arrays = [pa.array(hosts, pa.int64()), pa.array(articles, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(chars, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(arrays, ["host", "article", "hashes", "chars"])
 
 
 def host_of(url: Column) -> Column:
@@ -187,15 +209,31 @@ def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
 
     A host has few: each stands on half of its articles at least, and no page holds more than its own elements.
     """
-    rows = pages.select(F.xxhash64(host_of(F.col(url_col))).alias("host"), html_col).mapInArrow(_hasher, "host long, article long, hashes array<long>")
-    # An entry 0 of every page counts the host's different articles.
-    seen = rows.select("host", "article", F.explode(F.array_append("hashes", F.lit(0).cast("long"))).alias("subtree")).distinct()
-    counts = seen.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ARTICLES)
-    by_host = counts.groupBy("host").agg(F.max(F.when(F.col("subtree") == 0, F.col("n"))).alias("articles"))
-    found = counts.join(by_host, "host").where((F.col("subtree") != 0) & (F.col("n") >= LEAST_SHARE * F.col("articles")))
+    rows = pages.select(F.xxhash64(host_of(F.col(url_col))).alias("host"), html_col)
+    rows = rows.mapInArrow(_hasher, "host long, article long, hashes array<long>, chars array<long>")
+    # An entry 0 of every page counts the host's different articles and has the characters of the main text.
+    each = rows.select("host", "article", F.explode(F.arrays_zip("hashes", "chars")).alias("e"))
+    each = each.groupBy("host", "article", F.col("e.hashes").alias("subtree")).agg(F.max("e.chars").alias("chars"))
+    each = stored(each, "subtrees")
+    recurring = _recurring(each.groupBy("host", "subtree").agg(F.count("*").alias("n")))
+    held = each.join(recurring.select("host", "subtree"), ["host", "subtree"])
+    whole = F.col("subtree") == 0
+    recurs, size = F.sum(F.when(whole, 0).otherwise(F.col("chars"))), F.max(F.when(whole, F.col("chars")))
+    held = held.groupBy("host", "article").agg((recurs > MOST_RECURRING * size).alias("near"), F.collect_list("subtree").alias("own"))
+    # All near copies count as one article, so what only they share is no template.
+    held = held.select("host", "near", F.explode("own").alias("subtree"))
+    n = F.count_if(~F.col("near")) + F.max(F.col("near").cast("long"))
+    found = _recurring(held.groupBy("host", "subtree").agg(n.alias("n"))).where("subtree <> 0")
     return found.groupBy("host").agg(F.collect_list("subtree").alias("template"))
 
 
+def _recurring(counts: DataFrame) -> DataFrame:
+    """The counts (host, subtree, n) that reach both bounds; the entry 0 of a host too."""
+    counts = counts.where(F.col("n") >= LEAST_ARTICLES)
+    by_host = counts.where("subtree = 0").select("host", F.col("n").alias("articles"))
+    return counts.join(by_host, "host").where(F.col("n") >= LEAST_SHARE * F.col("articles")).drop("articles")
+
+
 def _extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         html, template = batch.column("_html").to_pylist(), batch.column("_template").to_pylist()
