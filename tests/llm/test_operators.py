@@ -36,6 +36,17 @@ def test_vocabulary_gives_the_library_ids():
         assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_gives_added_tokens_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(BPE), Vocabulary(BPE, added_tokens=True)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n y", "a <|endoftext b", "plain  text"]
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [own.encode(t).tolist() for t in texts] == expected and expected[0] == [64, 220, 50256, 275]
+    lengths = {r.doc_id: r.length for r in packing.pack(docs(spark, texts), BPE, capacity=256).collect()}
+    assert [lengths[i] for i in range(len(texts))] == [len(e) + 1 for e in expected]
+
+
 def test_packing(spark):
     texts = [None, "", "a b c", "word " * 3000, "tie one", "tie two"] + ["x y z " * n for n in range(1, 120)]
     rows = packing.pack(docs(spark, texts, [5, 5, *range(2, len(texts))]), BPE, capacity=256).collect()

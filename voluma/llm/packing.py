@@ -36,7 +36,7 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def _piecer(path: str, capacity: int, end_id: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(path)
+        vocabulary = Vocabulary(path, added_tokens=True)
         for batch in batches:
             row, piece, start, length, crc, ids_out = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1)):

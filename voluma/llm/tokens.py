@@ -27,33 +27,38 @@ class Vocabulary:
     """``encode(text)`` gives the ids that ``Tokenizer.from_file(path)`` gives with add_special_tokens=False.
 
     A plain byte-level BPE file is run by tiktoken, whose ranks are the file's ids (several times faster); any other file by
-    the tokenizers library itself.
+    the tokenizers library itself.  With ``added_tokens`` the strings of the file's added tokens get their own ids, as the
+    library does by default; without it they are ordinary text, as with its ``encode_special_tokens``.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
         plain = model["type"] == "BPE" and spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space")
         plain &= pre.get("use_regex", True) and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
-        self.other = None
+        added = spec.get("added_tokens", [])
+        plain &= not added_tokens or not any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip"))
+        self.other, self.added = None, [t["content"] for t in added] if added_tokens else []
         if plain:
             import tiktoken
 
-            special = {t["content"] for t in spec.get("added_tokens", [])}
+            special = {t["content"]: t["id"] for t in added}
             bytes_of = _byte_chars()
             ranks = {bytes(bytes_of[c] for c in k): i for k, i in model["vocab"].items() if k not in special}
-            self.exact = tiktoken.Encoding("exact", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.exact = tiktoken.Encoding("exact", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special if added_tokens else {})
             self.quick = tiktoken.Encoding("quick", pat_str=PLAIN, mergeable_ranks=ranks, special_tokens={})
         else:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
             self.other = Tokenizer.from_file(path)
-            self.other.encode_special_tokens = True  # their strings in a text are ordinary text
+            self.other.encode_special_tokens = not added_tokens
 
     def encode(self, text: str) -> np.ndarray:
         if self.other is not None:
             return np.array(self.other.encode(text, add_special_tokens=False).ids, np.uint32)
+        if any(t in text for t in self.added):
+            return np.array(self.exact.encode(text, allowed_special="all"), np.uint32)
         meets = any(m in text for m in MEETINGS) or any(c in text for c in OTHER_SPACE)
         return np.array((self.exact if meets else self.quick).encode_ordinary(text), np.uint32)
