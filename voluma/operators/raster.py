@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 from ..functions.scalar import binary_falloff, clipped, cosine_falloff, segment_distance
 from .grid import AXES
 
+#: Labels are below this: 43 bits beside the 20 bits of a probability in steps of 1e-6.
+LABELS = 1 << 43
 
 def tessellate(points: DataFrame, curve: str, order: str, radius: str, step: float) -> DataFrame:
     """curve, leg, seg, z0, y0, x0, z1, y1, x1, r: poly-line legs cut into max(1, ceil(length / step)) equal segments.
@@ -40,18 +42,20 @@ def segment_voxels(segments: DataFrame, shape: Sequence[int]) -> DataFrame:
     return out
 
 
-def scatter(rows: DataFrame, by: Sequence[str], distance: Column, prob: Column, label: Column, most_labels: int | None = None) -> DataFrame:
+def scatter(rows: DataFrame, by: Sequence[str], distance: Column, prob: Column, label: Column) -> DataFrame:
     """by, z, y, x, dist (least), label (of the largest quantised probability, ties to the larger label), prob (union).
 
-    Labels may be any numbers: ``most_labels`` is not needed and not read.
+    Probability and label share one long, so that the aggregation needs no sort; a label below 0 or not below LABELS is an error.
     """
-    encoded = F.struct(F.floor(prob * 1e6).cast("long").alias("p"), label.cast("long").alias("label"))
+    label = label.cast("long")
+    label = F.when((label >= 0) & (label < LABELS), label).when(label.isNotNull(), F.raise_error(F.lit(f"a label must be 0 or more and below {LABELS}")).cast("long"))
+    encoded = F.floor(prob * 1e6).cast("long") * LABELS + label
     rows = rows.select(*by, *AXES, distance.alias("_d"), encoded.alias("_e"), F.log(F.greatest(1 - prob, F.lit(1e-7))).alias("_l"))
     out = rows.groupBy(*by, *AXES).agg(F.min("_d").alias("dist"), F.max("_e").alias("_e"), F.sum("_l").alias("_l"))
-    return out.select(*by, *AXES, "dist", F.col("_e.label").alias("label"), (1 - F.exp("_l")).alias("prob"))
+    return out.select(*by, *AXES, "dist", (F.col("_e") % LABELS).alias("label"), (1 - F.exp("_l")).alias("prob"))
 
 
-def rasterise(segments: DataFrame, shape: Sequence[int], curve: str, most_labels: int | None = None, by: Sequence[str] = (), soft: bool = True) -> DataFrame:
+def rasterise(segments: DataFrame, shape: Sequence[int], curve: str, by: Sequence[str] = (), soft: bool = True) -> DataFrame:
     """by, z, y, x, prob, label, dist of the voxels near segments; label is 0 where prob is.
 
     A segment covers a cube by its own radius, so the result doesn't depend on how segments are batched; voxels that no cube
@@ -61,7 +65,7 @@ def rasterise(segments: DataFrame, shape: Sequence[int], curve: str, most_labels
     d = segment_distance(AXES, [f"{a}0" for a in AXES], [f"{a}1" for a in AXES])
     cells = cells.withColumn("_dist", d)
     p = clipped((cosine_falloff if soft else binary_falloff)("_dist", "r"), 0.0, 1.0)
-    out = scatter(cells, by, F.col("_dist"), p, F.col(curve).cast("long"), most_labels)
+    out = scatter(cells, by, F.col("_dist"), p, F.col(curve).cast("long"))
     return out.withColumn("label", F.when(F.col("prob") > 0, F.col("label")).otherwise(0))
 
 

@@ -17,7 +17,7 @@ F2C = """
 f2c AS (SELECT CAST(l_partkey % 8 AS INTEGER) AS volume_id, CAST(((date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) % 32) + 32) % 32 AS INTEGER) AS z,
   CAST((CAST(l_quantity AS INTEGER) - 1) % 16 AS INTEGER) AS y, CAST(l_orderkey % 16 AS INTEGER) AS x, l_suppkey AS id, l_tax * CAST(20 AS DOUBLE) AS distance, l_discount * CAST(9 AS DOUBLE) AS p FROM lineitem)"""
 F2 = F2C + """,
-f2 AS MATERIALIZED (SELECT volume_id, z, y, x, min(distance) AS dist, max(CAST(floor(p * CAST(1e6 AS DOUBLE)) AS BIGINT) * 10000 + id) % 10000 AS label,
+f2 AS MATERIALIZED (SELECT volume_id, z, y, x, min(distance) AS dist, max(CAST(floor(p * CAST(1e6 AS DOUBLE)) AS BIGINT) * 8796093022208 + id) % 8796093022208 AS label,
   CAST(1 AS DOUBLE) - exp(sum(ln(greatest(CAST(1 AS DOUBLE) - p, CAST(1e-7 AS DOUBLE))))) AS prob FROM f2c GROUP BY volume_id, z, y, x)"""
 _METHODS = ", ".join(f"({k}, '{m}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for k, (m, a, b) in enumerate(METHODS))
 F3 = F1 + f""",
@@ -31,7 +31,7 @@ f4 AS (SELECT event_type AS volume_id, CAST(day(ts) - 1 AS INTEGER) AS z, CAST(h
   FROM events GROUP BY ALL)"""
 F5 = """
 f5 AS (SELECT o_custkey AS curve_id, o_orderkey AS ord, CAST((13 * o_orderkey) % 32 AS DOUBLE) AS z, CAST((7 * o_orderkey + o_custkey) % 32 AS DOUBLE) AS y,
-  CAST((3 * o_orderkey + 5 * o_custkey) % 32 AS DOUBLE) AS x, CAST(1 + (o_custkey % 3) / CAST(2 AS DOUBLE) AS DOUBLE) AS radius FROM orders WHERE o_custkey <= 40)"""
+  CAST((3 * o_orderkey + 5 * o_custkey) % 32 AS DOUBLE) AS x, CAST(1 + (o_custkey % 3) / CAST(2 AS DOUBLE) AS DOUBLE) AS radius FROM orders)"""
 FACES = "o6(dz, dy, dx) AS (VALUES (-1,0,0), (1,0,0), (0,-1,0), (0,1,0), (0,0,-1), (0,0,1))"
 V, K = "volume_id", "volume_id, z, y, x"
 
@@ -140,18 +140,21 @@ SELECT a.volume_id, a.z, a.y, a.x, round(sum(b.s * u / total), 8) AS s FROM f1 a
 WHERE b.volume_id = a.volume_id AND b.y = a.y AND b.x = a.x AND b.z = least(greatest(a.z + d, 0), a.nz - 1) GROUP BY ALL"""
 
 
-def _resampled(axis: str, n: int, m: int, ratio: str) -> str:
-    return f"""{axis}p AS (SELECT j, least(greatest({(n - 1) / 2} + (j - {(m - 1) / 2}) * {ratio}, 0), {n - 1}) AS p FROM (SELECT unnest(range({m})) AS j)),
-{axis}w AS (SELECT j, i, CASE WHEN i = lo THEN 1 - (p - lo) ELSE p - lo END AS w FROM (SELECT j, p, least(CAST(floor(p) AS INTEGER), {max(n - 2, 0)}) AS lo FROM {axis}p), (SELECT unnest(range({n})) AS i) WHERE i IN (lo, lo + 1))"""
+def _resampled(axis: str, size: str, ratio: str) -> str:
+    """CTEs; {axis}w: of each size n of the axis, the weight w of its plane i in the new plane j."""
+    m = f"CAST(round_even((n - 1) / {ratio}, 0) AS INTEGER) + 1"
+    return f"""{axis}n AS (SELECT DISTINCT CAST({size} AS INTEGER) AS n FROM f1), {axis}m AS (SELECT n, {m} AS m FROM {axis}n),
+{axis}p AS (SELECT n, j, least(greatest((n - 1) / CAST(2 AS DOUBLE) + (j - (m - 1) / CAST(2 AS DOUBLE)) * {ratio}, 0), n - 1) AS p FROM (SELECT n, m, unnest(range(m)) AS j FROM {axis}m)),
+{axis}w AS (SELECT n, j, i, CASE WHEN i = lo THEN 1 - (p - lo) ELSE p - lo END AS w FROM (SELECT n, j, p, lo, unnest([lo, lo + 1]) AS i FROM (SELECT n, j, p, least(CAST(floor(p) AS INTEGER), greatest(n - 2, 0)) AS lo FROM {axis}p)))"""
 
 
-O["trilinear_resample"] = f"""WITH {F1}, {_resampled('z', 40, 50, "CAST(0.8 AS DOUBLE)")}, {_resampled('y', 8, 5, "CAST(1.6 AS DOUBLE)")}, {_resampled('x', 8, 5, "CAST(1.6 AS DOUBLE)")}
+O["trilinear_resample"] = f"""WITH {F1}, {_resampled('z', 'nz', "CAST(0.8 AS DOUBLE)")}, {_resampled('y', '8', "CAST(1.6 AS DOUBLE)")}, {_resampled('x', '8', "CAST(1.6 AS DOUBLE)")}
 SELECT volume_id, CAST(zw.j AS INTEGER) AS z, CAST(yw.j AS INTEGER) AS y, CAST(xw.j AS INTEGER) AS x, round(sum(s * zw.w * yw.w * xw.w), 8) AS s
-FROM f1 JOIN zw ON zw.i = z JOIN yw ON yw.i = y JOIN xw ON xw.i = x WHERE f1.z < 40 GROUP BY ALL"""
+FROM f1 JOIN zw ON zw.i = z AND zw.n = nz JOIN yw ON yw.i = y JOIN xw ON xw.i = x GROUP BY ALL"""
 O["resample_plan"] = f"""WITH n AS (SELECT CAST(label AS INTEGER) AS volume_id, count(*) AS nz, CAST(0.25 AS DOUBLE) + label * CAST(0.15 AS DOUBLE) AS spacing FROM embeddings GROUP BY label)
 SELECT volume_id, CAST(round_even((nz - 1) * spacing / CAST(0.8 AS DOUBLE), 0) AS BIGINT) + 1 AS new_nz, round(greatest(CAST(0.8 AS DOUBLE) / spacing - 1, 0) / 2, 9) AS sigma FROM n"""
-O["tile_blend"] = f"""WITH {F1}, r AS (SELECT * FROM f1 WHERE z < 40), tz AS (SELECT unnest(range(0, 33, 4)) AS tz),
-t AS (SELECT r.*, tz, 0 AS ty, 0 AS tx FROM r JOIN tz ON z >= tz AND z < tz + 8), m AS (SELECT volume_id, tz, avg(s) AS m FROM t GROUP BY ALL),
+O["tile_blend"] = f"""WITH {F1}, tz AS (SELECT DISTINCT volume_id, least(tz, greatest(nz - 8, 0)) AS tz FROM (SELECT volume_id, nz, unnest(range(0, nz, 4)) AS tz FROM (SELECT DISTINCT volume_id, nz FROM f1))),
+t AS (SELECT f1.*, tz, 0 AS ty, 0 AS tx FROM f1 JOIN tz ON f1.volume_id = tz.volume_id AND z >= tz AND z < tz + 8), m AS (SELECT volume_id, tz, avg(s) AS m FROM t GROUP BY ALL),
 w AS (SELECT t.*, m, exp(-((z - tz - 3.5::DOUBLE) * (z - tz - 3.5::DOUBLE) + (y - 3.5::DOUBLE) * (y - 3.5::DOUBLE) + (x - 3.5::DOUBLE) * (x - 3.5::DOUBLE)) / 2) AS w FROM t JOIN m USING (volume_id, tz))
 SELECT {K}, round(sum(w * (s - m)) / sum(w), 8) AS blended, count(*) AS tiles FROM w GROUP BY {K}"""
 O["confusion_counts"] = f"WITH {F1} {_confusion('f1', V)}"
@@ -243,7 +246,7 @@ SELECT volume_id, CAST(class AS INTEGER) AS class, count(*) AS n_voxels, round(m
 O["foreground_redraw"] = f"""WITH {F2}, l AS (SELECT volume_id, label, count(*) AS n FROM f2 WHERE label > 0 GROUP BY ALL), t AS (SELECT *, unnest(range(6)) AS draw FROM l),
 d AS (SELECT volume_id, draw, CAST(coalesce(sum(n) FILTER ({_hash('label * 31 + draw', 13)} < CAST(0.15 AS DOUBLE)), 0) AS BIGINT) AS foreground FROM t GROUP BY ALL)
 SELECT volume_id, CAST(arg_min(draw, k) AS INTEGER) AS draw, arg_min(foreground, k) AS foreground FROM (SELECT *, CASE WHEN foreground >= 700 THEN draw ELSE 12 - draw END AS k FROM d) GROUP BY volume_id"""
-O["grow_labels"] = f"""WITH {F2}, s AS (SELECT {K}, CAST(label AS INTEGER) AS label FROM f2 WHERE label % 7 = 0 AND label > 0),
+O["grow_labels"] = f"""WITH {F2}, s AS (SELECT {K}, CAST(label AS INTEGER) AS label FROM f2 WHERE label > 0),
 o(dz) AS (SELECT unnest(range(-2, 3))), g AS (SELECT volume_id, z + a.dz AS z, y + b.dz AS y, x + c.dz AS x, label, min(abs(a.dz) + abs(b.dz) + abs(c.dz)) AS d FROM s, o a, o b, o c WHERE abs(a.dz) + abs(b.dz) + abs(c.dz) <= 2 GROUP BY ALL),
 r AS (SELECT *, d - (CAST(0.5 AS DOUBLE) + label % 3) AS score FROM g), w AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY score, label) AS rk FROM r)
 SELECT volume_id, label, count(*) AS n_voxels FROM w WHERE rk = 1 AND score <= 0 GROUP BY ALL"""
@@ -263,9 +266,9 @@ def _corner() -> str:
     return " + ".join(terms)
 
 
-_AT = ", ".join(f"{a} * (CAST(3 AS DOUBLE) / {n - 1}) AS p{a}" for a, n in (("z", 32), ("y", 8), ("x", 8)))
+_AT = ", ".join(f"{a} * (CAST(3 AS DOUBLE) / greatest({n} - 1, 1)) AS p{a}" for a, n in (("z", "nz"), ("y", "8"), ("x", "8")))
 _LOW = ", ".join(f"CAST(least(floor(p{a}), 2) AS BIGINT) AS i{a}, p{a} - least(floor(p{a}), 2) AS f{a}" for a in "zyx")
-O["random_smooth_field"] = f"WITH {F1V}, p AS (SELECT {K}, {_AT} FROM f1v WHERE z < 32), c AS (SELECT {K}, {_LOW} FROM p) SELECT {K}, round({_corner()}, 9) AS field FROM c"
+O["random_smooth_field"] = f"WITH {F1}, p AS (SELECT {K}, {_AT} FROM f1), c AS (SELECT {K}, {_LOW} FROM p) SELECT {K}, round({_corner()}, 9) AS field FROM c"
 O["flip_and_reorder"] = f"WITH {F1} SELECT volume_id, y AS z, x AS y, nz - 1 - z AS x, round(s, 9) AS s FROM f1"
 _T = "CASE WHEN nz <= 1 THEN 0 ELSE z / CAST(nz - 1 AS DOUBLE) END"
 _LO, _SPAN = "CAST(0.1 AS DOUBLE)", "(CAST(0.9 AS DOUBLE) - CAST(0.1 AS DOUBLE))"
@@ -287,11 +290,11 @@ ts AS (SELECT curve_id, CAST(leg AS INTEGER) AS leg, CAST(seg AS INTEGER) AS seg
 O["tessellate"] = f"WITH {_TESS} SELECT curve_id, leg, seg, {', '.join(f'round({c}, 9) AS {c}' for c in 'z0 y0 x0 z1 y1 x1 r length'.split())} FROM ts"
 _RANGE = "unnest(range(CAST(greatest(round_even(({a}0 + {a}1) / 2, 0) - ceil(r) - 2, 0) AS INTEGER), CAST(least(round_even(({a}0 + {a}1) / 2, 0) + ceil(r) + 2, 31) AS INTEGER) + 1)) AS {a}"
 _DOT = "((z - z0) * (z1 - z0) + (y - y0) * (y1 - y0) + (x - x0) * (x1 - x0)) / greatest((z1 - z0) * (z1 - z0) + (y1 - y0) * (y1 - y0) + (x1 - x0) * (x1 - x0), CAST(1e-12 AS DOUBLE))"
-O["rasterize"] = f"""WITH {_TESS}, vz AS (SELECT *, {_RANGE.format(a='z')} FROM ts), vy AS (SELECT *, {_RANGE.format(a='y')} FROM vz), vx AS (SELECT *, {_RANGE.format(a='x')} FROM vy),
+O["rasterize"] = f"""WITH {_TESS.replace("CAST(1.5 AS DOUBLE)", "CAST(6 AS DOUBLE)")}, vz AS (SELECT *, {_RANGE.format(a='z')} FROM ts), vy AS (SELECT *, {_RANGE.format(a='y')} FROM vz), vx AS (SELECT *, {_RANGE.format(a='x')} FROM vy),
 t AS (SELECT *, least(greatest({_DOT}, 0), 1) AS t FROM vx),
 d AS (SELECT curve_id, z, y, x, r, sqrt((z - (z0 + t * (z1 - z0))) * (z - (z0 + t * (z1 - z0))) + (y - (y0 + t * (y1 - y0))) * (y - (y0 + t * (y1 - y0))) + (x - (x0 + t * (x1 - x0))) * (x - (x0 + t * (x1 - x0)))) AS d FROM t),
 p AS (SELECT *, CASE WHEN d <= r - 0.5 THEN 1 WHEN d >= r + 0.5 THEN 0 ELSE CAST(0.5 AS DOUBLE) * (1 + cos(pi() * (d - r + 0.5))) END AS p FROM d),
-s AS (SELECT CAST(z AS INTEGER) AS z, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, min(d) AS dist, max(CAST(floor(p * CAST(1e6 AS DOUBLE)) AS BIGINT) * 10000 + curve_id) % 10000 AS label, 1 - exp(sum(ln(greatest(1 - p, CAST(1e-7 AS DOUBLE))))) AS prob FROM p GROUP BY ALL)
+s AS (SELECT CAST(z AS INTEGER) AS z, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, min(d) AS dist, max(CAST(floor(p * CAST(1e6 AS DOUBLE)) AS BIGINT) * 8796093022208 + curve_id) % 8796093022208 AS label, 1 - exp(sum(ln(greatest(1 - p, CAST(1e-7 AS DOUBLE))))) AS prob FROM p GROUP BY ALL)
 SELECT z, y, x, round(dist, 7) AS dist, CASE WHEN prob > 0 THEN label ELSE 0 END AS label, round(prob, 7) AS prob FROM s"""
 
 O["logit_sigmoid"] = f"WITH {F1} SELECT {K}, round(1 / (1 + exp(-(4 * s - 2))), 9) AS probability, CAST(1 / (1 + exp(-(4 * s - 2))) AS FLOAT) >= CAST(0.5 AS FLOAT) AS mask FROM f1"
@@ -321,12 +324,12 @@ def _loss(x: str, t: str, m: str) -> str:
 O["nested_loss"] = f"""WITH {_LOGITS}, f AS (SELECT volume_id, {_LSE} - l0 AS f, l2 - l1 AS c, CASE WHEN ct > 0 THEN CAST(1 AS DOUBLE) ELSE 0 END AS fg, CASE WHEN ct = 2 THEN CAST(1 AS DOUBLE) ELSE 0 END AS co, CAST(1 AS DOUBLE) AS one FROM lo),
 l AS (SELECT volume_id, {_loss('f', 'fg', 'one')} AS a, {_loss('c', 'co', 'fg')} AS b FROM f GROUP BY volume_id)
 SELECT volume_id, round(a, 8) AS foreground_loss, round(b, 8) AS core_loss, round((a + CAST(0.5 AS DOUBLE) * b) / CAST(1.5 AS DOUBLE), 8) AS loss FROM l"""
-_EPOCHS = "ep AS (SELECT o_custkey % 7 AS run, o_orderkey AS epoch, round((o_orderkey * 7919 % 1009) / CAST(1009 AS DOUBLE), 9) AS score FROM orders WHERE o_custkey <= 200)"
+_EPOCHS = "ep AS (SELECT o_custkey % 7 AS run, o_orderkey AS epoch, round((o_orderkey * 7919 % 1009) / CAST(1009 AS DOUBLE), 9) AS score FROM orders)"
 O["running_best"] = f"""WITH {_EPOCHS}, b AS (SELECT *, max(score) OVER (PARTITION BY run ORDER BY epoch) AS best FROM ep)
 SELECT b.*, (SELECT min(e.epoch) FROM ep e WHERE e.run = b.run AND e.score = b.best AND e.epoch <= b.epoch) AS best_epoch FROM b"""
 O["resume_pick"] = f"""WITH {_EPOCHS}, r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY epoch % 3 = 0 DESC, epoch DESC) AS rk FROM ep)
 SELECT run, 'epoch_' || epoch AS path, epoch, epoch + CAST(epoch % 3 = 0 AS INTEGER) AS start_epoch FROM r WHERE rk = 1"""
-O["argument_differences"] = "SELECT DISTINCT o_orderkey, 'batch,lr' AS changed FROM orders WHERE o_custkey <= 500"
+O["argument_differences"] = "SELECT DISTINCT o_orderkey, 'batch,lr' AS changed FROM orders"
 O["split_by_id"] = "SELECT DISTINCT CAST(p_partkey % 600 AS INTEGER) AS volume, CASE WHEN p_partkey % 600 < 510 THEN 'train' WHEN p_partkey % 600 < 570 THEN 'val' ELSE 'test' END AS split FROM part"
 O["split_prefix"] = """WITH n AS (SELECT printf('%05d_label', s_suppkey) AS name FROM supplier), r AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS position, count(*) OVER () AS n FROM n)
 SELECT name, position, CASE WHEN position < greatest(1, floor(n * CAST(0.2 AS DOUBLE))) THEN 'val' ELSE 'train' END AS split FROM r"""

@@ -388,7 +388,7 @@ def tessellate(spark, sf):
 
 @query
 def rasterize(spark, sf):
-    segments = R.tessellate(f5(spark, sf), "curve_id", "ord", "radius", 1.5)
+    segments = R.tessellate(f5(spark, sf), "curve_id", "ord", "radius", 6.0)
     return _rounded(R.rasterise(segments, (32, 32, 32), "curve_id"), 7)
 
 
