@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel handles at once, so that its arrays stay small whatever the batch holds.
 CHUNK_BYTES = 2 << 20
@@ -32,6 +33,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, *taken: list[str]) -> str:
+    """``name``, with as many marks added as it takes to be none of the taken column names (which ignore case)."""
+    used = {c.lower() for names in taken for c in names}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def measured(df: DataFrame, name: str, most: int) -> tuple[DataFrame, bool]:
+    """``df`` as a stored table, and whether it has at most ``most`` rows and so may be broadcast; then it carries that hint."""
+    df = stored(df, name)
+    small = df.count() <= most
+    return (F.broadcast(df) if small else df), small
+
+
 def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Split a string column into runs of rows of about ``limit`` bytes: (first row, UTF-8 bytes, row offsets). Null: empty."""
     if isinstance(column, pa.ChunkedArray):
