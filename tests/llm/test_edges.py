@@ -5,7 +5,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from voluma.llm import warc
+from voluma.llm import decontaminate, minhash, warc
 
 
 def test_warc_reads_ranges_whatever_the_url(spark):
@@ -27,3 +27,19 @@ def test_warc_reads_ranges_whatever_the_url(spark):
     whole = spark.createDataFrame([(f.package, bytearray(b"".join(b.bytes for b in f.b))) for f in files], "path string, content binary")
     assert warc.read_packages(warc.blocks_of(whole)).count() == len(pages)
     assert warc.surt("https://www.Example.org:8080/p?q=1") == "org,example,www:8080)/p?q=1"
+
+
+def test_clashing_columns_and_long_texts_of_decontamination(spark):
+    passage = " ".join(f"p{i}" for i in range(12))
+    long = " ".join(f"w{i % 977}" for i in range(200_000)) + " " + passage
+    rows = [(1, passage + " end"), (2, "clean text"), (3, long), (None, None), (2, "clean text"), (5, "")]
+    schema = "doc_id long, text string, _id long, _mark string, _spans string, hash long, words string, salt int"
+    docs = spark.createDataFrame([(i, t, 7, "m", "s", 1, "w", 2) for i, t in rows], schema)
+    bench = spark.createDataFrame([(1, passage, "x")], "item_id long, text string, hash string")
+    for limit in (200_000, 0):
+        kept = decontaminate.clean_documents(docs, bench, broadcast_rows=limit)
+        assert kept.columns == docs.columns and sorted((r.doc_id or 0, r._id) for r in kept.collect()) == [(0, 7), (2, 7), (2, 7), (5, 7)]
+        cut = decontaminate.clean_spans(docs, bench, broadcast_rows=limit)
+        out = {r.doc_id: r for r in cut.collect()}
+        assert cut.columns == docs.columns and out[1].text == "end" and out[3].text.endswith(" w691 ") and out[1]._spans == "s"
+    assert decontaminate.clean_documents(docs, bench.limit(0)).count() == 6

@@ -92,7 +92,7 @@ def test_decontamination(spark, limit):
     items = [(1, " ".join(WORDS)), (2, "Short item, here"), (3, ""), (4, None), (2, " ".join(WORDS[3:14]))]
     texts = [" ".join(WORDS), "x " + " ".join(WORDS[2:13]) + ". SHORT item here short ITEM here", None, "", "short item", "nothing", " ".join(WORDS) * 2, " ".join(WORDS)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    out = decontaminate.contamination(docs(spark, texts, [0, 1, 2, 3, 4, None, 6, 0]), bench, 10, broadcast_ngrams=limit).collect()
+    out = decontaminate.contamination(docs(spark, texts, [0, 1, 2, 3, 4, None, 6, 0]), bench, 10, broadcast_rows=limit).collect()
     expected = sorted(brute_contamination(t, items, 10) for t in texts)
     assert sorted((r.n_words, r.n_hit, r.n_items) for r in out) == expected
     kept = decontaminate.clean_documents(docs(spark, texts), bench, 10)

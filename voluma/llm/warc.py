@@ -29,7 +29,7 @@ WARC_MEMBER, INDEX_MEMBER = "archive/data.warc", "indexes/index.cdxj"
 PACKAGE_BYTES, BLOCK_BYTES = 4 << 20, 128 << 10
 #: Ranges, or payloads that stand several times, that may be broadcast: about 100 bytes each.  More are joined by a shuffle, hot
 #: payloads dealt over so many parts.
-BROADCAST_ROWS, SALTS = 200_000, 64
+BROADCAST_ROWS, SALTS = 50_000, 64
 #: Fixed values of the ZIP format: signatures, the mark of a size that a ZIP64 field holds, and that field's tag.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
 FULL32, FULL16, TAG64 = 0xFFFFFFFF, 0xFFFF, 1
