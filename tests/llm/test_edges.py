@@ -5,7 +5,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from voluma.llm import decontaminate, minhash, warc
+from voluma.llm import decontaminate, html, warc
 
 
 def test_warc_reads_ranges_whatever_the_url(spark):
@@ -43,3 +43,19 @@ def test_clashing_columns_and_long_texts_of_decontamination(spark):
         out = {r.doc_id: r for r in cut.collect()}
         assert cut.columns == docs.columns and out[1].text == "end" and out[3].text.endswith(" w691 ") and out[1]._spans == "s"
     assert decontaminate.clean_documents(docs, bench.limit(0)).count() == 6
+
+
+def test_html_templates_by_pages_and_words_of_classes(spark):
+    def page(i, site, boxes=""):
+        return f"<body>{site}{boxes}<section><p>Text {i} of its own {i * 7} {'and more of it ' * 3}</p>{'<p>A line that some quote</p>' * (i % 3 == 0)}</section></body>"
+
+    many = [(i, "http://a/", page(i, "<div><p>Site box</p></div>" if i < 16 else "")) for i in range(40)]
+    few = [(100 + i, "http://b/", page(i, "<div><p>Small site</p></div>")) for i in range(4)]
+    parts = '<h1 class="post-header">Title</h1><div class="related-work">Work</div><p class="copyright-law">Law</p><div class="ad">Buy</div><div class="share-buttons">Share</div>'
+    one = [(200, "http://c/", f"<article>{parts}<p>Quoted</p></article>")] + [(201 + i, "http://c/", f"<article><p>Own {i}</p><p>Quoted</p></article>") for i in range(6)]
+    rows = spark.createDataFrame([(*r, "x") for r in many + few + one], "page_id long, url string, html string, host string")
+    for limit in (200_000, 0):
+        out = {r.page_id: r.main_text for r in html.extract_main_text(rows, broadcast_rows=limit).collect()}
+        assert not any("box" in out[i] for i in range(40)) and not any("Small" in out[100 + i] for i in range(4))
+        assert all(out[i].startswith(f"Text {i} of its own") and out[i].endswith("quote") == (i % 3 == 0) for i in range(40))
+        assert out[200] == "Title Work Law Quoted" and out[201] == "Own 0 Quoted"

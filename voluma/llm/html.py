@@ -3,8 +3,9 @@
 A first pass hashes the block elements of every page (tag, class, id, text and subtrees).  Spark counts, per host, the
 different articles beside which each subtree stands; copies of one article count once, and so do all near copies: articles of
 which recurring subtrees make up most.  Subtrees that stand beside many different articles of their host are the site's
-template: the second pass deletes them, together with elements whose tag,
-role, class or id says that they are menus, headers, footers, sidebars, notices, adverts, forms, scripts or comments.
+template: the second pass deletes them, together with elements whose tag, role, class or id says that they are menus, headers,
+footers, sidebars, notices, adverts, forms, scripts or comments.  A paragraph, heading or list item may be quoted by many
+articles, so it counts as template only where it stands on most of the host's pages, and never inside an article.
 """
 
 from __future__ import annotations
@@ -18,10 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import measured, stored
 
-#: A subtree is template if it stands beside this part of its host's different articles, and beside so many at least.
-LEAST_SHARE, LEAST_ARTICLES = 0.5, 5
+#: A subtree is template if it stands beside so many different articles of its host at least, and beside this part of them; a
+#: single block of text (a paragraph and the like) beside that part.
+LEAST_ARTICLES, LEAST_SHARE, LEAST_TEXT_SHARE = 3, 0.1, 0.5
+#: Template hashes, or hosts, that may be broadcast: 16 bytes each.  More are joined by a shuffle, with each host dealt over so many parts.
+BROADCAST_ROWS, SALTS = 200_000, 64
 #: Articles of which subtrees that recur so make up more than this part are near copies of others.
 MOST_RECURRING = 0.5
 TOKEN = re.compile(
@@ -42,6 +46,10 @@ SKIPPED_WORDS = frozenset(
     cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social
     related recommended widget widgets comment comments commentlist disqus respond replies form search copyright skip hidden""".split()
 )
+#: Words that may stand beside those in a class that marks a part of an article as none of its text.
+NEUTRAL_WORDS = frozenset("area bar block body bottom box button buttons container content element group icon icons inner item items left link links list module outer panel post posts right row section slot top unit wrap wrapper".split())
+#: Elements that hold one block of text.
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr blockquote pre figcaption caption address summary".split())
 #: Elements that end an open one of the same group, and what that group may not reach past.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("article main section div table ul ol dl body html td th blockquote nav header footer aside form".split())
@@ -51,7 +59,16 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)}
 
 
-def _is_skipped(tag: str, attributes: dict[str, str]) -> bool:
+def _says_skipped(attributes: dict[str, str], in_article: bool) -> bool:
+    """Whether a class or id says so: by any of its words, but in an article by all words of a name that are not neutral."""
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        if any(w in SKIPPED_WORDS for w in words) and (not in_article or all(w in SKIPPED_WORDS or w in NEUTRAL_WORDS and words[0] in SKIPPED_WORDS for w in words)):
+            return True
+    return False
+
+
+def _is_skipped(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
     if tag in SKIPPED:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
@@ -60,8 +77,7 @@ def _is_skipped(tag: str, attributes: dict[str, str]) -> bool:
         return True
     if "style" in attributes and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes["style"]):
         return True
-    named = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
-    return any(w in SKIPPED_WORDS for w in re.split(r"[^a-z]+", named))
+    return _says_skipped(attributes, in_article)
 
 
 class Page:
@@ -70,7 +86,7 @@ class Page:
     def __init__(self, html: str, template: frozenset[int] = frozenset()):
         self.template = template
         self.blocks: list[tuple[bool, bool, str]] = []  # in an article, in main, text
-        self.hashes: set[int] = set()
+        self.hashes: dict[int, bool] = {}  # and whether it is one block of text
         self.owner: dict[int, int] = {}  # block -> the innermost hashed subtree around it
         self.unowned: list[int] = []  # blocks without one so far
         self.text: list[str] = []
@@ -119,8 +135,8 @@ class Page:
             return
         attributes = _attributes(raw) if raw and not raw.isspace() else {}
         top = self.stack[-1] if self.stack else None
-        skipped = bool(top and top[4]) or _is_skipped(tag, attributes)
         article, main = bool(top and top[5]), bool(top and top[6])
+        skipped = bool(top and top[4]) or _is_skipped(tag, attributes, article or main)
         if not skipped and tag == "article":
             article = self.has_article = True
         if not skipped and (tag == "main" or attributes.get("role") == "main"):
@@ -160,10 +176,10 @@ class Page:
             return
         if len(parts) > 1 and tag not in ("html", "body", "article", "main"):
             key = int.from_bytes(hashlib.blake2b("\x1f".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-            self.hashes.add(key)
+            self.hashes[key] = tag in TEXT_TAGS
             while self.unowned and self.unowned[-1] >= first:
                 self.owner[self.unowned.pop()] = key
-            if key in self.template:
+            if key in self.template and not (tag in TEXT_TAGS and (article or main)):
                 del self.blocks[first:]
             if self.stack:
                 self.stack[-1][3].append(str(key))
@@ -186,17 +202,17 @@ class Page:
 
 
 def _hasher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    entry = pa.struct([("subtree", pa.int64()), ("chars", pa.int64()), ("text", pa.bool_())])
     for batch in batches:
-        hosts, articles, hashes, chars = [], [], [], []
+        hosts, articles, subtrees = [], [], []
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             page = Page(html or "")
             hosts.append(host)
             text, own = page.main_text(), page.own_chars()
             articles.append(int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
-            hashes.append([*own, 0])
-            chars.append([*own.values(), len(text) + 1])
-        arrays = [pa.array(hosts, pa.int64()), pa.array(articles, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(chars, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(arrays, ["host", "article", "hashes", "chars"])
+            subtrees.append([(key, n, page.hashes[key]) for key, n in own.items()] + [(0, len(text) + 1, False)])
+        arrays = [pa.array(hosts, pa.int64()), pa.array(articles, pa.int64()), pa.array(subtrees, pa.list_(entry))]
+        yield pa.RecordBatch.from_arrays(arrays, ["host", "article", "subtrees"])
 
 
 def host_of(url: Column) -> Column:
@@ -204,34 +220,44 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host (hash), template: the hashes of the subtrees that recur beside many different articles of the host.
+def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """host (hash), subtree: the hashes of the subtrees that recur beside many different articles of the host.
 
-    A host has few: each stands on half of its articles at least, and no page holds more than its own elements.
+    A page without a host belongs to the empty one.  Null html holds no subtree.  Repeated pages count once.
     """
     rows = pages.select(F.xxhash64(host_of(F.col(url_col))).alias("host"), html_col)
-    rows = rows.mapInArrow(_hasher, "host long, article long, hashes array<long>, chars array<long>")
+    rows = rows.mapInArrow(_hasher, "host long, article long, subtrees array<struct<subtree:long,chars:long,text:boolean>>")
     # An entry 0 of every page counts the host's different articles and has the characters of the main text.
-    each = rows.select("host", "article", F.explode(F.arrays_zip("hashes", "chars")).alias("e"))
-    each = each.groupBy("host", "article", F.col("e.hashes").alias("subtree")).agg(F.max("e.chars").alias("chars"))
-    each = stored(each, "subtrees")
-    recurring = _recurring(each.groupBy("host", "subtree").agg(F.count("*").alias("n")))
-    held = each.join(recurring.select("host", "subtree"), ["host", "subtree"])
+    each = rows.select("host", "article", F.explode("subtrees").alias("e")).select("host", "article", "e.*")
+    each = stored(each.groupBy("host", "article", "subtree").agg(F.max("chars").alias("chars"), F.max("text").alias("text")), "subtrees")
+    recurring = _recurring(each.groupBy("host", "subtree").agg(F.count("*").alias("n"), F.max("text").alias("text")), broadcast_rows)
+    held = _on_host(each.drop("text"), recurring.select("host", "subtree", "text"), ["subtree"], F.col("article"), broadcast_rows)
     whole = F.col("subtree") == 0
     recurs, size = F.sum(F.when(whole, 0).otherwise(F.col("chars"))), F.max(F.when(whole, F.col("chars")))
-    held = held.groupBy("host", "article").agg((recurs > MOST_RECURRING * size).alias("near"), F.collect_list("subtree").alias("own"))
+    held = held.groupBy("host", "article").agg((recurs > MOST_RECURRING * size).alias("near"), F.collect_list(F.struct("subtree", "text")).alias("own"))
     # All near copies count as one article, so what only they share is no template.
-    held = held.select("host", "near", F.explode("own").alias("subtree"))
+    held = held.select("host", "near", F.explode("own").alias("e")).select("host", "near", "e.*")
     n = F.count_if(~F.col("near")) + F.max(F.col("near").cast("long"))
-    found = _recurring(held.groupBy("host", "subtree").agg(n.alias("n"))).where("subtree <> 0")
-    return found.groupBy("host").agg(F.collect_list("subtree").alias("template"))
+    found = held.groupBy("host", "subtree").agg(n.alias("n"), F.max("text").alias("text"))
+    return _recurring(found, broadcast_rows).where("subtree <> 0").select("host", "subtree")
+
+
+def _on_host(rows: DataFrame, table: DataFrame, keys: list[str], deal: Column, broadcast_rows: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined by host and ``keys`` with a table that is broadcast if small; else every host is dealt over SALTS parts."""
+    table, small = measured(table, "hosts", broadcast_rows)
+    if small:
+        return rows.join(table, ["host", *keys], how)
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(deal), F.lit(SALTS)).cast("int"))
+    table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(table, ["host", *keys, "_salt"], how).drop("_salt")
 
 
-def _recurring(counts: DataFrame) -> DataFrame:
-    """The counts (host, subtree, n) that reach both bounds; the entry 0 of a host too."""
-    counts = counts.where(F.col("n") >= LEAST_ARTICLES)
+def _recurring(counts: DataFrame, broadcast_rows: int) -> DataFrame:
+    """The counts (host, subtree, n, text) that reach the bounds; the entry 0 of a host too."""
+    counts = stored(counts.where(F.col("n") >= LEAST_ARTICLES), "recurring")
     by_host = counts.where("subtree = 0").select("host", F.col("n").alias("articles"))
-    return counts.join(by_host, "host").where(F.col("n") >= LEAST_SHARE * F.col("articles")).drop("articles")
+    share = F.when(F.col("text"), LEAST_TEXT_SHARE).otherwise(LEAST_SHARE)
+    return _on_host(counts, by_host, [], F.col("subtree"), broadcast_rows).where(F.col("n") >= share * F.col("articles")).drop("articles")
 
 
 def _extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,15 +269,18 @@ def _extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*[batch.schema.names[i] for i in keep], "main_text", "main_chars"])
 
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per page: page_id, url, main_text (blocks joined by one space; empty if none), main_chars (its code points).
 
     Null html: empty text.  Pages without a host share one.  Repeated rows give repeated results and count once as an article;
-    an empty table gives none; other columns are not read.
+    an empty table gives none; pages of any length are read whole; other columns are not read.
     """
     host = F.xxhash64(host_of(F.col(url_col))).alias("host")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host, F.col(html_col).alias("_html"))
-    template = site_templates(pages, url_col, html_col).withColumnRenamed("template", "_template")
-    joined = rows.join(template, "host", "left").drop("host")
+    found = stored(site_templates(pages, url_col, html_col, broadcast_rows), "templates")
+    template = found.groupBy("host").agg(F.collect_list("subtree").alias("_template"))
+    # The pages stay where they are if the hashes of all templates are few.
+    most = broadcast_rows if found.count() <= broadcast_rows else -1
+    joined = _on_host(rows, template, [], F.struct("page_id", "url"), most, "left")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema if f.name in ("page_id", "url"))
     return joined.select("page_id", "url", "_html", "_template").mapInArrow(_extractor, kinds + ", main_text string, main_chars long")
