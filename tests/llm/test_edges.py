@@ -3,9 +3,10 @@
 import base64
 import hashlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from voluma.llm import decontaminate, html, warc
+from voluma.llm import decontaminate, html, minhash, warc
 
 
 def test_warc_reads_ranges_whatever_the_url(spark):
@@ -59,3 +60,22 @@ def test_html_templates_by_pages_and_words_of_classes(spark):
         assert not any("box" in out[i] for i in range(40)) and not any("Small" in out[100 + i] for i in range(4))
         assert all(out[i].startswith(f"Text {i} of its own") and out[i].endswith("quote") == (i % 3 == 0) for i in range(40))
         assert out[200] == "Title Work Law Quoted" and out[201] == "Own 0 Quoted"
+
+
+def test_deduplicate_keeps_columns_of_any_name_and_splits_hubs(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 3)  # every list and node is long
+    rng = np.random.default_rng(1)
+    bases = [[f"w{n}" for n in rng.integers(0, 5000, 120)] for _ in range(4)]
+    texts = []
+    for base in bases:
+        for i in range(12):
+            copy = list(base)
+            copy[(i * 7) % 120] = f"edit{i}"
+            texts.append(" ".join(copy))
+    schema = "doc_id long, text string, _key string, _KEY_ string, _id int, _mark int, _rows int"
+    docs = spark.createDataFrame([(i, t, f"k{i}", "z", 1, 2, 3) for i, t in enumerate(texts)], schema)
+    kept = minhash.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r._key) for r in kept.collect()) == [(i, f"k{i}") for i in (0, 12, 24, 36)]
+    exact = minhash.near_duplicates(docs, k=minhash.EXACT, deviations=minhash.EXACT).collect()
+    assert sorted((r.doc_id, r.component_id) for r in exact) == [(i, i // 12 * 12) for i in range(48)]

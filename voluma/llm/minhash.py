@@ -9,12 +9,16 @@ verified on their full shingle sets.  Then the lists are contracted by component
 so a group of near copies never expands into all its pairs.  A 128-bit signature (one bit of the smallest hash in each of
 128 bins) travels with the list rows, so that a join over a long list puts out only pairs that look similar.  The join across
 components carries 512 bits more.  Of sets up to ``PARITY_SET`` they are the parities of the hashes per bin: two of them differ in
-no more bits than the sets have unshared members, so they refute a family of loosely related texts without error.
+no more bits than the sets have unshared members, so they refute a family of loosely related texts without error.  Long lists are
+joined block by block, and the sets of a node with many pairs are dealt over parts, so no list and no node is one task.
+
+With ``k`` = ``deviations`` = ``EXACT`` the sketch is the whole set and no estimate filters: then no link is missed by chance.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import stored, text_chunks
+from .shared import fresh, measured, stored, text_chunks
 
 #: Odd multipliers of the rolling word hash and the finaliser; any fixed odd numbers do.
 BASE, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -33,6 +37,9 @@ SURE_SHARE = 0.5
 BINS, DEVIATIONS = 128, 5
 #: Bins of the wide marks, and the largest set whose wide marks are parities (in larger ones these would be half ones anyway).
 WIDE, PARITY_SET = 512, 900
+#: Rows of a list, or pairs of a node, that one task takes at a time; lists and nodes with more that may be broadcast.
+BLOCK, BROADCAST_ROWS = 512, 200_000
+EXACT = (1 << 31) - 1
 MARKS, WIDE_MARKS = ("s0", "s1"), tuple(f"w{i}" for i in range(WIDE // 64))
 
 
@@ -216,49 +223,49 @@ def _differing(x: str, y: str, columns: tuple[str, ...]):
     return sum(F.bit_count(F.col(x + c).bitwiseXOR(F.col(y + c))) for c in columns)
 
 
-def _most_differing(bins: int, threshold_percent: int) -> int:
-    """Bits in which signatures of sets at the threshold differ, and five deviations."""
+def _most_differing(bins: int, threshold_percent: int, deviations: int) -> int:
+    """Bits in which signatures of sets at the threshold differ, and some deviations; no more than all."""
     off = (1 - threshold_percent / 100) / 2
-    return int(bins * off + DEVIATIONS * (bins * off * (1 - off)) ** 0.5)
+    return min(bins, int(bins * off + deviations * (bins * off * (1 - off)) ** 0.5))
 
 
-def _can_match(x: str, y: str, threshold_percent: int):
+def _can_match(x: str, y: str, threshold_percent: int, deviations: int):
     """Sets whose sizes or signatures differ by more can't reach the threshold. x, y: prefixes of the columns of two nodes."""
     nx, ny = F.col(x + "n_shingles"), F.col(y + "n_shingles")
     sizes = 100 * F.least(nx, ny) >= threshold_percent * F.greatest(nx, ny)
-    return sizes & (_differing(x, y, MARKS) <= _most_differing(BINS, threshold_percent))
+    return sizes & (_differing(x, y, MARKS) <= _most_differing(BINS, threshold_percent, deviations))
 
 
-def _can_match_widely(x: str, y: str, threshold_percent: int):
+def _can_match_widely(x: str, y: str, threshold_percent: int, deviations: int):
     """The same for the wide marks: unshared members <= (1 - t) / (1 + t) * (sum of sizes) at the threshold t."""
     nx, ny, differ = F.col(x + "n_shingles"), F.col(y + "n_shingles"), _differing(x, y, WIDE_MARKS)
     parities = differ * (100 + threshold_percent) <= (100 - threshold_percent) * (nx + ny)
-    signatures = differ <= _most_differing(WIDE, threshold_percent)
+    signatures = differ <= _most_differing(WIDE, threshold_percent, deviations)
     both_small, both_large = F.greatest(nx, ny) <= PARITY_SET, F.least(nx, ny) > PARITY_SET
     return F.when(both_small, parities).when(both_large, signatures).otherwise(True)
 
 
-def sweep_pairs(lists: DataFrame, threshold_percent: int) -> DataFrame:
+def sweep_pairs(lists: DataFrame, threshold_percent: int, deviations: int = DEVIATIONS) -> DataFrame:
     """Linear candidates of each list: every node with the next one by set size, and with the most central one."""
     node = F.struct("centre", "node", "n_shingles", "s0", "s1")
     lead = lists.groupBy("value").agg(F.max(node).alias("lead"))
-    star = lists.join(lead, "value").where((F.col("node") != F.col("lead.node")) & _can_match("", "lead.", threshold_percent))
+    star = lists.join(lead, "value").where((F.col("node") != F.col("lead.node")) & _can_match("", "lead.", threshold_percent, deviations))
     #: Cut by set size, so that one long list is not one task: near sizes stay together.
     by_value = Window.partitionBy("value", F.floor(F.log2("n_shingles") * 8)).orderBy("n_shingles", "node")
     chain = lists.withColumn("after", F.lead(node).over(by_value)).where("after is not null")
-    chain = chain.where(_can_match("", "after.", threshold_percent))
+    chain = chain.where(_can_match("", "after.", threshold_percent, deviations))
     return star.select(*_pair("node", "lead.node")).union(chain.select(*_pair("node", "after.node"))).distinct()
 
 
-def _estimated(pairs: DataFrame, nodes: DataFrame, k: int, threshold_percent: int) -> DataFrame:
-    """Pairs whose union sketch doesn't rule them out: the part of its values that both sketches hold, less five deviations."""
+def _estimated(pairs: DataFrame, nodes: DataFrame, k: int, threshold_percent: int, deviations: int) -> DataFrame:
+    """Pairs whose union sketch doesn't rule them out: the part of its values that both sketches hold, less some deviations."""
     t = threshold_percent / 100
     a = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
     b = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
     union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, k)
     size = F.size(union)
     common = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
-    least = t * size - DEVIATIONS * F.sqrt(size * t * (1 - t))
+    least = t * size - float(deviations) * F.sqrt(size * t * (1 - t))
     return pairs.join(a, "a").join(b, "b").where(common >= F.greatest(F.lit(1.0), least)).select("a", "b")
 
 
@@ -268,12 +275,21 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, th
     reps = nodes.join(used, "node", "left_semi").select(F.col("rep").alias("doc_id"))
     texts = docs.join(reps, docs["doc_id"].eqNullSafe(reps["doc_id"]), "left_semi").select("text")
     sets = texts.mapInArrow(_setter(width), "node long, members binary").dropDuplicates(["node"])
-    left = sets.select(F.col("node").alias("a"), F.col("members").alias("ma"))
-    right = sets.select(F.col("node").alias("b"), F.col("members").alias("mb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb")
+    both = _with_members(_with_members(pairs, sets, "a", "b"), sets, "b", "a").select("a", "b", "ma", "mb")
     return both.mapInArrow(_similar(threshold_percent), "a long, b long")
 
 
+def _with_members(pairs: DataFrame, sets: DataFrame, side: str, other: str) -> DataFrame:
+    """``pairs`` with the members of the set of one side; a node of many pairs is dealt over parts by the other side."""
+    hubs = pairs.groupBy(side).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("parts > 1")
+    hubs, _ = measured(hubs, "hubs", BROADCAST_ROWS)
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = pairs.join(hubs, side, "left").withColumn("part", F.pmod(F.xxhash64(other), parts).cast("int")).drop("parts")
+    own = sets.select(F.col("node").alias(side), F.col("members").alias(f"m{side}")).join(hubs, side, "left")
+    own = own.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return dealt.join(own, [side, "part"]).drop("part")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component (smallest node reachable) of every node that has an edge, by alternating large and small stars."""
 
@@ -308,7 +324,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return pairs.union(pairs.select(F.col("component"), F.col("component")).distinct())
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold_percent: int = 80, k: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, threshold_percent: int = 80, k: int = 48, deviations: int = DEVIATIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept, mark (hash of the text).
 
     Rows whose distinct ``width``-word shingle sets have a Jaccard similarity of ``threshold_percent`` or more are linked;
@@ -317,10 +333,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold_percent: int = 80
     component; a null doc_id never becomes a component_id unless all of its component have none.  Empty table: no rows.
     Other columns are not read.
     """
-    return _named(docs, width, threshold_percent, k, id_col, text_col).drop("component")
+    return _named(docs, width, threshold_percent, k, deviations, id_col, text_col).drop("component")
 
 
-def _named(docs: DataFrame, width: int, threshold_percent: int, k: int, id_col: str, text_col: str) -> DataFrame:
+def _named(docs: DataFrame, width: int, threshold_percent: int, k: int, deviations: int, id_col: str, text_col: str) -> DataFrame:
     """near_duplicates and the component itself (its smallest node; null without shingles): ids may be null or stand twice."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = stored(sketches(docs, width, k), "sketches")
@@ -330,12 +346,12 @@ def _named(docs: DataFrame, width: int, threshold_percent: int, k: int, id_col:
     lists = stored(inverted_lists(nodes, k, threshold_percent), "lists")
 
     def links(pairs: DataFrame) -> DataFrame:
-        good = stored(_estimated(pairs, nodes, k, threshold_percent), "candidates")
+        good = stored(_estimated(pairs, nodes, k, threshold_percent, deviations), "candidates")
         return stored(verified(good, nodes, docs, width, threshold_percent), "edges")
 
-    edges = links(sweep_pairs(lists, threshold_percent))
+    edges = links(sweep_pairs(lists, threshold_percent, deviations))
     names = components(edges)
-    rest = links(_across(stored(_contracted(lists, nodes, names), "open"), threshold_percent))
+    rest = links(_across(stored(_contracted(lists, nodes, names), "open"), threshold_percent, deviations))
     if not rest.isEmpty():
         names = components(edges.union(rest))
     named = nodes.select("node", "n_shingles", "rep").join(names, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -348,26 +364,29 @@ def _named(docs: DataFrame, width: int, threshold_percent: int, k: int, id_col:
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "mark", "component")
 
 
-def deduplicate(docs: DataFrame, width: int = 5, threshold_percent: int = 80, k: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, width: int = 5, threshold_percent: int = 80, k: int = 48, deviations: int = DEVIATIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they were, of which one is kept for each group of near copies.
 
     It is the one with the smallest doc_id (and then the smallest hash of the text); of rows that repeat it, one.  Rows without
-    shingles are no copies of each other and all stay.
+    shingles are no copies of each other; of those that repeat an id and a text one stays.  Null ids: each component keeps one of
+    its own rows.  An empty table gives none; columns may have any names.
     """
-    found = _named(docs, width, threshold_percent, k, id_col, text_col)
+    found = _named(docs, width, threshold_percent, k, deviations, id_col, text_col)
     empty = F.col("n_shingles") == 0
     chosen = found.where("kept and n_shingles > 0").groupBy("component", "doc_id", "mark").agg(F.count("*").alias("rows"))
     # Two texts of one doc_id (or of none) may be in one group: the smaller hash stays.
     chosen = chosen.groupBy("component").agg(F.min(F.struct("doc_id", "mark", "rows")).alias("row")).select("row.*")
     chosen = chosen.union(found.where(empty).select("doc_id", "mark", F.lit(1).cast("long")).distinct())
-    chosen = chosen.toDF("_id", "_mark", "_rows")
-    keyed = docs.withColumn("_key", F.xxhash64(text_col))
+    own_id, own_mark, copies, key = (fresh(n, docs.columns) for n in ("_id", "_mark", "_rows", "_key"))
+    chosen = stored(chosen.toDF(own_id, own_mark, copies), "chosen")
+    keyed = docs.withColumn(key, F.xxhash64(text_col))
 
-    def with_rows(condition: str) -> DataFrame:
+    def with_rows(condition) -> DataFrame:
         own = chosen.where(condition)
-        return keyed.join(own, keyed[id_col].eqNullSafe(own["_id"]) & (keyed["_key"] == own["_mark"]), "left_semi")
+        return keyed.join(own, keyed[id_col].eqNullSafe(own[own_id]) & (keyed[key] == own[own_mark]), "left_semi")
 
-    return with_rows("_rows = 1").union(with_rows("_rows > 1").dropDuplicates([id_col, "_key"])).select(*docs.columns)
+    several = with_rows(F.col(copies) > 1).dropDuplicates([id_col, key])
+    return with_rows(F.col(copies) == 1).union(several).select(*docs.columns)
 
 
 def _contracted(lists: DataFrame, nodes: DataFrame, names: DataFrame) -> DataFrame:
@@ -379,10 +398,23 @@ def _contracted(lists: DataFrame, nodes: DataFrame, names: DataFrame) -> DataFra
     return named.join(open_lists, "value", "left_semi")
 
 
-def _across(lists: DataFrame, threshold_percent: int) -> DataFrame:
-    """All pairs of similar-looking nodes of a list that are in different components, each once; few are left after the sweep."""
-    pairs = lists.alias("x").join(lists.alias("y"), "value")
-    pairs = pairs.where((F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _can_match("x.", "y.", threshold_percent))
+def _across(lists: DataFrame, threshold_percent: int, deviations: int) -> DataFrame:
+    """All pairs of similar-looking nodes of a list that are in different components, each once; few are left after the sweep.
+
+    Sizes are cut into cells as wide as the threshold, so that a set meets those of its own and the next cell alone; of a long
+    list every node meets the other side block by block.
+    """
+    cell = F.floor(F.log("n_shingles") / -math.log(threshold_percent / 100)).cast("int") if threshold_percent < 100 else F.lit(0)
+    lists = lists.withColumn("cell", cell)
+    other = lists.withColumn("own", F.col("cell")).withColumn("cell", F.explode(F.array(F.col("own"), F.col("own") - 1)))
+    long = other.groupBy("value", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    long, _ = measured(long, "long", BROADCAST_ROWS)
+    keys, blocks = ["value", "cell", "block"], F.coalesce("blocks", F.lit(1))
+    x = lists.join(long, keys[:2], "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
+    y = other.join(long, keys[:2], "left").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).drop("blocks")
+    pairs = x.alias("x").join(y.alias("y"), keys)
+    once = (F.col("y.own") > F.col("cell")) | (F.col("x.node") < F.col("y.node"))
+    pairs = pairs.where(once & (F.col("x.component") != F.col("y.component")) & _can_match("x.", "y.", threshold_percent, deviations))
     first_of_pair = ~F.arrays_overlap("x.lower", "y.lower")  # a pair comes out of the list of its smallest common value alone
-    pairs = pairs.where(_can_match_widely("x.", "y.", threshold_percent) & first_of_pair)
-    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    pairs = pairs.where(_can_match_widely("x.", "y.", threshold_percent, deviations) & first_of_pair)
+    return pairs.select(*_pair("x.node", "y.node"))
