@@ -6,7 +6,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from voluma.llm import decontaminate, html, minhash, warc
+from voluma.llm import decontaminate, html, langid, minhash, warc
 
 
 def test_warc_reads_ranges_whatever_the_url(spark):
@@ -79,3 +79,19 @@ def test_deduplicate_keeps_columns_of_any_name_and_splits_hubs(spark, monkeypatc
     assert sorted((r.doc_id, r._key) for r in kept.collect()) == [(i, f"k{i}") for i in (0, 12, 24, 36)]
     exact = minhash.near_duplicates(docs, k=minhash.EXACT, deviations=minhash.EXACT).collect()
     assert sorted((r.doc_id, r.component_id) for r in exact) == [(i, i // 12 * 12) for i in range(48)]
+
+
+def test_languages_beyond_one_slice(spark):
+    """130 languages, each with an alphabet of its own, in three slices of the filter."""
+    def text(i, k):
+        letters = [chr(0x4E00 + 40 * i + j) for j in range(40)]
+        return " ".join("".join(letters[(k * 7 + a * 3 + b) % 40] for b in range(5)) for a in range(30))
+
+    rows = [(i * 10 + k, text(i, k), f"l{i:03d}", "x") for i in range(130) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _language string")
+    filters = langid.train(docs)
+    assert filters.words.shape[0] == 3 and filters.false.max() < 0.09
+    out = langid.identify(docs, filters).collect()
+    assert all(r.language.lang_pred == r.lang for r in out)
+    kept = langid.known_language(docs.unionByName(docs.limit(1)), filters)
+    assert kept.columns == docs.columns and kept.count() == 391

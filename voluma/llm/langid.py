@@ -1,9 +1,11 @@
 """Language identification with bit-sliced Bloom filters of n-grams.
 
 Training counts letter n-grams per language over all training rows in Spark.  An n-gram belongs to every language in which it
-is about as frequent as in the language where it is most frequent.  Each filter position holds one word with a bit per
-language, so one lookup of an n-gram (the AND of its positions) returns the mask of all languages that contain it.  A text's
-languages get the number of its n-grams that carry their bit, corrected for the filter's false positives; the largest wins.
+is about as frequent as in the language where it is most frequent.  Each filter position holds a bit per language, in as many
+words as there are 64s of languages, so one lookup of an n-gram (the AND of its positions) returns the mask of all languages
+that contain it.  A text's languages get the number of its n-grams that carry their bit, corrected for the filter's false
+positives; the largest wins.  Only n-grams with a rate of ``LEAST_RATE`` enter, and no more than 1 / LEAST_RATE can have it, so a
+filter is at most 44 % full and its false positives at most 9 %, whatever the corpus and the alphabet.
 """
 
 from __future__ import annotations
@@ -16,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lengths of the n-grams; positions of the filter (a power of two: 8 MB whatever the corpus) and lookups per n-gram.
+from .shared import fresh, stored
+
+#: Lengths of the n-grams; positions of the filter (a power of two: 8 MB for 64 languages whatever the corpus) and lookups per n-gram.
 ORDERS = (3, 4)
 POSITIONS, LOOKUPS = 1 << 20, 3
-#: An n-gram belongs to a language if its rate there is this part of its highest rate, and if it was seen so often there.
-RATE_SHARE, LEAST_COUNT = 0.4, 3
-#: Bits of a filter word.
-MOST_LANGUAGES = 63
+#: An n-gram belongs to a language if its rate there is this part of its highest rate, and if it has this rate and was seen so often there.
+RATE_SHARE, LEAST_RATE, LEAST_COUNT = 0.4, 5e-6, 3
+#: Languages of a filter word.
+SLICE = 64
 #: Characters handled at once.
 CHARS = 1 << 20
 UNKNOWN = "und"
@@ -119,12 +123,12 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class LanguageFilters:
-    """Bit-sliced Bloom filters: ``words[p]`` has bit i if position p is set in the filter of language i."""
+    """Bit-sliced Bloom filters: bit i % 64 of ``words[i // 64, p]`` is set if position p is set in the filter of language i."""
 
     def __init__(self, languages: list[str], words: np.ndarray):
         self.languages, self.words = languages, words
-        fill = np.array([np.count_nonzero(words & np.uint64(1 << i)) for i in range(len(languages))]) / POSITIONS
-        self.false = np.minimum(fill**LOOKUPS, 0.99)
+        fill = np.array([np.count_nonzero(words[i // SLICE] >> np.uint64(i % SLICE) & np.uint64(1)) for i in range(len(languages))]) / POSITIONS
+        self.false = fill**LOOKUPS
 
     @staticmethod
     def positions(keys: np.ndarray) -> list[np.ndarray]:
@@ -132,10 +136,10 @@ class LanguageFilters:
         return [((keys + np.uint64(i) * step) & np.uint64(POSITIONS - 1)).astype(np.int64) for i in range(LOOKUPS)]
 
     def masks(self, keys: np.ndarray) -> np.ndarray:
-        """Which languages contain each n-gram."""
-        out = np.full(len(keys), ~np.uint64(0))
+        """Which languages contain each n-gram: a row of words per slice."""
+        out = np.full((len(self.words), len(keys)), ~np.uint64(0))
         for at in self.positions(keys):
-            out &= self.words[at]
+            out &= self.words[:, at]
         return out
 
     def decide(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -145,7 +149,7 @@ class LanguageFilters:
             masks = self.masks(keys)
             total += np.diff(begins)
             for i in range(len(self.languages)):
-                bits = np.concatenate([[0], np.cumsum((masks >> np.uint64(i)) & np.uint64(1))])
+                bits = np.concatenate([[0], np.cumsum((masks[i // SLICE] >> np.uint64(i % SLICE)) & np.uint64(1))])
                 hits[i] += bits[begins[1:]].astype(float) - bits[begins[:-1]]
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
@@ -158,25 +162,29 @@ class LanguageFilters:
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> LanguageFilters:
-    """Filters from all rows with a language and a text. The driver gets the languages and the filter words only (8 MB)."""
+    """Filters from all rows with a language and a text; without any, no language is ever told.
+
+    The driver gets the languages with their totals and the filter words: 8 MB for every 64 languages, whatever the corpus.
+    """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    counts = rows.mapInArrow(_counter, "lang string, ngram long, n long").groupBy("lang", "ngram").agg(F.sum("n").alias("n")).persist()
-    try:
-        totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-        if len(totals) > MOST_LANGUAGES:
-            raise ValueError(f"more than {MOST_LANGUAGES} languages")
-        languages = sorted(totals)
-        words = np.zeros(POSITIONS, np.uint64)
-        if languages:
-            index, total = (F.create_map(*[F.lit(x) for k in languages for x in (k, v[k])]) for v in ({k: i for i, k in enumerate(languages)}, totals))
-            rated = counts.where(F.col("n") >= LEAST_COUNT).select("ngram", index[F.col("lang")].alias("i"), (F.col("n") / total[F.col("lang")]).alias("rate"))
-            own = rated.groupBy("ngram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("i", "rate")).alias("each"))
-            mask = F.aggregate("each", F.lit(0).cast("long"), lambda m, e: m.bitwiseOR(F.when(e["rate"] >= RATE_SHARE * F.col("top"), F.call_function("shiftleft", F.lit(1).cast("long"), e["i"])).otherwise(F.lit(0).cast("long"))))
-            placed = own.select("ngram", mask.alias("mask")).mapInArrow(_positions, "position int, mask long")
-            placed = placed.groupBy("position").agg(F.bit_or("mask").alias("mask")).toArrow()  # POSITIONS rows at most
-            words[placed.column("position").to_numpy()] = placed.column("mask").to_numpy().view(np.uint64)
-    finally:
-        counts.unpersist()
+    counted = rows.mapInArrow(_counter, "lang string, ngram long, n long").groupBy("lang", "ngram").agg(F.sum("n").alias("n"))
+    counts = stored(counted, "ngrams")
+    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    languages = sorted(totals)
+    words = np.zeros((-(-len(languages) // SLICE), POSITIONS), np.uint64)
+    if not languages:
+        return LanguageFilters(languages, words)
+    table = docs.sparkSession.createDataFrame([(k, i, totals[k]) for i, k in enumerate(languages)], "lang string, i int, total long")
+    rated = counts.join(F.broadcast(table), "lang").select("ngram", "i", "n", (F.col("n") / F.col("total")).alias("rate"))  # a row per language
+    rated = rated.where((F.col("n") >= LEAST_COUNT) & (F.col("rate") >= LEAST_RATE))
+    own = rated.groupBy("ngram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("i", "rate")).alias("each"))  # a language at most once
+    held = own.select("ngram", "top", F.explode("each").alias("e")).where(F.col("e.rate") >= RATE_SHARE * F.col("top"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("e.i") % SLICE)
+    mask = held.groupBy("ngram", F.floor(F.col("e.i") / SLICE).cast("int").alias("slice")).agg(F.bit_or(bit).alias("mask"))
+    placed = mask.select("ngram", "slice", "mask").mapInArrow(_positions, "slice int, position int, mask long")
+    placed = placed.groupBy("slice", "position").agg(F.bit_or("mask").alias("mask")).toArrow()  # POSITIONS rows a slice at most
+    at = tuple(placed.column(c).to_numpy() for c in ("slice", "position"))
+    words[at] = placed.column("mask").to_numpy().view(np.uint64)
     return LanguageFilters(languages, words)
 
 
@@ -184,7 +192,7 @@ def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = batch.column(0).to_numpy().view(np.uint64)
         for at in LanguageFilters.positions(keys):
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), batch.column(1)], ["position", "mask"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(at.astype(np.int32)), batch.column(2)], ["slice", "position", "mask"])
 
 
 def identify(docs: DataFrame, filters: LanguageFilters, text_col: str = "text", into: str = "language") -> DataFrame:
@@ -215,9 +223,10 @@ def held_out(doc_id: Column, parts: int = 4, part: int = 2) -> Column:
 
 
 def known_language(docs: DataFrame, filters: LanguageFilters, least_score: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they were, whose language is told: not ``und``, with a score of ``least_score`` at least."""
-    into = "_language"
-    while into in docs.columns:
-        into += "_"
+    """The rows of ``docs``, all columns as they were, whose language is told: not ``und``, with a score of ``least_score`` at least.
+
+    Null, empty and letterless texts go; repeated rows stay or go together; an empty table gives none.
+    """
+    into = fresh("_language", docs.columns)
     found = identify(docs, filters, text_col, into)
     return found.where((F.col(f"{into}.lang_pred") != UNKNOWN) & (F.col(f"{into}.score") >= least_score)).select(*docs.columns)

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fresh
 from .tokens import Vocabulary
 
 #: The shapes of the rules. Group 2 of the first is the value.
@@ -115,9 +116,7 @@ def scan_secrets(docs: DataFrame, vocabulary_path: str, least_ratio: float = 2.0
 
 def redact_secrets(docs: DataFrame, vocabulary_path: str, least_ratio: float = 2.0, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """All rows and columns of ``docs``, with the secrets of non-null texts replaced by ``mark``."""
-    into = "_secrets"
-    while into in docs.columns:
-        into += "_"
+    into = fresh("_secrets", docs.columns)
     found = scan_secrets(docs, vocabulary_path, least_ratio, text_col, into, mark, redact=True)
     text = F.when(F.col(text_col).isNotNull(), F.col(f"{into}.redacted"))
     return found.withColumn(text_col, text).select(*docs.columns)
