@@ -258,12 +258,12 @@ def test_html_near_copies_of_one_article(spark):
     assert all(out[100 + i] == " ".join(parts) for i, parts in enumerate(copies))
 
 
-@pytest.mark.parametrize("limit", [4_000_000, 0])
+@pytest.mark.parametrize("limit", [2_000_000, 70])
 def test_quality(spark, limit):
     good = ["the cat sat on the mat and the dog ran off to the hill " * 3] * 30
     rows = docs(spark, [*good, "###$$$%%%&&& ***!!! @@@" * 20, None, "", "the dog sat on the hill and the cat ran " * 2])
     trusted = spark.createDataFrame([(i,) for i in range(20)] + [(None,)], "doc_id long")
-    out = {r.doc_id: r for r in quality.score_quality(rows, trusted, broadcast_ngrams=limit).collect()}
+    out = {r.doc_id: r for r in quality.score_quality(rows, trusted, shard_rows=limit).collect()}
     assert not out[30].kept and all(out[i].kept for i in [*range(30), 31, 32]) and out[33].perplexity < out[30].perplexity
     assert len(out) == 34
 
