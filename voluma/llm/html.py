@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import measured, stored
+from .shared import measured, stored, text_slices
 
 #: A subtree is template if it stands beside so many different articles of its host at least, and beside this part of them; a
 #: single block of text (a paragraph and the like) beside that part.
@@ -203,7 +203,7 @@ class Page:
 
 def _hasher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     entry = pa.struct([("subtree", pa.int64()), ("chars", pa.int64()), ("text", pa.bool_())])
-    for batch in batches:
+    for batch in (part for whole in batches for part in text_slices(whole, 1)):
         hosts, articles, subtrees = [], [], []
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             page = Page(html or "")
@@ -261,7 +261,7 @@ def _recurring(counts: DataFrame, broadcast_rows: int) -> DataFrame:
 
 
 def _extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in text_slices(whole, whole.schema.get_field_index("_html"))):
         html, template = batch.column("_html").to_pylist(), batch.column("_template").to_pylist()
         texts = [Page(h or "", frozenset(t or ())).main_text() for h, t in zip(html, template)]
         keep = [i for i, n in enumerate(batch.schema.names) if n not in ("_html", "_template")]
