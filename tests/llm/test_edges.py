@@ -2,11 +2,15 @@
 
 import base64
 import hashlib
+import string
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from voluma.llm import decontaminate, html, langid, minhash, warc
+import public_tokenizers
+from voluma.llm import decontaminate, html, langid, minhash, secrets, warc
+
+BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def test_warc_reads_ranges_whatever_the_url(spark):
@@ -95,3 +99,69 @@ def test_languages_beyond_one_slice(spark):
     assert all(r.language.lang_pred == r.lang for r in out)
     kept = langid.known_language(docs.unionByName(docs.limit(1)), filters)
     assert kept.columns == docs.columns and kept.count() == 391
+
+
+def brute_secrets(text, library):
+    """Spans by scanning characters, with ids of the tokenizers library."""
+    spans, n = [], len(text)
+    word = string.ascii_letters + string.digits
+    i = 0
+    while i < n:  # assignments
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if text[i : i + len(name)].lower() == name:
+                j = i + len(name)
+                j += j < n and text[j] in "\"'"
+                while j < n and text[j] == " ":
+                    j += 1
+                if j < n and text[j] in ":=":
+                    j += 1
+                    while j < n and text[j] == " ":
+                        j += 1
+                    j += j < n and text[j] in "\"'"
+                    k = j
+                    while k < n and text[k] in word + "+/_.=-":
+                        k += 1
+                    if k > j:
+                        if k - j >= 6:
+                            spans.append((i, k, "assign"))
+                        i = k - 1
+                        break
+        i += 1
+    for kind, head, letters, least in (("access", "AKIA", string.ascii_uppercase + string.digits, 20), ("hex", "", "0123456789abcdef", 24), ("random", "", word + "+/_-", 16)):
+        i = 0
+        while i < n:
+            k = i + len(head) if text.startswith(head, i) else i
+            while k < n and (k > i or not head) and text[k] in letters:
+                k += 1
+            if k > i + len(head):
+                if kind == "random":
+                    end = k
+                    while end < min(n, k + 2) and text[end] == "=":
+                        end += 1
+                    k = end if k - i >= 16 else k
+                    run = text[i:k]
+                    low = k - i >= 16 and len(run) < 2 * len(library.encode(run, add_special_tokens=False).ids)
+                    if low and not secrets.is_known(run, secrets.Vocabulary(BPE), text[max(0, i - 24) : i]):
+                        spans.append((i, k, kind))
+                elif k - i >= least:
+                    spans.append((i, k, kind))
+                i = k
+            else:
+                i += 1
+    return secrets.shown(spans)
+
+
+def test_secrets_by_brute_force(spark):
+    from tokenizers import Tokenizer
+
+    library, rng = Tokenizer.from_file(BPE), np.random.default_rng(4)
+    pieces = ["password", "Token", "api_key", "apikey", "SECRET", ": ", "=", " = ", "'", '"', " ", "AKIA", "Q7ZK2M9XW4TB6VPN", "deadbeef" * 3, "9e107d9d372bb6826bd81d3542a419d6", "hello world ", "é", "qhxzjkwvpytrmnbg", "JBSWY3DPEHPK3PXP", "==", "x", "abc123", "\n"]
+    texts = ["".join(rng.choice(pieces, 14)) for _ in range(120)] + ["", None, "a" * 30_000, "token: 9E107D9D372BB6826BD81D3542A419D6", "sha 9E107D9D372BB6826BD81D3542A419D6"]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(5, texts[5], "x")], "doc_id long, text string, secrets string")
+    out = secrets.scan_secrets(docs, BPE).orderBy("doc_id").collect()
+    assert len(out) == len(texts) + 1
+    for r in out:
+        assert r.secrets.spans == brute_secrets(texts[r.doc_id] or "", library), texts[r.doc_id]
+    spans = {r.doc_id: r.secrets.spans for r in out}
+    assert "random" in spans[len(texts) - 2] and "random" not in spans[len(texts) - 1]
+    assert secrets.redact_secrets(docs.limit(0), BPE).count() == 0 and secrets.redact_secrets(docs, BPE).columns == docs.columns

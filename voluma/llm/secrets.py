@@ -1,7 +1,8 @@
 """Secret scan: rules for known shapes, and a token-efficiency test for random strings.
 
 A vocabulary learnt from prose spends few characters per token on random strings.  Runs of key characters whose ratio is low
-are reported, with or without digits, unless they are known digests (hexadecimal of a digest's length), UUIDs, or identifiers made of words.
+are reported, with or without digits, unless they are known digests (hexadecimal of a digest's length), UUIDs, or identifiers made of
+words.  A digest or UUID counts as known only where the text before it does not name it as a key, token or password.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ DIGEST_SIZES = frozenset((32, 40, 56, 64, 96, 128))
 #: Parts of an identifier, and what makes one a word: so many letters, and so many characters a token.
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]+")
 LEAST_WORD, WORD_RATIO = 4, 3
+#: Text right before a run that makes it a secret whatever its form, and how far back it is looked for.
+NAMED_SECRET = re.compile(r"(?:passw(?:or)?d|passwd|secret|token|key|auth|credentials?|bearer)[\"'\s:=(<]{1,8}\Z", re.IGNORECASE)
+BEFORE = 24
 KINDS = ("assign", "access", "hex", "random")
 
 
@@ -51,10 +55,10 @@ def is_word(part: str, vocabulary: Vocabulary) -> bool:
     return len(part) >= LEAST_WORD and any(len(part) >= WORD_RATIO * len(vocabulary.encode(s + part)) for s in ("", " "))
 
 
-def is_known(run: str, vocabulary: Vocabulary) -> bool:
-    """A digest, a UUID, or an identifier or path of which words of the vocabulary make up three quarters."""
+def is_known(run: str, vocabulary: Vocabulary, before: str = "") -> bool:
+    """A digest or a UUID that ``before`` does not name as a secret, or an identifier or path of which words make up three quarters."""
     if UUID.fullmatch(run) or DIGEST.fullmatch(run) and len(run) in DIGEST_SIZES:
-        return True
+        return not NAMED_SECRET.search(before)
     return sum(len(m[0]) for m in PART.finditer(run) if is_word(m[0], vocabulary)) >= 0.75 * len(run)
 
 
@@ -63,7 +67,7 @@ def random_spans(text: str, vocabulary: Vocabulary, least_ratio: float) -> list[
     out = []
     for m in RUN.finditer(text):
         run = m[0]
-        if len(run) < least_ratio * len(vocabulary.encode(run)) and not is_known(run, vocabulary):
+        if len(run) < least_ratio * len(vocabulary.encode(run)) and not is_known(run, vocabulary, text[max(0, m.start() - BEFORE) : m.start()]):
             out.append((m.start(), m.end(), "random"))
     return out
 
