@@ -2,8 +2,9 @@
 
 Streams are handled many frames at a time: the encoder lays the Rice codes of a chunk's frames into one bit array; the decoder
 walks all frames of a chunk in step, one residual each, with the frames' own cursors.  Every frame's header and body checksum
-is verified.  The encoder writes fixed linear predictors with Rice residuals; the decoder also reads quantised linear
-predictors, verbatim and constant subframes, Rice partitions, escaped partitions and wasted bits.
+is verified.  The encoder takes, frame by frame, the shortest of the fixed linear predictors of order 0 to 2 and a quantised linear
+predictor that is fitted to the frame; the decoder reads any order, verbatim and constant subframes, Rice partitions, escaped
+partitions and wasted bits.
 """
 
 from __future__ import annotations
@@ -17,9 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 #: Samples of a frame, bytes that a chunk of rows holds, and the padding unit of payloads.
 BLOCK, CHUNK_BYTES, UNIT = 4096, 1 << 20, 64
 SAMPLE_RATE = 8000
+#: Order of the encoder's quantised predictors and bits of a coefficient; shorter frames have none.
+ORDER, PRECISION, LEAST_PREDICTED = 4, 10, 64
 #: Fixed value: samples of the block-size codes 8 to 15.
 BLOCK_CODES = {8 + i: 256 << i for i in range(8)}
 
@@ -78,6 +83,24 @@ def frame_header(number: int, samples: int) -> bytes:
     return head + bytes([crc8(head)])
 
 
+def fitted(x: np.ndarray, at: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Quantised linear predictor of each frame: coefficients (nearest sample first), shifts, and the residuals of all samples."""
+    padded = np.concatenate([np.zeros(ORDER, np.int32), x])
+    back = [padded[ORDER - j : len(padded) - j] for j in range(ORDER + 1)]  # the sample j places before
+    cuts = [np.where(at >= j, back[j], 0) for j in range(ORDER + 1)]
+    r = np.stack([np.add.reduceat((x * c).astype(np.float64), starts) for c in cuts])  # autocorrelation
+    error, c = r[0] * (1 + 1e-9) + 1e-6, np.zeros((ORDER, len(starts)))
+    for i in range(ORDER):  # Levinson's recursion
+        k = (r[i + 1] - (c[:i] * r[i:0:-1]).sum(axis=0)) / error
+        c[:i], c[i] = c[:i] - k * c[:i][::-1], k
+        error = error * np.maximum(1 - k * k, 1e-9)
+    top = (1 << (PRECISION - 1)) - 1
+    shift = np.clip(np.floor(np.log2(top / np.maximum(np.abs(c).max(axis=0), 1e-6))), 0, 15).astype(np.int64)
+    q = np.clip(np.rint(c * (1 << shift)), -top - 1, top).astype(np.int32)
+    guess = sum(np.repeat(q[j], lengths) * cuts[j + 1] for j in range(ORDER))
+    return q, shift, x - (guess >> np.repeat(shift, lengths).astype(np.int32))
+
+
 def encode(payloads: list[bytes]) -> list[bytes]:
     """A FLAC stream of each payload (not empty), one byte a sample."""
     sizes = np.array([len(p) for p in payloads])
@@ -94,34 +117,48 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     d2 = np.concatenate([[0], np.diff(d1)])
     cost = np.stack([np.add.reduceat(np.where(at >= p, np.abs(d), 0), starts) for p, d in enumerate((x, d1, d2))])
     order = cost.argmin(axis=0)
+    q, shift, d4 = fitted(x, at, starts, lengths)
+    linear_cost = np.add.reduceat(np.where(at >= ORDER, np.abs(d4), 0), starts)
+    # A halved mean saves a bit a sample; the predictor has to save more bits than it takes.
+    gain = (lengths - ORDER) * np.log2(np.maximum(cost.min(axis=0), 1) / np.maximum(linear_cost, 1))
+    linear = (lengths >= LEAST_PREDICTED) & (gain > 9 + ORDER * (PRECISION + 8))
+    order[linear] = ORDER
     own = np.repeat(order, lengths)
-    r = np.where(own == 0, x, np.where(own == 1, d1, d2))
+    r = np.where(own == 0, x, np.where(own == 1, d1, np.where(own == 2, d2, d4)))
     coded = at >= own
     u = np.where(coded, (r << 1) ^ (r >> 31), 0)
     mean = np.add.reduceat(u, starts) / np.maximum(1, lengths - order)
     k = np.clip(np.floor(np.log2(np.maximum(mean * 0.6931, 1))), 0, 14).astype(np.int64)
     own_k = np.repeat(k, lengths)
-    q = u >> own_k
-    bits = np.where(coded, q + 1 + own_k, 0)
+    high = u >> own_k
+    bits = np.where(coded, high + 1 + own_k, 0)
     headers = [frame_header(n, s) for n, s in zip(number.tolist(), lengths.tolist())]
     head = np.array([len(h) for h in headers])
-    body = 8 + 8 * order + 10 + np.add.reduceat(bits, starts)
+    prefix = 8 + 8 * order + 10 + np.where(linear, 9 + ORDER * PRECISION, 0)  # up to the first residual
+    body = prefix + np.add.reduceat(bits, starts)
     frame_bytes = head + (body + 7) // 8 + 2
     frame_at = np.concatenate([[0], np.cumsum(frame_bytes)])
     out = np.zeros(int(frame_at[-1]) * 8, np.uint8)
     # Residual codes: zeros, a one, and the low bits.
     code_at = np.cumsum(bits) - bits
-    code_at += np.repeat((frame_at[:-1] + head) * 8 + 18 + 8 * order - code_at[starts], lengths)
-    code_at, low, width = (code_at + q)[coded], u[coded], own_k[coded]
+    code_at += np.repeat((frame_at[:-1] + head) * 8 + prefix - code_at[starts], lengths)
+    code_at, low, width = (code_at + high)[coded], u[coded], own_k[coded]
     out[code_at] = 1
     for j in range(int(k.max())):
         has = width > j
         out[code_at[has] + 1 + j] = low[has] >> (width[has] - 1 - j) & 1
+    for i in np.flatnonzero(linear).tolist():  # subframe head, warm-up samples, predictor, Rice parameter
+        fields = [((31 + ORDER) << 1, 8), *((int(v) & 0xFF, 8) for v in x[starts[i] : starts[i] + ORDER]), (PRECISION - 1, 4), (int(shift[i]), 5)]
+        fields += [(int(v) & (1 << PRECISION) - 1, PRECISION) for v in q[:, i]] + [(0, 6), (int(k[i]), 4)]
+        begin = (int(frame_at[i]) + int(head[i])) * 8
+        out[begin : begin + int(prefix[i])] = np.frombuffer("".join(f"{v:0{n}b}" for v, n in fields).encode(), np.uint8) - 48
     whole = np.packbits(out)
     for i, h in enumerate(headers):  # frame heads, subframe heads, warm-up samples, Rice parameter
         a, p = int(frame_at[i]), int(order[i])
         whole[a : a + len(h)] = list(h)
         a += len(h)
+        if linear[i]:
+            continue
         whole[a] = (8 | p) << 1
         whole[a + 1 : a + 1 + p] = joined[starts[i] : starts[i] + p] ^ 0x80
         whole[a + 1 + p] |= int(k[i]) >> 2 & 3  # two bits of method and four of partitions are 0
@@ -319,22 +356,36 @@ def _residuals(data: np.ndarray, rice: list[tuple]) -> np.ndarray:
 
 
 def _predicted(rice: list[tuple], residuals: np.ndarray) -> list[np.ndarray]:
-    """Samples of each frame from its warm-up samples and residuals."""
+    """Samples of each frame (longest first) from its warm-up samples and residuals; those of quantised predictors in step."""
+    linear: dict[int, list[int]] = {}
+    for j, f in enumerate(rice):
+        if f[4] is not None:
+            linear.setdefault(f[2], []).append(j)
+    done = {}
+    for order, frames in linear.items():
+        x = residuals[: rice[frames[0]][0], frames].astype(np.int64)
+        sizes = np.array([rice[j][0] for j in frames])
+        c = np.array([rice[j][4] for j in frames], np.int64).T  # nearest sample first
+        shift = np.array([rice[j][5] for j in frames], np.int64)
+        x[:order] = np.array([rice[j][3] for j in frames], np.int64).T
+        active = len(frames)
+        for i in range(order, len(x)):
+            while sizes[active - 1] <= i:
+                active -= 1
+            x[i, :active] += (x[i - order : i, :active][::-1] * c[:, :active]).sum(axis=0) >> shift[:active]
+        done |= {j: x[: sizes[n], n] for n, j in enumerate(frames)}
     out = []
-    for j, (samples, _, order, warm, predictor, shift, *_) in enumerate(rice):
-        x = residuals[:samples, j].astype(np.int64)
+    for j, (samples, _, order, warm, predictor, *_) in enumerate(rice):
         if predictor is not None:
-            x[:order] = warm
-            c = np.array(predictor[::-1], np.int64)
-            for i in range(order, samples):
-                x[i] += int(x[i - order : i] @ c) >> shift
-        else:
-            for p in range(order, 0, -1):  # sum up the differences of each degree from its first value on
-                d = np.array(warm, np.int64)
-                for _ in range(p - 1):
-                    d = np.diff(d)
-                x[p - 1] = d[0]
-                x[p - 1 :] = np.cumsum(x[p - 1 :])
+            out.append(done[j])
+            continue
+        x = residuals[:samples, j].astype(np.int64)
+        for p in range(order, 0, -1):  # sum up the differences of each degree from its first value on
+            d = np.array(warm, np.int64)
+            for _ in range(p - 1):
+                d = np.diff(d)
+            x[p - 1] = d[0]
+            x[p - 1 :] = np.cumsum(x[p - 1 :])
         out.append(x)
     return out
 
@@ -400,11 +451,37 @@ def _encoder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def encode_media(rows: DataFrame, id_col: str = "doc_id", payload_col: str = "payload") -> DataFrame:
-    """doc_id, n_bytes, media: each binary payload (null: empty), zero-padded to a positive multiple of 64, as a FLAC stream."""
+    """doc_id, n_bytes, media: each binary payload (null: empty), zero-padded to a positive multiple of 64, as a FLAC stream.
+
+    Equal payloads give equal streams, repeated rows repeated results, an empty table none; other columns are not read.
+    """
     kind = rows.schema[id_col].dataType.simpleString()
     return rows.select(F.col(id_col).alias("doc_id"), F.col(payload_col)).mapInArrow(_encoder, f"doc_id {kind}, n_bytes long, media binary")
 
 
+def store_media(rows: DataFrame, id_col: str = "doc_id", payload_col: str = "payload") -> DataFrame:
+    """The streams of ``encode_media`` as a table in the shared folder, read back."""
+    return stored(encode_media(rows, id_col, payload_col), "media", "zstd")
+
+
+def store_blocks(rows: DataFrame, media_col: str = "media") -> DataFrame:
+    """The PCM blocks of ``pcm_blocks`` as a table in the shared folder, to be sought by sample_offset."""
+    return stored(pcm_blocks(rows, media_col), "pcm", "zstd")
+
+
+def samples_of(blocks: DataFrame, first: int, n: int, id_col: str = "doc_id") -> DataFrame:
+    """id, pcm: samples first .. first + n - 1 of every stream of 8 bits, from the stored blocks that hold some of them.
+
+    Ranges that reach past a stream give what there is; streams without a sample in the range give no row.
+    """
+    at, end = F.col("sample_offset"), F.col("sample_offset") + F.col("n_samples")
+    used = blocks.where((end > first) & (at < first + n))  # reaches the scan as a filter
+    start, stop = F.greatest(first - at, F.lit(0)), F.least(first + n - at, F.col("n_samples").cast("long"))
+    piece = F.substring("pcm", (start + 1).cast("int"), (stop - start).cast("int"))
+    parts = used.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("sample_offset", piece.alias("pcm")))).alias("p"))
+    return parts.select(id_col, F.aggregate("p", F.expr("cast('' as binary)"), lambda s, p: F.concat(s, p["pcm"])).alias("pcm"))
+
+
 def _decoder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("sample_offset", pa.int64()), ("n_samples", pa.int32()), ("pcm", pa.binary())]))
     for batch in batches:
@@ -430,9 +507,12 @@ def decode_media(rows: DataFrame, media_col: str = "media") -> DataFrame:
 
 
 def pcm_blocks(rows: DataFrame, media_col: str = "media") -> DataFrame:
-    """One row per PCM block: the other columns of ``rows``, block (from 0), sample_offset, n_samples, pcm."""
+    """One row per PCM block: the other columns of ``rows``, block (from 0), sample_offset, n_samples, pcm.
+
+    Rows without a stream give none; repeated rows give repeated blocks; columns with the names of the block's are replaced.
+    """
     found = decode_media(rows, media_col)
-    keep = [c for c in found.columns if c not in ("media", "blocks")]
+    keep = [c for c in found.columns if c.lower() not in ("media", "blocks", "block", "sample_offset", "n_samples", "pcm")]
     return found.select(*keep, F.posexplode("blocks").alias("block", "b")).select(*keep, "block", "b.*")
 
 
@@ -459,7 +539,10 @@ def _featurer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def media_features(rows: DataFrame) -> DataFrame:
-    """Of rows of encode_media: doc_id, n_bytes, and sizes, digests and features of what the stored streams give back."""
+    """Of rows of encode_media: doc_id, n_bytes, and sizes, digests and features of what the stored streams give back.
+
+    A wrong checksum, length or MD5 raises ValueError; repeated rows give repeated results, an empty table none.
+    """
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return rows.mapInArrow(_featurer, schema)

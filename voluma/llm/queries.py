@@ -47,7 +47,7 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("payload"))
-    return flac.media_features(flac.encode_media(rows))
+    return flac.media_features(flac.store_media(rows))
 
 
 def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
