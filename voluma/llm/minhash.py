@@ -281,13 +281,15 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, th
 
 def _with_members(pairs: DataFrame, sets: DataFrame, side: str, other: str) -> DataFrame:
     """``pairs`` with the members of the set of one side; a node of many pairs is dealt over parts by the other side."""
+    own = sets.select(F.col("node").alias(side), F.col("members").alias(f"m{side}"))
     hubs = pairs.groupBy(side).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("parts > 1")
     hubs, _ = measured(hubs, "hubs", BROADCAST_ROWS)
-    parts = F.coalesce("parts", F.lit(1))
-    dealt = pairs.join(hubs, side, "left").withColumn("part", F.pmod(F.xxhash64(other), parts).cast("int")).drop("parts")
-    own = sets.select(F.col("node").alias(side), F.col("members").alias(f"m{side}")).join(hubs, side, "left")
-    own = own.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-    return dealt.join(own, [side, "part"]).drop("part")
+    if hubs.isEmpty():
+        return pairs.join(own, side)
+    dealt = pairs.join(hubs, side).withColumn("part", F.pmod(F.xxhash64(other), F.col("parts")).cast("int")).drop("parts")
+    hot = own.join(hubs, side).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    rest = pairs.join(hubs, side, "left_anti").join(own, side)
+    return rest.unionByName(dealt.join(hot, [side, "part"]).drop("part"))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -401,20 +403,27 @@ def _contracted(lists: DataFrame, nodes: DataFrame, names: DataFrame) -> DataFra
 def _across(lists: DataFrame, threshold_percent: int, deviations: int) -> DataFrame:
     """All pairs of similar-looking nodes of a list that are in different components, each once; few are left after the sweep.
 
-    Sizes are cut into cells as wide as the threshold, so that a set meets those of its own and the next cell alone; of a long
-    list every node meets the other side block by block.
+    In a long list sizes are cut into cells as wide as the threshold, so that a set meets those of its own and the next cell
+    alone, and the two sides meet block by block.
     """
-    cell = F.floor(F.log("n_shingles") / -math.log(threshold_percent / 100)).cast("int") if threshold_percent < 100 else F.lit(0)
-    lists = lists.withColumn("cell", cell)
-    other = lists.withColumn("own", F.col("cell")).withColumn("cell", F.explode(F.array(F.col("own"), F.col("own") - 1)))
-    long = other.groupBy("value", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    long, _ = measured(long, "long", BROADCAST_ROWS)
-    keys, blocks = ["value", "cell", "block"], F.coalesce("blocks", F.lit(1))
-    x = lists.join(long, keys[:2], "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
-    y = other.join(long, keys[:2], "left").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).drop("blocks")
-    pairs = x.alias("x").join(y.alias("y"), keys)
-    once = (F.col("y.own") > F.col("cell")) | (F.col("x.node") < F.col("y.node"))
-    pairs = pairs.where(once & (F.col("x.component") != F.col("y.component")) & _can_match("x.", "y.", threshold_percent, deviations))
     first_of_pair = ~F.arrays_overlap("x.lower", "y.lower")  # a pair comes out of the list of its smallest common value alone
-    pairs = pairs.where(_can_match_widely("x.", "y.", threshold_percent, deviations) & first_of_pair)
-    return pairs.select(*_pair("x.node", "y.node"))
+    looks_similar = (F.col("x.component") != F.col("y.component")) & _can_match("x.", "y.", threshold_percent, deviations)
+    looks_similar &= _can_match_widely("x.", "y.", threshold_percent, deviations) & first_of_pair
+
+    def met(x: DataFrame, y: DataFrame, keys: list[str], once) -> DataFrame:
+        return x.alias("x").join(y.alias("y"), keys).where(once).where(looks_similar).select(*_pair("x.node", "y.node"))
+
+    ordered = F.col("x.node") < F.col("y.node")
+    long, _ = measured(lists.groupBy("value").agg(F.count("*").alias("_n")).where(F.col("_n") > BLOCK).select("value"), "long", BROADCAST_ROWS)
+    if long.isEmpty():
+        return met(lists, lists, ["value"], ordered)
+    short = lists.join(long, "value", "left_anti")
+    cell = F.floor(F.log("n_shingles") / -math.log(threshold_percent / 100)).cast("int") if threshold_percent < 100 else F.lit(0)
+    x = lists.join(long, "value", "left_semi").withColumn("cell", cell)
+    y = x.withColumn("own", F.col("cell")).withColumn("cell", F.explode(F.array(F.col("own"), F.col("own") - 1)))
+    keys = ["value", "cell"]
+    blocks, _ = measured(y.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks", BROADCAST_ROWS)
+    x = x.join(blocks, keys).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    y = y.join(blocks, keys).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    once = (F.col("y.own") > F.col("x.cell")) | ordered
+    return met(short, short, ["value"], ordered).union(met(x, y, [*keys, "block"], once))
