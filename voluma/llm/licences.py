@@ -1,13 +1,16 @@
-"""Licence scan with DataFrame functions alone: phrases, and a positional index of the licence templates' rare words.
+"""Licence scan with DataFrame functions alone: phrases, and a positional index of the licence clauses' words.
 
-The document frequency of every template word is counted over all documents.  The index keeps, for each template, the words
-with the highest IDF and their positions.  A file's licence words are looked up; postings of one template whose position
-differs from the file's by the same amount support one alignment; an alignment with enough of the template's rare weight is
-accepted where the template's mandatory key phrase stands at its place in the file.
+The document frequency of every licence word (a template word that is no function word) is counted over all documents.  The index
+keeps the places of all licence words of each template, a clause of a licence or its notice.  Of each file the licence words with
+the highest IDF are looked up; postings of one template whose places differ from the file's by the same amount support one
+alignment; an alignment with enough of the template's rare weight is accepted where the template's mandatory key phrase stands at
+its place in the file.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,28 +18,69 @@ from .decontaminate import words_of
 
 #: Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Fixed values: (label, template words, mandatory key phrase, which stands once in the template).
-TEMPLATES = [
+#: Clauses of licences and of their notices: (label, text in words, mandatory key phrase, which stands in the text).
+CLAUSES = [
+    ("0bsd", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is", "is hereby granted the software is provided"),
+    ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license"),
     ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
-    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "may not use this file except in compliance"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", "may not use this file except in compliance"),
+    ("apache-2.0", "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license", "each contributor hereby grants to you a perpetual"),
+    ("artistic-2.0", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed this license establishes the terms under which a given free software package may be copied", "a given free software package may be copied"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions of source code must retain the above copyright notice"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "may be used to endorse or promote products derived from this software"),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "person or organization obtaining a copy of the software"),
     ("cc-by-4.0", "licensed under cc by 4 0", "cc by 4 0"),
+    ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0 international"),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc 4 0"),
+    ("cc-by-nc-4.0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial 4 0"),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0", "cc by sa 4 0"),
+    ("cc-by-sa-4.0", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike 4 0"),
+    ("cc0-1.0", "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", "eclipse public license 2 0"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", "distributed in the hope that it will be useful"),
     ("gpl-2.0", "licensed under the gnu general public license version 2", "general public license version 2"),
+    ("gpl-2.0", "as published by the free software foundation either version 2 of the license or at your option any later version", "foundation either version 2 of the license"),
     ("gpl-3.0", "licensed under the gnu general public license version 3", "general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "redistribute it and or modify it under the terms of the gnu general public license"),
-    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
+    ("gpl-3.0", "as published by the free software foundation either version 3 of the license or at your option any later version", "foundation either version 3 of the license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "with or without fee is hereby granted provided"),
+    ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
+    ("lgpl-2.1", "licensed under the gnu lesser general public license version 2 1", "lesser general public license version 2 1"),
+    ("lgpl-3.0", "licensed under the gnu lesser general public license version 3", "lesser general public license version 3"),
     ("mit-name", "released under the mit license", "the mit license"),
+    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "permission is hereby granted free of charge to any person obtaining"),
+    ("mit-text", "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "merge publish distribute sublicense and or sell copies"),
+    ("mit-text", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "shall be included in all copies or substantial portions"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    ("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at", "a copy of the mpl was not distributed"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", "free and unencumbered software released into the public domain"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable"),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", "must be plainly marked as such and must not be misrepresented"),
 ]
-#: Words of a template that the index holds, and the part of their IDF that an alignment must support.
-RARE_WORDS, LEAST_WEIGHT = 4, 0.6
+#: Identifiers that stand after "SPDX-License-Identifier:"; each makes a template of its words.
+IDENTIFIERS = """0BSD AGPL-3.0 Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-2.0 GPL-2.0 GPL-3.0 ISC LGPL-2.1 LGPL-3.0
+MIT MPL-2.0 Unlicense Zlib""".split()
+#: Function words, which are no licence words.
+FUNCTION_WORDS = frozenset(
+    """a all an and any are as at be been but by can each for from has have if in into is it its may must no nor not of on one or that the this to under was
+    will with without you your""".split()
+)
+
 
+def _identified(identifier: str) -> tuple[str, str, str]:
+    words = "spdx license identifier " + " ".join(identifier.lower().replace("-", " ").replace(".", " ").split())
+    return identifier.lower(), words, words
 
-def template_words() -> list[tuple[int, str, int]]:
-    """(template, word, place)."""
-    return [(t, w, i) for t, (_, text, _) in enumerate(TEMPLATES) for i, w in enumerate(text.split())]
+
+TEMPLATES = CLAUSES + [_identified(i) for i in IDENTIFIERS]
+#: Licence words of a file that are looked up; rarest words of a template whose IDF is its weight; the part of it that an alignment needs.
+FILE_WORDS, RARE_WORDS, LEAST_WEIGHT = 16, 4, 0.6
+
+
+def licence_words(templates: list[tuple[str, str, str]]) -> list[str]:
+    """The templates' words that are no function words; the numbers and letters of versions and names are."""
+    return sorted({w for _, text, _ in templates for w in text.split() if w not in FUNCTION_WORDS})
 
 
 def inverse_frequencies(rows: DataFrame, vocabulary: list[str]) -> dict[str, float]:
@@ -45,21 +89,18 @@ def inverse_frequencies(rows: DataFrame, vocabulary: list[str]) -> dict[str, flo
     found = rows.select(F.explode(F.array_append(own, F.lit(""))).alias("word")).groupBy("word").count().collect()  # the vocabulary at most
     counts = {r["word"]: r["count"] for r in found}
     total = counts.pop("", 0)
-    import math
-
     return {w: math.log((total + 1) / (counts.get(w, 0) + 1)) + 1 for w in vocabulary}
 
 
-def postings(idf: dict[str, float]) -> list[tuple]:
+def postings(idf: dict[str, float], templates: list[tuple[str, str, str]]) -> list[tuple]:
     """(word, template, place, part of the template's rare weight, label, key phrase, its place, its size) of the index."""
     out = []
-    for t, (label, text, key) in enumerate(TEMPLATES):
+    for t, (label, text, key) in enumerate(templates):
         words, phrase = text.split(), key.split()
         at = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
-        rare = sorted(set(words), key=lambda w: (-idf[w], w))[:RARE_WORDS]
-        places = [(w, i) for i, w in enumerate(words) if w in rare]
-        weight = sum(idf[w] for w, _ in places)
-        out += [(w, t, i, idf[w] / weight, label, key, at, len(phrase)) for w, i in places]
+        own = sorted({w for w in words if w in idf}, key=lambda w: (-idf[w], w))
+        weight = sum(idf[w] for w in own[:RARE_WORDS])
+        out += [(w, t, i, idf[w] / weight / words.count(w), label, key, at, len(phrase)) for i, w in enumerate(words) if w in idf]
     return out
 
 
@@ -76,23 +117,26 @@ def _starts(phrase: str) -> Column:
     return F.filter(F.transform("words", here), lambda i: i.isNotNull())
 
 
-def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str, str]] = TEMPLATES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     n_base, first_word and last_word are the number and the extreme places of the fixed phrases (null places: none); labels
     joins their labels with those of the templates found; score is the best alignment's part of its template's rare weight,
-    0 if none.  Null or wordless texts have no phrases.  Repeated rows give repeated results, an empty table none; other columns
-    are not read.
+    0 if none.  Null or wordless texts have no phrases; texts of any length are read whole.  Repeated rows and ties give equal
+    results, an empty table none; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), words_of(F.col(text_col)).alias("words"))
-    vocabulary = sorted({w for _, w, _ in template_words()})
-    index = postings(inverse_frequencies(rows, vocabulary))
+    idf = inverse_frequencies(rows, licence_words(templates))
+    index = postings(idf, templates)
+    by_rarity = F.split(F.lit(" ".join(sorted(idf, key=lambda w: (-idf[w], w)))), " ")
     schema = "word string, template int, place int, weight double, label string, key string, key_at int, key_size int"
-    table = docs.sparkSession.createDataFrame(index, schema)  # TEMPLATES * RARE_WORDS rows or little more
-    rare, longest = sorted({p[0] for p in index}), max(len(t[1].split()) for t in TEMPLATES)
+    table = docs.sparkSession.createDataFrame(index, schema)  # a row per licence word of the templates
+    longest = max(len(t[1].split()) for t in templates)
     base = rows.withColumn("n_words", F.size("words").cast("long"))
     base = base.withColumns({f"p{k}": _starts(p) for k, p in enumerate(PHRASES)})
-    base = base.withColumn("places", F.filter(F.transform("words", lambda w, i: F.when(w.isin(rare), i)), lambda i: i.isNotNull()))
+    base = base.withColumn("rare", F.slice(F.array_intersect(by_rarity, "words"), 1, FILE_WORDS))  # in the order of the first array
+    found_at = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains("rare", w), i)), lambda i: i.isNotNull())
+    base = base.withColumn("places", F.when(F.size("rare") > 0, found_at).otherwise(F.expr("cast(array() as array<int>)")))
     every = F.concat(*[f"p{k}" for k in range(len(PHRASES))])
     labels = F.array_sort(F.array_compact(F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(v)) for k, v in enumerate(PHRASES.values())])))
     cut = F.transform("places", lambda p: F.struct(p.alias("at"), F.element_at("words", p + 1).alias("word"), F.slice("words", F.greatest(p - longest + 2, F.lit(1)), 2 * longest - 1).alias("around")))
