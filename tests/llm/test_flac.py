@@ -87,3 +87,22 @@ def test_stored_blocks_are_sought_by_offset(spark):
     features = flac.media_features(media)
     assert features.where("doc_id = 3").count() == 2 and features.where("doc_id = 3").drop("doc_id").distinct().count() == 1
     assert flac.media_features(flac.store_media(rows.limit(0))).count() == 0
+
+
+def test_a_header_inside_a_frame_is_no_frame():
+    """A verbatim-like run of bytes that forms the next frame's header, with its checksum, inside the first frame."""
+    fake = bytes([128 ^ b for b in flac.frame_header(1, 4096)])
+    rng = np.random.default_rng(5)
+    n = 2 * 4096
+    body = rng.integers(0, 256, n, dtype=np.uint8)
+    subframe = lambda x: bytes([2]) + bytes(v ^ 0x80 for v in x)
+    body[100 : 100 + len(fake)] = list(fake)
+    frames = b""
+    for i in range(2):
+        frame = flac.frame_header(i, 4096) + subframe(body[i * 4096 : (i + 1) * 4096].tolist())
+        frames += frame + int(flac.crc16(np.frombuffer(frame, np.uint8), np.array([0]), np.array([len(frame)]))[0]).to_bytes(2, "big")
+    packed = (8000 << 44) | (7 << 36) | n
+    info = (4096).to_bytes(2, "big") * 2 + bytes(6) + packed.to_bytes(8, "big") + bytes(16)
+    stream = b"fLaC\x80\x00\x00\x22" + info + frames
+    assert flac.frame_header(1, 4096) in stream[42 + 20 : 42 + 400]
+    assert b"".join(bytes(x ^ 0x80 for x in b[2]) for b in flac.decode([stream])[0]) == body.tobytes()

@@ -206,12 +206,16 @@ class Stream:
         self.start, self.data = at, data
 
     def frames(self, start: int | None = None) -> list[tuple[int, int, int, int]]:
-        """(first byte, subframe byte, samples, first sample) of each frame from ``start``: sync codes whose header checksum is right and whose
-        number follows; false ones fail the frame's checksum later."""
+        """(first byte, subframe byte, samples, first sample) of each frame from ``start``.
+
+        A frame begins at a sync code whose header checksum is right and whose number follows, where the frame before ends with its
+        own checksum: the same bytes may stand inside a frame by chance.
+        """
         out, at, number = [], self.start if start is None else start, None
+        known = {self.start + p[1] for p in self.seek}
         while (at := self.data.find(b"\xff\xf8", at)) >= 0:
             found = _read_header(self.data, at)
-            if found and number in (None, found[0]):
+            if found and number in (None, found[0]) and (not out or at in known or self._ends(out[-1][0], at)):
                 out.append((at, at + found[2], found[1], found[0] * self.block))
                 number = found[0] + 1
                 at += found[2]
@@ -219,6 +223,11 @@ class Stream:
                 at += 1
         return out
 
+    def _ends(self, first: int, end: int) -> bool:
+        """Whether a frame that begins at ``first`` has its checksum right before ``end``."""
+        data = np.frombuffer(self.data, np.uint8)
+        return int(crc16(data, np.array([first]), np.array([end - 2]))[0]) == int(data[end - 2]) << 8 | int(data[end - 1])
+
 
 def _read_header(data: bytes, at: int) -> tuple[int, int, int] | None:
     """(frame number, samples, header bytes), or None if the bytes there are no header of a fixed-size stream."""
