@@ -62,14 +62,14 @@ CUBE = list(itertools.product(range(3), repeat=3))
 def test_betti(spark, points, expected):
     groups = spark.createDataFrame([(0,)], "v int")
     row = G.topology(voxels(spark, points), groups, V).first()
-    assert (row.betti_0, row.betti_1, row.betti_2, row.euler) == expected
+    assert (row.betti0, row.betti1, row.betti2, row.euler) == expected
 
 
-def test_betti_26_and_empty(spark):
+def test_betti26_and_empty(spark):
     groups = spark.createDataFrame([(0,), (1,)], "v int")
     rows = {r.v: r for r in G.topology(voxels(spark, [(0, 0, 0), (1, 1, 1)]), groups, V, 26).collect()}
-    assert (rows[0].betti_0, rows[0].betti_1, rows[0].betti_2, rows[0].euler) == (1, 0, 0, 1)
-    assert (rows[1].betti_0, rows[1].euler) == (0, 0)
+    assert (rows[0].betti0, rows[0].betti1, rows[0].betti2, rows[0].euler) == (1, 0, 0, 1)
+    assert (rows[1].betti0, rows[1].euler) == (0, 0)
 
 
 def test_connectivity(spark):
@@ -85,13 +85,35 @@ def test_split_and_merge(spark):
     groups = spark.createDataFrame([(0,)], "v int")
     a, b = E.labelled(voxels(spark, whole), V), E.labelled(voxels(spark, parts), V)
     row = E.component_metrics(b, a, groups, V).first()
-    assert (row.prediction_components, row.target_components, row.split_targets, row.merged_predictions, row.overlap_pairs) == (2, 1, 1, 0, 2)
-    assert row.iou_mean == pytest.approx(1 / 3)
+    assert (row.prediction_components, row.target_components, row.split_count, row.merge_count, row.matched_pair_count) == (2, 1, 1, 0, 2)
+    assert row.matched_iou_mean == pytest.approx(1 / 3)
     row = E.component_metrics(a, b, groups, V).first()
-    assert (row.component_difference, row.merged_predictions) == (-1, 1)
+    assert (row.component_count_difference, row.merge_count) == (-1, 1)
 
 
 def test_cube_uses_grouping_not_nulls(spark):
     rows = spark.createDataFrame([("m", None, "a", 1.0), ("m", "s", "a", 3.0)], "method string, split string, domain string, dice double")
     out = {(r.split, r.domain): r.mean_dice for r in E.macro_cube(rows).collect()}
     assert out[("all", "all")] == 2.0 and out[("s", "all")] == 3.0 and out[(None, "a")] == 1.0
+
+
+def test_composite_joins_by_faces_and_stays_within_the_valid_mask(spark):
+    """Voxels that touch at a corner are two components by default; nothing outside the valid mask counts."""
+    points = [(0, 0, 0), (1, 1, 1), (1, 1, 2), (3, 0, 0)]
+    rows = [(0, z, y, x, (z, y, x) in points, (z, y, x) in points[:3], not (z == 3)) for z in range(4) for y in range(2) for x in range(3)]
+    rows = spark.createDataFrame(rows, "v int, z int, y int, x int, prediction boolean, target boolean, valid boolean")
+    whole, part = E.evaluate_masks(rows, V).first(), E.evaluate_masks(rows, V, valid="valid").first()
+    assert (whole.raw_component_prediction_components, whole.raw_component_target_components, whole.raw_component_false_components) == (3, 2, 1)
+    assert (whole.raw_topology_prediction_betti0, whole.raw_topology_betti_error) == (3, 1)
+    assert (part.raw_component_prediction_components, part.raw_topology_betti_error, part.raw_valid_voxels, part.raw_fp) == (2, 0, 18, 0)
+    loose = E.evaluate_masks(rows, V, connectivity=26).first()
+    assert loose.raw_component_prediction_components == 2 and loose.raw_topology_prediction_betti0 == 2
+    assert len(whole) == 82 and (whole.neighbor_correction_rounds, whole.neighbor_correction_connectivity, whole.neighbor_correction_uses_target_to_modify_prediction) == (2, 6, True)
+
+
+def test_background_runs_are_the_complement(spark):
+    points = [(z, y, x) for z in range(3) for y in range(3) for x in range(4) if (z * 5 + y * 3 + x * 7) % 4]
+    rows = voxels(spark, points)
+    runs = G.background_runs(G.runs_of(rows, V), V)
+    listed = runs.select("v", "z", "y", F.explode(F.sequence("x0", "x1")).alias("x")).collect()
+    assert sorted(map(tuple, listed)) == sorted(map(tuple, G.complement(rows, V).select("v", "z", "y", "x").collect()))

@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import safe_divide, slab_of
-from .grid import AXES, components, shifted
+from .grid import AXES, components, run_components, runs_of, saved, shifted, topology_comparison, voxels_of
+from .grid import topology as topology_of
 
+#: Fixed value: prefix of the metrics of a mask corrected with knowledge of the target.
+CORRECTED = "target_informed_neighbor_corrected"
 COUNTS = ["valid_voxels", "prediction_positive_voxels", "target_positive_voxels", "tp", "fp", "fn", "tn"]
 
 
@@ -105,9 +108,9 @@ def neighbour_correction(rows: DataFrame, by: Sequence[str], rounds: int = 2, pr
 
 
 def correction_counts(corrected: DataFrame, by: Sequence[str], target: str = "target") -> DataFrame:
-    """by, false_negatives_promoted, false_positives_removed."""
+    """by, fn_promoted_to_tp_voxels, fp_removed_voxels."""
     t, hit = F.coalesce(F.col(target), F.lit(False)), F.col("changed_in").isNotNull()
-    return corrected.groupBy(*by).agg(F.count_if(hit & t).alias("false_negatives_promoted"), F.count_if(hit & ~t).alias("false_positives_removed"))
+    return corrected.groupBy(*by).agg(F.count_if(hit & t).alias("fn_promoted_to_tp_voxels"), F.count_if(hit & ~t).alias("fp_removed_voxels"))
 
 
 def component_overlap(prediction: DataFrame, target: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -131,9 +134,9 @@ def component_metrics(prediction: DataFrame, target: DataFrame, groups: DataFram
     p, t = sizes(prediction, "prediction_component"), sizes(target, "target_component")
     pairs = component_overlap(prediction, target, by).join(p, [*by, "prediction_component"]).join(t, [*by, "target_component"])
     pairs = pairs.withColumn("iou", F.col("overlap") / (F.col("prediction_component_size") + F.col("target_component_size") - F.col("overlap")))
-    ps = pairs.groupBy(*by, "prediction_component").agg(F.count("*").alias("d")).groupBy(*by).agg(F.count("*").alias("matched_predictions"), F.count_if(F.col("d") > 1).alias("merged_predictions"))
-    ts = pairs.groupBy(*by, "target_component").agg(F.count("*").alias("d")).groupBy(*by).agg(F.count("*").alias("matched_targets"), F.count_if(F.col("d") > 1).alias("split_targets"))
-    stats = pairs.groupBy(*by).agg(F.count("*").alias("overlap_pairs"), F.avg("iou").alias("iou_mean"), F.median("iou").alias("iou_median"), F.min("iou").alias("iou_min"), F.max("iou").alias("iou_max"))
+    ps = pairs.groupBy(*by, "prediction_component").agg(F.count("*").alias("d")).groupBy(*by).agg(F.count("*").alias("matched_prediction_components"), F.count_if(F.col("d") > 1).alias("merge_count"))
+    ts = pairs.groupBy(*by, "target_component").agg(F.count("*").alias("d")).groupBy(*by).agg(F.count("*").alias("matched_target_components"), F.count_if(F.col("d") > 1).alias("split_count"))
+    stats = pairs.groupBy(*by).agg(F.count("*").alias("matched_pair_count"), F.avg("iou").alias("matched_iou_mean"), F.median("iou").alias("matched_iou_median"), F.min("iou").alias("matched_iou_min"), F.max("iou").alias("matched_iou_max"))
     out = groups.select(*by).distinct()
     for part in (p.groupBy(*by).agg(F.count("*").alias("prediction_components")), t.groupBy(*by).agg(F.count("*").alias("target_components")), ps, ts, stats):
         out = out.join(part, by, "left")
@@ -143,25 +146,43 @@ def component_metrics(prediction: DataFrame, target: DataFrame, groups: DataFram
         *by,
         "prediction_components",
         "target_components",
-        (n_p - n_t).alias("component_difference"),
+        (n_p - n_t).alias("component_count_difference"),
         F.abs(n_p - n_t).alias("component_count_error"),
-        "matched_predictions",
-        "matched_targets",
-        safe_divide("matched_predictions", n_p).alias("component_precision"),
-        safe_divide("matched_targets", n_t).alias("component_recall"),
-        (n_p - F.col("matched_predictions")).alias("false_components"),
-        (n_t - F.col("matched_targets")).alias("missed_components"),
-        "split_targets",
-        "merged_predictions",
-        "overlap_pairs",
-        *[F.col(c).cast("double").alias(c) for c in ("iou_mean", "iou_median", "iou_min", "iou_max")],
+        "matched_prediction_components",
+        "matched_target_components",
+        safe_divide("matched_prediction_components", n_p).alias("component_precision"),
+        safe_divide("matched_target_components", n_t).alias("component_recall"),
+        (n_p - F.col("matched_prediction_components")).alias("false_components"),
+        (n_t - F.col("matched_target_components")).alias("missed_components"),
+        "split_count",
+        "merge_count",
+        "matched_pair_count",
+        *[F.col(c).cast("double").alias(c) for c in ("matched_iou_mean", "matched_iou_median", "matched_iou_min", "matched_iou_max")],
     )
 
 
-def labelled(voxels: DataFrame, by: Sequence[str], connectivity: int = 26) -> DataFrame:
+def labelled(voxels: DataFrame, by: Sequence[str], connectivity: int = 6) -> DataFrame:
     return components(voxels, by, connectivity)
 
 
+def masked_sides(rows: DataFrame, by: Sequence[str], prediction: str = "prediction", target: str = "target", valid: str | None = None) -> DataFrame:
+    """by, side, z, y, x: the voxels of both masks (within ``valid``) as one table, so that both are labelled in one go."""
+    sides = F.array_compact(F.array(F.when(F.col(prediction), F.lit("prediction")), F.when(F.col(target), F.lit("target"))))
+    rows = rows if valid is None else rows.where(F.col(valid))
+    return saved(rows.select(*by, *AXES, F.explode(sides).alias("side")), "sides")
+
+
+def labelled_sides(sides: DataFrame, by: Sequence[str], connectivity: int = 6) -> DataFrame:
+    """The labelled runs of both masks of ``masked_sides``."""
+    by = [*by, "side"]
+    return saved(run_components(runs_of(sides, by), by, connectivity), "labelled")
+
+
+def side_of(runs: DataFrame, by: Sequence[str], side: str) -> DataFrame:
+    """The labelled voxels of one mask."""
+    return voxels_of(runs.where(F.col("side") == side), by)
+
+
 def depth_slab_metrics(rows: DataFrame, by: Sequence[str], nz: str = "nz", slabs: int = 8, rounds: int = 0, **masks: str) -> DataFrame:
     """Metrics per depth slab, with slab and its middle as a part of the depth. Corrections never cross a slab border."""
     cut = rows.withColumn("slab", slab_of("z", nz, slabs))
@@ -175,14 +196,31 @@ def depth_slab_metrics(rows: DataFrame, by: Sequence[str], nz: str = "nz", slabs
     return out.join(edges.withColumn("depth_fraction", (F.col("z0") + F.col("z1")) / 2 / F.col("_nz")).drop("_nz"), by)
 
 
-def depth_trends(slabs: DataFrame, by: Sequence[str], metrics: Sequence[str] = ("dice", "precision", "recall")) -> DataFrame:
-    """Least-squares slope of each metric over the depth, with the slabs it rests on; null where fewer than two are valid."""
-    p, t = F.col("prediction_positive_voxels"), F.col("target_positive_voxels")
-    valid = {"dice": p + t > 0, "precision": p > 0, "recall": t > 0}
+def depth_rows(rows: DataFrame, by: Sequence[str], nz: str = "nz", slabs: int = 8, rounds: int = 2, **masks: str) -> DataFrame:
+    """Per depth slab its place and the raw and corrected metrics, under their prefixes."""
+    cut = rows.withColumn("slab", slab_of("z", nz, slabs))
+    keys = [*by, "slab"]
+    fixed = neighbour_correction(cut, keys, rounds, **masks)
+    target, valid = masks.get("target", "target"), masks.get("valid")
+    raw = voxel_metrics(cut, keys, masks.get("prediction", "prediction"), target, valid, "raw_")
+    corrected = voxel_metrics(fixed, keys, "corrected", target, valid, f"{CORRECTED}_")
+    edges = cut.groupBy(*keys).agg(F.min("z").alias("slab_start"), (F.max("z") + 1).alias("slab_stop"), F.max(nz).alias("_nz"))
+    edges = edges.withColumn("depth_fraction_midpoint", (F.col("slab_start") + F.col("slab_stop")) / 2 / F.col("_nz")).drop("_nz")
+    return edges.join(raw, keys).join(corrected, keys)
+
+
+def depth_trends(slabs: DataFrame, by: Sequence[str], metrics: Sequence[str] = ("dice", "precision", "recall"), prefixes: Sequence[str] = ("",), depth: str = "depth_fraction") -> DataFrame:
+    """Least-squares slope of each metric of each prefix over the depth, with the slabs it rests on; null where fewer than two are valid.
+
+    A slab is valid for a metric by the counts of the same prefix.
+    """
     parts = []
-    for m in metrics:
-        y = F.when(valid.get(m, F.lit(True)), F.col(m))
-        parts += [F.regr_slope(y, F.col("depth_fraction")).alias(f"{m}_slope"), F.count(y).alias(f"{m}_fit_slabs")]
+    for prefix in prefixes:
+        p, t = F.col(f"{prefix}prediction_positive_voxels"), F.col(f"{prefix}target_positive_voxels")
+        valid = {"dice": p + t > 0, "precision": p > 0, "recall": t > 0}
+        for m in metrics:
+            y = F.when(valid.get(m, F.lit(True)), F.col(prefix + m))
+            parts += [F.regr_slope(y, F.col(depth)).alias(f"{prefix}{m}_slope_per_depth_fraction"), F.count(y).alias(f"{prefix}{m}_fit_slabs")]
     return slabs.groupBy(*by).agg(*parts)
 
 
@@ -199,21 +237,30 @@ def heldout_summary(rows: DataFrame, metrics: Sequence[str] = ("dice", "iou", "p
     return rows.where(F.col("split") == split).groupBy("method").agg(F.count("*").alias("n_patches"), *[F.avg(m).alias(f"mean_{m}") for m in metrics])
 
 
-def evaluate_masks(rows: DataFrame, by: Sequence[str], rounds: int = 2, topology: bool = True, with_components: bool = True) -> DataFrame:
-    """Raw and corrected metrics, correction counts, topology comparison and component metrics, one row per group."""
-    from .grid import topology as topology_of
-    from .grid import topology_comparison
+def evaluate_masks(rows: DataFrame, by: Sequence[str], rounds: int = 2, topology: bool = True, with_components: bool = True, valid: str | None = None, connectivity: int = 6, prediction: str = "prediction", target: str = "target") -> DataFrame:
+    """Raw and corrected metrics, the correction, topology comparison and component metrics: 81 columns a group.
 
+    Topology and components are those of the unmodified masks within ``valid``; both masks are labelled in one go, and their
+    labels serve the components and the number of parts.
+    """
     by = list(by)
+    used = dict.fromkeys([*by, *AXES, prediction, target, *([valid] if valid else [])])
+    rows = saved(rows.select(*used), "masks")
     groups = rows.select(*by).distinct()
-    fixed = neighbour_correction(rows, by, rounds)
-    out = voxel_metrics(rows, by, prefix="raw_")
-    out = out.join(voxel_metrics(fixed, by, "corrected", prefix="corrected_"), by).join(correction_counts(fixed, by), by)
-    p, t = rows.where("prediction").select(*by, *AXES), rows.where("target").select(*by, *AXES)
+    fixed = saved(neighbour_correction(rows, by, rounds, prediction, target, valid), "corrected")
+    out = voxel_metrics(rows, by, prediction, target, valid, "raw_").join(voxel_metrics(fixed, by, "corrected", target, valid, f"{CORRECTED}_"), by)
+    counts = correction_counts(fixed, by, target).withColumns({"rounds": F.lit(rounds), "connectivity": F.lit(6), "uses_target_to_modify_prediction": F.lit(True)})
+    out = out.join(counts.withColumnsRenamed({c: f"neighbor_correction_{c}" for c in counts.columns if c not in by}), by)
+    if not (topology or with_components):
+        return out
+    sides = masked_sides(rows, by, prediction, target, valid)
+    runs = labelled_sides(sides, by, connectivity)
     if topology:
-        found = topology_comparison(topology_of(p, groups, by), topology_of(t, groups, by), by)
+        both = groups.select(*by, F.explode(F.array(F.lit("prediction"), F.lit("target"))).alias("side"))
+        found = saved(topology_of(sides, both, [*by, "side"], connectivity, labelled_runs=runs), "topology")
+        found = topology_comparison(found.where("side = 'prediction'"), found.where("side = 'target'"), by)
         out = out.join(found.withColumnsRenamed({c: f"raw_topology_{c}" for c in found.columns if c not in by}), by)
     if with_components:
-        found = component_metrics(labelled(p, by), labelled(t, by), groups, by)
+        found = component_metrics(side_of(runs, by, "prediction"), side_of(runs, by, "target"), groups, by)
         out = out.join(found.withColumnsRenamed({c: f"raw_component_{c.removeprefix('component_')}" for c in found.columns if c not in by}), by)
     return out

@@ -10,7 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -50,17 +50,30 @@ def touching(voxels: DataFrame, front: DataFrame, by: Sequence[str], connectivit
     return voxels.join(shifted(front, by, connectivity), [*by, *AXES], "left_semi")
 
 
-def components(voxels: DataFrame, by: Sequence[str], connectivity: int = 6) -> DataFrame:
-    """by, z, y, x, component: the connected components, each named by the smallest run of its voxels.
-
-    Rows of voxels along x are first collapsed to runs, runs of neighbouring rows that touch are joined, and the run graph is
-    contracted by alternating large and small stars, so a volume may be larger than any executor.
-    """
+def runs_of(voxels: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, z, y, start, x0, x1: the runs of voxels along x; ``start`` tells the runs of a line apart."""
     line = Window.partitionBy(*by, "z", "y").orderBy("x")
     rows = voxels.select(*by, *AXES).distinct().withColumn("start", F.col("x") - F.row_number().over(line))
-    runs = rows.groupBy(*by, "z", "y", "start").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-    node = F.struct("z", "y", "x0")
-    runs = saved(runs.withColumn("run", node), "runs")
+    return rows.groupBy(*by, "z", "y", "start").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
+
+
+def background_runs(runs: DataFrame, by: Sequence[str], pad: int = 1) -> DataFrame:
+    """The same of the voxels that are absent within the box of each group, grown by ``pad`` on all sides; no voxel is listed."""
+    box = runs.groupBy(*by).agg(*[F.min(c).alias(f"{c}_low") for c in ("z", "y", "x0")], *[F.max(c).alias(f"{c}_high") for c in ("z", "y", "x1")])
+    ends = box.select(*by, (F.col("x0_low") - pad - 1).alias("first"), (F.col("x1_high") + pad + 1).alias("last"))
+    lines = box.withColumn("z", F.explode(F.sequence(F.col("z_low") - pad, F.col("z_high") + pad)))
+    lines = lines.withColumn("y", F.explode(F.sequence(F.col("y_low") - pad, F.col("y_high") + pad)))
+    before = lines.select(*by, "z", "y", (F.col("x0_low") - pad - 1).alias("x0"), (F.col("x0_low") - pad - 1).alias("x1"))
+    every = runs.select(*by, "z", "y", "x0", "x1").union(before)
+    after = F.lead("x0").over(Window.partitionBy(*by, "z", "y").orderBy("x0"))
+    gaps = every.withColumn("after", after).join(ends, list(by))  # a row per group
+    gaps = gaps.select(*by, "z", "y", (F.col("x1") + 1).alias("x0"), (F.coalesce("after", "last") - 1).alias("x1")).where("x0 <= x1")
+    return gaps.select(*by, "z", "y", F.col("x0").alias("start"), "x0", "x1")
+
+
+def run_components(runs: DataFrame, by: Sequence[str], connectivity: int) -> DataFrame:
+    """``runs`` with component, the smallest run (z, y, x0) reachable over runs of neighbouring lines that touch."""
+    runs = saved(runs.withColumn("run", F.struct("z", "y", "x0")), "runs")
     most = {6: 1, 18: 2, 26: 3}[connectivity]
     lines = {(dz, dy): max(dx for dx in (0, 1) if abs(dz) + abs(dy) + dx <= most) for dz, dy, _ in offsets(connectivity) if (dz, dy) > (0, 0)}
     each = F.array(*[F.struct(F.lit(dz).alias("dz"), F.lit(dy).alias("dy"), F.lit(r).alias("r")) for (dz, dy), r in sorted(lines.items())])
@@ -68,9 +81,22 @@ def components(voxels: DataFrame, by: Sequence[str], connectivity: int = 6) -> D
     left = left.select(*by, (F.col("z") + F.col("o.dz")).alias("z"), (F.col("y") + F.col("o.dy")).alias("y"), "a0", "a1", "_u", F.col("o.r").alias("r"))
     links = left.join(runs, [*by, "z", "y"]).where((F.col("a0") <= F.col("x1") + F.col("r")) & (F.col("x0") <= F.col("a1") + F.col("r")))
     named = _stars(links.select(*by, "_u", F.col("run").alias("_v")), list(by))
-    named = runs.join(named, [*by, "run"], "left").withColumn("component", F.coalesce("component", "run"))
-    joined = rows.join(named.select(*by, "z", "y", "start", "component"), [*by, "z", "y", "start"])
-    return joined.select(*by, *AXES, "component")
+    return runs.join(named, [*by, "run"], "left").withColumn("component", F.coalesce("component", "run")).drop("run")
+
+
+def components(voxels: DataFrame, by: Sequence[str], connectivity: int = 6) -> DataFrame:
+    """by, z, y, x, component: the connected components, each named by the smallest run of its voxels.
+
+    Rows of voxels along x are first collapsed to runs, runs of neighbouring rows that touch are joined, and the run graph is
+    contracted by alternating large and small stars, so a volume may be larger than any executor.
+    """
+    offsets(connectivity)  # checks it
+    return voxels_of(run_components(runs_of(voxels, by), by, connectivity), by)
+
+
+def voxels_of(runs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The voxels of labelled runs."""
+    return runs.select(*by, "z", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "component")
 
 
 def _stars(links: DataFrame, by: list[str], rounds: int = 60) -> DataFrame:
@@ -89,14 +115,15 @@ def _stars(links: DataFrame, by: list[str], rounds: int = 60) -> DataFrame:
             out = out.union(least.select(*by, "_u", F.col("_m").alias("_v")))
         return out.where("_u <> _v").distinct()
 
-    def mark(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64(*by, "_u", "_v"))).first())
+    def kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
+        """The edges as a table, and a mark of them that is taken while they are written."""
+        seen = Observation()
+        out = saved(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*by, "_u", "_v")).alias("x")), "links")
+        return out, tuple(seen.get[k] for k in ("n", "x"))
 
-    edges = saved(links.where("_u <> _v").distinct(), "links")
-    before = mark(edges)
+    edges, before = kept(links.where("_u <> _v").distinct())
     for _ in range(rounds):
-        edges = saved(step(step(edges, True), False), "links")
-        now = mark(edges)
+        edges, now = kept(step(step(edges, True), False))
         if now == before:
             return edges.select(*by, F.greatest("_u", "_v").alias("run"), F.least("_u", "_v").alias("component")).distinct()
         before = now
@@ -142,15 +169,15 @@ def complement(voxels: DataFrame, by: Sequence[str], pad: int = 1) -> DataFrame:
     return full.join(voxels.select(*by, *AXES), [*by, *AXES], "left_anti")
 
 
-def _count_components(voxels: DataFrame, by: Sequence[str], connectivity: int, name: str) -> DataFrame:
-    return components(voxels, by, connectivity).groupBy(*by).agg(F.countDistinct("component").alias(name))
+def _counted(runs: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+    return runs.groupBy(*by).agg(F.countDistinct("component").alias(name))
 
 
-def topology(voxels: DataFrame, groups: DataFrame, by: Sequence[str], connectivity: int = 6, valid: DataFrame | None = None) -> DataFrame:
-    """by, betti_0, betti_1, betti_2, euler of every row of ``groups``; empty masks are all zero.
+def topology(voxels: DataFrame, groups: DataFrame, by: Sequence[str], connectivity: int = 6, valid: DataFrame | None = None, labelled_runs: DataFrame | None = None) -> DataFrame:
+    """by, betti0, betti1, betti2, euler of every row of ``groups``; empty masks are all zero.
 
-    With 6-neighbours the background is joined by 26, and the other way round.  ``valid`` limits the mask to its voxels and the
-    box to theirs.
+    With 6-neighbours the background is joined by 26, and the other way round.  ``valid`` limits the mask to its voxels.
+    ``labelled_runs``: the mask's ``run_components`` of the same connectivity, where they are known already.
     """
     if connectivity not in (6, 26):
         raise ValueError("topology needs a connectivity of 6 or 26")
@@ -158,28 +185,28 @@ def topology(voxels: DataFrame, groups: DataFrame, by: Sequence[str], connectivi
     if valid is not None:
         voxels = voxels.join(valid.select(*by, *AXES), [*by, *AXES], "left_semi")
     voxels = voxels.select(*by, *AXES).distinct()
-    outside = complement(voxels, by)
-    parts = _count_components(voxels, by, connectivity, "betti_0")
-    holes = _count_components(outside, by, 32 - connectivity, "outer").select(*by, (F.col("outer") - 1).alias("betti_2"))
+    runs = runs_of(voxels, by) if labelled_runs is None else labelled_runs
+    parts = _counted(run_components(runs, by, connectivity) if labelled_runs is None else labelled_runs, by, "betti0")
+    outer = run_components(background_runs(runs, by), by, 32 - connectivity)
+    holes = _counted(outer, by, "outer")
     if connectivity == 6:
-        out = parts.join(holes, by).join(euler_cells(voxels, by).select(*by, "euler"), by)
-        out = out.withColumn("betti_1", F.col("betti_0") + F.col("betti_2") - F.col("euler"))
-    else:  # by duality: the tunnels of the padded background with 6-neighbours
-        inner = _count_components(outside, by, 6, "b0").join(euler_cells(outside, by).select(*by, "euler"), by)
-        caves = _count_components(complement(outside, by), by, 26, "cc").select(*by, (F.col("cc") - 1).alias("b2"))
-        tunnels = inner.join(caves, by).select(*by, (F.col("b0") + F.col("b2") - F.col("euler")).alias("betti_1"))
-        out = parts.join(holes, by).join(tunnels, by).withColumn("euler", F.col("betti_0") - F.col("betti_1") + F.col("betti_2"))
-    names = ["betti_0", "betti_1", "betti_2", "euler"]
+        out = parts.join(holes, by).join(euler_cells(voxels, by).select(*by, "euler"), by).withColumn("betti2", F.col("outer") - 1)
+        out = out.withColumn("betti1", F.col("betti0") + F.col("betti2") - F.col("euler"))
+    else:  # by duality: the tunnels of the padded background with 6-neighbours, whose own cavities are the mask's components
+        cells = euler_cells(voxels_of(outer, by), by).select(*by, F.col("euler").alias("cells"))
+        out = parts.join(holes, by).join(cells, by).withColumn("betti1", F.col("outer") + F.col("betti0") - F.col("cells"))
+        out = out.withColumn("betti2", F.col("outer") - 1).withColumn("euler", F.col("betti0") - F.col("betti1") + F.col("betti2"))
+    names = ["betti0", "betti1", "betti2", "euler"]
     return groups.select(*by).distinct().join(out.select(*by, *names), by, "left").fillna(0, names)
 
 
 def topology_comparison(prediction: DataFrame, target: DataFrame, by: Sequence[str]) -> DataFrame:
-    """17 columns: both sides' values, signed and absolute differences, and betti_error (sum of the absolute Betti differences)."""
-    names = ["betti_0", "betti_1", "betti_2", "euler"]
+    """17 columns: both sides' values, signed differences and errors, and betti_error (sum of the Betti errors)."""
+    names = ["betti0", "betti1", "betti2", "euler"]
     p = prediction.select(*by, *[F.col(n).alias(f"prediction_{n}") for n in names])
     t = target.select(*by, *[F.col(n).alias(f"target_{n}") for n in names])
     out = p.join(t, list(by))
     for n in names:
         out = out.withColumn(f"{n}_difference", F.col(f"prediction_{n}") - F.col(f"target_{n}"))
-        out = out.withColumn(f"{n}_absolute_error", F.abs(f"{n}_difference"))
-    return out.withColumn("betti_error", sum(F.col(f"{n}_absolute_error") for n in names[:3]))
+        out = out.withColumn(f"{n}_error", F.abs(f"{n}_difference"))
+    return out.withColumn("betti_error", sum(F.col(f"{n}_error") for n in names[:3]))

@@ -170,8 +170,8 @@ O["heldout_summary"] = f"""{_CASES} SELECT method, count(*) AS n_patches, {", ".
 FROM cm WHERE split = 'heldout' GROUP BY method"""
 for _r in (1, 2):
     O[f"neighbor_correction_round{_r}"] = f"WITH {F1}, {_correction(_r)} SELECT {K}, changed_in, corrected FROM fixed WHERE changed_in IS NOT NULL"
-O["correction_counts"] = f"""WITH {F1}, {_correction(2)} SELECT volume_id, count(*) FILTER (changed_in IS NOT NULL AND target) AS false_negatives_promoted,
-count(*) FILTER (changed_in IS NOT NULL AND NOT target) AS false_positives_removed FROM fixed GROUP BY volume_id"""
+O["correction_counts"] = f"""WITH {F1}, {_correction(2)} SELECT volume_id, count(*) FILTER (changed_in IS NOT NULL AND target) AS fn_promoted_to_tp_voxels,
+count(*) FILTER (changed_in IS NOT NULL AND NOT target) AS fp_removed_voxels FROM fixed GROUP BY volume_id"""
 O["corrected_metrics"] = f"WITH {F1}, {_correction(2)}, c AS ({_confusion('fixed', V, 'corrected')}) {_metrics('c', V)}"
 O["neighbor_stencil"] = f"""WITH {F1}, {FACES} SELECT a.volume_id, count(DISTINCT (a.z, a.y, a.x)) AS n_touching FROM f1 a, o6, f1 b WHERE a.target AND NOT a.prediction AND b.target AND b.prediction
 AND a.volume_id = b.volume_id AND a.z = b.z + dz AND a.y = b.y + dy AND a.x = b.x + dx GROUP BY a.volume_id"""
@@ -183,7 +183,7 @@ O["depth_slab_corrected"] = f"""WITH {F1}, {_SLABS.format(rows='f1')}, {_EDGES.f
 cm AS ({_metrics('c', V + ', slab')}) {_DEPTH.format(by=V, d=9)}"""
 _TREND = {"dice": "prediction_positive_voxels + target_positive_voxels > 0", "precision": "prediction_positive_voxels > 0", "recall": "target_positive_voxels > 0"}
 O["depth_trends"] = f"""WITH {F3}, {_SLABS.format(rows='f3')}, {_EDGES.format(by='method, volume_id')}, c AS ({_confusion('sl', 'method, volume_id, slab')}), cm AS ({_metrics('c', 'method, volume_id, slab', digits=15)}),
-d AS ({_DEPTH.format(by='method, volume_id', d=15)}) SELECT method, volume_id, {", ".join(f"round(regr_slope(CASE WHEN {c} THEN {m} END, depth_fraction), 8) AS {m}_slope, count(CASE WHEN {c} THEN {m} END) AS {m}_fit_slabs" for m, c in _TREND.items())}
+d AS ({_DEPTH.format(by='method, volume_id', d=15)}) SELECT method, volume_id, {", ".join(f"round(regr_slope(CASE WHEN {c} THEN {m} END, depth_fraction), 8) AS {m}_slope_per_depth_fraction, count(CASE WHEN {c} THEN {m} END) AS {m}_fit_slabs" for m, c in _TREND.items())}
 FROM d GROUP BY method, volume_id"""
 
 
@@ -206,20 +206,91 @@ O["bbox_crop"] = f"""WITH {F1}, b AS (SELECT volume_id, min(z) AS z0, max(z) AS
 SELECT volume_id, z0, z1, y0, y1, x0, x1, count(*) AS n_inside FROM f1 JOIN b USING (volume_id) WHERE z BETWEEN z0 AND z1 AND y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1 GROUP BY ALL"""
 for _n in (6, 18, 26):
     O[f"components{_n}"] = f"WITH {F1}, {_components('cc', 'f1', 'prediction', _n)} SELECT {K}, {_decoded('component', ('cz', 'cy', 'cx'))} FROM cc"
-_BOTH = f"WITH {F1}, {_components('pc', 'f1', 'prediction', 6)}, {_components('tc', 'f1', 'target', 6)}, pr AS (SELECT pc.volume_id, pc.component AS p, tc.component AS t, count(*) AS overlap FROM pc JOIN tc ON pc.id = tc.id GROUP BY ALL)"
-O["component_overlap"] = f"{_BOTH} SELECT volume_id, {_decoded('p', ('pz', 'py', 'px'))}, {_decoded('t', ('tz', 'ty', 'tx'))}, overlap FROM pr"
-O["component_metrics"] = f"""{_BOTH}, ps AS (SELECT volume_id, component AS p, count(*) AS n FROM pc GROUP BY ALL), ts AS (SELECT volume_id, component AS t, count(*) AS n FROM tc GROUP BY ALL),
-io AS (SELECT pr.*, overlap / CAST(ps.n + ts.n - overlap AS DOUBLE) AS iou FROM pr JOIN ps USING (volume_id, p) JOIN ts USING (volume_id, t)),
-g AS (SELECT DISTINCT volume_id FROM f1), np AS (SELECT volume_id, count(*) AS n FROM ps GROUP BY 1), nt AS (SELECT volume_id, count(*) AS n FROM ts GROUP BY 1),
-dp AS (SELECT volume_id, count(*) AS m, count(*) FILTER (d > 1) AS b FROM (SELECT volume_id, p, count(*) AS d FROM io GROUP BY ALL) GROUP BY 1),
-dt AS (SELECT volume_id, count(*) AS m, count(*) FILTER (d > 1) AS b FROM (SELECT volume_id, t, count(*) AS d FROM io GROUP BY ALL) GROUP BY 1),
-st AS (SELECT volume_id, count(*) AS n, avg(iou) AS a, median(iou) AS md, min(iou) AS mi, max(iou) AS ma FROM io GROUP BY 1),
-a AS (SELECT g.volume_id, coalesce(np.n, 0) AS np, coalesce(nt.n, 0) AS nt, coalesce(dp.m, 0) AS mp, coalesce(dt.m, 0) AS mt, coalesce(dp.b, 0) AS bp, coalesce(dt.b, 0) AS bt, coalesce(st.n, 0) AS n,
+
+
+def _component_ctes(out: str, pc: str, tc: str, groups: str, x: str) -> str:
+    """CTEs; {out}: the 17 component metrics of two labelled masks, by volume_id. ``x``: prefix of the CTEs' names."""
+    return f"""
+{x}pr AS (SELECT {pc}.volume_id, {pc}.component AS p, {tc}.component AS t, count(*) AS overlap FROM {pc} JOIN {tc} ON {pc}.id = {tc}.id GROUP BY ALL),
+{x}ps AS (SELECT volume_id, component AS p, count(*) AS n FROM {pc} GROUP BY ALL), {x}ts AS (SELECT volume_id, component AS t, count(*) AS n FROM {tc} GROUP BY ALL),
+{x}io AS (SELECT r.*, overlap / CAST(a.n + b.n - overlap AS DOUBLE) AS iou FROM {x}pr r JOIN {x}ps a USING (volume_id, p) JOIN {x}ts b USING (volume_id, t)),
+{x}g AS (SELECT DISTINCT volume_id FROM {groups}), {x}np AS (SELECT volume_id, count(*) AS n FROM {x}ps GROUP BY 1), {x}nt AS (SELECT volume_id, count(*) AS n FROM {x}ts GROUP BY 1),
+{x}dp AS (SELECT volume_id, count(*) AS m, count(*) FILTER (d > 1) AS b FROM (SELECT volume_id, p, count(*) AS d FROM {x}io GROUP BY ALL) GROUP BY 1),
+{x}dt AS (SELECT volume_id, count(*) AS m, count(*) FILTER (d > 1) AS b FROM (SELECT volume_id, t, count(*) AS d FROM {x}io GROUP BY ALL) GROUP BY 1),
+{x}st AS (SELECT volume_id, count(*) AS n, avg(iou) AS a, median(iou) AS md, min(iou) AS mi, max(iou) AS ma FROM {x}io GROUP BY 1),
+{x}a AS (SELECT g.volume_id, coalesce(np.n, 0) AS np, coalesce(nt.n, 0) AS nt, coalesce(dp.m, 0) AS mp, coalesce(dt.m, 0) AS mt, coalesce(dp.b, 0) AS bp, coalesce(dt.b, 0) AS bt, coalesce(st.n, 0) AS n,
   coalesce(a, 0) AS a, coalesce(md, 0) AS md, coalesce(mi, 0) AS mi, coalesce(ma, 0) AS ma
-  FROM g LEFT JOIN np USING (volume_id) LEFT JOIN nt USING (volume_id) LEFT JOIN dp USING (volume_id) LEFT JOIN dt USING (volume_id) LEFT JOIN st USING (volume_id))
-SELECT volume_id, np AS prediction_components, nt AS target_components, np - nt AS component_difference, abs(np - nt) AS component_count_error, mp AS matched_predictions, mt AS matched_targets,
-CASE WHEN np = 0 THEN CAST(0 AS DOUBLE) ELSE round(mp / CAST(np AS DOUBLE), 9) END AS component_precision, CASE WHEN nt = 0 THEN CAST(0 AS DOUBLE) ELSE round(mt / CAST(nt AS DOUBLE), 9) END AS component_recall,
-np - mp AS false_components, nt - mt AS missed_components, bt AS split_targets, bp AS merged_predictions, n AS overlap_pairs, round(a, 9) AS iou_mean, round(md, 9) AS iou_median, round(mi, 9) AS iou_min, round(ma, 9) AS iou_max FROM a"""
+  FROM {x}g g LEFT JOIN {x}np np USING (volume_id) LEFT JOIN {x}nt nt USING (volume_id) LEFT JOIN {x}dp dp USING (volume_id) LEFT JOIN {x}dt dt USING (volume_id) LEFT JOIN {x}st st USING (volume_id)),
+{out} AS (SELECT volume_id, np AS prediction_components, nt AS target_components, np - nt AS component_count_difference, abs(np - nt) AS component_count_error, mp AS matched_prediction_components,
+  mt AS matched_target_components, CASE WHEN np = 0 THEN CAST(0 AS DOUBLE) ELSE round(mp / CAST(np AS DOUBLE), 9) END AS component_precision,
+  CASE WHEN nt = 0 THEN CAST(0 AS DOUBLE) ELSE round(mt / CAST(nt AS DOUBLE), 9) END AS component_recall, np - mp AS false_components, nt - mt AS missed_components, bt AS split_count, bp AS merge_count,
+  n AS matched_pair_count, round(a, 9) AS matched_iou_mean, round(md, 9) AS matched_iou_median, round(mi, 9) AS matched_iou_min, round(ma, 9) AS matched_iou_max FROM {x}a)"""
+
+
+_BOTH = f"WITH {F1}, {_components('pc', 'f1', 'prediction', 6)}, {_components('tc', 'f1', 'target', 6)}"
+O["component_overlap"] = f"{_BOTH}, pr AS (SELECT pc.volume_id, pc.component AS p, tc.component AS t, count(*) AS overlap FROM pc JOIN tc ON pc.id = tc.id GROUP BY ALL) SELECT volume_id, {_decoded('p', ('pz', 'py', 'px'))}, {_decoded('t', ('tz', 'ty', 'tx'))}, overlap FROM pr"
+O["component_metrics"] = f"{_BOTH}, {_component_ctes('cmx', 'pc', 'tc', 'f1', 'k')} SELECT * FROM cmx"
+
+
+def _background(name: str, rows: str, where: str) -> str:
+    """CTE of the voxels that a mask leaves free in its volume's box, grown by one on all sides."""
+    return f"""{name} AS MATERIALIZED (SELECT b.* FROM (SELECT volume_id, z, y, x FROM (SELECT volume_id, unnest(range(-1, nz + 1)) AS z FROM (SELECT DISTINCT volume_id, nz FROM f1)),
+(SELECT unnest(range(-1, 9)) AS y), (SELECT unnest(range(-1, 9)) AS x)) b WHERE NOT EXISTS (SELECT 1 FROM {rows} m WHERE m.volume_id = b.volume_id AND m.z = b.z AND m.y = b.y AND m.x = b.x AND {where}))"""
+
+
+def _topology(out: str, rows: str, where: str, connectivity: int = 6, labelled: str | None = None) -> str:
+    """CTEs; {out}: volume_id, betti0, betti1, betti2, euler. ``labelled``: CTE that has the mask's components already."""
+    fg = labelled or f"{out}_f"
+    first = "" if labelled else _components(fg, rows, where, connectivity) + ",\n"
+    counts = f"""{_background(f'{out}_b', rows, where)}, {_components(f'{out}_c', f'{out}_b', 'TRUE', 32 - connectivity, 4)},
+{out}_n AS (SELECT volume_id, count(DISTINCT component) AS n FROM {fg} GROUP BY 1), {out}_h AS (SELECT volume_id, count(DISTINCT component) AS n FROM {out}_c GROUP BY 1),"""
+    if connectivity == 6:
+        own = f"{_euler(f'{out}_e', rows, where)}, {out}_t AS (SELECT n.volume_id, n.n AS b0, n.n + h.n - 1 - (vertices - edges + faces - cubes) AS b1, h.n - 1 AS b2 FROM {out}_n n JOIN {out}_h h USING (volume_id) JOIN {out}_e USING (volume_id))"
+    else:
+        own = f"{_euler(f'{out}_e', f'{out}_b', 'TRUE')}, {out}_t AS (SELECT n.volume_id, n.n AS b0, h.n + n.n - (vertices - edges + faces - cubes) AS b1, h.n - 1 AS b2 FROM {out}_n n JOIN {out}_h h USING (volume_id) JOIN {out}_e USING (volume_id))"
+    names = ", ".join(f"CAST(coalesce({v}, 0) AS BIGINT) AS {n}" for v, n in (("b0", "betti0"), ("b1", "betti1"), ("b2", "betti2"), ("b0 - b1 + b2", "euler")))
+    return f"{first}{counts} {own}, {out} AS (SELECT g.volume_id, {names} FROM (SELECT DISTINCT volume_id FROM f1) g LEFT JOIN {out}_t USING (volume_id))"
+
+
+def _compared(p: str, t: str) -> str:
+    names = ("betti0", "betti1", "betti2", "euler")
+    cols = [f"p.{n} AS prediction_{n}, t.{n} AS target_{n}, p.{n} - t.{n} AS {n}_difference, abs(p.{n} - t.{n}) AS {n}_error" for n in names]
+    error = " + ".join(f"abs(p.{n} - t.{n})" for n in names[:3])
+    return f"SELECT p.volume_id, {', '.join(cols)}, {error} AS betti_error FROM {p} p JOIN {t} t USING (volume_id)"
+
+
+O["topology_betti"] = f"WITH {F1}, {_topology('tp', 'f1', 'prediction')} SELECT * FROM tp"
+O["topology_betti26"] = f"WITH {F1}, {_topology('tp', 'f1', 'prediction', 26)} SELECT * FROM tp"
+O["topology_comparison"] = f"WITH {F1}, {_topology('tp', 'f1', 'prediction')}, {_topology('tt', 'f1', 'target')} {_compared('tp', 'tt')}"
+CORRECTED = "target_informed_neighbor_corrected"
+
+
+def _evaluated(rows: str) -> str:
+    """The composite of both masks of a table of valid voxels."""
+    fixed = _correction(2, rows=rows)
+    parts = {
+        "er": _metrics("ec", V, "raw_"),
+        "ek": _metrics("ed", V, f"{CORRECTED}_"),
+        "en": "SELECT volume_id, 2 AS neighbor_correction_rounds, 6 AS neighbor_correction_connectivity, TRUE AS neighbor_correction_uses_target_to_modify_prediction, count(*) FILTER (changed_in IS NOT NULL AND target) AS neighbor_correction_fn_promoted_to_tp_voxels, count(*) FILTER (changed_in IS NOT NULL AND NOT target) AS neighbor_correction_fp_removed_voxels FROM fixed GROUP BY volume_id",
+        "et": "SELECT volume_id, COLUMNS(* EXCLUDE (volume_id)) AS 'raw_topology_\\0' FROM (" + _compared("tp", "tt") + ")",
+        "ex": "SELECT volume_id, COLUMNS(* EXCLUDE (volume_id)) AS 'raw_component_\\0' FROM (SELECT volume_id, component_count_difference AS count_difference, component_count_error AS count_error, component_precision AS precision, component_recall AS recall, * EXCLUDE (volume_id, component_count_difference, component_count_error, component_precision, component_recall) FROM cmx)",
+    }
+    ctes = ",\n".join(f"{k} AS ({v})" for k, v in parts.items())
+    return f"""{fixed}, ec AS ({_confusion(rows, V)}), ed AS ({_confusion('fixed', V, 'corrected')}), {_components('pc', rows, 'prediction', 6)}, {_components('tc', rows, 'target', 6)},
+{_topology('tp', rows, 'prediction', labelled='pc')}, {_topology('tt', rows, 'target', labelled='tc')}, {_component_ctes('cmx', 'pc', 'tc', rows, 'k')}, {ctes}
+SELECT * FROM er JOIN ek USING (volume_id) JOIN en USING (volume_id) JOIN et USING (volume_id) JOIN ex USING (volume_id)"""
+
+
+O["evaluate_masks"] = f"WITH {F1}, {_evaluated('f1')}"
+O["evaluate_masks_valid"] = f"WITH {F1}, fv AS MATERIALIZED (SELECT * FROM f1 WHERE h % 3 <> 0), {_evaluated('fv')}"
+_CASE_BY = "method, domain, split, volume_id"
+_DEPTHS = f"""WITH {F3}, {_SLABS.format(rows='f3')}, ed AS (SELECT {_CASE_BY}, slab, min(z) AS slab_start, max(z) + 1 AS slab_stop, (min(z) + max(z) + 1) / CAST(2 AS DOUBLE) / max(nz) AS depth_fraction_midpoint FROM sl GROUP BY ALL),
+{_correction(2, _CASE_BY + ', slab', 'sl')}, c AS ({_confusion('sl', _CASE_BY + ', slab')}), cc AS ({_confusion('fixed', _CASE_BY + ', slab', 'corrected')}),
+cm AS ({_metrics('c', _CASE_BY + ', slab', 'raw_', 15)}), ck AS ({_metrics('cc', _CASE_BY + ', slab', CORRECTED + '_', 15)}),
+dr AS (SELECT * FROM ed JOIN cm USING ({_CASE_BY}, slab) JOIN ck USING ({_CASE_BY}, slab))"""
+O["depth_rows"] = f"""{_DEPTHS} SELECT * REPLACE (round(depth_fraction_midpoint, 9) AS depth_fraction_midpoint, {", ".join(f"round({p}{n}, 9) AS {p}{n}" for p in ("raw_", CORRECTED + "_") for n in _NAMES[7:])}) FROM dr"""
+O["depth_trend_rows"] = f"""{_DEPTHS} SELECT {_CASE_BY}, {", ".join(f"round(regr_slope(CASE WHEN {c.replace('prediction_', p + 'prediction_').replace('target_positive', p + 'target_positive')} THEN {p}{m} END, depth_fraction_midpoint), 8) AS {p}{m}_slope_per_depth_fraction, count(CASE WHEN {c.replace('prediction_', p + 'prediction_').replace('target_positive', p + 'target_positive')} THEN {p}{m} END) AS {p}{m}_fit_slabs" for p in ("raw_", CORRECTED + "_") for m, c in _TREND.items())}
+FROM dr GROUP BY {_CASE_BY}"""
 
 _F2M = F2 + ", g2 AS (SELECT volume_id, z, y, x, CAST(CASE WHEN prob > 0 THEN label % 5 ELSE 0 END AS INTEGER) AS label FROM f2)"
 _SHELL = f"""{_F2M}, {FACES}, nb AS (SELECT a.volume_id, a.z, a.y, a.x, count(*) AS n FROM g2 a, o6 JOIN g2 b ON a.volume_id = b.volume_id AND b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx AND a.label = b.label WHERE a.label > 0 GROUP BY ALL),

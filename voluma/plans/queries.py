@@ -234,8 +234,9 @@ def components26(spark, sf):
 
 
 def _both_labelled(spark, sf):
-    rows = f1(spark, sf)
-    return rows, E.labelled(rows.where("prediction"), V, 6), E.labelled(rows.where("target"), V, 6)
+    """Distinct volumes and both masks' labelled voxels; the masks are read once and labelled in one go."""
+    runs = E.labelled_sides(E.masked_sides(f1(spark, sf), V), V, 6)
+    return f1_values(spark, sf), E.side_of(runs, V, "prediction"), E.side_of(runs, V, "target")
 
 
 @query
@@ -254,20 +255,20 @@ def component_metrics(spark, sf):
 
 @query
 def topology_betti(spark, sf):
-    rows = f1(spark, sf)
-    return G.topology(rows.where("prediction"), rows, V, 6)
+    return G.topology(f1(spark, sf).where("prediction"), f1_values(spark, sf), V, 6)
 
 
 @query
 def topology_comparison(spark, sf):
-    rows = f1(spark, sf)
-    return G.topology_comparison(G.topology(rows.where("prediction"), rows, V), G.topology(rows.where("target"), rows, V), V)
+    sides = E.masked_sides(f1(spark, sf), V)
+    both = f1_values(spark, sf).select(*V).distinct().select(*V, F.explode(F.array(F.lit("prediction"), F.lit("target"))).alias("side"))
+    found = G.saved(G.topology(sides, both, [*V, "side"], 6), "topology")
+    return G.topology_comparison(found.where("side = 'prediction'"), found.where("side = 'target'"), V)
 
 
 @query
 def topology_betti26(spark, sf):
-    rows = f1(spark, sf)
-    return G.topology(rows.where("prediction"), rows, V, 26)
+    return G.topology(f1(spark, sf).where("prediction"), f1_values(spark, sf), V, 26)
 
 
 @query
@@ -275,6 +276,36 @@ def evaluate_masks(spark, sf):
     return _rounded(E.evaluate_masks(f1(spark, sf), V, 2))
 
 
+@query
+def evaluate_masks_valid(spark, sf):
+    rows = f1(spark, sf).withColumn("valid", F.col("h") % 3 != 0)
+    return _rounded(E.evaluate_masks(rows, V, 2, valid="valid"))
+
+
+CASE = ["method", "domain", "split", *V]
+
+
+def _case_rows(spark, sf):
+    return E.evaluate_masks(f3(spark, sf), CASE, 2)
+
+
+@query
+def case_macro_cube(spark, sf):
+    """The means of all 80 real-valued columns of the case rows."""
+    return _rounded(E.macro_cube(_case_rows(spark, sf).drop(*V)), 8)
+
+
+@query
+def depth_rows(spark, sf):
+    return _rounded(E.depth_rows(f3(spark, sf), CASE, rounds=2))
+
+
+@query
+def depth_trend_rows(spark, sf):
+    rows = E.depth_rows(f3(spark, sf), CASE, rounds=2)
+    return _rounded(E.depth_trends(rows, CASE, prefixes=("raw_", f"{E.CORRECTED}_"), depth="depth_fraction_midpoint"), 8)
+
+
 # Labels
 
 
