@@ -417,3 +417,30 @@ O["settings_differ"] = """WITH o AS (SELECT DISTINCT o_orderkey AS job, o_custke
 SELECT job, 'roi' AS field, NULL::VARCHAR AS recorded, CAST(roi AS VARCHAR) AS expected FROM o WHERE job % 50 = 0 UNION ALL SELECT job, 'mode', '-1', CAST(mode AS VARCHAR) FROM o WHERE job % 70 = 0"""
 O["outdated_jobs"] = "SELECT DISTINCT o_orderkey AS job, o_custkey % 5 AS setting FROM orders WHERE o_orderkey % 10 = 0 OR o_orderkey % 25 = 0"
 O["affine_check"] = "SELECT vec_id, vec_id % 4 = 0 AS differs FROM embeddings"
+
+
+def _random_density() -> str:
+    def drawn(k: int, low: float = 0.0, high: float = 1.0) -> str:
+        return f"(CAST({low} AS DOUBLE) + (CAST({high} AS DOUBLE) - CAST({low} AS DOUBLE)) * {_hash(f'(CAST(volume_id AS BIGINT) * 16 + {k})', 23)})"
+
+    t = "CASE axis WHEN 0 THEN CASE WHEN nz <= 1 THEN 0 ELSE z / CAST(nz - 1 AS DOUBLE) END WHEN 1 THEN y / CAST(7 AS DOUBLE) ELSE x / CAST(7 AS DOUBLE) END"
+    return f"""WITH {F1}, u AS (SELECT volume_id, CAST(floor({drawn(0)} * 5) AS INTEGER) AS kind, CAST(floor({drawn(1)} * 3) AS INTEGER) AS axis, {drawn(2, 0.05, 0.4)} AS low, {drawn(3, 0.6, 1.0)} AS high,
+{drawn(4)} < 0.5 AS up, {drawn(5, 0.3, 0.7)} AS c5, {drawn(6, 0.3, 0.7)} AS c6, {drawn(7, 0.3, 0.7)} AS c7, {drawn(6, 5.0, 20.0)} AS steep, {drawn(5, 0.2, 0.8)} AS mid, {drawn(6, 0.1, 0.4)} AS wide, {drawn(5, 0.3, 1.0)} AS flat
+FROM (SELECT DISTINCT volume_id FROM f1)), r AS (SELECT {K}, nz, u.* EXCLUDE (volume_id), {t} AS t FROM f1 JOIN u USING (volume_id)),
+q AS (SELECT *, CASE WHEN up THEN t ELSE 1 - t END AS w, least(greatest(sqrt((z - c5 * nz) * (z - c5 * nz) + (y - c6 * 8) * (y - c6 * 8) + (x - c7 * 8) * (x - c7 * 8)) / sqrt(nz * nz / CAST(4 AS DOUBLE) + 32), 0), 1) AS far FROM r)
+SELECT {K}, kind, round(CASE kind WHEN 0 THEN low + (high - low) * w WHEN 1 THEN low + (high - low) / (1 + exp(-steep * (w - c5))) WHEN 2 THEN low + (high - low) * exp(CAST(-0.5 AS DOUBLE) * ((t - mid) / wide) * ((t - mid) / wide))
+WHEN 3 THEN low + (high - low) * CASE WHEN up THEN 1 - far ELSE far END ELSE flat END, 8) AS density FROM q"""
+
+
+O["random_density"] = _random_density()
+O["paired_files"] = """WITH s AS (SELECT printf('%05d', s_suppkey) AS stem, s_suppkey % 11 <> 3 AS l, s_suppkey % 13 <> 5 AS p FROM supplier)
+SELECT stem, CASE WHEN l THEN 'data/' || stem || '_label.nii.gz' END AS left_path, CASE WHEN p THEN 'data/' || stem || '_prob.nii.gz' END AS right_path,
+CASE WHEN NOT l THEN 'no _label' WHEN NOT p THEN 'no _prob' END AS problem FROM s WHERE l OR p"""
+O["first_files"] = "SELECT 'data/' || printf('%05d', s_suppkey) || '_label.nii.gz' AS path FROM supplier WHERE s_suppkey % 11 <> 3 ORDER BY s_suppkey LIMIT 20"
+_JOBS = """WITH v AS (SELECT DISTINCT CAST(label AS INTEGER) AS volume_id FROM embeddings), m(method) AS (VALUES ('m0'), ('m1'), ('m2'), ('m3')),
+j AS (SELECT volume_id, method, CAST(row_number() OVER (ORDER BY method, volume_id) - 1 AS INTEGER) AS "index" FROM m, v) SELECT * FROM j"""
+O["numbered_jobs"] = _JOBS
+O["job_at"] = _JOBS + ' WHERE "index" = 17'
+O["generation_plan"] = f"""WITH e AS (SELECT p_partkey, p_partkey + 42000 AS seed, CAST(6.1 AS DOUBLE) + (CAST(6.6 AS DOUBLE) - CAST(6.1 AS DOUBLE)) * {_hash('p_partkey', 42000)} AS exponent FROM part)
+SELECT p_partkey, seed, round(exponent, 8) AS exponent, greatest(1, CAST(floor(pow(CAST(10 AS DOUBLE), exponent) * (CAST(2097152 AS DOUBLE) * pow(CAST(0.001 AS DOUBLE), 3))) AS BIGINT)) AS trees FROM e"""
+O["merged_rows"] = "SELECT s_suppkey AS id, s_nationkey AS level, NULL AS score FROM supplier UNION ALL SELECT p_partkey, NULL, p_partkey % 7 FROM part"

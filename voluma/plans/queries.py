@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import density
 from ..functions.scalar import antialias_sigma, at_least, bce_with_logits, error_code, log_sum_exp, resampled_size, split_of
+from ..operators import cohort as K
 from ..operators import constraints as C
 from ..operators import evaluation as E
 from ..operators import grid as G
@@ -404,6 +405,13 @@ QUERIES["density_radial"] = _density(lambda: density.radial(ZYX, [F.col("nz"), F
 QUERIES["density_uniform"] = _density(lambda: density.uniform(0.35))
 
 
+@query
+def random_density(spark, sf):
+    rows = f1(spark, sf).withColumn("choice", density.random_choice(F.col("volume_id").cast("long"), 23))
+    sizes = [F.col("nz"), F.lit(8), F.lit(8)]
+    return _rounded(rows.select(*KEYS, F.col("choice.kind").alias("kind"), density.chosen("choice", ZYX, sizes).alias("density")), 8)
+
+
 # Curves
 
 
@@ -565,3 +573,45 @@ def affine_check(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 16).alias("a"))
     b = F.transform("a", lambda v, i: F.when((i == 3) & (F.col("vec_id") % 4 == 0), v.cast("double") + 0.001).otherwise(v.cast("double")))
     return e.select("vec_id", C.affine_differs(F.transform("a", lambda v: v.cast("double")), b).alias("differs"))
+
+
+# Files and jobs
+
+
+def _files(spark, sf):
+    s = F.col("s_suppkey")
+    label, prob = (F.format_string(f"data/%05d_{kind}.nii.gz", s) for kind in ("label", "prob"))
+    found = F.array_compact(F.array(F.when(s % 11 != 3, label), F.when(s % 13 != 5, prob), F.format_string("data/%05d_meta.txt", s)))
+    return table(spark, sf, "supplier").select(F.explode(found).alias("path"))
+
+
+@query
+def paired_files(spark, sf):
+    return K.paired_files(_files(spark, sf))
+
+
+@query
+def first_files(spark, sf):
+    return K.first_by_name(_files(spark, sf).where("path like '%_label.nii.gz'"), "path", 20)
+
+
+@query
+def numbered_jobs(spark, sf):
+    return K.numbered_jobs(_cases(spark, sf), ["method", "volume_id"])
+
+
+@query
+def job_at(spark, sf):
+    return K.job_at(_cases(spark, sf), ["method", "volume_id"], 17)
+
+
+@query
+def generation_plan(spark, sf):
+    return _rounded(K.generation_plan(table(spark, sf, "part").select("p_partkey"), "p_partkey", (128, 128, 128), 0.001), 8)
+
+
+@query
+def merged_rows(spark, sf):
+    a = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("level"))
+    b = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 7).alias("score"))
+    return K.merged_rows(a, b)
