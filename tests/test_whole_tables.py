@@ -44,7 +44,7 @@ def test_sizes_from_the_data(spark, depths):
     spacing = {"z": 1.0, "y": 0.5, "x": 0.5}
     calls = {
         "resample": lambda r, n: I.trilinear_resample(r, ["v"], {"z": n, "y": 4, "x": 3}, spacing, 0.8),
-        "tiles": lambda r, n: I.tile_blend(r, ["v"], {"z": n, "y": 4, "x": 3}, 8, 0.5),
+        "tiles": lambda r, n: I.blend_tiles(I.tiles_of(r, {"z": n, "y": 4, "x": 3}, 8, 0.5), ["v"], 8, F.col("value") * (1 + F.col("tz"))),
         "field": lambda r, n: L.random_field(r, r["v"], 4, {"z": n, "y": 4, "x": 3}, 17).drop("nz", "value"),
     }
     for call in calls.values():
@@ -71,3 +71,24 @@ def test_labels_without_a_bound(spark):
     points = spark.createDataFrame([(12_345, 0, 4.0, 4.0, 2.0, 2.0), (12_345, 1, 4.0, 4.0, 12.0, 2.0)], "curve long, ord int, z double, y double, x double, radius double")
     found = R.rasterise(R.tessellate(points, "curve", "ord", "radius", 2.0), (16, 16, 16), "curve")
     assert {r.label for r in found.collect()} == {0, 12_345}
+
+
+def test_ridge_does_not_depend_on_blocks(spark):
+    """A bright line: the largest response stands on it, whatever the blocks, and the whole volume sets the scale."""
+    points = [(v, z, y, x, 1.0 * ((y, x) == (5, 4)) + 0.01 * ((z * 7 + y * 3 + x) % 5)) for v in (0, 1) for z in range(14 + v) for y in range(11) for x in range(9)]
+    rows = spark.createDataFrame(points, "v int, z int, y int, x int, value double")
+    whole, cut = ({(r.v, r.z, r.y, r.x): r.ridge for r in I.ridge_score(rows, ["v"], sigmas=(0.5, 1.0), block=b).collect()} for b in (64, 6))
+    assert whole.keys() == cut.keys() and len(whole) == len(points)
+    assert max(abs(whole[k] - cut[k]) for k in whole) < 1e-8
+    assert all(max((whole[v, 7, y, x], y, x) for y in range(11) for x in range(9))[1:] == (5, 4) for v in (0, 1))
+
+
+def test_percentiles_by_range_are_exact(spark):
+    import numpy as np
+
+    groups = {"a": np.random.default_rng(0).normal(0, 1, 501), "b": np.array([3.0] * 40 + [1e9]), "c": np.array([2.5]), "d": np.arange(10.0)}
+    rows = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None), ("d", float("nan"))], "g string, v double")
+    asked = (0.0, 0.005, 0.5, 0.77, 0.995, 1.0)
+    out = {r.g: r.p for r in I.percentiles_by_range(rows, ["g"], "v", asked, ranges=16).collect()}
+    for g, vs in groups.items():
+        assert out[g] == pytest.approx(np.quantile(vs, asked).tolist(), rel=1e-12)

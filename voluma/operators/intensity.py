@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scalar import antialias_sigma, at_least, clipped, rescaled, resampled_size
-from .grid import AXES
+from .grid import AXES, saved
 
 
 def percentile_normalise(rows: DataFrame, by: Sequence[str], value: str = "value", low: float = 0.005, high: float = 0.995, into: str = "score", single: bool = True) -> DataFrame:
@@ -146,14 +147,12 @@ def resample_plan(volumes: DataFrame, target: float) -> DataFrame:
     return out
 
 
-def tile_blend(rows: DataFrame, by: Sequence[str], sizes: dict[str, int | str], tile: int, overlap: float = 0.5, value: str = "value") -> DataFrame:
-    """Weighted average over sliding windows: every voxel of every tile counts by a Gaussian of its place in the tile.
+def tiles_of(rows: DataFrame, sizes: dict[str, int | str], tile: int, overlap: float = 0.5) -> DataFrame:
+    """Every voxel once for each sliding window that covers it: tz, ty, tx (the window's lowest corner).
 
-    ``value`` may be an expression of the tile's own column ``tile_id``; here each tile's value is the voxel's, less the tile's
-    mean, so that the blend shows.  A size is a number or the name of its column.
+    A size is a number or the name of its column.
     """
     step = max(1, int(tile * (1 - overlap)))
-    sigma = 0.125 * tile
     out = rows
     for axis in AXES:
         at, last = F.col(axis), F.greatest(_size(sizes[axis]) - tile, F.lit(0))
@@ -161,13 +160,16 @@ def tile_blend(rows: DataFrame, by: Sequence[str], sizes: dict[str, int | str],
         starts = F.array_distinct(F.array_append(F.transform(near, lambda k: F.least(k * step, last)), last))  # noqa: B023
         inside = F.filter(starts, lambda s: (at >= s) & (at < s + tile))  # noqa: B023
         out = out.withColumn(f"t{axis}", F.explode(inside))
-    keys = [*by, "tz", "ty", "tx"]
-    mean = out.groupBy(*keys).agg(F.avg(value).alias("_m"))
-    centre = (tile - 1) / 2
+    return out
+
+
+def blend_tiles(rows: DataFrame, by: Sequence[str], tile: int, value: Column) -> DataFrame:
+    """by, z, y, x, blended, tiles: the average of what each window (tz, ty, tx) says of a voxel, weighted by a Gaussian of its
+    place in the window."""
+    sigma, centre = 0.125 * tile, (tile - 1) / 2
     d2 = sum((F.col(a) - F.col(f"t{a}") - centre) * (F.col(a) - F.col(f"t{a}") - centre) for a in AXES)
-    w = F.exp(-d2 / (2 * sigma * sigma))
-    joined = out.join(mean, keys).withColumn("_w", w)
-    return joined.groupBy(*by, *AXES).agg((F.sum(F.col("_w") * (F.col(value) - F.col("_m"))) / F.sum("_w")).alias("blended"), F.count("*").alias("tiles"))
+    weighed = rows.withColumn("_w", F.exp(-d2 / (2 * sigma * sigma)))
+    return weighed.groupBy(*by, *AXES).agg((F.sum(F.col("_w") * value) / F.sum("_w")).alias("blended"), F.count("*").alias("tiles"))
 
 
 def _dense(pdf: pd.DataFrame, value: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,51 +180,87 @@ def _dense(pdf: pd.DataFrame, value: str) -> tuple[np.ndarray, np.ndarray, np.nd
     return out, at, low
 
 
-def hessian_ridge(image: np.ndarray, sigmas: Sequence[float], alpha: float = 0.5, beta: float = 0.5) -> np.ndarray:
-    """Largest bright-ridge response over the scales, from the eigenvalues of the smoothed Hessian (Frangi et al., 1998)."""
-    best = np.zeros(image.shape)
-    for sigma in sigmas:
-        smooth = image
-        for axis in range(3):
-            w = np.array(gaussian_weights(sigma))
-            pad = [(len(w) // 2,) * 2 if a == axis else (0, 0) for a in range(3)]
-            smooth = np.apply_along_axis(np.convolve, axis, np.pad(smooth, pad, mode="edge"), w, "valid")
-        if min(image.shape) < 2:
-            continue
-        grads = np.gradient(smooth)
-        hess = np.zeros((*image.shape, 3, 3))
-        for i, g in enumerate(grads):
-            for j, h in enumerate(np.gradient(g)):
-                hess[..., i, j] = sigma**2 * h
-        eig = np.linalg.eigvalsh((hess + np.swapaxes(hess, -1, -2)) / 2)
-        eig = np.take_along_axis(eig, np.argsort(np.abs(eig), axis=-1), -1)
-        l1, l2, l3 = (eig[..., i] for i in range(3))
-        eps = 1e-10
-        ra, rb = np.abs(l2) / np.maximum(np.abs(l3), eps), np.abs(l1) / np.sqrt(np.maximum(np.abs(l2 * l3), eps))
-        s = np.sqrt((eig**2).sum(axis=-1))
-        c = s.max() / 2 or 1.0
-        score = (1 - np.exp(-(ra**2) / (2 * alpha**2))) * np.exp(-(rb**2) / (2 * beta**2)) * (1 - np.exp(-(s**2) / (2 * c**2)))
-        best = np.maximum(best, np.where((l2 < 0) & (l3 < 0), score, 0))
-    return best
-
-
-def ridge_score(rows: DataFrame, by: Sequence[str], value: str = "value", sigmas: Sequence[float] = (1.0, 2.0), block: int = 64) -> DataFrame:
-    """by, z, y, x, ridge: multi-scale ridge score, in blocks of planes with a halo, so that no task holds a whole volume's depth.
-
-    The response's normaliser is the block's own, so a block is an independent image; a volume of at most ``block`` planes is one.
+def hessian_parts(image: np.ndarray, sigma: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the smoothed image's Hessian, by the eigenvalues in the order of their size (Frangi et al., 1998): plate and blob
+    ratios, structure, and whether the ridge is bright."""
+    smooth = image
+    for axis in range(3):
+        w = np.array(gaussian_weights(sigma))
+        pad = [(len(w) // 2,) * 2 if a == axis else (0, 0) for a in range(3)]
+        smooth = np.apply_along_axis(np.convolve, axis, np.pad(smooth, pad, mode="edge"), w, "valid")
+    hess = np.zeros((*image.shape, 3, 3))
+    for i, g in enumerate(np.gradient(smooth)):
+        for j, h in enumerate(np.gradient(g)):
+            hess[..., i, j] = sigma**2 * h
+    eig = np.linalg.eigvalsh((hess + np.swapaxes(hess, -1, -2)) / 2)
+    eig = np.take_along_axis(eig, np.argsort(np.abs(eig), axis=-1), -1)
+    l1, l2, l3 = (eig[..., i] for i in range(3))
+    eps = 1e-10
+    ra, rb = np.abs(l2) / np.maximum(np.abs(l3), eps), np.abs(l1) / np.sqrt(np.maximum(np.abs(l2 * l3), eps))
+    return ra, rb, np.sqrt((eig**2).sum(axis=-1)), (l2 < 0) & (l3 < 0)
+
+
+def ridge_score(rows: DataFrame, by: Sequence[str], value: str = "value", sigmas: Sequence[float] = (1.0, 2.0), block: int = 64, alpha: float = 0.5, beta: float = 0.5) -> DataFrame:
+    """by, z, y, x, ridge: the largest bright-ridge response over the scales, of a dense table of voxels.
+
+    The eigenvalues are found in cubes of ``block`` voxels with a halo as wide as the largest scale needs, so no task holds a
+    whole volume or plane; the response's normaliser is half the largest structure of the whole volume at each scale.  Block
+    size does not change the result.
     """
-    halo = 2 * int(4 * max(sigmas) + 0.5) + 2
-    slab = F.floor(F.col("z") / block).cast("int")
-    near = F.filter(F.array(slab - 1, slab, slab + 1), lambda b: (F.col("z") >= b * block - halo) & (F.col("z") < (b + 1) * block + halo) & (b >= 0))
-    cut = rows.select(*by, *AXES, F.col(value).cast("double").alias("_v"), F.explode(near).alias("_block"))
+    halo = int(4 * max(sigmas) + 0.5) + 2
+    cut = rows.select(*by, *AXES, F.col(value).cast("double").alias("_v"))
+    for axis in AXES:
+        near = F.sequence(F.greatest(F.floor((F.col(axis) - halo) / block), F.lit(0)).cast("int"), F.floor((F.col(axis) + halo) / block).cast("int"))
+        cut = cut.withColumn(f"_b{axis}", F.explode(near))
+    blocks = [f"_b{a}" for a in AXES]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = int(pdf["_block"].iloc[0])
-        if not ((pdf.z >= b * block) & (pdf.z < (b + 1) * block)).any():
-            return pdf.iloc[:0].assign(ridge=[])[[*by, *AXES, "ridge"]]
+        own = np.ones(len(pdf), bool)
+        for axis, b in zip(AXES, blocks):
+            own &= (pdf[axis] // block == pdf[b]).to_numpy()
         image, at, low = _dense(pdf, "_v")
-        out = pdf.assign(ridge=np.round(hessian_ridge(image, sigmas)[tuple((at - low).T)], 9))
-        return out[(out.z >= b * block) & (out.z < (b + 1) * block)][[*by, *AXES, "ridge"]]
+        if not own.any() or min(image.shape) < 2:  # no block of the volume, or no ridge in a single plane
+            return pdf.iloc[:0].assign(scale=0, ra=0.0, rb=0.0, s=0.0, bright=False)[[*by, *AXES, "scale", "ra", "rb", "s", "bright"]]
+        places, out = tuple((at - low)[own].T), []
+        for i, sigma in enumerate(sigmas):
+            ra, rb, s, bright = (p[places] for p in hessian_parts(image, sigma))
+            out.append(pdf.loc[own, [*by, *AXES]].assign(scale=i, ra=ra, rb=rb, s=s, bright=bright))
+        return pd.concat(out)
 
     kinds = dict(rows.dtypes)
-    return cut.groupBy(*by, "_block").applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*by, *AXES]) + ", ridge double")
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*by, *AXES]) + ", scale int, ra double, rb double, s double, bright boolean"
+    parts = saved(cut.groupBy(*by, *blocks).applyInPandas(run, schema), "hessian")
+    most = parts.groupBy(*by, "scale").agg((F.max("s") / 2).alias("c"))  # a row per volume and scale
+    joined = parts.join(most, [*by, "scale"])
+    c = F.when(F.col("c") > 0, F.col("c")).otherwise(1.0)
+    plate, blob, structure = 1 - F.exp(-(F.col("ra") ** 2) / (2 * alpha**2)), F.exp(-(F.col("rb") ** 2) / (2 * beta**2)), 1 - F.exp(-(F.col("s") ** 2) / (2 * c**2))
+    response = F.when(F.col("bright"), plate * blob * structure).otherwise(0.0)
+    found = joined.groupBy(*by, *AXES).agg(F.round(F.max(response), 9).alias("ridge"))
+    return rows.select(*by, *AXES).join(found, [*by, *AXES], "left").fillna(0.0, ["ridge"])
+
+
+def percentiles_by_range(rows: DataFrame, by: Sequence[str], value: str, parts: Sequence[float], ranges: int = 4096) -> DataFrame:
+    """by, p: exact percentiles (linear between ranks), like ``percentile`` but without a group's values in one buffer.
+
+    Values are counted per distinct value and per range between the group's extremes; the ranks asked for fall into a few ranges,
+    and only the values of those are ordered.  Nulls and NaN don't count.
+    """
+    by = list(by)
+    v = rows.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
+    counts = saved(v.groupBy(*by, "_v").agg(F.count("*").alias("_n")), "values")
+    extremes = counts.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all"))  # a row per group
+    place = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * ranges), F.lit(ranges - 1))).otherwise(0)
+    placed = counts.join(extremes, by).withColumn("_r", place.cast("int"))
+    sums = placed.groupBy(*by, "_r", "_all").agg(F.sum("_n").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # ``ranges`` rows
+    asked = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(parts)])
+    ranks = sums.withColumn("_before", before).select("*", F.explode(asked).alias("_q")).withColumn("_at", F.col("_q.q") * (F.col("_all") - 1))
+    ranks = ranks.select("*", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))).alias("_rank"))
+    ranks = ranks.where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n"))).select(*by, "_r", "_before", F.col("_q.i").alias("_i"), "_at", "_rank")
+    used = placed.join(ranks.select(*by, "_r", "_before").distinct(), [*by, "_r"])
+    upto = F.sum("_n").over(Window.partitionBy(*by, "_r").orderBy("_v"))
+    used = used.withColumn("_end", F.col("_before") + upto).withColumn("_begin", F.col("_end") - F.col("_n")).select(*by, "_r", "_v", "_begin", "_end")
+    hit = ranks.join(used, [*by, "_r"]).where("_rank >= _begin and _rank < _end")
+    weight = F.when(F.col("_rank") == F.col("_at"), 1.0).otherwise(1 - F.abs(F.col("_rank") - F.col("_at")))
+    each = hit.groupBy(*by, "_i").agg(F.sum(F.col("_v") * weight).alias("_p"))
+    return each.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_i", "_p"))).alias("p")).select(*by, F.transform("p", lambda e: e["_p"]).alias("p"))

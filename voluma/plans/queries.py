@@ -107,8 +107,17 @@ def resample_plan(spark, sf):
 
 @query
 def tile_blend(spark, sf):
-    rows = f1(spark, sf)
-    return _rounded(I.tile_blend(rows, V, {"z": "nz", "y": 8, "x": 8}, 8, 0.5, "s"), 8)
+    """Every tile says of a voxel its value less the tile's mean."""
+    tiles = I.tiles_of(f1(spark, sf), {"z": "nz", "y": 8, "x": 8}, 8, 0.5)
+    own = [*V, "tz", "ty", "tx"]
+    mean = tiles.groupBy(*own).agg(F.avg("s").alias("mean"))
+    return _rounded(I.blend_tiles(tiles.join(mean, own), V, 8, F.col("s") - F.col("mean")), 8)
+
+
+@query
+def percentiles_by_range(spark, sf):
+    out = I.percentiles_by_range(f1_values(spark, sf), V, "v", (0.005, 0.5, 0.995))
+    return _rounded(out.select(*V, F.col("p")[0].alias("p0_5"), F.col("p")[1].alias("p50"), F.col("p")[2].alias("p99_5")))
 
 
 @query
