@@ -31,3 +31,35 @@ def test_wrong_files():
         S.parse_nifti(gzip.compress(bytes(400)))
     with pytest.raises(ValueError, match="sidecar"):
         S._array("x.raw", b"", {})
+
+
+def test_header_codes_and_orientation_are_kept(spark, tmp_path):
+    array = np.arange(24, dtype="i2").reshape(2, 3, 4)
+    turn = np.array([[0, -1, 0], [1, 0, 0], [0, 0, -1]]) * [0.5, 0.75, 1.25]
+    affine = np.vstack([np.column_stack([turn, [3, -2, 7]]), [0, 0, 0, 1]]).ravel().tolist()
+    whole = S.nifti_bytes(array, affine, 2, qform=1, sform=2)
+    only_q = bytearray(gzip.decompress(whole))
+    only_q[254:256], only_q[280:328] = bytes(2), bytes(48)
+    for data in (whole, gzip.compress(bytes(only_q))):
+        found = S.parse_nifti(data)
+        assert found[1] == pytest.approx(affine, abs=1e-6) and found[3:5] == (2, 1) and (found[0] == array).all()
+    (tmp_path / "q.nii.gz").write_bytes(whole)
+    (tmp_path / "r.raw").write_bytes(array.tobytes())
+    (tmp_path / "r.raw.json").write_text('{"dtype": "int16", "shape": [2, 3, 4]}')
+    heads = S.read_headers(spark, str(tmp_path), spacing=0.8)
+    raw = heads.where("volume_id = 'r'").first()
+    assert (raw.nz, raw.ny, raw.nx) == (2, 3, 4) and raw.zooms == [0.8] * 3
+    voxels = S.read_volumes(spark, str(tmp_path))
+    out = S.to_nifti(voxels, heads, dtype="i2").where("volume_id = 'q'").first()
+    again = S.parse_nifti(bytes(out.content))
+    assert again[1] == pytest.approx(affine, abs=1e-6) and again[3:] == (2, 1, 2) and (again[0] == array).all()
+    with pytest.raises(Exception, match="outside its size"):
+        S.to_nifti(voxels.where("volume_id = 'q'"), heads.where("volume_id = 'q'").withColumn("nx", heads["nx"] - 1)).collect()
+
+
+def test_target_affine_keeps_the_centre():
+    affine = np.array([[0, -0.5, 0, 10], [0.4, 0, 0, 20], [0, 0, 0.8, 30], [0, 0, 0, 1]])
+    new = np.array(S.target_affine(affine.ravel().tolist(), [5, 7, 3], [3, 4, 3], 0.8)).reshape(4, 4)
+    assert np.allclose(affine @ [2, 3, 1, 1], new @ [1, 1.5, 1, 1]) and np.allclose(np.sqrt((new[:3, :3] ** 2).sum(axis=0)), 0.8)
+    with pytest.raises(ValueError, match="independent"):
+        S.target_affine(np.zeros(16).tolist(), [2, 2, 2], [2, 2, 2], 1.0)
