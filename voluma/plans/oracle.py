@@ -445,3 +445,4 @@ O["generation_plan"] = f"""WITH e AS (SELECT p_partkey, p_partkey + 42000 AS see
 SELECT p_partkey, seed, round(exponent, 8) AS exponent, greatest(1, CAST(floor(pow(CAST(10 AS DOUBLE), exponent) * (CAST(2097152 AS DOUBLE) * pow(CAST(0.001 AS DOUBLE), 3))) AS BIGINT)) AS trees FROM e"""
 O["merged_rows"] = "SELECT s_suppkey AS id, s_nationkey AS level, NULL AS score FROM supplier UNION ALL SELECT p_partkey, NULL, p_partkey % 7 FROM part"
 O["percentiles_by_range"] = f"""WITH {F1V} SELECT volume_id, round(quantile_cont(v, 0.005), 9) AS p0_5, round(quantile_cont(v, 0.5), 9) AS p50, round(quantile_cont(v, 0.995), 9) AS p99_5 FROM f1v GROUP BY volume_id"""
+O["nifti_round_trip"] = f"WITH {F1} SELECT CAST(volume_id AS VARCHAR) AS volume_id, z, y, x, round(CAST(CAST(s AS FLOAT) AS DOUBLE), 6) AS value FROM f1"

@@ -17,6 +17,7 @@ from ..operators import intensity as I
 from ..operators import labels as L
 from ..operators import learning as N
 from ..operators import raster as R
+from ..sources import volumes as S
 from .fixtures import METHODS, f1, f1_values, f2, f2_contributions, f3, f4, f5, table
 
 V, ZYX = ["volume_id"], ["z", "y", "x"]
@@ -624,3 +625,14 @@ def merged_rows(spark, sf):
     a = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("level"))
     b = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 7).alias("score"))
     return K.merged_rows(a, b)
+
+
+@query
+def nifti_round_trip(spark, sf):
+    """The scores as NIfTI files, one per volume, and the voxels that these files give back."""
+    rows = f1(spark, sf).withColumn("volume_id", F.col("volume_id").cast("string"))
+    affine = F.array(*[F.lit(float(v)) for v in (0.5, 0, 0, 1, 0, 0.5, 0, 2, 0, 0, 0.5, 3, 0, 0, 0, 1)])
+    sizes = rows.groupBy("volume_id").agg(F.max("nz").alias("nz")).withColumns({"ny": F.lit(8), "nx": F.lit(8), "affine": affine})
+    files = S.to_nifti(rows.select(*KEYS, "s"), sizes, "s")
+    found = S.voxels_in(files.select(F.concat("volume_id", F.lit(".nii.gz")).alias("path"), "content", F.lit(None).cast("string").alias("sidecar")))
+    return _rounded(found.select(*KEYS, F.col("value").cast("double").alias("value")), 6)

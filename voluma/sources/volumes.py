@@ -162,6 +162,11 @@ def read_volumes(spark: SparkSession, path: str, sidecars: dict[str, dict] | Non
 
     A raw file's dtype and shape come from ``<file>.json`` beside it, or from ``sidecars`` (file name -> dtype and shape).
     """
+    return voxels_in(_files(spark, path), sidecars)
+
+
+def voxels_in(files: DataFrame, sidecars: dict[str, dict] | None = None) -> DataFrame:
+    """The same of a table of files: path, content, sidecar (a JSON text, or null)."""
     given = sidecars or {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +178,7 @@ def read_volumes(spark: SparkSession, path: str, sidecars: dict[str, dict] | Non
                     columns = [pa.array([_name(file)] * y.size), pa.array(np.full(y.size, z, np.int32)), pa.array(y), pa.array(x), pa.array(plane.ravel().astype(np.float32))]
                     yield pa.RecordBatch.from_arrays(columns, ["volume_id", "z", "y", "x", "value"])
 
-    return _files(spark, path).mapInArrow(run, SCHEMA)
+    return files.select("path", "content", "sidecar").mapInArrow(run, SCHEMA)
 
 
 def read_headers(spark: SparkSession, path: str, sidecars: dict[str, dict] | None = None, spacing: float = 1.0) -> DataFrame:
