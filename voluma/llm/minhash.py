@@ -286,9 +286,10 @@ def _with_members(pairs: DataFrame, sets: DataFrame, side: str, other: str) -> D
     hubs, _ = measured(hubs, "hubs", BROADCAST_ROWS)
     if hubs.isEmpty():
         return pairs.join(own, side)
-    dealt = pairs.join(hubs, side).withColumn("part", F.pmod(F.xxhash64(other), F.col("parts")).cast("int")).drop("parts")
+    marked = pairs.join(hubs, side, "left")
+    dealt = marked.where("parts is not null").withColumn("part", F.pmod(F.xxhash64(other), F.col("parts")).cast("int")).drop("parts")
     hot = own.join(hubs, side).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    rest = pairs.join(hubs, side, "left_anti").join(own, side)
+    rest = marked.where("parts is null").drop("parts").join(own, side)
     return rest.unionByName(dealt.join(hot, [side, "part"]).drop("part"))
 
 
