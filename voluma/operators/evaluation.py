@@ -88,7 +88,7 @@ def neighbour_correction(rows: DataFrame, by: Sequence[str], rounds: int = 2, pr
     p, t = F.coalesce(F.col(prediction), F.lit(False)), F.coalesce(F.col(target), F.lit(False))
     v = F.lit(True) if valid is None else F.coalesce(F.col(valid), F.lit(False))
     state = F.when(v & p & t, 0).when(v & ~p & t, 1).when(v & p & ~t, 2)
-    marked = rows.select(*keys, state.alias("state")).where("state is not null")
+    marked = saved(rows.select(*keys, state.alias("state")).where("state is not null"), "marked")  # both masks' voxels alone
     seeds = marked.where("state = 0").select(*keys)
     open_ = marked.where("state > 0")
     front = seeds.withColumn("state", F.lit(1)).union(seeds.withColumn("state", F.lit(2)))
@@ -99,6 +99,8 @@ def neighbour_correction(rows: DataFrame, by: Sequence[str], rounds: int = 2, pr
         if reached is not None:
             new = new.join(reached, [*keys, "state"], "left_anti")
         new = new.select(*keys, "state")
+        if i < rounds:
+            new = saved(new, "front")
         reached_now = new.withColumn("changed_in", F.lit(i))
         reached = reached_now if reached is None else reached.union(reached_now)
         front = new
