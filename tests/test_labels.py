@@ -75,7 +75,7 @@ def test_resampling_keeps_a_ramp(spark):
 
 def test_raster_of_a_straight_line(spark):
     points = spark.createDataFrame([(3, 0, 8.0, 8.0, 2.0, 1.5), (3, 1, 8.0, 8.0, 12.0, 1.5)], "curve int, ord int, z double, y double, x double, radius double")
-    out = R.rasterise(R.tessellate(points, "curve", "ord", "radius", 2.0), (16, 16, 16), "curve", 100)
+    out = R.rasterise(R.tessellate(points, "curve", "ord", "radius", 2.0), (16, 16, 16), "curve")
     row = out.where("z = 8 and y = 8 and x = 7").first()
     assert (row.label, row.dist) == (3, 0) and row.prob == pytest.approx(1, abs=1e-6)
     assert out.where("label > 0 and dist > 2.1").count() == 0
@@ -85,4 +85,4 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], "v int, z int, y int, x int, label int, prob double")
     assert L.shell_interior(empty, ["v"]).count() == 0
     assert L.subset_fixed_fraction(empty, ["v"], 0.5).count() == 0
-    assert R.scatter(empty, ["v"], F.lit(0.0), F.col("prob"), F.col("label"), 10).count() == 0
+    assert R.scatter(empty, ["v"], F.lit(0.0), F.col("prob"), F.col("label")).count() == 0
