@@ -55,3 +55,48 @@ c0 AS MATERIALIZED (SELECT doc_id AS id, doc_id AS c FROM documents),
 {", ".join(_STEPS)}
 SELECT id AS doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c AS component_id, id = c AS kept FROM c6 LEFT JOIN n ON n.doc_id = id
 """
+
+_LEVELS = []
+for _i in range(1, 8):  # as many levels as 16^7 rows of a source, or sources, need; a tree that is one node already stays as it is
+    for _t, _o in (("n", "leaves"), ("u", "tops")):
+        _from = f"{_t}{_i - 1}" if _i > 1 else f"{_o}"
+        _LEVELS.append(f"{_t}{_i} AS MATERIALIZED (SELECT g, pos // 16 AS pos, max(n + 15) // 16 AS n, CASE WHEN max(n) > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE max(h) END AS h FROM {_from} GROUP BY g, pos // 16)")
+_N_LEVELS = [x for x in _LEVELS if x.startswith("n")]
+_U_LEVELS = [x for x in _LEVELS if x.startswith("u")]
+
+
+def _siblings(prefix: str, base: str) -> str:
+    """g, pos, level, before, after of every node of the base level: the siblings on its way up."""
+    parts = []
+    for level in range(7):
+        nodes, step = (f"{prefix}{level}" if level else base), 16**level
+        parts.append(f"""SELECT b.g, b.pos, {level} AS level, coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos < b.pos // {step}), '') AS before,
+          coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos > b.pos // {step}), '') AS after
+          FROM {base} b JOIN {nodes} s ON s.g = b.g AND s.pos // 16 = b.pos // {step * 16} WHERE s.n > 1 GROUP BY b.g, b.pos""")
+    return " UNION ALL ".join(parts)
+
+
+_FIELD = "coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+_CRC_TABLE = "SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) r(i))"
+_FOLDS = [f"f{_i} AS (SELECT f.doc_id, f.g, f.pos, f.ga, f.leaf, CASE WHEN w.level IS NULL THEN f.h ELSE sha256(w.before || f.h || w.after) END AS h FROM f{_i - 1} f LEFT JOIN {_w} w ON w.g = f.g AND w.pos = f.pos AND w.level = {_i - 1})" for _i, _w in ((i, "wn") for i in range(1, 8))]
+_FOLDS += [f"f{_i} AS (SELECT f.doc_id, f.g, f.pos, f.ga, f.leaf, CASE WHEN w.level IS NULL THEN f.h ELSE sha256(w.before || f.h || w.after) END AS h FROM f{_i - 1} f LEFT JOIN wu w ON w.pos = f.ga AND w.level = {_i - 8})" for _i in range(8, 15)]
+ORACLES["op13_merkle_manifest"] = f"""
+WITH crc AS ({_CRC_TABLE}),
+d AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda s, b: xor(s // 256, t[1 + xor(s % 256, b)]))) AS crc FROM documents, crc),
+x AS (SELECT doc_id, coalesce('=' || source, '') AS g, crc,
+      sha256({" || ".join(_FIELD.format(c=c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) AS leaf,
+      sha256({" || ".join(_FIELD.format(c=c) for c in ("doc_id", "source", "lang", "n_chars"))} || {_FIELD.format(c="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) AS lowered FROM d),
+leaves AS MATERIALIZED (SELECT *, leaf AS h, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM x),
+{", ".join(_N_LEVELS)},
+tops AS MATERIALIZED (SELECT '' AS g, g AS source, h, row_number() OVER (ORDER BY encode(g)) - 1 AS pos, count(*) OVER () AS n FROM n7),
+{", ".join(_U_LEVELS)},
+wn AS MATERIALIZED ({_siblings("n", "leaves")}),
+wu AS MATERIALIZED ({_siblings("u", "tops")}),
+f0 AS (SELECT l.doc_id, l.g, l.pos, t.pos AS ga, l.leaf, CASE WHEN l.crc % 5 = 0 THEN l.lowered ELSE l.leaf END AS h FROM leaves l JOIN tops t ON t.source = l.g),
+{", ".join(_FOLDS)},
+pn AS (SELECT g, pos, string_agg(before || after, '' ORDER BY level) AS p FROM wn GROUP BY g, pos),
+pu AS (SELECT pos, string_agg(before || after, '' ORDER BY level) AS p FROM wu GROUP BY pos)
+SELECT f.doc_id, f.leaf, t.h AS subroot, r.h AS root, sha256(coalesce(pn.p, '') || coalesce(pu.p, '')) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+FROM f14 f JOIN tops t ON t.source = f.g CROSS JOIN u7 r LEFT JOIN pn ON pn.g = f.g AND pn.pos = f.pos LEFT JOIN pu ON pu.pos = f.ga
+"""

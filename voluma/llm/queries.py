@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, flac, html, langid, licences, minhash, packing, quality, secrets, warc
+from . import decontaminate, flac, html, langid, licences, merkle, minhash, packing, quality, runs, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,21 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", F.col("main_text").alias("text"), F.col("main_chars").alias("n_chars"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = runs.planted(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = runs.periodic_runs(docs, least=24, times=3, keep=["doc_id"]).withColumn("b", runs.best_run(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = ["b.start", "b.length", "b.period", F.floor(1000 * F.col("b.length") / F.col("b.period")).alias("exponent_milli")]
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best, F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), "collapsed_sha256")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, text = _table(spark, sf_dir, "documents"), F.col("text")
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.translate(text, upper, lower)).otherwise(text)
+    return merkle.manifest(docs, "doc_id", "source", ["doc_id", "source", "lang", "n_chars", "text"], {"text": tampered})
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,5 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_licence_scan": op9_licence_scan,
     "op10_html_extraction": op10_html_extraction,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": pipeline,
 }
