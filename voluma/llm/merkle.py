@@ -15,15 +15,12 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .shared import measured, stored
+from .shared import numbered, stored
 
 #: Nodes that one parent covers, and levels that a superblock spans.
 FANOUT, DEPTH = 16, 3
 BLOCK = FANOUT**DEPTH
-#: Rows of the offsets table (one for each range and group within it) up to which it is broadcast.
-BROADCAST_ROWS = 200_000
 
 
 def field_text(value: Column, kind: str) -> Column:
@@ -69,20 +66,6 @@ def fold(digest: str, way: Sequence[tuple[str, str]]) -> str:
     return digest
 
 
-def numbered(rows: DataFrame, group: str, order: Sequence[str], name: str) -> DataFrame:
-    """``rows`` with at (from 0 in the group, by ``order``) and count (rows of the group), by one range sort.
-
-    Ranges are cut by group and order, so a large group is spread over many; only counts of ranges are summed up.
-    """
-    sorted_rows = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("_spot", F.monotonically_increasing_id())
-    ranged = stored(sorted_rows, name).withColumn("_range", F.shiftright("_spot", 33))
-    parts = ranged.groupBy(group, "_range").agg(F.count("*").alias("_n"), F.min("_spot").alias("_first"))
-    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select(group, "_range", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(group)).alias("count"))
-    offsets, _ = measured(offsets, f"{name}_offsets", BROADCAST_ROWS)
-    return ranged.join(offsets, [group, "_range"]).withColumn("at", F.col("_before") + F.col("_spot") - F.col("_first")).drop("_range", "_spot", "_first", "_before")
-
-
 def _reduced(nodes: DataFrame) -> DataFrame:
     """group, at, digest, count of the blocks' top nodes, which are the nodes of the next round."""
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, flac, html, langid, licences, merkle, minhash, packing, quality, runs, secrets, warc
+from . import decontaminate, flac, html, langid, licences, merkle, minhash, neighbours, packing, quality, runs, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best, F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), "collapsed_sha256")
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 20 == 0, top=20)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, text = _table(spark, sf_dir, "documents"), F.col("text")
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -100,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licence_scan": op9_licence_scan,
     "op10_html_extraction": op10_html_extraction,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
     "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": pipeline,
 }

@@ -305,9 +305,19 @@ def planted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """``docs`` with a repetition in about a tenth of the texts, by the CRC-32 of the key: from some word on, a text goes on with the
     first few words from there, again and again.  Rows without a key or words stay as they are."""
     h = F.crc32(F.col(key).cast("string"))
-    words = F.regexp_extract_all(F.col(text), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    n, g = F.size(words).cast("long"), F.floor(h / 10)
-    a = g % n
-    p = 1 + F.floor((n - a) / (3 + g % 8))
-    again = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int"))))
-    return docs.withColumn(text, F.when((h % 10 == 0) & (n > 0), F.array_join(again, " ")).otherwise(F.col(text)))
+    chosen = F.coalesce(h % 10 == 0, F.lit(False))
+
+    @F.pandas_udf("string")
+    def repeated(texts, hashes):
+        out = []
+        for value, number in zip(texts, hashes):
+            words, g = words_of(value), int(number or 0) // 10 if value else 0
+            if words:
+                a = g % len(words)
+                p = 1 + (len(words) - a) // (3 + g % 8)
+                words[a:] = [words[a + i % p] for i in range(len(words) - a)]
+            out.append(b" ".join(words).decode() if words else value)
+        return type(texts)(out)
+
+    changed = repeated(F.when(chosen, F.col(text)), F.when(chosen, h).otherwise(0))
+    return docs.withColumn(text, F.when(chosen, changed).otherwise(F.col(text)))

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Bytes of text that a kernel handles at once, so that its arrays stay small whatever the batch holds.
 CHUNK_BYTES = 2 << 20
+#: Rows of the offsets of a range sort (one for each range and group within it) up to which they are broadcast.
+OFFSET_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +36,17 @@ def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def replaced(df: DataFrame, name: str, last: str | None = None) -> tuple[DataFrame, str]:
+    """``stored``, and its path; the table of the round before (``last``), which nothing reads then, is deleted."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if last:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(last)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def fresh(name: str, *taken: list[str]) -> str:
     """``name``, with as many marks added as it takes to be none of the taken column names (which ignore case)."""
     used = {c.lower() for names in taken for c in names}
@@ -48,6 +62,20 @@ def measured(df: DataFrame, name: str, most: int) -> tuple[DataFrame, bool]:
     return (F.broadcast(df) if small else df), small
 
 
+def numbered(rows: DataFrame, group: str, order: Sequence[str], name: str) -> DataFrame:
+    """``rows`` with at (from 0 in the group, by ``order``) and count (rows of the group), by one range sort.
+
+    Ranges are cut by group and order, so a large group is spread over many; only counts of ranges are summed up.
+    """
+    sorted_rows = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("_spot", F.monotonically_increasing_id())
+    ranged = stored(sorted_rows, name).withColumn("_range", F.shiftright("_spot", 33))
+    parts = ranged.groupBy(group, "_range").agg(F.count("*").alias("_n"), F.min("_spot").alias("_first"))
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(group, "_range", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(group)).alias("count"))
+    offsets, _ = measured(offsets, f"{name}_offsets", OFFSET_ROWS)
+    return ranged.join(offsets, [group, "_range"]).withColumn("at", F.col("_before") + F.col("_spot") - F.col("_first")).drop("_range", "_spot", "_first", "_before")
+
+
 def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Split a string column into runs of rows of about ``limit`` bytes: (first row, UTF-8 bytes, row offsets). Null: empty."""
     if isinstance(column, pa.ChunkedArray):
