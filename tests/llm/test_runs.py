@@ -126,7 +126,7 @@ def test_z_functions():
                 i, j, k = i + step, j + step, k + 1
             return k
 
-        for some in (periods, np.arange(1, min(len(words) - c, 30))):
-            assert runs.z_values(words, c, some, most).tolist() == [reach(p, 1) for p in some]
-        assert runs.z_back_all(words, c, periods, most).tolist() == [reach(p, -1) for p in periods]
-        assert [runs.z_back(words[::-1], len(words) - c, int(p), most) for p in periods] == [reach(p, -1) for p in periods]
+        for step, back in ((1, False), (-1, True)):
+            want = [reach(p, step) for p in periods]
+            assert runs.z_values_of_one(words, c, periods, most, back).tolist() == want
+            assert runs.z_values(words, np.full(len(periods), c), periods, most, back).tolist() == want

@@ -108,18 +108,25 @@ def z_function(s: np.ndarray) -> list[int]:
     return out
 
 
-def z_values(words: np.ndarray, at: int, periods: np.ndarray, most: int) -> np.ndarray:
-    """The Z-function of ``words`` from ``at`` on, at the given periods, up to ``most``.
-
-    For few periods the values are compared out at once, for many the linear algorithm finds all.
-    """
-    if len(periods) <= 32:
-        span = np.arange(most)
-        padded = np.concatenate([words[at:], np.full(most + int(periods.max()) + 1, -1, words.dtype)])
-        unequal = padded[periods[:, None] + span] != padded[span]
-        unequal |= padded[periods[:, None] + span] == -1
-        return np.where(unequal.any(axis=1), unequal.argmax(axis=1), most)
-    found = np.array(z_function(words[at : at + int(periods.max()) + most]), np.int64)
+def z_values(words: np.ndarray, at: np.ndarray, periods: np.ndarray, most: int, back: bool = False) -> np.ndarray:
+    """Values of Z-functions: how far the words from each boundary on agree with those a period later, up to ``most``; with ``back``
+    the words before it with those before boundary + period.  Compared out for all pairs at once."""
+    span = -1 - np.arange(most) if back else np.arange(most)
+    padded = np.concatenate([np.full(most, -1, words.dtype), words, np.full(most + 1, -1, words.dtype)])
+    first = padded[(at + most)[:, None] + span]
+    later = padded[np.minimum((at + periods + most)[:, None] + span, len(padded) - 1)]
+    unequal = (first != later) | (first == -1) | (later == -1)
+    return np.where(unequal.any(axis=1), unequal.argmax(axis=1), most)
+
+
+def z_values_of_one(words: np.ndarray, c: int, periods: np.ndarray, most: int, back: bool = False) -> np.ndarray:
+    """The same of one boundary, from the linear Z-function."""
+    reach = int(periods.max())
+    if back:
+        mine = words[max(0, c - most) : c][::-1]
+        found = np.array(z_function(np.concatenate([mine, np.full(1, -1, words.dtype), words[max(0, c - most) : c + reach][::-1]])), np.int64)
+        return np.minimum(found[len(mine) + 1 + reach - periods], most)
+    found = np.array(z_function(words[c : c + reach + most]), np.int64)
     inside = periods < len(found)
     return np.where(inside, np.minimum(found[np.where(inside, periods, 0)], most), 0)
 
@@ -140,41 +147,44 @@ def is_primitive(words: np.ndarray) -> bool:
     return True
 
 
+def repeated_windows(words: np.ndarray, boundaries: np.ndarray, first: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The boundaries and periods (``first`` to 2 ``first`` - 1) of windows of ``width`` words that come again a period later."""
+    at, periods = (x.ravel() for x in np.meshgrid(boundaries, np.arange(first, 2 * first), indexing="ij"))
+    inside = at + periods + width <= len(words)
+    at, periods = at[inside], periods[inside]
+    for i in range(width):
+        same = words[at + i] == words[at + periods + i]
+        at, periods = at[same], periods[same]
+    return at, periods
+
+
 def fragments(words: np.ndarray, boundaries: np.ndarray, first: int, least: int, times: int) -> list[tuple[int, int, int]]:
     """(period, begin, end) in a tile: stretches whose words equal those a period later, cut ``first`` words before a boundary and
-    ``first + SEED`` after it (past the last boundary whose window a stretch holds come fewer words than that)."""
-    found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    back = words[::-1]
-    for c in boundaries.tolist():
-        periods = np.arange(first, min(2 * first, len(words) - c))
-        periods = periods[words[c + periods] == words[c]] if len(periods) else periods
-        if not len(periods):
-            continue
-        right = z_values(words, c, periods, first + SEED)
-        # Backward, the words before the boundary are compared with those before boundary + period.
-        left = np.array([z_back(back, len(words) - c, int(p), first) for p in periods]) if len(periods) <= 32 else z_back_all(words, c, periods, first)
-        short = (left < first) & (right < first + SEED) & (left + right < np.maximum((times - 1) * periods, least - periods))
-        for p, a, b in zip(periods[~short].tolist(), left[~short].tolist(), right[~short].tolist()):
-            if found[p] and found[p][-1][1] >= c - a:
-                found[p][-1] = (found[p][-1][0], c + b)
-            elif b and is_primitive(words[c : c + p]):
-                found[p].append((c - a, c + b))
-    return [(p, a, b) for p, spans in found.items() for a, b in spans]
-
-
-def z_back(back: np.ndarray, at: int, period: int, most: int) -> int:
-    """How far the reversed words from ``at`` on agree with those a period before, up to ``most``."""
-    mine = back[at : at + most]
-    unequal = np.flatnonzero(mine != back[at - period : at - period + len(mine)])
-    return int(unequal[0]) if len(unequal) else len(mine)
-
-
-def z_back_all(words: np.ndarray, c: int, periods: np.ndarray, most: int) -> np.ndarray:
-    """The same at all periods: one Z-function over the words before the boundary and those around it, reversed."""
-    mine = words[max(0, c - most) : c][::-1]
-    around = words[max(0, c - most) : c + int(periods.max())][::-1]
-    found = np.array(z_function(np.concatenate([mine, np.full(1, -1, words.dtype), around])), np.int64)
-    return np.minimum(found[len(mine) + 1 + (c + int(periods.max()) - (c + periods))], most)
+    ``first + SEED`` after it (past the last boundary whose window a stretch holds come fewer words than that).
+
+    Pairs of boundaries and periods are compared at once if they are few or short, else by one linear Z-function each way.
+    """
+    width = max(1, min(SEED, shortest_match(first, least, times) - first + 1))
+    at, periods = repeated_windows(words, boundaries, first, width)
+    if not len(at):
+        return []
+    if len(at) * first <= 1 << 18:
+        right, left = z_values(words, at, periods, first + SEED), z_values(words, at, periods, first, back=True)
+    else:
+        right, left = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        for c in np.unique(at).tolist():
+            own = at == c
+            right[own] = z_values_of_one(words, c, periods[own], first + SEED)
+            left[own] = z_values_of_one(words, c, periods[own], first, back=True)
+    short = (left < first) & (right < first + SEED) & (left + right < np.maximum((times - 1) * periods, least - periods))
+    at, periods, begin, end = at[~short], periods[~short], (at - left)[~short], (at + right)[~short]
+    order = np.lexsort((at, periods))
+    at, periods, begin, end = at[order], periods[order], begin[order], end[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (periods[1:] != periods[:-1]) | (begin[1:] > end[:-1])
+    heads, tails = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(at)) - 1
+    spans = zip(periods[heads].tolist(), begin[heads].tolist(), end[tails[: len(heads)]].tolist(), at[heads].tolist())
+    return [(p, a, b) for p, a, b, c in spans if is_primitive(words[c : c + p])]
 
 
 def _tiled(docs: DataFrame, text: str, keep: Sequence[str], least: int, times: int, texts: bool) -> DataFrame:
