@@ -10,7 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,16 +26,22 @@ def offsets(connectivity: int) -> list[tuple[int, int, int]]:
     return [o for o in around if 0 < sum(map(abs, o)) <= reach]
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to and read back from the shared checkpoint folder: no lineage, and no statistics that grow by rounds."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, spark.checkpoint.dir; only a local session may do without that setting."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to and read back from the shared checkpoint folder: no lineage, and no statistics that grow by rounds."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shifted(voxels: DataFrame, by: Sequence[str], connectivity: int = 6) -> DataFrame:

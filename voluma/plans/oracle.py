@@ -446,3 +446,8 @@ SELECT p_partkey, seed, round(exponent, 8) AS exponent, greatest(1, CAST(floor(p
 O["merged_rows"] = "SELECT s_suppkey AS id, s_nationkey AS level, NULL AS score FROM supplier UNION ALL SELECT p_partkey, NULL, p_partkey % 7 FROM part"
 O["percentiles_by_range"] = f"""WITH {F1V} SELECT volume_id, round(quantile_cont(v, 0.005), 9) AS p0_5, round(quantile_cont(v, 0.5), 9) AS p50, round(quantile_cont(v, 0.995), 9) AS p99_5 FROM f1v GROUP BY volume_id"""
 O["nifti_round_trip"] = f"WITH {F1} SELECT CAST(volume_id AS VARCHAR) AS volume_id, z, y, x, round(CAST(CAST(s AS FLOAT) AS DOUBLE), 6) AS value FROM f1"
+
+_FILED = f"""{F3}, filed AS (SELECT method || '_' || volume_id AS "case", volume_id, z, target,
+  CAST(least(greatest(score, CAST(0 AS DOUBLE)), CAST(1 AS DOUBLE)) AS FLOAT) >= CAST(threshold AS FLOAT) AS prediction FROM c3)"""
+O["cases_from_files"] = f"WITH {_FILED}, c AS ({_confusion('filed', '"case"')}) {_metrics('c', '"case"')}"
+O["scanned_planes"] = f"WITH {F1} SELECT CAST(volume_id AS VARCHAR) AS volume_id, z, count(*) AS n_voxels, count(*) FILTER (target) AS n_target FROM f1 WHERE z BETWEEN 20 AND 21 GROUP BY ALL"

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import density
-from ..functions.scalar import antialias_sigma, at_least, bce_with_logits, error_code, log_sum_exp, resampled_size, split_of
+from ..functions.scalar import antialias_sigma, at_least, bce_with_logits, clipped, error_code, log_sum_exp, resampled_size, split_of
+from ..operators import cases
 from ..operators import cohort as K
 from ..operators import constraints as C
 from ..operators import evaluation as E
@@ -17,6 +18,7 @@ from ..operators import intensity as I
 from ..operators import labels as L
 from ..operators import learning as N
 from ..operators import raster as R
+from ..sources import bundles, planes
 from ..sources import volumes as S
 from .fixtures import METHODS, f1, f1_values, f2, f2_contributions, f3, f4, f5, table
 
@@ -636,3 +638,38 @@ def nifti_round_trip(spark, sf):
     files = S.to_nifti(rows.select(*KEYS, "s"), sizes, "s")
     found = S.voxels_in(files.select(F.concat("volume_id", F.lit(".nii.gz")).alias("path"), "content", F.lit(None).cast("string").alias("sidecar")))
     return _rounded(found.select(*KEYS, F.col("value").cast("double").alias("value")), 6)
+
+
+def _cohort_files(spark, sf):
+    """The cohort of f3 as files in a shared folder: a target per volume, score, mask and metadata per case; the cases, and the folder."""
+    rows = f3(spark, sf).withColumn("case", F.concat_ws("_", "method", "volume_id")).withColumn("score", clipped("score", 0.0, 1.0).cast("float"))
+    rows = G.saved(rows.select("case", "method", "volume_id", "nz", *ZYX, "threshold", "target", "score"), "cohort")
+    affine = F.array(*[F.lit(float(v)) for v in (0.5, 0, 0, 1, 0, 0.5, 0, 2, 0, 0, 0.5, 3, 0, 0, 0, 1)])
+    sizes = rows.groupBy("case", "method", "volume_id", "threshold").agg(F.max("nz").alias("nz")).withColumns({"ny": F.lit(8), "nx": F.lit(8), "affine": affine})
+    named = rows.drop("volume_id").withColumnRenamed("case", "volume_id")
+    heads = sizes.drop("volume_id").withColumnRenamed("case", "volume_id")
+    masks = named.select(*KEYS, at_least("score", F.col("threshold")).cast("int").alias("value"))
+    path = G.shared_path(spark, "cohort_files")
+    files = bundles.case_files(named.select(*KEYS, F.col("score").alias("value")), masks, heads, heads.select("volume_id", "method", "threshold"), path, planes=3)
+    targets = rows.where("method = 'm0'").select("volume_id", *ZYX, F.col("target").cast("int").alias("value"))
+    parts = bundles.volume_parts(targets, sizes.where("method = 'm0'"), "value", "u1", planes=3)
+    files = files.unionByName(parts.select(F.concat(F.lit("target/"), F.col("volume_id").cast("string"), F.lit(".nii.gz")).alias("file"), "part", "content"))
+    bundles.write_files(files, path)
+    own = {r: F.concat(F.lit(f"{path}/"), F.col("case"), F.lit(f"_{r}.nii.gz")).alias(f"{r}_path") for r in ("score", "mask")}
+    target = F.concat(F.lit(f"{path}/target/"), F.col("volume_id").cast("string"), F.lit(".nii.gz")).alias("target_path")
+    return sizes.select("case", "threshold", target, *own.values()), path
+
+
+@query
+def cases_from_files(spark, sf):
+    """Metrics of all cases after their files were written, published, read and checked."""
+    found, path = _cohort_files(spark, sf)
+    return _rounded(E.voxel_metrics(cases.load_cases(spark, found, path), ["case"]))
+
+
+@query
+def scanned_planes(spark, sf):
+    """Two planes of each target, read from the files by their place."""
+    found, path = _cohort_files(spark, sf)
+    rows = planes.scan_voxels(spark, f"{path}/target", within={"z": (20, 21)})
+    return rows.groupBy("volume_id", "z").agg(F.count("*").alias("n_voxels"), F.sum(F.col("value").cast("long")).alias("n_target"))

@@ -49,7 +49,9 @@ def read_metrics(spark: SparkSession, path: str, schema: str | StructType) -> Da
     return spark.read.csv(path, schema=schema, header=True, mode="FAILFAST", enforceSchema=False)
 
 
-def _finite(df: DataFrame) -> DataFrame:
+def finite(df: DataFrame) -> DataFrame:
+    """``df``; a number of its columns that is NaN or infinite is an error when it is read."""
+
     def checked(name: str):
         bad = F.isnan(name) | (F.abs(name) == float("inf"))
         return F.when(bad, F.raise_error(F.lit(f"{name} is not finite"))).otherwise(F.col(name)).alias(name)
@@ -59,7 +61,7 @@ def _finite(df: DataFrame) -> DataFrame:
 
 def write_records(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """JSON lines with keys by name; NaN and infinity are errors."""
-    published(ordered_columns(_finite(df), []), path, "json", overwrite, ignoreNullFields="false")
+    published(ordered_columns(finite(df), []), path, "json", overwrite, ignoreNullFields="false")
 
 
 def read_sidecars(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:

@@ -9,7 +9,8 @@ import gzip
 import io
 import json
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -67,13 +68,22 @@ def target_affine(affine: list[float], shape: list[int], new_shape: list[int], s
     return out.ravel().tolist()
 
 
-def parse_nifti(data: bytes) -> tuple[np.ndarray, list[float], list[float], int, int, int]:
-    """Array, flattened affine (of the sform, else of the qform, else of the spacing), zooms, unit, qform and sform codes of a 3-D
-    NIfTI-1 file."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    order = "<" if struct.unpack("<i", data[:4])[0] == 348 else ">"
-    if struct.unpack(order + "i", data[:4])[0] != 348 or data[344:347] not in (b"n+1", b"ni1"):
+class NiftiHeader(NamedTuple):
+    shape: tuple[int, int, int]
+    dtype: str
+    offset: int
+    scale: tuple[float, float]
+    affine: list[float]
+    zooms: list[float]
+    unit: int
+    qform: int
+    sform: int
+
+
+def nifti_header(data: bytes) -> NiftiHeader:
+    """What the first 352 bytes of a 3-D NIfTI-1 file say; the affine is that of the sform, else of the qform, else of the spacing."""
+    order = "<" if len(data) >= 348 and struct.unpack("<i", data[:4])[0] == 348 else ">"
+    if len(data) < 348 or struct.unpack(order + "i", data[:4])[0] != 348 or data[344:347] not in (b"n+1", b"ni1"):
         raise ValueError("not a NIfTI-1 file")
     dim = struct.unpack(order + "8h", data[40:56])
     shape = [d for d in dim[1 : dim[0] + 1]]
@@ -86,9 +96,6 @@ def parse_nifti(data: bytes) -> tuple[np.ndarray, list[float], list[float], int,
         raise ValueError(f"datatype {code} is not read")
     zooms = list(struct.unpack(order + "8f", data[76:108])[1:4])
     offset, slope, inter = struct.unpack(order + "3f", data[108:120])
-    out = np.frombuffer(data, order + DTYPES[code], int(np.prod(shape)), int(offset)).reshape(shape, order="F")
-    if slope not in (0.0, 1.0) or inter and slope:
-        out = out * slope + inter
     qform, sform = struct.unpack(order + "2h", data[252:256])
     matrix = np.eye(4)
     if sform > 0:
@@ -99,19 +106,31 @@ def parse_nifti(data: bytes) -> tuple[np.ndarray, list[float], list[float], int,
         matrix[:3, 3] = origin
     else:
         matrix[:3, :3] = np.diag(zooms)
-    return out, matrix.ravel().tolist(), zooms, data[123] & 7, qform, sform
+    scale = (slope, inter) if slope not in (0.0, 1.0) or inter and slope else (1.0, 0.0)
+    return NiftiHeader(tuple(shape), order + DTYPES[code], int(offset), scale, matrix.ravel().tolist(), zooms, data[123] & 7, qform, sform)
 
 
-def nifti_bytes(array: np.ndarray, affine: list[float], unit: int = MICRON, qform: int = 0, sform: int = 2) -> bytes:
-    """A gzipped NIfTI-1 file with the affine as sform, and as qform where its code is not 0; deterministic."""
-    code = next(k for k, v in DTYPES.items() if np.dtype(v) == array.dtype)
+def parse_nifti(data: bytes) -> tuple[np.ndarray, list[float], list[float], int, int, int]:
+    """Array, flattened affine, zooms, unit, qform and sform codes of a 3-D NIfTI-1 file."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
+    h = nifti_header(data[:352])
+    out = np.frombuffer(data, h.dtype, int(np.prod(h.shape)), h.offset).reshape(h.shape, order="F")
+    if h.scale != (1.0, 0.0):
+        out = out * h.scale[0] + h.scale[1]
+    return out, h.affine, h.zooms, h.unit, h.qform, h.sform
+
+
+def nifti_head(shape: Sequence[int], dtype: np.dtype, affine: list[float], unit: int = MICRON, qform: int = 0, sform: int = 2) -> bytes:
+    """The 352 bytes before the voxels, with the affine as sform, and as qform where its code is not 0."""
+    code = next(k for k, v in DTYPES.items() if np.dtype(v) == dtype)
     matrix = np.array(affine, float).reshape(4, 4)
     zooms = np.sqrt((matrix[:3, :3] ** 2).sum(axis=0))
     qfac, quaternion = quaternion_of(matrix[:3, :3]) if qform > 0 else (1.0, (0.0, 0.0, 0.0))
     head = bytearray(352)
     struct.pack_into("<i", head, 0, 348)
-    struct.pack_into("<8h", head, 40, 3, *array.shape, 1, 1, 1, 1)
-    struct.pack_into("<2h", head, 70, code, array.dtype.itemsize * 8)
+    struct.pack_into("<8h", head, 40, 3, *shape, 1, 1, 1, 1)
+    struct.pack_into("<2h", head, 70, code, dtype.itemsize * 8)
     struct.pack_into("<8f", head, 76, qfac, *zooms, 0, 0, 0, 0)
     struct.pack_into("<3f", head, 108, 352, 1, 0)
     head[123] = unit
@@ -121,7 +140,13 @@ def nifti_bytes(array: np.ndarray, affine: list[float], unit: int = MICRON, qfor
     if sform > 0:
         struct.pack_into("<12f", head, 280, *matrix[:3].ravel())
     head[344:348] = b"n+1\0"
-    return gzip.compress(bytes(head) + array.astype(array.dtype.newbyteorder("<")).tobytes(order="F"), mtime=0)
+    return bytes(head)
+
+
+def nifti_bytes(array: np.ndarray, affine: list[float], unit: int = MICRON, qform: int = 0, sform: int = 2) -> bytes:
+    """A gzipped NIfTI-1 file; deterministic."""
+    head = nifti_head(array.shape, array.dtype, affine, unit, qform, sform)
+    return gzip.compress(head + array.astype(array.dtype.newbyteorder("<")).tobytes(order="F"), mtime=0)
 
 
 def _array(path: str, data: bytes, sidecars: dict[str, dict], spacing: float = 1.0) -> tuple[np.ndarray, list[float], list[float], int, int, int]:
@@ -139,7 +164,7 @@ def _array(path: str, data: bytes, sidecars: dict[str, dict], spacing: float = 1
     return out, np.diag([spacing] * 3 + [1.0]).ravel().tolist(), [spacing] * 3, MICRON, 0, 0
 
 
-def _name(path: str) -> str:
+def volume_name(path: str) -> str:
     name = path.rsplit("/", 1)[-1]
     for end in (".nii.gz", ".nii", ".npy", ".raw"):
         name = name.removesuffix(end)
@@ -175,7 +200,7 @@ def voxels_in(files: DataFrame, sidecars: dict[str, dict] | None = None) -> Data
                 array = _array(file, data, _known(file, side, given))[0]
                 y, x = (c.ravel().astype(np.int32) for c in np.indices(array.shape[1:]))
                 for z, plane in enumerate(array):
-                    columns = [pa.array([_name(file)] * y.size), pa.array(np.full(y.size, z, np.int32)), pa.array(y), pa.array(x), pa.array(plane.ravel().astype(np.float32))]
+                    columns = [pa.array([volume_name(file)] * y.size), pa.array(np.full(y.size, z, np.int32)), pa.array(y), pa.array(x), pa.array(plane.ravel().astype(np.float32))]
                     yield pa.RecordBatch.from_arrays(columns, ["volume_id", "z", "y", "x", "value"])
 
     return files.select("path", "content", "sidecar").mapInArrow(run, SCHEMA)
@@ -193,7 +218,7 @@ def read_headers(spark: SparkSession, path: str, sidecars: dict[str, dict] | Non
             rows = []
             for file, data, side in zip(batch["path"], batch["content"], batch["sidecar"]):
                 array, affine, zooms, *codes = _array(file, bytes(data), _known(file, side, given), spacing)
-                rows.append((_name(file), *array.shape, array.dtype.name, affine, zooms, *codes))
+                rows.append((volume_name(file), *array.shape, array.dtype.name, affine, zooms, *codes))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in HEADER.split(", ")])
 
     return _files(spark, path).mapInPandas(run, HEADER)
