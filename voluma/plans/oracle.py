@@ -451,3 +451,51 @@ _FILED = f"""{F3}, filed AS (SELECT method || '_' || volume_id AS "case", volume
   CAST(least(greatest(score, CAST(0 AS DOUBLE)), CAST(1 AS DOUBLE)) AS FLOAT) >= CAST(threshold AS FLOAT) AS prediction FROM c3)"""
 O["cases_from_files"] = f"WITH {_FILED}, c AS ({_confusion('filed', '"case"')}) {_metrics('c', '"case"')}"
 O["scanned_planes"] = f"WITH {F1} SELECT CAST(volume_id AS VARCHAR) AS volume_id, z, count(*) AS n_voxels, count(*) FILTER (target) AS n_target FROM f1 WHERE z BETWEEN 20 AND 21 GROUP BY ALL"
+
+_LUMPS = f"""{F2}, lumps AS MATERIALIZED (SELECT {K}, CASE WHEN prob > CAST(0.05 AS DOUBLE) THEN CAST(1 + z // 8 * 4 + y // 8 * 2 + x // 8 AS INTEGER) ELSE 0 END AS label FROM f2),
+own AS MATERIALIZED (SELECT * FROM lumps WHERE label > 0)"""
+
+
+def _ball(reach: int) -> str:
+    return f"ball AS MATERIALIZED (SELECT a AS dz, b AS dy, c AS dx, abs(a) + abs(b) + abs(c) AS d FROM range({-reach}, {reach + 1}) r(a), range({-reach}, {reach + 1}) s(b), range({-reach}, {reach + 1}) t(c) WHERE abs(a) + abs(b) + abs(c) <= {reach})"
+
+
+_INSIDE = "z BETWEEN 0 AND 31 AND y BETWEEN 0 AND 15 AND x BETWEEN 0 AND 15"
+_REACHED = f"SELECT volume_id, label, z + dz AS z, y + dy AS y, x + dx AS x, min(d) AS d FROM own, ball GROUP BY ALL"
+_DEPTHS_OF = "SELECT a.volume_id, a.z, a.y, a.x, a.label, CAST(min(d) AS INTEGER) AS depth FROM {own} a CROSS JOIN ball LEFT JOIN {own} b ON b.volume_id = a.volume_id AND b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx AND b.label = a.label WHERE b.label IS NULL GROUP BY ALL"
+O["label_distances"] = f"""WITH {_LUMPS}, {_ball(3)}, g AS ({_REACHED}) SELECT volume_id, label, CAST(d AS INTEGER) AS d, count(*) AS n_voxels, CAST(sum(z * 10000 + y * 100 + x) AS BIGINT) AS places FROM g WHERE {_INSIDE} GROUP BY volume_id, label, d"""
+O["label_depths"] = f"WITH {_LUMPS}, {_ball(5)} {_DEPTHS_OF.format(own='own')}"
+O["nearest_labels"] = f"""WITH {_LUMPS}, s AS (SELECT * FROM own WHERE z % 8 = 3 AND y % 8 < 2), grid AS (SELECT DISTINCT volume_id, a AS z, b AS y, c AS x FROM s, range(32) r(a), range(16) t(b), range(16) u(c)),
+m AS (SELECT g.volume_id, g.z, g.y, g.x, min((abs(g.z - s.z) + abs(g.y - s.y) + abs(g.x - s.x)) * 1000 + s.label) AS k FROM grid g JOIN s USING (volume_id) GROUP BY ALL)
+SELECT volume_id, CAST(z AS INTEGER) AS z, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(k % 1000 AS INTEGER) AS label, CAST(k // 1000 AS INTEGER) AS d FROM m"""
+
+
+def _label_field(nodes: int, seed: int, sizes: dict[str, int]) -> str:
+    """Tri-linear field of a row's label between hashed nodes, as a formula of z, y, x and label."""
+    terms = []
+    at = {a: f"({a} * (CAST({nodes - 1} AS DOUBLE) / {n - 1}))" for a, n in sizes.items()}
+    low = {a: f"least(floor({p}), {nodes - 2})" for a, p in at.items()}
+    for dz in (0, 1):
+        for dy in (0, 1):
+            for dx in (0, 1):
+                key = "label"
+                for a, d in zip("zyx", (dz, dy, dx)):
+                    key = f"(({key}) * {nodes} + CAST({low[a]} AS BIGINT) + {d})"
+                w = " * ".join(f"({at[a]} - {low[a]})" if d else f"(1 - ({at[a]} - {low[a]}))" for a, d in zip("zyx", (dz, dy, dx)))
+                terms.append(f"{w} * {_hash(key, seed)}")
+    return "(" + " + ".join(terms) + ")"
+
+
+_BOTTOM, _TOP = f"({_hash('label', 32)} * CAST(-4 AS DOUBLE))", f"({_hash('label', 33)} * CAST(4 AS DOUBLE))"
+_RADIUS = f"CASE WHEN {_hash('label', 34)} < CAST(0.7 AS DOUBLE) THEN {_BOTTOM} + (greatest({_TOP}, {_BOTTOM}) - {_BOTTOM}) * {_label_field(4, 31, {'z': 32, 'y': 16, 'x': 16})} ELSE CAST(0 AS DOUBLE) END"
+O["morphed_labels"] = f"""WITH {_LUMPS}, {_ball(8)}, g AS ({_REACHED}), dep AS ({_DEPTHS_OF.format(own='own')}), one AS (SELECT volume_id, z, y, x, 0 AS label FROM own), gr AS ({_DEPTHS_OF.format(own='one')}),
+s AS (SELECT g.*, CASE WHEN g.d = 0 THEN -coalesce(depth, 8) ELSE g.d END AS sd FROM g LEFT JOIN dep USING (volume_id, z, y, x, label) WHERE {_INSIDE}),
+r AS (SELECT volume_id, z, y, x, label, d, sd - ({_RADIUS}) AS score FROM s),
+b AS (SELECT volume_id, z, y, x, arg_min(label, (score, label)) AS label, min(score) AS score, min(d) AS near FROM r GROUP BY ALL)
+SELECT b.volume_id, b.z, b.y, b.x, b.label FROM b LEFT JOIN gr ON gr.volume_id = b.volume_id AND gr.z = b.z AND gr.y = b.y AND gr.x = b.x
+WHERE score < CASE WHEN near > 0 THEN -near ELSE coalesce(gr.depth, 8) END"""
+O["hollow_and_refill"] = f"""WITH {_LUMPS}, {_ball(9)}, chosen AS MATERIALIZED (SELECT * FROM own WHERE label % 3 <> 0), dep AS ({_DEPTHS_OF.format(own='chosen')}),
+core AS MATERIALIZED (SELECT * FROM dep WHERE depth >= CAST(1.25 AS DOUBLE) + z / CAST(32 AS DOUBLE)),
+f AS (SELECT c.volume_id, c.z, c.y, c.x, min(d * 1000 + coalesce(l.label, 0)) % 1000 AS fill FROM core c CROSS JOIN ball LEFT JOIN own l ON l.volume_id = c.volume_id AND l.z = c.z + dz AND l.y = c.y + dy AND l.x = c.x + dx
+  WHERE l.label IS NULL OR l.label % 3 = 0 GROUP BY ALL)
+SELECT l.volume_id, l.z, l.y, l.x, CAST(coalesce(fill, l.label) AS INTEGER) AS label FROM lumps l LEFT JOIN f USING (volume_id, z, y, x)"""

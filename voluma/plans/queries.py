@@ -12,6 +12,7 @@ from ..functions.scalar import antialias_sigma, at_least, bce_with_logits, clipp
 from ..operators import cases
 from ..operators import cohort as K
 from ..operators import constraints as C
+from ..operators import distance
 from ..operators import evaluation as E
 from ..operators import grid as G
 from ..operators import intensity as I
@@ -403,6 +404,47 @@ def flip_and_reorder(spark, sf):
     return _rounded(rows.select(*KEYS, "s"))
 
 
+def _lumps(spark, sf):
+    """The instance volumes with labels that are blocks of 8 voxels a side, with holes where the probability is low; and their boxes."""
+    block = 1 + F.floor(F.col("z") / 8) * 4 + F.floor(F.col("y") / 8) * 2 + F.floor(F.col("x") / 8)
+    rows = f2(spark, sf).select(*KEYS, F.when(F.col("prob") > 0.05, block).otherwise(0).cast("int").alias("label"))
+    sizes = rows.select(*V).distinct().withColumns({"nz": F.lit(32), "ny": F.lit(16), "nx": F.lit(16)})
+    return rows, distance.boxes_of(sizes, V, {"z": "nz", "y": "ny", "x": "nx"})
+
+
+@query
+def label_distances(spark, sf):
+    rows, boxes = _lumps(spark, sf)
+    return distance.distances(rows.where("label > 0"), boxes, V, bound=3).groupBy(*V, "label", "d").agg(F.count("*").alias("n_voxels"), F.sum(F.col("z") * 10_000 + F.col("y") * 100 + F.col("x")).alias("places"))
+
+
+@query
+def label_depths(spark, sf):
+    rows, boxes = _lumps(spark, sf)
+    return distance.depths(rows.where("label > 0"), boxes, V).select(*KEYS, "label", "depth")
+
+
+@query
+def nearest_labels(spark, sf):
+    """Every voxel's nearest label, however far."""
+    rows, boxes = _lumps(spark, sf)
+    return distance.distances(rows.where("label > 0 and z % 8 = 3 and y % 8 < 2"), boxes, V, each=False).select(*KEYS, "label", "d")
+
+
+@query
+def morphed_labels(spark, sf):
+    rows, boxes = _lumps(spark, sf)
+    radius = distance.smooth_radius(V, -4.0, 4.0, 4, {"z": 32, "y": 16, "x": 16}, 31, 0.7)
+    return distance.morph_labels(rows, boxes, V, radius, -4.0, 4.0).select(*KEYS, "label")
+
+
+@query
+def hollow_and_refill(spark, sf):
+    rows, boxes = _lumps(spark, sf)
+    width = F.lit(1.25) + F.col("z") / 32.0
+    return distance.hollow_and_refill(rows, boxes, V, lambda r: r.withColumn("width", width), F.col("label") % 3 != 0).select(*KEYS, "label")
+
+
 def _density(field):
     def run(spark, sf):
         return _rounded(f1(spark, sf).select(*KEYS, field().alias("density")))
