@@ -31,6 +31,37 @@ def tessellate(points: DataFrame, curve: str, order: str, radius: str, step: flo
     return cut.select(curve, "leg", "seg", *coords, middle.cast("double").alias("r"), "length")
 
 
+def arc_points(points: DataFrame, curve: str, order: str, radius: str, step: float) -> DataFrame:
+    """curve, point (from 0), z, y, x, radius: max(2, ceil(length / step) + 1) points of each poly-line, equally spaced along it.
+
+    A leg holds the steps between the curve lengths at its ends, which are a running sum, so no step is sought.  Points that
+    repeat add no length; a curve without length is two equal points, one of a single point is left out.
+    """
+    w = Window.partitionBy(curve).orderBy(order)
+    ends = points.select(curve, *AXES, radius, F.row_number().over(w).alias("_leg"), *[F.lead(c).over(w).alias(f"_{c}") for c in (*AXES, radius)])
+    ends = ends.where(F.col(f"_{radius}").isNotNull())
+    length = F.sqrt(sum((F.col(f"_{a}") - F.col(a)) * (F.col(f"_{a}") - F.col(a)) for a in AXES))
+    legs = Window.partitionBy(curve).orderBy("_leg")
+    cut = ends.withColumn("_to", F.sum(length).over(legs.rowsBetween(Window.unboundedPreceding, 0)))
+    cut = cut.withColumns({"_from": F.coalesce(F.lag("_to").over(legs), F.lit(0.0)), "_all": F.last("_to").over(legs.rowsBetween(0, Window.unboundedFollowing)), "_more": F.lead("_leg").over(legs)})
+    n = F.greatest(F.lit(2), F.ceil(F.col("_all") / step) + 1).cast("int")
+    gap = F.when(F.col("_all") > 0, F.col("_all") / (n - 1)).otherwise(1.0)
+    first, last = F.ceil(F.col("_from") / gap).cast("int"), F.when(F.col("_more").isNull(), n - 1).otherwise(F.ceil(F.col("_to") / gap).cast("int") - 1)
+    first = F.when(F.col("_leg") == 1, 0).otherwise(F.least(first, n - 1))
+    cut = cut.withColumn("_gap", gap).withColumn("point", F.explode(F.when(first <= last, F.sequence(first, last))))
+    along = F.when(F.col("_to") > F.col("_from"), (F.col("point") * F.col("_gap") - F.col("_from")) / (F.col("_to") - F.col("_from"))).otherwise(0.0)
+    cut = cut.withColumn("_t", clipped(along, 0.0, 1.0))
+    return cut.select(curve, "point", *[(F.col(c) + (F.col(f"_{c}") - F.col(c)) * F.col("_t")).cast("double").alias(c) for c in (*AXES, radius)])
+
+
+def tessellate_arcs(points: DataFrame, curve: str, order: str, radius: str, step: float) -> DataFrame:
+    """curve, seg, z0, y0, x0, z1, y1, x1, r: the segments between neighbouring ``arc_points``; r is the mean of their radii."""
+    w = Window.partitionBy(curve).orderBy("point")
+    at = arc_points(points, curve, order, radius, step)
+    ends = at.select(curve, F.col("point").alias("seg"), *[F.col(a).alias(f"{a}0") for a in AXES], *[F.lead(a).over(w).alias(f"{a}1") for a in AXES], ((F.col(radius) + F.lead(radius).over(w)) / 2).alias("r"))
+    return ends.where("r is not null")
+
+
 def segment_voxels(segments: DataFrame, shape: Sequence[int]) -> DataFrame:
     """Every segment once for each voxel of the cube around its middle (half width ceil(r) + 2) within the grid."""
     out = segments

@@ -499,3 +499,50 @@ core AS MATERIALIZED (SELECT * FROM dep WHERE depth >= CAST(1.25 AS DOUBLE) + z
 f AS (SELECT c.volume_id, c.z, c.y, c.x, min(d * 1000 + coalesce(l.label, 0)) % 1000 AS fill FROM core c CROSS JOIN ball LEFT JOIN own l ON l.volume_id = c.volume_id AND l.z = c.z + dz AND l.y = c.y + dy AND l.x = c.x + dx
   WHERE l.label IS NULL OR l.label % 3 = 0 GROUP BY ALL)
 SELECT l.volume_id, l.z, l.y, l.x, CAST(coalesce(fill, l.label) AS INTEGER) AS label FROM lumps l LEFT JOIN f USING (volume_id, z, y, x)"""
+
+
+def _arcs(step: str) -> str:
+    """cut: points of the curves at equal steps along them."""
+    return f"""w5 AS (SELECT *, row_number() OVER w AS leg, lead(z) OVER w AS z2, lead(y) OVER w AS y2, lead(x) OVER w AS x2, lead(radius) OVER w AS r2 FROM f5 WINDOW w AS (PARTITION BY curve_id ORDER BY ord)),
+l5 AS (SELECT *, sum(sqrt((z2 - z) * (z2 - z) + (y2 - y) * (y2 - y) + (x2 - x) * (x2 - x))) OVER (PARTITION BY curve_id ORDER BY leg) AS til FROM w5 WHERE r2 IS NOT NULL),
+g5 AS (SELECT *, coalesce(lag(til) OVER v, CAST(0 AS DOUBLE)) AS since, max(til) OVER (PARTITION BY curve_id) AS total, lead(leg) OVER v AS more FROM l5 WINDOW v AS (PARTITION BY curve_id ORDER BY leg)),
+n5 AS (SELECT *, greatest(2, ceil(total / CAST({step} AS DOUBLE)) + 1) AS n, CASE WHEN total > 0 THEN total / (greatest(2, ceil(total / CAST({step} AS DOUBLE)) + 1) - 1) ELSE CAST(1 AS DOUBLE) END AS gap FROM g5),
+k5 AS (SELECT *, unnest(range(CAST(CASE WHEN leg = 1 THEN 0 ELSE least(ceil(since / gap), n - 1) END AS BIGINT), CAST(CASE WHEN more IS NULL THEN n ELSE ceil(til / gap) END AS BIGINT))) AS point FROM n5),
+t5 AS (SELECT *, CASE WHEN til > since THEN least(greatest((point * gap - since) / (til - since), 0), 1) ELSE CAST(0 AS DOUBLE) END AS t FROM k5),
+cut AS (SELECT curve_id, point, z + (z2 - z) * t AS z, y + (y2 - y) * t AS y, x + (x2 - x) * t AS x, radius + (r2 - radius) * t AS radius FROM t5)"""
+
+
+O["arc_point_counts"] = f"WITH {F5}, {_arcs('2.5')} SELECT curve_id, count(*) AS n_points, round(avg(radius), 9) AS radius FROM cut GROUP BY curve_id"
+O["tessellate_arcs"] = f"""WITH {F5}, {_arcs('4')}, e AS (SELECT curve_id, CAST(point AS INTEGER) AS seg, z AS z0, y AS y0, x AS x0, lead(z) OVER w AS z1, lead(y) OVER w AS y1, lead(x) OVER w AS x1,
+  (radius + lead(radius) OVER w) / 2 AS r FROM cut WINDOW w AS (PARTITION BY curve_id ORDER BY point))
+SELECT curve_id, seg, {", ".join(f"round({c}, 7) AS {c}" for c in ("z0", "y0", "x0", "z1", "y1", "x1", "r"))} FROM e WHERE r IS NOT NULL"""
+
+_D = "CAST({} AS DOUBLE)"
+_PROXIES = f"""{F1}, heads AS (SELECT volume_id, nz, {_D.format('0.35')} + volume_id * {_D.format('0.07')} AS s0, {_D.format('0.9')} - volume_id * {_D.format('0.05')} AS s1, {_D.format('0.5')} AS s2 FROM (SELECT DISTINCT volume_id, nz FROM f1)),
+h AS MATERIALIZED (SELECT volume_id, axis, n, s, CAST(round_even((n - 1) * s / {_D.format('0.8')}, 0) AS BIGINT) + 1 AS m, greatest({_D.format('0.8')} / s - 1, 0) / 2 AS sigma
+  FROM (SELECT volume_id, 'z' AS axis, 8 AS n, s2 AS s FROM heads UNION ALL SELECT volume_id, 'y', nz, s0 FROM heads UNION ALL SELECT volume_id, 'x', 8, s1 FROM heads))"""
+_WEIGHTS = """k AS MATERIALIZED (SELECT volume_id, axis, n, i, exp(CAST(-0.5 AS DOUBLE) * (i / sigma) * (i / sigma)) / sum(exp(CAST(-0.5 AS DOUBLE) * (i / sigma) * (i / sigma))) OVER (PARTITION BY volume_id, axis) AS w
+  FROM (SELECT *, unnest(range(-CAST(floor(4 * sigma + 0.5) AS BIGINT), CAST(floor(4 * sigma + 0.5) AS BIGINT) + 1)) AS i FROM h WHERE sigma > 0)
+  UNION ALL SELECT volume_id, axis, n, 0, CAST(1 AS DOUBLE) FROM h WHERE sigma = 0)"""
+_CHAIN, _LAST = [], "v0"
+for _a in "zyx":
+    _o = ", ".join(f"v.{b}" for b in "zyx" if b != _a)
+    _CHAIN.append(f"""smooth_{_a} AS MATERIALIZED (SELECT t.volume_id, {_o.replace('v.', 't.')}, t.{_a}, sum(k.w * v.value) AS value FROM {_LAST} t JOIN k ON k.volume_id = t.volume_id AND k.axis = '{_a}'
+  JOIN {_LAST} v ON v.volume_id = t.volume_id AND {' AND '.join(f'v.{b} = t.{b}' for b in 'zyx' if b != _a)}
+  AND v.{_a} = CASE WHEN (((t.{_a} + k.i) % (2 * k.n)) + 2 * k.n) % (2 * k.n) < k.n THEN (((t.{_a} + k.i) % (2 * k.n)) + 2 * k.n) % (2 * k.n) ELSE 2 * k.n - 1 - (((t.{_a} + k.i) % (2 * k.n)) + 2 * k.n) % (2 * k.n) END GROUP BY ALL)""")
+    _CHAIN.append(f"""grid_{_a} AS (SELECT volume_id, n, j, p, least(floor(p), greatest(n - 2, 0)) AS low FROM (SELECT *, least(greatest((n - 1) / CAST(2 AS DOUBLE) + (j - (m - 1) / CAST(2 AS DOUBLE)) * (CAST(0.8 AS DOUBLE) / s), 0), n - 1) AS p
+  FROM (SELECT *, unnest(range(m)) AS j FROM h WHERE axis = '{_a}'))),
+new_{_a} AS MATERIALIZED (SELECT g.volume_id, {_o}, CAST(g.j AS INTEGER) AS {_a}, sum(v.value * CASE WHEN v.{_a} = g.low THEN 1 - (g.p - g.low) ELSE g.p - g.low END) AS value FROM grid_{_a} g JOIN smooth_{_a} v ON v.volume_id = g.volume_id AND (v.{_a} = g.low OR v.{_a} = g.low + 1) GROUP BY ALL)""")
+    _LAST = f"new_{_a}"
+O["prepared_volumes"] = f"WITH {_PROXIES}, {_WEIGHTS}, v0 AS (SELECT volume_id, x AS z, z AS y, y AS x, s AS value FROM f1), {', '.join(_CHAIN)} SELECT volume_id, z, y, x, round(value, 8) AS value FROM new_x"
+_OLD = [["0", "0", "s1"], ["0", "-s0", "0"], ["s2", "0", "0"]]  # columns of the permuted affine: old axes 2, 0, 1
+_NEW = [["0", "0", "0.8"], ["0", "-0.8", "0"], ["0.8", "0", "0"]]
+_MOVED = [[f"({_OLD[r][c]})" for c in range(3)] for r in range(3)]
+_N, _M = ("7", "(nz - 1)", "7"), ("(mz - 1)", "(my - 1)", "(mx - 1)")
+_ROWS = []
+for _r, _t in enumerate(("4", "5", "6")):
+    _ROWS += [f"CAST({_NEW[_r][c]} AS DOUBLE)" for c in range(3)]
+    _ROWS.append(f"{_t} + " + " + ".join(f"{_MOVED[_r][c]} * {_N[c]} / CAST(2 AS DOUBLE) - CAST({_NEW[_r][c]} AS DOUBLE) * {_M[c]} / CAST(2 AS DOUBLE)" for c in range(3)))
+O["prepared_headers"] = f"""WITH {_PROXIES}, p AS (SELECT heads.*, max(CASE WHEN axis = 'z' THEN m END) AS mz, max(CASE WHEN axis = 'y' THEN m END) AS my, max(CASE WHEN axis = 'x' THEN m END) AS mx FROM heads JOIN h USING (volume_id) GROUP BY ALL)
+SELECT 'volume' || volume_id AS volume_id, CAST(mz AS INTEGER) AS nz, CAST(my AS INTEGER) AS ny, CAST(mx AS INTEGER) AS nx, 'float32' AS dtype, 3 AS unit, 1 AS qform, 2 AS sform,
+{", ".join(f"round({v}, 4) AS a{i}" for i, v in enumerate(_ROWS))} FROM p"""

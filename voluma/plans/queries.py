@@ -19,6 +19,7 @@ from ..operators import intensity as I
 from ..operators import labels as L
 from ..operators import learning as N
 from ..operators import raster as R
+from ..operators import resample
 from ..sources import bundles, planes
 from ..sources import volumes as S
 from .fixtures import METHODS, f1, f1_values, f2, f2_contributions, f3, f4, f5, table
@@ -479,6 +480,18 @@ def tessellate(spark, sf):
     return _rounded(R.tessellate(f5(spark, sf), "curve_id", "ord", "radius", 1.5))
 
 
+@query
+def tessellate_arcs(spark, sf):
+    return _rounded(R.tessellate_arcs(f5(spark, sf), "curve_id", "ord", "radius", 4.0), 7)
+
+
+@query
+def arc_point_counts(spark, sf):
+    """Points of each curve, and how evenly they lie along it."""
+    points = R.arc_points(f5(spark, sf), "curve_id", "ord", "radius", 2.5)
+    return _rounded(points.groupBy("curve_id").agg(F.count("*").alias("n_points"), F.avg("radius").alias("radius")))
+
+
 @query
 def rasterize(spark, sf):
     segments = R.tessellate(f5(spark, sf), "curve_id", "ord", "radius", 6.0)
@@ -715,3 +728,32 @@ def scanned_planes(spark, sf):
     found, path = _cohort_files(spark, sf)
     rows = planes.scan_voxels(spark, f"{path}/target", within={"z": (20, 21)})
     return rows.groupBy("volume_id", "z").agg(F.count("*").alias("n_voxels"), F.sum(F.col("value").cast("long")).alias("n_target"))
+
+
+def _proxies(spark, sf):
+    """The score volumes as sources of different spacing, and their headers."""
+    rows = f1(spark, sf).select(*KEYS, F.col("s").alias("value"), "nz")
+    zooms = [F.lit(0.35) + F.col("volume_id") * 0.07, F.lit(0.9) - F.col("volume_id") * 0.05, F.lit(0.5)]
+    turned = [0.0, zooms[1], 0.0, 4.0, -zooms[0], 0.0, 0.0, 5.0, 0.0, 0.0, zooms[2], 6.0, 0.0, 0.0, 0.0, 1.0]
+    affine = F.array(*[v if not isinstance(v, float) else F.lit(v) for v in turned])
+    heads = rows.groupBy(*V).agg(F.max("nz").alias("nz")).withColumns({"ny": F.lit(8), "nx": F.lit(8), "zooms": F.array(*zooms), "affine": affine, "unit": F.lit(3)})
+    return rows.drop("nz"), heads
+
+
+@query
+def prepared_volumes(spark, sf):
+    """Axes permuted, smoothed against aliasing, resampled to 0.8: each volume by its own spacing."""
+    voxels, _ = resample.prepare_volumes(*_proxies(spark, sf), (2, 0, 1), 0.8)
+    return _rounded(voxels.select(*KEYS, "value"), 8)
+
+
+@query
+def prepared_headers(spark, sf):
+    """Headers of the prepared volumes, written to files with their voxels and read from those."""
+    voxels, heads = resample.prepare_volumes(*_proxies(spark, sf), (2, 0, 1), 0.8)
+    named = F.concat(F.lit("volume"), F.col("volume_id").cast("string"))
+    path = G.shared_path(spark, "prepared")
+    bundles.write_prepared(G.saved(voxels.withColumn("volume_id", named), "prepared_voxels"), heads.withColumn("volume_id", named), path)
+    found = planes.scan_headers(spark, path)
+    affine = [F.round(F.col("affine")[i], 4).alias(f"a{i}") for i in range(12)]
+    return found.select("volume_id", "nz", "ny", "nx", "dtype", "unit", "qform", "sform", *affine)
