@@ -273,7 +273,7 @@ def _open_entries(ids: np.ndarray, done: np.ndarray, step: int) -> np.ndarray:
     return is_open & (np.cumsum(is_open, axis=1) <= step)
 
 
-def search(graph: DataFrame, asked: DataFrame, shape: Shape, beam: int = 96, step: int = 32, rounds: int = 200) -> DataFrame:
+def search(graph: DataFrame, asked: DataFrame, shape: Shape, beam: int = 160, step: int = 40, rounds: int = 200) -> DataFrame:
     """The beams (a row per block of query nodes) of the nodes ``asked`` (block, at) when no entry is open.
 
     Each round expands up to ``step`` open entries of every beam.
@@ -367,7 +367,7 @@ def _queries(row, shape: Shape) -> tuple[np.ndarray, ...]:
     return np.frombuffer(row.a, np.int64), np.frombuffer(row.b, np.int32), q, np.frombuffer(row.d, shape.kind).reshape(len(q), -1), np.frombuffer(row.e, np.float64)
 
 
-def nearest(rows: DataFrame, key: str, vector: str, asked: Column, top: int = 20, degree: int = 40, beam: int = 96, settled: float = 0.02, block: int = BLOCK) -> DataFrame:
+def nearest(rows: DataFrame, key: str, vector: str, asked: Column, top: int = 20, degree: int = 40, beam: int = 160, settled: float = 0.02, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for each row where ``asked`` (a condition on ``id``) holds, the ``top`` rows of the largest
     inner product that the search finds, its own left out; ties go to the smaller id.  ``score`` is the inner product of the
     vectors as they are, in double precision.
