@@ -57,13 +57,13 @@ def test_chain_against_numpy(spark):
 
 @pytest.mark.parametrize(
     "change,message",
-    [({"unit": F.lit(2)}, "not micron"), ({"zooms": F.array(F.lit(0.0), F.lit(1.0), F.lit(1.0))}, "positive and finite"), ({"affine": F.array_repeat(F.lit(1.0), 16)}, "independent"), ({"nz": F.lit(3)}, "lacks voxels")],
+    [({"unit": "2"}, "not micron"), ({"zooms": "array(0D, 1D, 1D)"}, "positive and finite"), ({"affine": "array_repeat(1D, 16)"}, "independent"), ({"nz": "3"}, "lacks voxels")],
 )
 def test_wrong_sources_are_errors(spark, change, message):
     heads = spark.createDataFrame([("a", 2, 2, 2, [1.0] * 3, np.eye(4).ravel().tolist(), 3)], HEAD)
     voxels = rows_of(spark, "a", np.ones((2, 2, 2)))
     with pytest.raises(Exception, match=message):
-        resample.prepare_volumes(voxels, heads.withColumns(change), (0, 1, 2), 0.8)[0].collect()
+        resample.prepare_volumes(voxels, heads.withColumns({k: F.expr(v) for k, v in change.items()}), (0, 1, 2), 0.8)[0].collect()
     assert resample.prepare_volumes(voxels, heads.withColumn("unit", F.lit(2)), (0, 1, 2), 0.8, assume_micron=True)[0].count() == 8
     with pytest.raises(Exception, match="must be finite"):
         resample.prepare_volumes(voxels.withColumn("value", F.lit(float("nan"))), heads, (0, 1, 2), 0.8)[0].collect()
