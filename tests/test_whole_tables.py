@@ -73,14 +73,38 @@ def test_labels_without_a_bound(spark):
     assert {r.label for r in found.collect()} == {0, 12_345}
 
 
-def test_ridge_does_not_depend_on_blocks(spark):
-    """A bright line: the largest response stands on it, whatever the blocks, and the whole volume sets the scale."""
+def test_ridge_against_numpy(spark):
+    """A bright line: responses are those of numpy's differences and eigenvalues, and the largest stand on the line."""
+    import numpy as np
+
+    from voluma.operators import ridge
+
     points = [(v, z, y, x, 1.0 * ((y, x) == (5, 4)) + 0.01 * ((z * 7 + y * 3 + x) % 5)) for v in (0, 1) for z in range(14 + v) for y in range(11) for x in range(9)]
     rows = spark.createDataFrame(points, "v int, z int, y int, x int, value double")
-    whole, cut = ({(r.v, r.z, r.y, r.x): r.ridge for r in I.ridge_score(rows, ["v"], sigmas=(0.5, 1.0), block=b).collect()} for b in (64, 6))
-    assert whole.keys() == cut.keys() and len(whole) == len(points)
-    assert max(abs(whole[k] - cut[k]) for k in whole) < 1e-8
-    assert all(max((whole[v, 7, y, x], y, x) for y in range(11) for x in range(9))[1:] == (5, 4) for v in (0, 1))
+    got = {(r.v, r.z, r.y, r.x): r.ridge for r in ridge.ridge_score(rows, ["v"], sigmas=(0.5, 1.0, 4.0)).collect()}
+    for v in (0, 1):
+        image = np.zeros((14 + v, 11, 9))
+        for w, z, y, x, value in points:
+            if w == v:
+                image[z, y, x] = value
+        want = np.zeros(image.shape)
+        for sigma in (0.5, 1.0, 4.0):
+            smooth, reach = image, int(4 * sigma + 0.5)
+            w = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+            for axis in range(3):
+                pad = [(reach, reach) if a == axis else (0, 0) for a in range(3)]
+                smooth = np.apply_along_axis(np.convolve, axis, np.pad(smooth, pad, mode="symmetric"), w / w.sum(), "valid")
+            h = sigma**2 * np.stack([np.stack([np.gradient(np.gradient(smooth, axis=i), axis=j) for j in range(3)], -1) for i in range(3)], -2)
+            e = np.linalg.eigvalsh(h)
+            e = np.take_along_axis(e, np.argsort(np.abs(e), axis=-1), -1)
+            s = np.sqrt((e**2).sum(-1))
+            ra, rb = np.abs(e[..., 1]) / np.maximum(np.abs(e[..., 2]), 1e-10), np.abs(e[..., 0]) / np.sqrt(np.maximum(np.abs(e[..., 1] * e[..., 2]), 1e-10))
+            response = (1 - np.exp(-(ra**2) / 0.5)) * np.exp(-(rb**2) / 0.5) * (1 - np.exp(-(s**2) / (2 * (s.max() / 2) ** 2)))
+            want = np.maximum(want, np.where((e[..., 1] < 0) & (e[..., 2] < 0), response, 0))
+        assert all(got[v, *p] == pytest.approx(want[tuple(p)], abs=1e-6) for p in np.argwhere(want >= 0).tolist())
+        assert max((got[v, 7, y, x], y, x) for y in range(11) for x in range(9))[1:] == (5, 4)
+    with pytest.raises(Exception, match="no domain mouse"):
+        ridge.ridge_masks(rows, ["v"], "value", F.lit("mouse")).collect()
 
 
 def test_percentiles_by_range_are_exact(spark):

@@ -5,8 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -172,73 +170,6 @@ def blend_tiles(rows: DataFrame, by: Sequence[str], tile: int, value: Column) ->
     return weighed.groupBy(*by, *AXES).agg((F.sum(F.col("_w") * value) / F.sum("_w")).alias("blended"), F.count("*").alias("tiles"))
 
 
-def _dense(pdf: pd.DataFrame, value: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    at = pdf[list(AXES)].to_numpy()
-    low = at.min(axis=0)
-    out = np.zeros(at.max(axis=0) - low + 1)
-    out[tuple((at - low).T)] = pdf[value]
-    return out, at, low
-
-
-def hessian_parts(image: np.ndarray, sigma: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the smoothed image's Hessian, by the eigenvalues in the order of their size (Frangi et al., 1998): plate and blob
-    ratios, structure, and whether the ridge is bright."""
-    smooth = image
-    for axis in range(3):
-        w = np.array(gaussian_weights(sigma))
-        pad = [(len(w) // 2,) * 2 if a == axis else (0, 0) for a in range(3)]
-        smooth = np.apply_along_axis(np.convolve, axis, np.pad(smooth, pad, mode="edge"), w, "valid")
-    hess = np.zeros((*image.shape, 3, 3))
-    for i, g in enumerate(np.gradient(smooth)):
-        for j, h in enumerate(np.gradient(g)):
-            hess[..., i, j] = sigma**2 * h
-    eig = np.linalg.eigvalsh((hess + np.swapaxes(hess, -1, -2)) / 2)
-    eig = np.take_along_axis(eig, np.argsort(np.abs(eig), axis=-1), -1)
-    l1, l2, l3 = (eig[..., i] for i in range(3))
-    eps = 1e-10
-    ra, rb = np.abs(l2) / np.maximum(np.abs(l3), eps), np.abs(l1) / np.sqrt(np.maximum(np.abs(l2 * l3), eps))
-    return ra, rb, np.sqrt((eig**2).sum(axis=-1)), (l2 < 0) & (l3 < 0)
-
-
-def ridge_score(rows: DataFrame, by: Sequence[str], value: str = "value", sigmas: Sequence[float] = (1.0, 2.0), block: int = 64, alpha: float = 0.5, beta: float = 0.5) -> DataFrame:
-    """by, z, y, x, ridge: the largest bright-ridge response over the scales, of a dense table of voxels.
-
-    The eigenvalues are found in cubes of ``block`` voxels with a halo as wide as the largest scale needs, so no task holds a
-    whole volume or plane; the response's normaliser is half the largest structure of the whole volume at each scale.  Block
-    size does not change the result.
-    """
-    halo = int(4 * max(sigmas) + 0.5) + 2
-    cut = rows.select(*by, *AXES, F.col(value).cast("double").alias("_v"))
-    for axis in AXES:
-        near = F.sequence(F.greatest(F.floor((F.col(axis) - halo) / block), F.lit(0)).cast("int"), F.floor((F.col(axis) + halo) / block).cast("int"))
-        cut = cut.withColumn(f"_b{axis}", F.explode(near))
-    blocks = [f"_b{a}" for a in AXES]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = np.ones(len(pdf), bool)
-        for axis, b in zip(AXES, blocks):
-            own &= (pdf[axis] // block == pdf[b]).to_numpy()
-        image, at, low = _dense(pdf, "_v")
-        if not own.any() or min(image.shape) < 2:  # no block of the volume, or no ridge in a single plane
-            return pdf.iloc[:0].assign(scale=0, ra=0.0, rb=0.0, s=0.0, bright=False)[[*by, *AXES, "scale", "ra", "rb", "s", "bright"]]
-        places, out = tuple((at - low)[own].T), []
-        for i, sigma in enumerate(sigmas):
-            ra, rb, s, bright = (p[places] for p in hessian_parts(image, sigma))
-            out.append(pdf.loc[own, [*by, *AXES]].assign(scale=i, ra=ra, rb=rb, s=s, bright=bright))
-        return pd.concat(out)
-
-    kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*by, *AXES]) + ", scale int, ra double, rb double, s double, bright boolean"
-    parts = saved(cut.groupBy(*by, *blocks).applyInPandas(run, schema), "hessian")
-    most = parts.groupBy(*by, "scale").agg((F.max("s") / 2).alias("c"))  # a row per volume and scale
-    joined = parts.join(most, [*by, "scale"])
-    c = F.when(F.col("c") > 0, F.col("c")).otherwise(1.0)
-    plate, blob, structure = 1 - F.exp(-(F.col("ra") ** 2) / (2 * alpha**2)), F.exp(-(F.col("rb") ** 2) / (2 * beta**2)), 1 - F.exp(-(F.col("s") ** 2) / (2 * c**2))
-    response = F.when(F.col("bright"), plate * blob * structure).otherwise(0.0)
-    found = joined.groupBy(*by, *AXES).agg(F.round(F.max(response), 9).alias("ridge"))
-    return rows.select(*by, *AXES).join(found, [*by, *AXES], "left").fillna(0.0, ["ridge"])
-
-
 def percentiles_by_range(rows: DataFrame, by: Sequence[str], value: str, parts: Sequence[float], ranges: int = 4096) -> DataFrame:
     """by, p: exact percentiles (linear between ranks), like ``percentile`` but without a group's values in one buffer.
 

@@ -546,3 +546,41 @@ for _r, _t in enumerate(("4", "5", "6")):
 O["prepared_headers"] = f"""WITH {_PROXIES}, p AS (SELECT heads.*, max(CASE WHEN axis = 'z' THEN m END) AS mz, max(CASE WHEN axis = 'y' THEN m END) AS my, max(CASE WHEN axis = 'x' THEN m END) AS mx FROM heads JOIN h USING (volume_id) GROUP BY ALL)
 SELECT 'volume' || volume_id AS volume_id, CAST(mz AS INTEGER) AS nz, CAST(my AS INTEGER) AS ny, CAST(mx AS INTEGER) AS nx, 'float32' AS dtype, 3 AS unit, 1 AS qform, 2 AS sform,
 {", ".join(f"round({v}, 4) AS a{i}" for i, v in enumerate(_ROWS))} FROM p"""
+
+
+def _ridges(name: str, where: str, sigmas: tuple, alpha: float, beta: float) -> str:
+    """{name}: volume_id, z, y, x, ridge of some volumes of f1."""
+    ctes, last = [], f"{name}_v"
+    ctes.append(f"{name}_v AS (SELECT volume_id, z, y, x, nz, CAST(sg AS DOUBLE) AS sg, s AS value FROM f1, (SELECT unnest([{', '.join(map(str, sigmas))}]) AS sg) WHERE {where})")
+    ctes.append(f"""{name}_k AS (SELECT sg, i, exp(CAST(-0.5 AS DOUBLE) * (i / sg) * (i / sg)) / sum(exp(CAST(-0.5 AS DOUBLE) * (i / sg) * (i / sg))) OVER (PARTITION BY sg) AS w
+  FROM (SELECT sg, unnest(range(-CAST(floor(4 * sg + 0.5) AS BIGINT), CAST(floor(4 * sg + 0.5) AS BIGINT) + 1)) AS i FROM (SELECT unnest([{', '.join(f'CAST({s} AS DOUBLE)' for s in sigmas)}]) AS sg)))""")
+    for a, n in (("z", "nz"), ("y", "8"), ("x", "8")):  # weights that reach the same voxel by reflection are summed first
+        mirrored = f"CASE WHEN q < n THEN q ELSE 2 * n - 1 - q END"
+        ctes.append(f"""{name}_m{a} AS MATERIALIZED (SELECT sg, n, t, {mirrored} AS o, sum(w) AS w FROM (SELECT k.sg, n, t, w, (((t + i) % (2 * n)) + 2 * n) % (2 * n) AS q FROM {name}_k k, (SELECT n, unnest(range(n)) AS t FROM (SELECT DISTINCT CAST({n} AS BIGINT) AS n FROM {name}_v))) GROUP BY ALL)""")
+        rest = ", ".join(f"v.{b}" for b in "zyx" if b != a)
+        ctes.append(f"{name}_s{a} AS MATERIALIZED (SELECT v.volume_id, v.nz, v.sg, {rest}, m.t AS {a}, sum(m.w * v.value) AS value FROM {last} v JOIN {name}_m{a} m ON m.sg = v.sg AND m.n = {'v.nz' if a == 'z' else n} AND m.o = v.{a} GROUP BY ALL)")
+        last = f"{name}_s{a}"
+
+    def grad(column: str, a: str) -> str:
+        w = f"OVER (PARTITION BY volume_id, sg, {', '.join(b for b in 'zyx' if b != a)} ORDER BY {a})"
+        return f"CASE WHEN lag({column}) {w} IS NULL AND lead({column}) {w} IS NULL THEN 0 WHEN lag({column}) {w} IS NULL THEN lead({column}) {w} - {column} WHEN lead({column}) {w} IS NULL THEN {column} - lag({column}) {w} ELSE (lead({column}) {w} - lag({column}) {w}) / 2 END"
+
+    ctes.append(f"{name}_g AS MATERIALIZED (SELECT *, {', '.join(f'{grad('value', a)} AS g{a}' for a in 'zyx')} FROM {last})")
+    pairs = [("z", "z"), ("z", "y"), ("z", "x"), ("y", "y"), ("y", "x"), ("x", "x")]
+    ctes.append(f"{name}_h AS MATERIALIZED (SELECT volume_id, sg, z, y, x, {', '.join(f'sg * sg * ({grad('g' + a, b)}) AS {a}{b}' for a, b in pairs)} FROM {name}_g)")
+    ctes.append(f"{name}_q AS (SELECT *, (zz + yy + xx) / 3 AS mean, sqrt((pow(zz - (zz + yy + xx) / 3, 2) + pow(yy - (zz + yy + xx) / 3, 2) + pow(xx - (zz + yy + xx) / 3, 2) + 2 * (zy * zy + zx * zx + yx * yx)) / 6) AS sp FROM {name}_h)")
+    ctes.append(f"{name}_d AS (SELECT *, (zz - mean) * ((yy - mean) * (xx - mean) - yx * yx) - zy * (zy * (xx - mean) - yx * zx) + zx * (zy * yx - (yy - mean) * zx) AS dt FROM {name}_q)")
+    ctes.append(f"{name}_t AS (SELECT *, acos(least(greatest(CASE WHEN sp * sp * sp = 0 THEN CAST(0 AS DOUBLE) ELSE dt / (2 * sp * sp * sp) END, -1), 1)) / 3 AS tn FROM {name}_d)")
+    ctes.append(f"{name}_e AS (SELECT *, mean + 2 * sp * cos(tn) AS hi, mean + 2 * sp * cos(tn + 2 * pi() / 3) AS lo FROM {name}_t)")
+    ctes.append(f"{name}_l AS (SELECT volume_id, sg, z, y, x, list_sort([{{'a': abs(hi), 'v': hi}}, {{'a': abs(3 * mean - hi - lo), 'v': 3 * mean - hi - lo}}, {{'a': abs(lo), 'v': lo}}]) AS e FROM {name}_e)")
+    ctes.append(f"{name}_p AS MATERIALIZED (SELECT volume_id, sg, z, y, x, e[2].a / greatest(e[3].a, CAST(1e-10 AS DOUBLE)) AS ra, e[1].a / sqrt(greatest(e[2].a * e[3].a, CAST(1e-10 AS DOUBLE))) AS rb, sqrt(e[1].a * e[1].a + e[2].a * e[2].a + e[3].a * e[3].a) AS s, e[2].v < 0 AND e[3].v < 0 AS bright FROM {name}_l)")
+    ctes.append(f"{name}_c AS (SELECT volume_id, sg, CASE WHEN max(s) > 0 THEN max(s) / 2 ELSE CAST(1 AS DOUBLE) END AS c FROM {name}_p GROUP BY ALL)")
+    ctes.append(f"""{name} AS (SELECT volume_id, CAST(z AS INTEGER) AS z, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, max(CASE WHEN bright THEN (1 - exp(-(ra * ra) / CAST({2 * alpha**2} AS DOUBLE))) * exp(-(rb * rb) / CAST({2 * beta**2} AS DOUBLE)) * (1 - exp(-(s * s) / (2 * c * c))) ELSE CAST(0 AS DOUBLE) END) AS ridge
+  FROM {name}_p JOIN {name}_c USING (volume_id, sg) GROUP BY ALL)""")
+    return ", ".join(ctes)
+
+
+O["ridge_score"] = f"WITH {F1}, {_ridges('r', 'TRUE', (1, 2), 0.5, 0.5)} SELECT {K}, round(ridge, 5) AS ridge FROM r"
+_PART = "SELECT {k}, '{d}' AS domain, round(ridge, 5) AS ridge, CAST(ridge AS FLOAT) >= CAST({t} AS FLOAT) AS mask FROM {n}"
+O["ridge_masks"] = f"""WITH {F1}, {_ridges('rh', 'volume_id < 5', (3, 4, 5, 6, 7), 0.25, 0.5)}, {_ridges('rm', 'volume_id >= 5', tuple(range(2, 11)), 0.25, 0.33)}
+{_PART.format(k=K, d='human', t=0.05, n='rh')} UNION ALL {_PART.format(k=K, d='macaque', t=0.01, n='rm')}"""

@@ -19,7 +19,7 @@ from ..operators import intensity as I
 from ..operators import labels as L
 from ..operators import learning as N
 from ..operators import raster as R
-from ..operators import resample
+from ..operators import resample, ridge
 from ..sources import bundles, planes
 from ..sources import volumes as S
 from .fixtures import METHODS, f1, f1_values, f2, f2_contributions, f3, f4, f5, table
@@ -127,7 +127,14 @@ def percentiles_by_range(spark, sf):
 
 @query
 def ridge_score(spark, sf):
-    return I.ridge_score(f1(spark, sf), V, "s", (1.0,))
+    return _rounded(ridge.ridge_score(f1(spark, sf), V, "s", (1.0, 2.0)), 5)
+
+
+@query
+def ridge_masks(spark, sf):
+    """Each volume by the scales of its domain."""
+    domain = F.when(F.col("volume_id") < 5, "human").otherwise("macaque")
+    return _rounded(ridge.ridge_masks(f1(spark, sf), V, "s", domain).select(*KEYS, "domain", "ridge", "mask"), 5)
 
 
 # Evaluation
