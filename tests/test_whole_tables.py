@@ -111,8 +111,9 @@ def test_percentiles_by_range_are_exact(spark):
     import numpy as np
 
     groups = {"a": np.random.default_rng(0).normal(0, 1, 501), "b": np.array([3.0] * 40 + [1e9]), "c": np.array([2.5]), "d": np.arange(10.0)}
+    groups |= {"e": np.array([-1e300, *np.linspace(-1, 1, 3000), 1e300]), "f": np.array([-2.5, -0.0, 0.0, -1e-310, 1e-310]), "g": 1e6 + np.arange(2000) * 1e-9}
     rows = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None), ("d", float("nan"))], "g string, v double")
     asked = (0.0, 0.005, 0.5, 0.77, 0.995, 1.0)
-    out = {r.g: r.p for r in I.percentiles_by_range(rows, ["g"], "v", asked, ranges=16).collect()}
+    out = {r.g: r.p for r in I.percentiles_by_range(rows, ["g"], "v", asked).collect()}
     for g, vs in groups.items():
         assert out[g] == pytest.approx(np.quantile(vs, asked).tolist(), rel=1e-12)

@@ -13,10 +13,17 @@ from ..functions.scalar import antialias_sigma, at_least, clipped, rescaled, res
 from .grid import AXES, saved
 
 
-def percentile_normalise(rows: DataFrame, by: Sequence[str], value: str = "value", low: float = 0.005, high: float = 0.995, into: str = "score", single: bool = True) -> DataFrame:
-    """Clip to exact percentiles (linear between ranks) per group and scale to [0, 1]; 0 where they coincide."""
+def percentile_normalise(rows: DataFrame, by: Sequence[str], value: str = "value", low: float = 0.005, high: float = 0.995, into: str = "score", single: bool = True, by_range: bool = False) -> DataFrame:
+    """Clip to exact percentiles (linear between ranks) per group and scale to [0, 1]; 0 where they coincide.
+
+    With ``by_range`` groups may be of any size (see ``percentiles_by_range``); without it the distinct values of a group must
+    fit one task, which takes one pass instead of five.
+    """
     v = F.col(value).cast("float").cast("double") if single else F.col(value).cast("double")
-    limits = rows.groupBy(*by).agg(F.percentile(v, F.array(F.lit(low), F.lit(high))).alias("_p"))
+    if by_range:
+        limits = percentiles_by_range(rows.withColumn("_v", v), by, "_v", (low, high)).withColumnRenamed("p", "_p")
+    else:
+        limits = rows.groupBy(*by).agg(F.percentile(v, F.array(F.lit(low), F.lit(high))).alias("_p"))
     joined = rows.join(limits, list(by))
     lo, hi = F.col("_p")[0], F.col("_p")[1]
     score = F.when(hi <= lo, F.lit(0.0)).otherwise((clipped(v, lo, hi) - lo) / (hi - lo))
@@ -170,28 +177,53 @@ def blend_tiles(rows: DataFrame, by: Sequence[str], tile: int, value: Column) ->
     return weighed.groupBy(*by, *AXES).agg((F.sum(F.col("_w") * value) / F.sum("_w")).alias("blended"), F.count("*").alias("tiles"))
 
 
-def percentiles_by_range(rows: DataFrame, by: Sequence[str], value: str, parts: Sequence[float], ranges: int = 4096) -> DataFrame:
+#: Bits of a value's key that one pass counts by, and the bits of a key.
+DIGIT, KEY = 16, 64
+
+
+def double_bits(value: Column) -> Column:
+    """The 64 bits of a double as a long (Spark has no function of its own for it; a column of its own, as Spark takes calls of Java
+    methods for non-deterministic)."""
+    return F.call_function("reflect", F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value + F.lit(0.0)).cast("long")
+
+
+def bits_double(bits: Column) -> Column:
+    return F.call_function("reflect", F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
+
+
+SIGN = -(1 << 63)
+
+
+def percentiles_by_range(rows: DataFrame, by: Sequence[str], value: str, parts: Sequence[float]) -> DataFrame:
     """by, p: exact percentiles (linear between ranks), like ``percentile`` but without a group's values in one buffer.
 
-    Values are counted per distinct value and per range between the group's extremes; the ranks asked for fall into a few ranges,
-    and only the values of those are ordered.  Nulls and NaN don't count.
+    Radix selection: four passes count the values by 16 more bits of their keys, each among those that agree with a wanted rank so
+    far, so what is gathered is at most 65,536 counts a group and rank whatever the values are.  Nulls and NaN don't count; a
+    group without values has no row.
     """
     by = list(by)
     v = rows.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
-    counts = saved(v.groupBy(*by, "_v").agg(F.count("*").alias("_n")), "values")
-    extremes = counts.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all"))  # a row per group
-    place = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * ranges), F.lit(ranges - 1))).otherwise(0)
-    placed = counts.join(extremes, by).withColumn("_r", place.cast("int"))
-    sums = placed.groupBy(*by, "_r", "_all").agg(F.sum("_n").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # ``ranges`` rows
-    asked = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(parts)])
-    ranks = sums.withColumn("_before", before).select("*", F.explode(asked).alias("_q")).withColumn("_at", F.col("_q.q") * (F.col("_all") - 1))
-    ranks = ranks.select("*", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))).alias("_rank"))
-    ranks = ranks.where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n"))).select(*by, "_r", "_before", F.col("_q.i").alias("_i"), "_at", "_rank")
-    used = placed.join(ranks.select(*by, "_r", "_before").distinct(), [*by, "_r"])
-    upto = F.sum("_n").over(Window.partitionBy(*by, "_r").orderBy("_v"))
-    used = used.withColumn("_end", F.col("_before") + upto).withColumn("_begin", F.col("_end") - F.col("_n")).select(*by, "_r", "_v", "_begin", "_end")
-    hit = ranks.join(used, [*by, "_r"]).where("_rank >= _begin and _rank < _end")
+    bits = v.select(*by, double_bits(F.col("_v")).alias("_bits"))
+    ordered = F.when(F.col("_bits") < 0, F.bitwise_not("_bits")).otherwise(F.col("_bits").bitwiseXOR(F.lit(SIGN)))  # unsigned order is the values'
+    keys = saved(bits.select(*by, ordered.alias("_key")), "keys")
+    asked = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(parts)])).alias("_q")
+    wanted = keys.groupBy(*by).agg(F.count("*").alias("_all")).select(*by, "_all", asked).withColumn("_at", F.col("_q.q") * (F.col("_all") - 1))
+    wanted = wanted.select(*by, F.col("_q.i").alias("_i"), "_at", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))).alias("_rank"))
+    wanted = wanted.withColumns({"_prefix": F.lit(0).cast("long"), "_left": F.col("_rank")})
+    for shift in range(KEY - DIGIT, -1, -DIGIT):
+        mine = F.shiftrightunsigned("_key", shift + DIGIT) if shift + DIGIT < KEY else F.lit(0).cast("long")
+        digit = F.shiftrightunsigned("_key", shift).bitwiseAND(F.lit((1 << DIGIT) - 1))
+        found = keys.select(*by, mine.alias("_prefix"), digit.alias("_digit"))
+        if shift + DIGIT < KEY:
+            found = found.join(wanted.select(*by, "_prefix").distinct(), [*by, "_prefix"])
+        counts = found.groupBy(*by, "_prefix", "_digit").agg(F.count("*").alias("_n"))
+        upto = F.sum("_n").over(Window.partitionBy(*by, "_prefix").orderBy("_digit"))
+        counts = counts.withColumn("_end", upto).withColumn("_begin", F.col("_end") - F.col("_n"))
+        hit = wanted.join(counts, [*by, "_prefix"]).where("_left >= _begin and _left < _end")
+        prefix = F.shiftleft("_prefix", DIGIT).bitwiseOR(F.col("_digit"))
+        wanted = saved(hit.select(*by, "_i", "_at", "_rank", prefix.alias("_prefix"), (F.col("_left") - F.col("_begin")).alias("_left")), "ranks")
     weight = F.when(F.col("_rank") == F.col("_at"), 1.0).otherwise(1 - F.abs(F.col("_rank") - F.col("_at")))
-    each = hit.groupBy(*by, "_i").agg(F.sum(F.col("_v") * weight).alias("_p"))
+    back = F.when(F.col("_prefix") < 0, F.col("_prefix").bitwiseXOR(F.lit(SIGN))).otherwise(F.bitwise_not("_prefix"))
+    values = wanted.select(*by, "_i", "_at", "_rank", bits_double(back).alias("_v"))
+    each = values.groupBy(*by, "_i").agg(F.sum(F.col("_v") * weight).alias("_p"))
     return each.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_i", "_p"))).alias("p")).select(*by, F.transform("p", lambda e: e["_p"]).alias("p"))

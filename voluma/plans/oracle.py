@@ -584,3 +584,60 @@ O["ridge_score"] = f"WITH {F1}, {_ridges('r', 'TRUE', (1, 2), 0.5, 0.5)} SELECT
 _PART = "SELECT {k}, '{d}' AS domain, round(ridge, 5) AS ridge, CAST(ridge AS FLOAT) >= CAST({t} AS FLOAT) AS mask FROM {n}"
 O["ridge_masks"] = f"""WITH {F1}, {_ridges('rh', 'volume_id < 5', (3, 4, 5, 6, 7), 0.25, 0.5)}, {_ridges('rm', 'volume_id >= 5', tuple(range(2, 11)), 0.25, 0.33)}
 {_PART.format(k=K, d='human', t=0.05, n='rh')} UNION ALL {_PART.format(k=K, d='macaque', t=0.01, n='rm')}"""
+
+
+def _draw(seed: int, name: str, *keys: str) -> str:
+    text = " || ':' || ".join([f"'{seed}:{name}'", *[f"CAST({k} AS VARCHAR)" for k in keys]])
+    return f"((CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) + 0.5) / CAST({1 << 52} AS DOUBLE))"
+
+
+def _normal(seed: int, name: str, *keys: str) -> str:
+    return f"(sqrt(-2 * ln({_draw(seed, name + '.r', *keys)})) * cos(2 * pi() * {_draw(seed, name + '.t', *keys)}))"
+
+
+def _gamma(seed: int, name: str, shape: int, *keys: str) -> str:
+    return f"((0 - {' - '.join(f'ln({_draw(seed, f'{name}.{i}', *keys)})' for i in range(shape))}) / {shape})"
+
+
+def _drawn_field(seed: int, name: str, nodes: int, sizes: dict[str, int]) -> str:
+    at = {a: f"({a} * (CAST({nodes - 1} AS DOUBLE) / {n - 1}))" for a, n in sizes.items()}
+    low = {a: f"CAST(least(floor({p}), {nodes - 2}) AS INTEGER)" for a, p in at.items()}
+    terms = []
+    for corner in [(z, y, x) for z in (0, 1) for y in (0, 1) for x in (0, 1)]:
+        w = " * ".join(f"({at[a]} - {low[a]})" if d else f"(1 - ({at[a]} - {low[a]}))" for a, d in zip("zyx", corner))
+        terms.append(f"{w} * {_draw(seed, name, 'volume_id', *[f'({low[a]} + {d})' for a, d in zip('zyx', corner)])}")
+    return "(" + " + ".join(terms) + ")"
+
+
+_AXES = ("z", "y", "x")
+O["hashed_draws"] = f"WITH {F2} SELECT {K}, round({_normal(5, 'n', 'volume_id', *_AXES)}, 8) AS normal, round({_gamma(5, 'g', 3, 'volume_id', *_AXES)}, 8) AS gamma FROM f2"
+O["retried_subsets"] = f"""WITH {_LUMPS}, l AS (SELECT DISTINCT volume_id, label FROM own), t AS (SELECT volume_id, label, attempt FROM l, (SELECT unnest(range(10)) AS attempt)),
+kept AS (SELECT * FROM t WHERE {_draw(3, "keep' || attempt || '", 'volume_id', 'label')} < CAST(0.12 AS DOUBLE)),
+f AS (SELECT volume_id, min(attempt) AS attempt FROM kept WHERE label BETWEEN 1 AND 2 GROUP BY volume_id),
+a AS (SELECT volume_id, attempt FROM (SELECT DISTINCT volume_id FROM l) LEFT JOIN f USING (volume_id))
+SELECT a.volume_id, CAST(a.attempt AS INTEGER) AS attempt, count(*) FILTER (a.attempt IS NULL OR k.label IS NOT NULL) AS n_voxels
+FROM a JOIN own o ON o.volume_id = a.volume_id LEFT JOIN kept k ON k.volume_id = o.volume_id AND k.label = o.label AND k.attempt = a.attempt GROUP BY a.volume_id, a.attempt"""
+_S = {"z": 32, "y": 16, "x": 16}
+_MIX = "({m} + (CAST(0.25 AS DOUBLE) * {d}) * {n})"
+
+
+def _mixed(name: str, group: str) -> str:
+    return _MIX.format(m=_draw(7, f"{name}.mean", "volume_id", group), d=_draw(7, f"{name}.deviation", "volume_id", group), n=_normal(7, name, "volume_id", *_AXES))
+
+
+O["synthetic_images"] = f"""WITH {_LUMPS}, dense AS MATERIALIZED (SELECT v.volume_id, CAST(a AS INTEGER) AS z, CAST(b AS INTEGER) AS y, CAST(c AS INTEGER) AS x, coalesce(l.label, 0) AS label, coalesce(f2.prob, CAST(0 AS DOUBLE)) AS prob
+  FROM (SELECT DISTINCT volume_id FROM f2) v CROSS JOIN range(32) r(a) CROSS JOIN range(16) s(b) CROSS JOIN range(16) t(c)
+  LEFT JOIN lumps l ON l.volume_id = v.volume_id AND l.z = a AND l.y = b AND l.x = c LEFT JOIN f2 ON f2.volume_id = v.volume_id AND f2.z = a AND f2.y = b AND f2.x = c),
+o AS (SELECT volume_id, label, row_number() OVER (PARTITION BY volume_id ORDER BY {_draw(7, 'order', 'volume_id', 'label')}, label) - 1 AS rk, count(*) OVER (PARTITION BY volume_id) AS n,
+  1 + CAST(floor({_draw(7, 'groups', 'volume_id')} * 5) AS INTEGER) AS gs FROM (SELECT DISTINCT volume_id, label FROM dense WHERE label > 0)),
+g AS (SELECT volume_id, label, CAST(1 + floor(rk / ceil(n / CAST(gs AS DOUBLE))) AS INTEGER) AS grp FROM o),
+i0 AS (SELECT d.*, coalesce(grp, 0) AS grp, CAST(floor({_drawn_field(7, 'patches', 8, _S)} * 16) AS INTEGER) AS patch FROM dense d LEFT JOIN g USING (volume_id, label)),
+i1 AS MATERIALIZED (SELECT *, {_mixed('foreground', 'grp')} AS f, {_mixed('background', 'patch')} AS b FROM i0),
+rg AS (SELECT volume_id, min(f) AS f0, max(f) AS f1, min(b) AS b0, max(b) AS b1 FROM i1 GROUP BY volume_id),
+i2 AS (SELECT *, CAST(0.3 AS DOUBLE) + CAST(0.2 AS DOUBLE) * {_draw(7, 'lower', 'volume_id')} AS lo, CASE WHEN {_draw(7, 'has_background', 'volume_id')} < CAST(0.5 AS DOUBLE) THEN CAST(0.2 AS DOUBLE) + CAST(0.2 AS DOUBLE) * {_draw(7, 'upper', 'volume_id')} ELSE CAST(0 AS DOUBLE) END AS up FROM i1 JOIN rg USING (volume_id)),
+i3 AS (SELECT *, (lo + (1 - lo) * ((f - f0) / (f1 - f0))) * prob + up * ((b - b0) / (b1 - b0)) * (1 - prob) + (CAST(-0.25 AS DOUBLE) + CAST(0.5 AS DOUBLE) * {_drawn_field(7, 'add', 4, _S)}) AS i FROM i2),
+i4 AS (SELECT *, pow(greatest(i, 0) * (CAST(0.75 AS DOUBLE) + CAST(0.5 AS DOUBLE) * {_drawn_field(7, 'multiply', 4, _S)}), pow(2, CAST(-1 AS DOUBLE) + 2 * {_draw(7, 'gamma', 'volume_id')})) AS j FROM i3),
+i5 AS MATERIALIZED (SELECT volume_id, z, grp, j * {_gamma(7, 'noise', 4, 'volume_id', *_AXES)} + CAST(0.02 AS DOUBLE) * {_normal(7, 'noise.add', 'volume_id', *_AXES)} AS i FROM i4),
+q AS (SELECT volume_id, quantile_cont(i, 0.005) AS lo, quantile_cont(i, 0.995) AS hi FROM i5 GROUP BY volume_id),
+im AS (SELECT volume_id, z, grp, least(greatest((least(greatest(i, lo), hi) - lo) / (hi - lo), 0), 1) AS image FROM i5 JOIN q USING (volume_id))
+SELECT volume_id, z, round(avg(image), 6) AS mean, round(min(image), 6) AS low, round(max(image), 6) AS high, max(grp) AS groups FROM im GROUP BY volume_id, z"""

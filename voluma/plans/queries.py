@@ -19,7 +19,7 @@ from ..operators import intensity as I
 from ..operators import labels as L
 from ..operators import learning as N
 from ..operators import raster as R
-from ..operators import resample, ridge
+from ..operators import resample, ridge, synthesis
 from ..sources import bundles, planes
 from ..sources import volumes as S
 from .fixtures import METHODS, f1, f1_values, f2, f2_contributions, f3, f4, f5, table
@@ -44,7 +44,7 @@ def _rounded(df: DataFrame, digits: int = 9) -> DataFrame:
 
 @query
 def normalize_percentile(spark, sf):
-    return _rounded(I.percentile_normalise(f1_values(spark, sf), V, "v", single=False).select(*KEYS, "score"))
+    return _rounded(I.percentile_normalise(f1_values(spark, sf), V, "v", single=False, by_range=True).select(*KEYS, "score"))
 
 
 @query
@@ -453,6 +453,41 @@ def hollow_and_refill(spark, sf):
     return distance.hollow_and_refill(rows, boxes, V, lambda r: r.withColumn("width", width), F.col("label") % 3 != 0).select(*KEYS, "label")
 
 
+def _dense_lumps(spark, sf):
+    rows, _ = _lumps(spark, sf)
+    sizes = rows.select(*V).distinct().withColumns({"nz": F.lit(32), "ny": F.lit(16), "nx": F.lit(16)})
+    probs = f2(spark, sf).select(*KEYS, "prob")
+    return R.dense(sizes, rows.join(probs, KEYS), V, {"label": 0, "prob": 0.0}).select(*KEYS, "label", "prob")
+
+
+@query
+def synthetic_images(spark, sf):
+    """Images of the label volumes; the mean of each plane, as well as its extremes."""
+    out = synthesis.synthesised(_dense_lumps(spark, sf), V, {"z": 32, "y": 16, "x": 16}, 7, shape=4)
+    return _rounded(out.groupBy(*V, "z").agg(F.avg("image").alias("mean"), F.min("image").alias("low"), F.max("image").alias("high"), F.max("group").alias("groups")), 6)
+
+
+@query
+def hashed_draws(spark, sf):
+    """Normal and gamma draws of every voxel of the instance volumes."""
+    rows = f2(spark, sf).select(*KEYS)
+    return _rounded(rows.select(*KEYS, synthesis.normal(5, "n", *KEYS).alias("normal"), synthesis.gamma(5, "g", 3, *KEYS).alias("gamma")), 8)
+
+
+@query
+def retried_subsets(spark, sf):
+    """Subsets of labels, drawn again (10 times at most) until a volume keeps one of the first two of its blocks."""
+    rows, _ = _lumps(spark, sf)
+    rows = rows.where("label > 0")
+
+    def step(left, attempt):
+        return left.withColumn("label", F.when(synthesis.uniform(3, f"keep{attempt}", *V, "label") < 0.12, F.col("label")).otherwise(0))
+
+    out, table = synthesis.first_that_holds(rows, V, step, lambda r: r.where("label between 1 and 2"))
+    n = out.groupBy(*V).agg(F.count_if(F.col("label") > 0).alias("n_voxels"))
+    return table.join(n, V)
+
+
 def _density(field):
     def run(spark, sf):
         return _rounded(f1(spark, sf).select(*KEYS, field().alias("density")))
