@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -61,3 +62,27 @@ def merged_rows(*tables: DataFrame) -> DataFrame:
     for t in tables[1:]:
         out = out.unionByName(t, allowMissingColumns=True)
     return out
+
+
+def templated_path(template: str, root: str, names: Sequence[str] = ("dataset", "patch", "patch_id", "domain", "split", "method")) -> Column:
+    """The path of each row by a template: ``{name}`` stands for the column of that name, and what comes out lies below ``root``.
+
+    A name that is not one of ``names`` is an error at once; a null, and a value that would leave its part of the path (one with a
+    slash, or of dots only), are errors when they are read.
+    """
+    used = re.findall(r"\{([^{}]*)\}", template)
+    unknown = sorted(set(used) - set(names))
+    if unknown or re.search(r"[{}]", re.sub(r"\{[^{}]*\}", "", template)):
+        raise ValueError(f"the template {template!r} asks for {unknown or 'an unclosed name'}")
+    if template.startswith("/") or any(p in ("", ".", "..") for p in template.split("/")):
+        raise ValueError(f"the template {template!r} leaves its root")
+    parts = [F.lit(root.rstrip("/") + "/")]
+    for i, piece in enumerate(re.split(r"\{([^{}]*)\}", template)):
+        if i % 2 == 0:
+            parts.append(F.lit(piece))
+            continue
+        value = F.col(piece).cast("string")
+        good = F.coalesce(value.rlike(r"^[A-Za-z0-9_.-]+$") & ~value.rlike(r"^\.+$"), F.lit(False))
+        wrong = F.raise_error(F.concat(F.lit(f"{piece} is no part of a path: "), F.coalesce(value, F.lit("null")))).cast("string")
+        parts.append(F.when(good, value).otherwise(wrong))
+    return F.concat(*parts)

@@ -641,3 +641,24 @@ i5 AS MATERIALIZED (SELECT volume_id, z, grp, j * {_gamma(7, 'noise', 4, 'volume
 q AS (SELECT volume_id, quantile_cont(i, 0.005) AS lo, quantile_cont(i, 0.995) AS hi FROM i5 GROUP BY volume_id),
 im AS (SELECT volume_id, z, grp, least(greatest((least(greatest(i, lo), hi) - lo) / (hi - lo), 0), 1) AS image FROM i5 JOIN q USING (volume_id))
 SELECT volume_id, z, round(avg(image), 6) AS mean, round(min(image), 6) AS low, round(max(image), 6) AS high, max(grp) AS groups FROM im GROUP BY volume_id, z"""
+
+_RECORDS = """a AS (SELECT event_id, json_object('type', event_type, 'more', json_object('props', CAST(props AS JSON), 'sizes', json_array(user_id % 3, 2)), 'note', NULL) AS doc FROM events),
+b AS (SELECT event_id, json_object('type', event_type, 'more', json_object('props', CAST(CASE WHEN event_id % 7 = 0 THEN '{}' ELSE props END AS JSON), 'sizes', json_array(CAST(user_id % 3 AS DOUBLE), CASE WHEN event_id % 5 = 0 THEN CAST(2.5 AS DOUBLE) ELSE CAST(2 AS DOUBLE) END)),
+  'note', CASE WHEN event_id % 11 = 0 THEN 'x' END, 'added', CASE WHEN event_id % 7 = 0 THEN 1 END) AS doc FROM events)"""
+
+
+def _paths(rows: str) -> str:
+    return f"""SELECT event_id, fullkey AS path, CASE WHEN type IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN 'NUMBER' WHEN type = 'VARCHAR' THEN 'STRING' ELSE type END AS kind,
+  CASE WHEN type IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN CAST(CAST(value AS DOUBLE) AS VARCHAR) WHEN type = 'NULL' THEN 'null' ELSE CAST(value AS VARCHAR) END AS value
+  FROM {rows}, json_tree({rows}.doc) t WHERE type NOT IN ('OBJECT', 'ARRAY') OR CAST(value AS VARCHAR) IN ('{{}}', '[]')"""
+
+
+O["record_paths"] = f"WITH {_RECORDS} {_paths('b')}"
+O["record_differences"] = f"""WITH {_RECORDS}, l AS ({_paths('a')}), r AS ({_paths('b')})
+SELECT * FROM (SELECT coalesce(l.event_id, r.event_id) AS event_id, coalesce(l.path, r.path) AS path, l.value AS recorded, r.value AS expected,
+  CASE WHEN l.kind IS NULL THEN 'missing' WHEN r.kind IS NULL THEN 'extra' WHEN l.kind <> r.kind OR l.value <> r.value THEN 'value' END AS problem
+  FROM l FULL JOIN r ON l.event_id = r.event_id AND l.path = r.path) WHERE problem IS NOT NULL AND path <> '$.added'"""
+O["record_columns"] = f"""WITH {_RECORDS}, l AS ({_paths('a')}) SELECT event_id, replace(regexp_replace(substr(path, 3), '\\[.*$', ''), '.', '_') AS name,
+string_agg(CASE WHEN contains(path, '[') THEN substr(path, instr(path, '[')) || '=' || value ELSE value END, ',' ORDER BY path) AS value FROM l GROUP BY 1, 2"""
+O["prediction_paths"] = f"""WITH {F3}, r AS (SELECT DISTINCT method, domain, split, 'p' || volume_id AS patch_id FROM f3)
+SELECT method, patch_id, '/data/out/' || split || '/' || domain || '/' || method || '/' || patch_id || '_' || kind || '.nii.gz' AS path, CAST(1 AS BIGINT) AS n FROM r, (VALUES ('score'), ('mask')) k(kind)"""

@@ -12,7 +12,7 @@ from ..functions.scalar import antialias_sigma, at_least, bce_with_logits, clipp
 from ..operators import cases
 from ..operators import cohort as K
 from ..operators import constraints as C
-from ..operators import distance
+from ..operators import distance, documents
 from ..operators import evaluation as E
 from ..operators import grid as G
 from ..operators import intensity as I
@@ -799,3 +799,38 @@ def prepared_headers(spark, sf):
     found = planes.scan_headers(spark, path)
     affine = [F.round(F.col("affine")[i], 4).alias(f"a{i}") for i in range(12)]
     return found.select("volume_id", "nz", "ny", "nx", "dtype", "unit", "qform", "sform", *affine)
+
+
+def _records(spark, sf):
+    """A nested record of each event, as it is and as it should be."""
+    e = table(spark, sf, "events")
+    odd, kind = F.col("event_id") % 7 == 0, F.col("event_type")
+    more = F.struct(F.parse_json("props").alias("props"), F.array(F.col("user_id") % 3, F.lit(2)).alias("sizes"))
+    recorded = F.to_json(F.struct(kind.alias("type"), more.alias("more"), F.lit(None).cast("string").alias("note")), {"ignoreNullFields": "false"})
+    changed = F.struct(F.parse_json(F.when(odd, "{}").otherwise(F.col("props"))).alias("props"), F.array(F.col("user_id") % 3, F.when(F.col("event_id") % 5 == 0, 2.5).otherwise(2.0)).alias("sizes"))
+    expected = F.to_json(F.struct(kind.alias("type"), changed.alias("more"), F.when(F.col("event_id") % 11 == 0, "x").alias("note"), F.when(odd, 1).alias("added")), {"ignoreNullFields": "false"})
+    return e.select("event_id", recorded.alias("document")), e.select("event_id", expected.alias("document"))
+
+
+@query
+def record_paths(spark, sf):
+    return documents.tree_paths(_records(spark, sf)[1], ["event_id"], "document")
+
+
+@query
+def record_differences(spark, sf):
+    return documents.tree_differences(*_records(spark, sf), ["event_id"], "document", ignored=["$.added"])
+
+
+@query
+def record_columns(spark, sf):
+    return documents.flattened(_records(spark, sf)[0], ["event_id"], "document")
+
+
+@query
+def prediction_paths(spark, sf):
+    """The paths of every case's score and mask by their templates, and how often each stands."""
+    rows = f3(spark, sf).select("method", "domain", "split", F.concat(F.lit("p"), F.col("volume_id").cast("string")).alias("patch_id")).distinct()
+    each = [K.templated_path(f"{{split}}/{{domain}}/{{method}}/{{patch_id}}_{kind}.nii.gz", "/data/out").alias("path") for kind in ("score", "mask")]
+    paths = rows.select("method", "patch_id", each[0]).union(rows.select("method", "patch_id", each[1]))
+    return paths.groupBy("method", "patch_id", "path").agg(F.count("*").alias("n"))
