@@ -275,15 +275,20 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, th
     reps = nodes.join(used, "node", "left_semi").select(F.col("rep").alias("doc_id"))
     texts = docs.join(reps, docs["doc_id"].eqNullSafe(reps["doc_id"]), "left_semi").select("text")
     sets = texts.mapInArrow(_setter(width), "node long, members binary").dropDuplicates(["node"])
-    both = _with_members(_with_members(pairs, sets, "a", "b"), sets, "b", "a").select("a", "b", "ma", "mb")
+    hubs = {side: _hubs(pairs, side) for side in ("a", "b")}  # of the bare pairs, before sets are joined to them
+    both = _with_members(_with_members(pairs, sets, hubs["a"], "a", "b"), sets, hubs["b"], "b", "a").select("a", "b", "ma", "mb")
     return both.mapInArrow(_similar(threshold_percent), "a long, b long")
 
 
-def _with_members(pairs: DataFrame, sets: DataFrame, side: str, other: str) -> DataFrame:
+def _hubs(pairs: DataFrame, side: str) -> DataFrame:
+    """side, parts: the nodes of many pairs on a side, and over how many parts they are dealt."""
+    hubs = pairs.groupBy(side).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("parts > 1")
+    return measured(hubs, "hubs", BROADCAST_ROWS)[0]
+
+
+def _with_members(pairs: DataFrame, sets: DataFrame, hubs: DataFrame, side: str, other: str) -> DataFrame:
     """``pairs`` with the members of the set of one side; a node of many pairs is dealt over parts by the other side."""
     own = sets.select(F.col("node").alias(side), F.col("members").alias(f"m{side}"))
-    hubs = pairs.groupBy(side).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("parts > 1")
-    hubs, _ = measured(hubs, "hubs", BROADCAST_ROWS)
     if hubs.isEmpty():
         return pairs.join(own, side)
     marked = pairs.join(hubs, side, "left")
