@@ -88,26 +88,45 @@ def _correction(rounds: int, by: str = V, rows: str = "f1", p: str = "prediction
     return ",\n".join(out)
 
 
-def _components(name: str, rows: str, where: str, connectivity: int, n_rounds: int = 8) -> str:
-    """CTEs; {name} has id, volume_id, z, y, x, component (smallest id). Volumes of at most 8 x 8 x n voxels with a margin.
+def _rounds(name: str, n_rounds: int) -> str:
+    """CTEs; {name}_{n_rounds} has id and c of the nodes of {name}_0, joined by the edges {name}_e.
 
-    Every round each label takes the smallest label that its voxels touch, then that label's own, and so on 32 times.
+    Every round each label takes the smallest label that its nodes touch, then that label's own, and so on 32 times.
     """
     steps = []
     for i in range(1, n_rounds + 1):
         steps.append(f"{name}_h{i}_0 AS MATERIALIZED (SELECT a.c, min(least(a.c, b.c)) AS m FROM {name}_{i - 1} a LEFT JOIN {name}_e e ON e.u = a.id LEFT JOIN {name}_{i - 1} b ON b.id = e.v GROUP BY a.c)")
         steps += [f"{name}_h{i}_{j} AS MATERIALIZED (SELECT a.c, b.m FROM {name}_h{i}_{j - 1} a JOIN {name}_h{i}_{j - 1} b ON b.c = a.m)" for j in range(1, 6)]
         steps.append(f"{name}_{i} AS MATERIALIZED (SELECT a.id, h.m AS c FROM {name}_{i - 1} a JOIN {name}_h{i}_5 h ON h.c = a.c)")
-    rounds = ",\n".join(steps)
+    return ",\n".join(steps)
+
+
+_ID = "((CAST(volume_id AS BIGINT) * 10000 + z + 8) * 32 + y + 8) * 32 + {x} + 8"
+
+
+def _components(name: str, rows: str, where: str, connectivity: int, n_rounds: int = 8) -> str:
+    """CTEs; {name} has id, volume_id, z, y, x, component (smallest id). Volumes of at most 8 x 8 x n voxels with a margin."""
     return f"""
 {name}_o(dz, dy, dx) AS (VALUES {_offsets(connectivity)}),
-{name}_v AS MATERIALIZED (SELECT volume_id, z, y, x, ((CAST(volume_id AS BIGINT) * 10000 + z + 8) * 32 + y + 8) * 32 + x + 8 AS id FROM {rows} WHERE {where}),
+{name}_v AS MATERIALIZED (SELECT volume_id, z, y, x, {_ID.format(x='x')} AS id FROM {rows} WHERE {where}),
 {name}_e AS MATERIALIZED (SELECT a.id AS u, b.id AS v FROM {name}_v a, {name}_o JOIN {name}_v b ON b.id = a.id + (dz * 32 + dy) * 32 + dx),
 {name}_0 AS MATERIALIZED (SELECT id, id AS c FROM {name}_v),
-{rounds},
+{_rounds(name, n_rounds)},
 {name} AS (SELECT v.*, c AS component FROM {name}_v v JOIN {name}_{n_rounds} USING (id))"""
 
 
+def _run_components(name: str, rows: str, connectivity: int, n_rounds: int = 6) -> str:
+    """CTEs; {name} has volume_id and component of the runs of voxels along x, which are far fewer than the voxels."""
+    lines = {6: [(a, b, 0) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1))], 26: [(a, b, 1) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]}[connectivity]
+    return f"""
+{name}_o(dz, dy, r) AS (VALUES {", ".join(map(str, lines))}),
+{name}_v AS MATERIALIZED (SELECT volume_id, z, y, min(x) AS x0, max(x) AS x1, {_ID.format(x='min(x)')} AS id FROM (SELECT *, x - row_number() OVER (PARTITION BY volume_id, z, y ORDER BY x) AS s FROM {rows}) GROUP BY volume_id, z, y, s),
+{name}_e AS MATERIALIZED (SELECT a.id AS u, b.id AS v FROM {name}_v a CROSS JOIN {name}_o JOIN {name}_v b ON b.volume_id = a.volume_id AND b.z = a.z + dz AND b.y = a.y + dy WHERE b.x0 <= a.x1 + r AND a.x0 <= b.x1 + r),
+{name}_0 AS MATERIALIZED (SELECT id, id AS c FROM {name}_v),
+{_rounds(name, n_rounds)},
+{name} AS (SELECT v.volume_id, c AS component FROM {name}_v v JOIN {name}_{n_rounds} USING (id))"""
+
+
 def _decoded(c: str, names: tuple[str, str, str]) -> str:
     z, y, x = names
     return f"CAST(({c} // 1024) % 10000 - 8 AS INTEGER) AS {z}, CAST(({c} // 32) % 32 - 8 AS INTEGER) AS {y}, CAST({c} % 32 - 8 AS INTEGER) AS {x}"
@@ -208,7 +227,7 @@ for _n in (6, 18, 26):
     O[f"components{_n}"] = f"WITH {F1}, {_components('cc', 'f1', 'prediction', _n)} SELECT {K}, {_decoded('component', ('cz', 'cy', 'cx'))} FROM cc"
 
 
-def _component_ctes(out: str, pc: str, tc: str, groups: str, x: str) -> str:
+def _component_ctes(out: str, pc: str, tc: str, groups: str, x: str, digits: int = 9) -> str:
     """CTEs; {out}: the 17 component metrics of two labelled masks, by volume_id. ``x``: prefix of the CTEs' names."""
     return f"""
 {x}pr AS (SELECT {pc}.volume_id, {pc}.component AS p, {tc}.component AS t, count(*) AS overlap FROM {pc} JOIN {tc} ON {pc}.id = {tc}.id GROUP BY ALL),
@@ -224,7 +243,7 @@ def _component_ctes(out: str, pc: str, tc: str, groups: str, x: str) -> str:
 {out} AS (SELECT volume_id, np AS prediction_components, nt AS target_components, np - nt AS component_count_difference, abs(np - nt) AS component_count_error, mp AS matched_prediction_components,
   mt AS matched_target_components, CASE WHEN np = 0 THEN CAST(0 AS DOUBLE) ELSE round(mp / CAST(np AS DOUBLE), 9) END AS component_precision,
   CASE WHEN nt = 0 THEN CAST(0 AS DOUBLE) ELSE round(mt / CAST(nt AS DOUBLE), 9) END AS component_recall, np - mp AS false_components, nt - mt AS missed_components, bt AS split_count, bp AS merge_count,
-  n AS matched_pair_count, round(a, 9) AS matched_iou_mean, round(md, 9) AS matched_iou_median, round(mi, 9) AS matched_iou_min, round(ma, 9) AS matched_iou_max FROM {x}a)"""
+  n AS matched_pair_count, round(a, {digits}) AS matched_iou_mean, round(md, {digits}) AS matched_iou_median, round(mi, {digits}) AS matched_iou_min, round(ma, {digits}) AS matched_iou_max FROM {x}a)"""
 
 
 _BOTH = f"WITH {F1}, {_components('pc', 'f1', 'prediction', 6)}, {_components('tc', 'f1', 'target', 6)}"
@@ -232,24 +251,24 @@ O["component_overlap"] = f"{_BOTH}, pr AS (SELECT pc.volume_id, pc.component AS
 O["component_metrics"] = f"{_BOTH}, {_component_ctes('cmx', 'pc', 'tc', 'f1', 'k')} SELECT * FROM cmx"
 
 
-def _background(name: str, rows: str, where: str) -> str:
+def _background(name: str, rows: str, where: str, base: str = "f1") -> str:
     """CTE of the voxels that a mask leaves free in its volume's box, grown by one on all sides."""
-    return f"""{name} AS MATERIALIZED (SELECT b.* FROM (SELECT volume_id, z, y, x FROM (SELECT volume_id, unnest(range(-1, nz + 1)) AS z FROM (SELECT DISTINCT volume_id, nz FROM f1)),
+    return f"""{name} AS MATERIALIZED (SELECT b.* FROM (SELECT volume_id, z, y, x FROM (SELECT volume_id, unnest(range(-1, nz + 1)) AS z FROM (SELECT DISTINCT volume_id, nz FROM {base})),
 (SELECT unnest(range(-1, 9)) AS y), (SELECT unnest(range(-1, 9)) AS x)) b WHERE NOT EXISTS (SELECT 1 FROM {rows} m WHERE m.volume_id = b.volume_id AND m.z = b.z AND m.y = b.y AND m.x = b.x AND {where}))"""
 
 
-def _topology(out: str, rows: str, where: str, connectivity: int = 6, labelled: str | None = None) -> str:
+def _topology(out: str, rows: str, where: str, connectivity: int = 6, labelled: str | None = None, base: str = "f1") -> str:
     """CTEs; {out}: volume_id, betti0, betti1, betti2, euler. ``labelled``: CTE that has the mask's components already."""
     fg = labelled or f"{out}_f"
     first = "" if labelled else _components(fg, rows, where, connectivity) + ",\n"
-    counts = f"""{_background(f'{out}_b', rows, where)}, {_components(f'{out}_c', f'{out}_b', 'TRUE', 32 - connectivity, 4)},
+    counts = f"""{_background(f'{out}_b', rows, where, base)}, {_run_components(f'{out}_c', f'{out}_b', 32 - connectivity)},
 {out}_n AS (SELECT volume_id, count(DISTINCT component) AS n FROM {fg} GROUP BY 1), {out}_h AS (SELECT volume_id, count(DISTINCT component) AS n FROM {out}_c GROUP BY 1),"""
     if connectivity == 6:
         own = f"{_euler(f'{out}_e', rows, where)}, {out}_t AS (SELECT n.volume_id, n.n AS b0, n.n + h.n - 1 - (vertices - edges + faces - cubes) AS b1, h.n - 1 AS b2 FROM {out}_n n JOIN {out}_h h USING (volume_id) JOIN {out}_e USING (volume_id))"
     else:
         own = f"{_euler(f'{out}_e', f'{out}_b', 'TRUE')}, {out}_t AS (SELECT n.volume_id, n.n AS b0, h.n + n.n - (vertices - edges + faces - cubes) AS b1, h.n - 1 AS b2 FROM {out}_n n JOIN {out}_h h USING (volume_id) JOIN {out}_e USING (volume_id))"
     names = ", ".join(f"CAST(coalesce({v}, 0) AS BIGINT) AS {n}" for v, n in (("b0", "betti0"), ("b1", "betti1"), ("b2", "betti2"), ("b0 - b1 + b2", "euler")))
-    return f"{first}{counts} {own}, {out} AS (SELECT g.volume_id, {names} FROM (SELECT DISTINCT volume_id FROM f1) g LEFT JOIN {out}_t USING (volume_id))"
+    return f"{first}{counts} {own}, {out} AS (SELECT g.volume_id, {names} FROM (SELECT DISTINCT volume_id FROM {base}) g LEFT JOIN {out}_t USING (volume_id))"
 
 
 def _compared(p: str, t: str) -> str:
@@ -265,24 +284,29 @@ O["topology_comparison"] = f"WITH {F1}, {_topology('tp', 'f1', 'prediction')}, {
 CORRECTED = "target_informed_neighbor_corrected"
 
 
-def _evaluated(rows: str) -> str:
+def _evaluated(rows: str, base: str = "f1", digits: int = 9, named: str = "") -> str:
     """The composite of both masks of a table of valid voxels."""
     fixed = _correction(2, rows=rows)
     parts = {
-        "er": _metrics("ec", V, "raw_"),
-        "ek": _metrics("ed", V, f"{CORRECTED}_"),
+        "er": _metrics("ec", V, "raw_", digits),
+        "ek": _metrics("ed", V, f"{CORRECTED}_", digits),
         "en": "SELECT volume_id, 2 AS neighbor_correction_rounds, 6 AS neighbor_correction_connectivity, TRUE AS neighbor_correction_uses_target_to_modify_prediction, count(*) FILTER (changed_in IS NOT NULL AND target) AS neighbor_correction_fn_promoted_to_tp_voxels, count(*) FILTER (changed_in IS NOT NULL AND NOT target) AS neighbor_correction_fp_removed_voxels FROM fixed GROUP BY volume_id",
         "et": "SELECT volume_id, COLUMNS(* EXCLUDE (volume_id)) AS 'raw_topology_\\0' FROM (" + _compared("tp", "tt") + ")",
         "ex": "SELECT volume_id, COLUMNS(* EXCLUDE (volume_id)) AS 'raw_component_\\0' FROM (SELECT volume_id, component_count_difference AS count_difference, component_count_error AS count_error, component_precision AS precision, component_recall AS recall, * EXCLUDE (volume_id, component_count_difference, component_count_error, component_precision, component_recall) FROM cmx)",
     }
     ctes = ",\n".join(f"{k} AS ({v})" for k, v in parts.items())
-    return f"""{fixed}, ec AS ({_confusion(rows, V)}), ed AS ({_confusion('fixed', V, 'corrected')}), {_components('pc', rows, 'prediction', 6)}, {_components('tc', rows, 'target', 6)},
-{_topology('tp', rows, 'prediction', labelled='pc')}, {_topology('tt', rows, 'target', labelled='tc')}, {_component_ctes('cmx', 'pc', 'tc', rows, 'k')}, {ctes}
-SELECT * FROM er JOIN ek USING (volume_id) JOIN en USING (volume_id) JOIN et USING (volume_id) JOIN ex USING (volume_id)"""
+    every = f"""{fixed}, ec AS ({_confusion(rows, V)}), ed AS ({_confusion('fixed', V, 'corrected')}), {_components('pc', rows, 'prediction', 6)}, {_components('tc', rows, 'target', 6)},
+{_topology('tp', rows, 'prediction', labelled='pc', base=base)}, {_topology('tt', rows, 'target', labelled='tc', base=base)}, {_component_ctes('cmx', 'pc', 'tc', rows, 'k', digits)}, {ctes}"""
+    last = "SELECT * FROM er JOIN ek USING (volume_id) JOIN en USING (volume_id) JOIN et USING (volume_id) JOIN ex USING (volume_id)"
+    return f"{every}, {named} AS ({last})" if named else f"{every}\n{last}"
 
 
 O["evaluate_masks"] = f"WITH {F1}, {_evaluated('f1')}"
 O["evaluate_masks_valid"] = f"WITH {F1}, fv AS MATERIALIZED (SELECT * FROM f1 WHERE h % 3 <> 0), {_evaluated('fv')}"
+O["case_macro_cube"] = f"""WITH {F3}, fc AS MATERIALIZED (SELECT * REPLACE (volume_id * 4 + k AS volume_id) FROM f3), {_evaluated('fc', 'fc', 15, named='ev')},
+cs AS (SELECT DISTINCT volume_id, method, split AS s, domain AS d FROM fc)
+SELECT method, CASE WHEN grouping(s) = 1 THEN 'all' ELSE s END AS split, CASE WHEN grouping(d) = 1 THEN 'all' ELSE d END AS domain, count(*) AS n_patches,
+round(avg(COLUMNS(* EXCLUDE (volume_id, method, s, d, neighbor_correction_uses_target_to_modify_prediction))), 8) AS 'mean_\\0' FROM ev JOIN cs USING (volume_id) GROUP BY method, CUBE (s, d)"""
 _CASE_BY = "method, domain, split, volume_id"
 _DEPTHS = f"""WITH {F3}, {_SLABS.format(rows='f3')}, ed AS (SELECT {_CASE_BY}, slab, min(z) AS slab_start, max(z) + 1 AS slab_stop, (min(z) + max(z) + 1) / CAST(2 AS DOUBLE) / max(nz) AS depth_fraction_midpoint FROM sl GROUP BY ALL),
 {_correction(2, _CASE_BY + ', slab', 'sl')}, c AS ({_confusion('sl', _CASE_BY + ', slab')}), cc AS ({_confusion('fixed', _CASE_BY + ', slab', 'corrected')}),
