@@ -686,3 +686,4 @@ O["record_columns"] = f"""WITH {_RECORDS}, l AS ({_paths('a')}) SELECT event_id,
 string_agg(CASE WHEN contains(path, '[') THEN substr(path, instr(path, '[')) || '=' || value ELSE value END, ',' ORDER BY path) AS value FROM l GROUP BY 1, 2"""
 O["prediction_paths"] = f"""WITH {F3}, r AS (SELECT DISTINCT method, domain, split, 'p' || volume_id AS patch_id FROM f3)
 SELECT method, patch_id, '/data/out/' || split || '/' || domain || '/' || method || '/' || patch_id || '_' || kind || '.nii.gz' AS path, CAST(1 AS BIGINT) AS n FROM r, (VALUES ('score'), ('mask')) k(kind)"""
+O["overlay_images"] = f"""SELECT volume_id, y AS "row", x AS "column", r, g, b FROM ({O['slice_overlay_rgb']})"""

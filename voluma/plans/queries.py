@@ -20,7 +20,7 @@ from ..operators import labels as L
 from ..operators import learning as N
 from ..operators import raster as R
 from ..operators import resample, ridge, synthesis
-from ..sources import bundles, planes
+from ..sources import bundles, images, planes
 from ..sources import volumes as S
 from .fixtures import METHODS, f1, f1_values, f2, f2_contributions, f3, f4, f5, table
 
@@ -834,3 +834,14 @@ def prediction_paths(spark, sf):
     each = [K.templated_path(f"{{split}}/{{domain}}/{{method}}/{{patch_id}}_{kind}.nii.gz", "/data/out").alias("path") for kind in ("score", "mask")]
     paths = rows.select("method", "patch_id", each[0]).union(rows.select("method", "patch_id", each[1]))
     return paths.groupBy("method", "patch_id", "path").agg(F.count("*").alias("n"))
+
+
+@query
+def overlay_images(spark, sf):
+    """The middle planes with their errors marked as PNG files, one a volume, and the pixels that these files give back."""
+    rows = f1(spark, sf).where(F.col("z") == F.floor(F.col("nz") / 2)).withColumn("code", error_code("prediction", "target"))
+    pixels = I.overlay_rgb(rows, V, "s").select(*V, F.col("y").alias("row"), F.col("x").alias("column"), "r", "g", "b")
+    path = G.shared_path(spark, "overlays")
+    bundles.write_files(images.image_files(pixels, F.concat(F.col("volume_id").cast("string"), F.lit(".png"))), path)
+    found = images.read_images(spark.read.format("binaryFile").load(path))
+    return found.select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("int").alias("volume_id"), "row", "column", "r", "g", "b")
