@@ -20,7 +20,6 @@ def brute(texts):
     idf = {w: math.log((len(docs) + 1) / (sum(w in d for d in docs) + 1)) + 1 for w in vocabulary}
     out = []
     for d in docs:
-        rare = set(sorted((w for w in idf if w in d), key=lambda w: (-idf[w], w))[: L.FILE_WORDS])
         labels, score = set(), 0.0
         places = []
         for phrase, label in L.PHRASES.items():
@@ -33,6 +32,7 @@ def brute(texts):
             t, k = text.split(), key.split()
             at = next(i for i in range(len(t)) if t[i : i + len(k)] == k)
             total = sum(sorted((idf[w] for w in set(t) if w in idf), reverse=True)[: L.RARE_WORDS])
+            rare = sorted({w for w in t if w in idf}, key=lambda w: (-idf[w], w))[: L.INDEX_WORDS]
             for start in range(len(d)):
                 own = [w for i, w in enumerate(t) if w in rare and start + i < len(d) and d[start + i] == w]
                 weight = sum(idf[w] / total / t.count(w) for w in own)
@@ -63,3 +63,13 @@ def test_scan_is_the_brute_force_alignment(spark):
     assert got[2].labels == "bsd" and got[3].labels == "isc" and "lgpl-2.1" in got[4].labels
     same = L.scan_licences(docs.union(docs.where("doc_id = 5"))).where("doc_id = 5").collect()
     assert len(same) == 2 and same[0] == same[1] and L.scan_licences(docs.limit(0)).count() == 0
+
+
+def test_a_file_of_all_licences_has_all_labels(spark):
+    """However many clauses stand in a file, each is found as if it stood alone."""
+    texts = [text for _, text, _ in L.TEMPLATES] + ["\n\n".join(text for _, text, _ in L.TEMPLATES)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: set(r.labels.split(",")) for r in L.scan_licences(docs).collect()}
+    alone = set().union(*(got[i] for i in range(len(L.TEMPLATES))))
+    assert all(label in got[i] for i, (label, _, _) in enumerate(L.TEMPLATES))
+    assert {label for label, _, _ in L.TEMPLATES} <= alone == got[len(L.TEMPLATES)]

@@ -1,8 +1,9 @@
 """Licence scan with DataFrame functions alone: phrases, and a positional index of the licence clauses' words.
 
 The document frequency of every licence word (a template word that is no function word) is counted over all documents.  The index
-keeps the places of all licence words of each template, a clause of a licence or its notice.  Of each file the licence words with
-the highest IDF are looked up; postings of one template whose places differ from the file's by the same amount support one
+keeps the places of the rarest licence words of each template, a clause of a licence or its notice.  The places of a
+file's words that are among the ``INDEX_WORDS`` of the highest IDF of some template are all looked up, so that what a file gets
+does not depend on what else stands in it; postings of one template whose places differ from the file's by the same amount support one
 alignment; an alignment with enough of the template's rare weight is accepted where the template's mandatory key phrase stands at
 its place in the file.
 """
@@ -74,8 +75,8 @@ def _identified(identifier: str) -> tuple[str, str, str]:
 
 
 TEMPLATES = CLAUSES + [_identified(i) for i in IDENTIFIERS]
-#: Licence words of a file that are looked up; rarest words of a template whose IDF is its weight; the part of it that an alignment needs.
-FILE_WORDS, RARE_WORDS, LEAST_WEIGHT = 16, 4, 0.6
+#: Rarest licence words of a template that are indexed; those whose IDF is its weight; the part of it that an alignment needs.
+INDEX_WORDS, RARE_WORDS, LEAST_WEIGHT = 8, 4, 0.6
 
 
 def licence_words(templates: list[tuple[str, str, str]]) -> list[str]:
@@ -100,7 +101,8 @@ def postings(idf: dict[str, float], templates: list[tuple[str, str, str]]) -> li
         at = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
         own = sorted({w for w in words if w in idf}, key=lambda w: (-idf[w], w))
         weight = sum(idf[w] for w in own[:RARE_WORDS])
-        out += [(w, t, i, idf[w] / weight / words.count(w), label, key, at, len(phrase)) for i, w in enumerate(words) if w in idf]
+        indexed = set(own[:INDEX_WORDS])
+        out += [(w, t, i, idf[w] / weight / words.count(w), label, key, at, len(phrase)) for i, w in enumerate(words) if w in indexed]
     return out
 
 
@@ -128,13 +130,13 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), words_of(F.col(text_col)).alias("words"))
     idf = inverse_frequencies(rows, licence_words(templates))
     index = postings(idf, templates)
-    by_rarity = F.split(F.lit(" ".join(sorted(idf, key=lambda w: (-idf[w], w)))), " ")
+    indexed = F.split(F.lit(" ".join(sorted({p[0] for p in index}))), " ")
     schema = "word string, template int, place int, weight double, label string, key string, key_at int, key_size int"
     table = docs.sparkSession.createDataFrame(index, schema)  # a row per licence word of the templates
     longest = max(len(t[1].split()) for t in templates)
     base = rows.withColumn("n_words", F.size("words").cast("long"))
     base = base.withColumns({f"p{k}": _starts(p) for k, p in enumerate(PHRASES)})
-    base = base.withColumn("rare", F.slice(F.array_intersect(by_rarity, "words"), 1, FILE_WORDS))  # in the order of the first array
+    base = base.withColumn("rare", F.array_intersect(indexed, "words"))
     found_at = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains("rare", w), i)), lambda i: i.isNotNull())
     base = base.withColumn("places", F.when(F.size("rare") > 0, found_at).otherwise(F.expr("cast(array() as array<int>)")))
     every = F.concat(*[f"p{k}" for k in range(len(PHRASES))])
