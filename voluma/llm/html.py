@@ -1,20 +1,24 @@
 """Main text of web pages: site template removal by recurring subtrees, and removal of elements that are no article text.
 
-A first pass hashes the block elements of every page (tag, class, id, text and subtrees).  Spark counts, per host, the
-different articles beside which each subtree stands; copies of one article count once, and so do all near copies: articles of
-which recurring subtrees make up most.  Subtrees that stand beside many different articles of their host are the site's
-template: the second pass deletes them, together with elements whose tag, role, class or id says that they are menus, headers,
-footers, sidebars, notices, adverts, forms, scripts or comments.  A paragraph, heading or list item may be quoted by many
-articles, so it counts as template only where it stands on most of the host's pages, and never inside an article.
+A first pass hashes the block elements of every page (tag, class, id, text and subtrees) and sketches their words.  Spark counts,
+per host, the different articles beside which each subtree stands; copies of one article count once, and so do all near copies:
+articles whose text outside recurring subtrees has hardly a word, or a sketch like another article's.  However much of a page
+recurs, it so counts by the text that is its own.  Subtrees that stand beside many different articles of their host are the
+site's template: the second pass deletes them, together with elements whose tag, role, class or id says that they are menus,
+headers, footers, sidebars, notices, adverts, forms, scripts or comments.  A paragraph, heading or list item may be quoted by many
+articles, so it counts as template only where it stands on most of the host's pages.  What an article or main element holds may
+be quoted by others too and is never template.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +30,10 @@ from .shared import measured, stored, text_slices
 LEAST_ARTICLES, LEAST_SHARE, LEAST_TEXT_SHARE = 3, 0.1, 0.5
 #: Template hashes, or hosts, that may be broadcast: 16 bytes each.  More are joined by a shuffle, with each host dealt over so many parts.
 BROADCAST_ROWS, SALTS = 200_000, 64
-#: Articles of which subtrees that recur so make up more than this part are near copies of others.
-MOST_RECURRING = 0.5
+#: Words of a shingle of a sketch; smallest hashes a sketch keeps, and how many of them two near copies share at the same place.
+SHINGLE, BANDS, BAND = 4, 4, 3
+#: An article needs so many words of its own to count apart from near copies.
+LEAST_OWN = 6
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)""",
     re.DOTALL,
@@ -179,20 +185,20 @@ class Page:
             self.hashes[key] = tag in TEXT_TAGS
             while self.unowned and self.unowned[-1] >= first:
                 self.owner[self.unowned.pop()] = key
-            if key in self.template and not (tag in TEXT_TAGS and (article or main)):
+            if key in self.template and not (article or main):
                 del self.blocks[first:]
             if self.stack:
                 self.stack[-1][3].append(str(key))
         elif len(parts) > 1 and self.stack:
             self.stack[-1][3] += parts
 
-    def own_chars(self) -> dict[int, int]:
-        """Characters of the main text that stand in each hashed subtree but in none inside it."""
+    def own_words(self) -> dict[int, list[str]]:
+        """Words of the main text that stand in each hashed subtree but in none inside it; those in no subtree at 0."""
         at = 0 if self.has_article else 1 if self.has_main else None
-        out = dict.fromkeys(self.hashes, 0)
-        for i, key in self.owner.items():
-            if at is None or self.blocks[i][at]:
-                out[key] += len(self.blocks[i][2]) + 1
+        out: dict[int, list[str]] = {0: [], **{key: [] for key in self.hashes}}
+        for i, block in enumerate(self.blocks):
+            if at is None or block[at]:
+                out[self.owner.get(i, 0)] += block[2].split()
         return out
 
     def main_text(self) -> str:
@@ -201,16 +207,30 @@ class Page:
         return " ".join(b[2] for b in self.blocks if at is None or b[at])
 
 
+def _sketch(words: list[str]) -> list[int] | None:
+    """The smallest values of BANDS * BAND hash functions over the shingles of the words; the words at hand are one if fewer."""
+    if not words:
+        return None
+    codes = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
+    size = min(SHINGLE, len(codes))
+    shingles = np.zeros(len(codes) - size + 1, np.uint64)
+    for i in range(size):
+        shingles = (shingles ^ codes[i : i + len(shingles)]) * np.uint64(0x9E3779B97F4A7C15)
+        shingles ^= shingles >> np.uint64(29)
+    functions = (np.arange(BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    return [int(((shingles * f) >> np.uint64(33)).min()) for f in functions]
+
+
 def _hasher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    entry = pa.struct([("subtree", pa.int64()), ("chars", pa.int64()), ("text", pa.bool_())])
+    entry = pa.struct([("subtree", pa.int64()), ("words", pa.int64()), ("sketch", pa.list_(pa.int32())), ("text", pa.bool_())])
     for batch in (part for whole in batches for part in text_slices(whole, 1)):
         hosts, articles, subtrees = [], [], []
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             page = Page(html or "")
             hosts.append(host)
-            text, own = page.main_text(), page.own_chars()
+            text = page.main_text()
             articles.append(int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
-            subtrees.append([(key, n, page.hashes[key]) for key, n in own.items()] + [(0, len(text) + 1, False)])
+            subtrees.append([(key, len(words), _sketch(words), page.hashes.get(key, False)) for key, words in page.own_words().items()])
         arrays = [pa.array(hosts, pa.int64()), pa.array(articles, pa.int64()), pa.array(subtrees, pa.list_(entry))]
         yield pa.RecordBatch.from_arrays(arrays, ["host", "article", "subtrees"])
 
@@ -226,19 +246,30 @@ def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
     A page without a host belongs to the empty one.  Null html holds no subtree.  Repeated pages count once.
     """
     rows = pages.select(F.xxhash64(host_of(F.col(url_col))).alias("host"), html_col)
-    rows = rows.mapInArrow(_hasher, "host long, article long, subtrees array<struct<subtree:long,chars:long,text:boolean>>")
-    # An entry 0 of every page counts the host's different articles and has the characters of the main text.
+    rows = rows.mapInArrow(_hasher, "host long, article long, subtrees array<struct<subtree:long,words:long,sketch:array<int>,text:boolean>>")
+    # The entry 0 of every page counts the host's different articles and has the words that stand in no subtree.
     each = rows.select("host", "article", F.explode("subtrees").alias("e")).select("host", "article", "e.*")
-    each = stored(each.groupBy("host", "article", "subtree").agg(F.max("chars").alias("chars"), F.max("text").alias("text")), "subtrees")
+    each = stored(each.groupBy("host", "article", "subtree").agg(F.max("words").alias("words"), F.max("sketch").alias("sketch"), F.max("text").alias("text")), "subtrees")
     recurring = _recurring(each.groupBy("host", "subtree").agg(F.count("*").alias("n"), F.max("text").alias("text")), broadcast_rows)
-    held = _on_host(each.drop("text"), recurring.select("host", "subtree", "text"), ["subtree"], F.col("article"), broadcast_rows)
-    whole = F.col("subtree") == 0
-    recurs, size = F.sum(F.when(whole, 0).otherwise(F.col("chars"))), F.max(F.when(whole, F.col("chars")))
-    held = held.groupBy("host", "article").agg((recurs > MOST_RECURRING * size).alias("near"), F.collect_list(F.struct("subtree", "text")).alias("own"))
+    recurring = recurring.select("host", "subtree", F.lit(True).alias("recurs"))
+    marked = _on_host(each, recurring, ["subtree"], F.col("article"), broadcast_rows, "left")
+    own = F.col("recurs").isNull() | (F.col("subtree") == 0)
+    slots = [F.min(F.when(own, F.col("sketch")[i])).alias(f"s{i}") for i in range(BANDS * BAND)]
+    held = F.collect_list(F.when(F.col("recurs"), F.struct("subtree", "text"))).alias("held")
+    articles = marked.groupBy("host", "article").agg(F.sum(F.when(own, F.col("words"))).alias("words"), *slots, held)
+    # A host without a recurring subtree has no template.
+    articles = stored(articles.where(F.size("held") > 0), "articles")
+    enough = F.col("words") >= LEAST_OWN
+    bands = F.array(*[F.xxhash64(F.lit(b), *[f"s{b * BAND + i}" for i in range(BAND)]) for b in range(BANDS)])
+    banded = articles.where(enough).select("host", "article", F.explode(bands).alias("band"))
+    shared = banded.groupBy("host", "band").agg(F.min("article").alias("first"), F.max("article").alias("last")).where("first <> last")
+    near = _on_host(banded, shared.select("host", "band"), ["band"], F.col("article"), broadcast_rows).select("host", "article").distinct()
+    apart = articles.join(near.withColumn("near", F.lit(True)), ["host", "article"], "left")
+    apart = apart.withColumn("near", F.coalesce("near", ~enough))
     # All near copies count as one article, so what only they share is no template.
-    held = held.select("host", "near", F.explode("own").alias("e")).select("host", "near", "e.*")
+    single = apart.select("host", "near", F.explode("held").alias("e")).select("host", "near", "e.*")
     n = F.count_if(~F.col("near")) + F.max(F.col("near").cast("long"))
-    found = held.groupBy("host", "subtree").agg(n.alias("n"), F.max("text").alias("text"))
+    found = single.groupBy("host", "subtree").agg(n.alias("n"), F.max("text").alias("text"))
     return _recurring(found, broadcast_rows).where("subtree <> 0").select("host", "subtree")
 
 
