@@ -66,6 +66,43 @@ def test_html_templates_by_pages_and_words_of_classes(spark):
         assert out[200] == "Title Work Law Quoted" and out[201] == "Own 0 Quoted"
 
 
+def test_html_templates_are_all_that_tells_the_text(spark):
+    """Hosts without article elements: boilerplate of any length goes, near copies keep their text; nothing goes from articles."""
+    rng = np.random.default_rng(4)
+    word = [a + b for a in ("ba", "de", "fi", "go", "lu", "mer") for b in ("ra", "sen", "tol", "ving", "xa", "mi")]
+
+    def prose(n):
+        return " ".join(rng.choice(word, n))
+
+    pages, expected = [], []
+
+    def add(host, page, text):
+        pages.append((len(pages), f"http://{host}/", page, "x", 0))
+        expected.append(text)
+
+    for size in (10, 120, 2000):
+        site = f"<div><p>{prose(size // 2)}</p><p>{prose(size - size // 2)}</p></div>"
+        for text in (prose(60) for _ in range(40)):
+            add(f"site{size}", f"<body>{site}<div><p>{text}</p></div></body>", text)
+    site, body = f"<div><p>{prose(30)}</p></div>", [prose(40) for _ in range(6)]
+    for i in range(30):  # near copies of one article, a third of a host's pages, and other articles
+        parts = [*body[:i % 6], body[i % 6] + f" edited{i}", *body[i % 6 + 1 :]]
+        add("copies", f"<body>{site}<div>{''.join(f'<p>{p}</p>' for p in parts)}</div></body>", " ".join(parts))
+    for text in (prose(200) for _ in range(60)):
+        add("copies", f"<body>{site}<div><p>{text}</p></div></body>", text)
+    for i, text in enumerate(prose(50) for _ in range(20)):  # a block quoted inside articles, a box beside them
+        quote = "<div class='quote'><p>Said by one and quoted by four</p></div>" * (i < 4)
+        add("quotes", f"<body><div>Box of the site</div><article><p>{text}</p>{quote}</article></body>", text + " Said by one and quoted by four" * (i < 4))
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string, host string, subtree int")
+    rows = rows.unionByName(rows.where("page_id = 3"))
+    for limit in (200_000, 0):
+        got = html.extract_main_text(rows, broadcast_rows=limit).collect()
+        assert len(got) == len(pages) + 1 and [r.page_id for r in got if r.main_text != expected[r.page_id]] == []
+    plain = [html.Page(p[2]).main_text() for p in pages]
+    assert sum(a != b for a, b in zip(plain, expected)) == 210  # pages that the template changes
+    assert html.extract_main_text(rows.limit(0)).count() == 0
+
+
 def test_deduplicate_keeps_columns_of_any_name_and_splits_hubs(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 3)  # every list and node is long
     rng = np.random.default_rng(1)
@@ -101,6 +138,40 @@ def test_languages_beyond_one_slice(spark):
     assert kept.columns == docs.columns and kept.count() == 391
 
 
+def test_language_of_a_single_short_row_is_learned(spark):
+    rows = [(i, "the cat and the dog with that and what they had seen in the town", "en") for i in range(60)]
+    rows += [(100, "hva skjer når jeg ikke får øye på båten ved brygga", "no")]
+    filters = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = spark.createDataFrame([(1, rows[-1][1]), (2, "ikke på båten når jeg får se hva"), (3, rows[0][1])], "doc_id long, text string")
+    assert [r.language.lang_pred for r in langid.identify(asked, filters).orderBy("doc_id").collect()] == ["no", "no", "en"]
+
+
+def test_masks_and_corrected_counts_are_those_of_plain_sets(spark):
+    """The filters hold every n-gram of the sets that the rates define, few others, and the decision follows from their masks."""
+    rng = np.random.default_rng(9)
+    parts = {"aa": "ba be bo da de do", "bb": "ka ke ba be to te", "cc": "mu mi ka da lu li"}
+    rows = [(i * 3 + j, " ".join("".join(rng.choice(p.split(), 3)) for _ in range(20)), k) for j, (k, p) in enumerate(parts.items()) for i in range(15)]
+    filters = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts = {k: {} for k in parts}
+    for _, text, lang in rows:
+        for keys, _ in langid.ngrams([text]):
+            for key in keys.tolist():
+                counts[lang][key] = counts[lang].get(key, 0) + 1
+    rate = {k: {g: n / sum(c.values()) for g, n in c.items()} for k, c in counts.items()}
+    every = sorted(set().union(*rate.values()))
+    sets = {k: {g for g in rate[k] if rate[k][g] >= langid.RATE_SHARE * max(r.get(g, 0) for r in rate.values())} for k in parts}
+    masks = filters.masks(np.array(every, np.uint64))[0].tolist()
+    for i, k in enumerate(filters.languages):
+        assert all(mask >> i & 1 for g, mask in zip(every, masks) if g in sets[k])
+        assert sum(mask >> i & 1 for g, mask in zip(every, masks) if g not in sets[k]) <= 2
+    asked = [r[1] for r in rows[::4]] + ["bakete mulida", "dodo kaka"]
+    names, scores = filters.decide(asked)
+    for text, name, score in zip(asked, names, scores):
+        grams = [g for keys, _ in langid.ngrams([text]) for g in keys.tolist()]
+        hits = np.array([sum(g in sets[k] for g in grams) for k in filters.languages], float)
+        assert hits[filters.languages.index(name)] == hits.max() and abs(score - hits.max() / hits.sum()) < 0.02
+
+
 def brute_secrets(text, library):
     """Spans by scanning characters, with ids of the tokenizers library."""
     spans, n = [], len(text)

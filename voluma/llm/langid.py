@@ -23,8 +23,9 @@ from .shared import fresh, stored
 #: Lengths of the n-grams; positions of the filter (a power of two: 8 MB for 64 languages whatever the corpus) and lookups per n-gram.
 ORDERS = (3, 4)
 POSITIONS, LOOKUPS = 1 << 20, 3
-#: An n-gram belongs to a language if its rate there is this part of its highest rate, and if it has this rate and was seen so often there.
-RATE_SHARE, LEAST_RATE, LEAST_COUNT = 0.4, 5e-6, 3
+#: An n-gram belongs to a language if its rate there is this part of its highest rate, and if it has this rate there.  Both are
+#: relative, so that a language of a single short text is learned too.
+RATE_SHARE, LEAST_RATE = 0.4, 5e-6
 #: Languages of a filter word.
 SLICE = 64
 #: Characters handled at once.
@@ -176,7 +177,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> La
         return LanguageFilters(languages, words)
     table = docs.sparkSession.createDataFrame([(k, i, totals[k]) for i, k in enumerate(languages)], "lang string, i int, total long")
     rated = counts.join(F.broadcast(table), "lang").select("ngram", "i", "n", (F.col("n") / F.col("total")).alias("rate"))  # a row per language
-    rated = rated.where((F.col("n") >= LEAST_COUNT) & (F.col("rate") >= LEAST_RATE))
+    rated = rated.where(F.col("rate") >= LEAST_RATE)
     own = rated.groupBy("ngram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("i", "rate")).alias("each"))  # a language at most once
     held = own.select("ngram", "top", F.explode("each").alias("e")).where(F.col("e.rate") >= RATE_SHARE * F.col("top"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("e.i") % SLICE)
