@@ -32,6 +32,7 @@ LEAST_ARTICLES, LEAST_SHARE, LEAST_TEXT_SHARE = 3, 0.1, 0.5
 BROADCAST_ROWS, SALTS = 200_000, 64
 #: Words of a shingle of a sketch; smallest hashes a sketch keeps, and how many of them two near copies share at the same place.
 SHINGLE, BANDS, BAND = 4, 4, 3
+SEEDS = np.arange(1, BANDS * BAND + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 #: An article needs so many words of its own to count apart from near copies.
 LEAST_OWN = 6
 TOKEN = re.compile(
@@ -207,32 +208,47 @@ class Page:
         return " ".join(b[2] for b in self.blocks if at is None or b[at])
 
 
-def _sketch(words: list[str]) -> list[int] | None:
-    """The smallest values of BANDS * BAND hash functions over the shingles of the words; the words at hand are one if fewer."""
-    if not words:
-        return None
-    codes = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
-    size = min(SHINGLE, len(codes))
-    shingles = np.zeros(len(codes) - size + 1, np.uint64)
-    for i in range(size):
-        shingles = (shingles ^ codes[i : i + len(shingles)]) * np.uint64(0x9E3779B97F4A7C15)
+def _sketches(texts: list[list[str]]) -> np.ndarray:
+    """Of each text's words (one at least) the smallest values of BANDS * BAND hash functions over its shingles; fewer words than
+    a shingle's are one."""
+    codes = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for words in texts for w in words], np.uint64)
+    sizes = np.array([len(words) for words in texts], np.int64)
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    at, shingles = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+    for i in range(SHINGLE):
+        code = np.append(codes[i:], np.zeros(min(i, len(codes)), np.uint64))
+        shingles = (shingles ^ np.where(at + i < ends, code, np.uint64(0))) * np.uint64(0x9E3779B97F4A7C15)
         shingles ^= shingles >> np.uint64(29)
-    functions = (np.arange(BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-    return [int(((shingles * f) >> np.uint64(33)).min()) for f in functions]
+    starts = np.cumsum(sizes) - sizes
+    last = np.repeat(starts + np.maximum(sizes - SHINGLE, 0), sizes)  # the last word that begins a shingle
+    out = np.zeros((len(texts), BANDS * BAND), np.int32)
+    for k in range(BANDS * BAND):
+        values = (shingles ^ SEEDS[k]) * np.uint64(0xBF58476D1CE4E5B9)
+        values = ((values ^ (values >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(33)
+        values[at > last] = np.iinfo(np.int32).max
+        out[:, k] = np.minimum.reduceat(values, starts)
+    return out
 
 
 def _hasher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    entry = pa.struct([("subtree", pa.int64()), ("words", pa.int64()), ("sketch", pa.list_(pa.int32())), ("text", pa.bool_())])
     for batch in (part for whole in batches for part in text_slices(whole, 1)):
-        hosts, articles, subtrees = [], [], []
-        for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        articles, counts, keys, text, words = [], [], [], [], []
+        for html in batch.column(1).to_pylist():
             page = Page(html or "")
-            hosts.append(host)
-            text = page.main_text()
-            articles.append(int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
-            subtrees.append([(key, len(words), _sketch(words), page.hashes.get(key, False)) for key, words in page.own_words().items()])
-        arrays = [pa.array(hosts, pa.int64()), pa.array(articles, pa.int64()), pa.array(subtrees, pa.list_(entry))]
-        yield pa.RecordBatch.from_arrays(arrays, ["host", "article", "subtrees"])
+            articles.append(int.from_bytes(hashlib.blake2b(page.main_text().encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
+            own = page.own_words()
+            counts.append(len(own))
+            keys += own
+            text += [page.hashes.get(key, False) for key in own]
+            words += own.values()
+        sizes = np.array([len(w) for w in words], np.int64)
+        held = sizes > 0
+        sketches = _sketches([w for w in words if w]) if held.any() else np.zeros((0, BANDS * BAND), np.int32)
+        ends = np.concatenate([[0], np.cumsum(held) * (BANDS * BAND)])
+        sketch = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(~held, False)), pa.array(sketches.ravel()))
+        entries = pa.StructArray.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes), sketch, pa.array(text, pa.bool_())], ["subtree", "words", "sketch", "text"])
+        subtrees = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), entries)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(articles, pa.int64()), subtrees], ["host", "article", "subtrees"])
 
 
 def host_of(url: Column) -> Column:
