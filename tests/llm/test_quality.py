@@ -67,3 +67,24 @@ def test_more_languages_than_any_bound(spark):
     docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), "id").alias("text"), F.concat(F.lit("l"), F.col("id") % 150).alias("lang"))
     out = quality.score_quality(docs, docs.select("doc_id"))
     assert out.where("kept and threshold is not null").count() == 300 and out.select("lang", "threshold").distinct().count() == 150
+
+
+def test_all_trusted_rows_train_the_model(spark):
+    words = F.when(F.col("id") % 3 == 0, "b").when(F.col("id") == 599_999, "cab").otherwise("a")
+    docs = spark.range(600_003).select(F.when(F.col("id") < 600_000, F.col("id")).alias("doc_id"), words.alias("text"), F.lit("en").alias("lang"))
+    out = quality.score_quality(docs, docs.select("doc_id").where("doc_id is not null"))
+    training = ["b"] * 200_000 + ["a"] * 399_999 + ["cab"]
+    found = {r.doc_id: r.perplexity for r in out.where("doc_id in (0, 1)").collect()}
+    assert abs(found[0] - brute_perplexity(training, "b")) < 2e-6 and abs(found[1] - brute_perplexity(training, "a")) < 2e-6
+    assert out.where("trusted").count() == 600_000 and out.count() == 600_003
+
+
+def test_trusted_ids_joined_by_a_shuffle(spark):
+    training = ["the cat sat on the mat", "the dog ran to the hill", "a cat and a dog", "on the hill the cat ran"]
+    rows = [(i, t, "en") for i, t in enumerate([*training, "the cat ran on the hill", None, ""])] + [(None, "the dog", "en"), (None, None, "en"), (2, training[2], "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame([(i,) for i in (0, 1, 2, 3, 3, None, 77)], "doc_id long")
+    out = [sorted(map(str, quality.score_quality(docs, trusted, broadcast_ids=n).collect())) for n in (500_000, 2, 0)]
+    assert out[0] == out[1] == out[2] and len(out[0]) == len(rows)
+    found = {r.doc_id: r for r in quality.score_quality(docs, trusted, broadcast_ids=2).collect()}
+    assert abs(found[4].perplexity - brute_perplexity([*training, training[2]], "the cat ran on the hill")) < 1e-4

@@ -25,8 +25,9 @@ from .shared import measured, stored
 ORDER, BEFORE = 4, "\x02"
 #: Resolved n-grams of a shard at most (about 60 bytes each when broadcast); languages that may be broadcast.
 SHARD_ROWS, BROADCAST_ROWS = 2_000_000, 200_000
-#: Trusted rows that the model is trained on at most; of more, those with the smallest hashes of the id.
-TRAINING_ROWS = 500_000
+#: Trusted ids that may be broadcast, so that texts stay where they are; to more of them the texts are joined by a shuffle, an id
+#: that stands often (or none) dealt over so many parts.
+BROADCAST_IDS, SALTS = 500_000, 16
 #: Characters of typical text that temper the perplexity of short documents.
 PRIOR = 40
 #: Log probabilities are summed as whole numbers of this part of a nat, so that sums don't depend on their order; ranges of
@@ -214,18 +215,23 @@ def exact_quantile(rows: DataFrame, by: str, value: str, q: float) -> DataFrame:
     return inside.withColumn("seen", seen).where("seen >= rank").groupBy(by).agg(F.min(value).alias("quantile"))
 
 
-def training_ids(ids: DataFrame, most: int) -> DataFrame:
-    """The ids, or of more than ``most`` about so many, chosen by their hash: a table that may be broadcast."""
-    n = ids.count()
-    span = 1 << 30
-    return ids if n <= most else ids.where(F.pmod(F.xxhash64("_good"), F.lit(span)) < int(span * most / n))
+def flagged_texts(rows: DataFrame, good: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """text, trusted of each of ``rows`` (doc_id, text): whether its id is in ``good`` (_good, distinct), however many those are."""
+    good, small = measured(good, "trusted", broadcast_ids)
+    if small:  # texts stay where they are
+        found = rows.join(good, F.col("doc_id") == F.col("_good"), "left")
+    else:
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int"))
+        dealt = good.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = rows.join(dealt.hint("shuffle_hash"), (F.col("doc_id") == F.col("_good")) & (F.col("_salt") == F.col("_part")), "left")
+    return found.select("text", F.col("_good").isNotNull().alias("trusted"))
 
 
-def score_quality(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.995, margin: float = 1.1, training_rows: int = TRAINING_ROWS, shard_rows: int = SHARD_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def score_quality(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.995, margin: float = 1.1, broadcast_ids: int = BROADCAST_IDS, shard_rows: int = SHARD_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of ``docs``: doc_id, lang, trusted, n_chars_scored, perplexity, tempered, threshold, kept.
 
-    Rows whose doc_id is in ``trusted_ids`` (column doc_id) are trusted; up to ``training_rows`` of them train the model, all of
-    them set the thresholds, and the n-grams of all rows are resolved.  perplexity is per character, null for a null or empty
+    Rows whose doc_id is in ``trusted_ids`` (column doc_id) are trusted; all of them train the model and set the thresholds, and
+    the n-grams of all rows are resolved.  perplexity is per character, null for a null or empty
     text; tempered is the same with PRIOR characters of the trusted mean added, so that a few letters decide nothing.  threshold
     is ``margin`` times the ``quantile`` of the trusted rows of the language (null lang: ``und``), of all trusted rows where it
     has none; kept: tempered is not above it.  Without trusted rows every row is kept.  Repeated rows and ties give equal
@@ -233,9 +239,7 @@ def score_quality(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.9
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     good = trusted_ids.select(F.col("doc_id").alias("_good")).where("_good is not null").distinct()
-    training = F.broadcast(training_ids(good, training_rows))
-    flagged = rows.join(training, F.col("doc_id") == F.col("_good"), "left").select("text", F.col("_good").isNotNull().alias("trusted"))
-    counted = flagged.mapInArrow(_counter, "key long, gram string, n long, trusted long")
+    counted = flagged_texts(rows.select("doc_id", "text"), good, broadcast_ids).mapInArrow(_counter, "key long, gram string, n long, trusted long")
     grams = stored(counted.groupBy("key").agg(F.first("gram").alias("gram"), F.sum("n").alias("n"), F.sum("trusted").alias("c")), "grams")
     top = stored(grams.where("c > 0").groupBy("gram").agg(F.sum("c").alias("c")), "top")
     own, back, characters = model_tables(top)
