@@ -5,10 +5,12 @@ import hashlib
 import string
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
 from voluma.llm import decontaminate, html, langid, minhash, secrets, warc
+from voluma.llm.shared import stored
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -34,6 +36,40 @@ def test_warc_reads_ranges_whatever_the_url(spark):
     assert warc.surt("https://www.Example.org:8080/p?q=1") == "org,example,www:8080)/p?q=1"
 
 
+def shuffled(spark) -> int:
+    """Bytes written to shuffles so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    found = sc.statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_warc_packages_are_read_where_they_lie_and_in_any_order(spark):
+    rng = np.random.default_rng(7)
+    pages = [(i, f"http://h/{i}", rng.bytes(10_000).hex() * (30 if i == 5 else 1)) for i in range(500)] + [(1000 + i, None, "") for i in range(3)]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(2)
+    blocks = stored(warc.write_packages(rows), "packages")
+    n_packages = blocks.select("package").distinct().count()
+    before = shuffled(spark)
+    out = warc.read_packages(blocks, payloads=True, broadcast_rows=0).collect()
+    assert n_packages > 2 and 0 <= shuffled(spark) - before < sum(len(p[2]) for p in pages) / 10
+    first = {}
+    for page_id, _, html in pages:
+        first.setdefault(html, page_id)
+    want = sorted((i, None if first[h] != i else h, first[h] if first[h] != i else None) for i, _, h in pages)
+    key = lambda r: (r.page_id, None if r.payload is None else bytes(r.payload).decode(), r.refers_to)
+    assert sorted(map(key, out)) == want
+    mixed = blocks.repartition(5, "block").sortWithinPartitions(F.xxhash64("package", "block"))
+    cut = blocks.where("block < 7").union(blocks.where("block >= 7"))
+    for other, held_bytes in ((mixed, warc.HELD_BYTES), (cut, warc.HELD_BYTES), (blocks, 0), (blocks, 4_400_000)):
+        for broadcast_rows in (0, 50_000):
+            assert sorted(map(key, warc.read_packages(other, payloads=True, broadcast_rows=broadcast_rows, held_bytes=held_bytes).collect())) == want
+    broken = blocks.withColumn("bytes", F.when(F.col("block") == 3, F.reverse(F.hex("bytes")).cast("binary")).otherwise(F.col("bytes")))
+    with pytest.raises(Exception):
+        warc.read_packages(broken).collect()
+    assert warc.read_packages(blocks.limit(0)).count() == 0
+
+
 def test_clashing_columns_and_long_texts_of_decontamination(spark):
     passage = " ".join(f"p{i}" for i in range(12))
     long = " ".join(f"w{i % 977}" for i in range(200_000)) + " " + passage

@@ -3,8 +3,10 @@
 A package holds ``archive/data.warc`` and ``indexes/index.cdxj`` (sorted by SURT key), both stored.  Packages are kept as a table
 of blocks (package, size, block, bytes), since Spark has no writer of raw files; ``blocks_of`` cuts the files that
 ``spark.read.format("binaryFile")`` gives into the same form.  The reader asks for byte ranges only: the tail with the end record
-(and the ZIP64 one), the central directory, the members' local headers and the indexes, and then the range of each record.  A
-range is joined with just the blocks that it touches, so neither a package nor a member is ever put together.
+(and the ZIP64 one), the central directory, the members' local headers and the indexes, and then the range of each record.  Where
+the blocks of a package of at most ``HELD_BYTES`` follow each other in a task, as they are written, its ranges are cut there, and no
+block is shuffled.  Of larger packages, and of those that lie otherwise, a range is joined with just the blocks that it touches, so
+neither such a package nor a member of it is ever put together.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .shared import measured, stored
 WARC_MEMBER, INDEX_MEMBER = "archive/data.warc", "indexes/index.cdxj"
 #: A package is closed when its records reach this size; it is kept in blocks of that one.
 PACKAGE_BYTES, BLOCK_BYTES = 4 << 20, 128 << 10
+#: Packages of up to this size are read where they lie.
+HELD_BYTES = 16 << 20
 #: Ranges, or payloads that stand several times, that may be broadcast: about 100 bytes each.  More are joined by a shuffle, hot
 #: payloads dealt over so many parts.
 BROADCAST_ROWS, SALTS = 50_000, 64
@@ -295,19 +299,81 @@ def parsed(data: bytes) -> tuple[str, str, int, str, str | None, bytes | None]:
     return head["WARC-Type"], page, length, digest, head["WARC-Refers-To"][len("<urn:page:") : -1], None
 
 
-def read_packages(blocks: DataFrame, id_type: str = "long", payloads: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def records_within(package: str, whole: bytes) -> Iterator[bytes]:
+    """The records that the indexes of a package name, by the same steps as ``record_ranges``."""
+    size = len(whole)
+    for _, _, start, length in _places({"package": package, "size": size}, whole[-TAIL_BYTES:]):
+        members = list(_members({"package": package, "size": size}, whole[start : start + length]))
+        found = [e for _, name, held, at, n in members for e in _entries({"package": package, "name": name, "held": held, "at": at}, whole[at : at + n])]
+        bases = {name: base for _, name, base, _, _ in found if base is not None}
+        for _, name, base, offset, length in found:
+            if base is None and name in bases:
+                yield whole[bases[name] + offset : bases[name] + offset + length]
+
+
+RECORD = "page string, payload_bytes long, payload_digest string, record_type string, refers string"
+BLOCK = "package string, size long, block long, bytes binary"
+
+
+def _record_rows(payloads: bool):
+    def run(data: bytes) -> tuple:
+        kind, page, size, digest, refers, payload = parsed(data)
+        return (page, size, digest, kind, refers, payload) if payloads else (page, size, digest, kind, refers)
+
+    return run
+
+
+def _in_place(payloads: bool):
+    """A kernel that puts out the records of packages whose blocks follow each other, and all other blocks as they are."""
+    row_of, width = _record_rows(payloads), 5 + payloads
+    names = [c.split()[0] for c in f"{RECORD}{', payload binary' * payloads}, {BLOCK}".split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.binary()] * payloads, pa.string(), pa.int64(), pa.int64(), pa.binary()]
+
+    def batch_of(rows: list[tuple], first: int) -> pa.RecordBatch:
+        """Rows of columns from the ``first`` on; the others are null."""
+        columns = list(zip(*rows))
+        arrays = [pa.array(columns[i - first], t) if first <= i < first + len(columns) else pa.nulls(len(rows), t) for i, t in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays(arrays, names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # blocks 0, 1, ... of one package
+        for batch in batches:
+            for package, size, block, data in zip(*(batch.column(c) for c in ("package", "size", "block", "bytes"))):
+                row = (package.as_py(), size.as_py(), block.as_py(), data.as_py())
+                if held and (row[:2] != held[0][:2] or row[2] != len(held)):
+                    yield batch_of(held, width)
+                    held = []
+                if not held and row[2]:
+                    yield batch_of([row], width)
+                    continue
+                held.append(row)
+                if (row[2] + 1) * BLOCK_BYTES >= row[1]:
+                    if rows := [row_of(data) for data in records_within(row[0], b"".join(r[3] for r in held))]:
+                        yield batch_of(rows, 0)
+                    held = []
+        if held:
+            yield batch_of(held, width)
+
+    return run
+
+
+def read_packages(blocks: DataFrame, id_type: str = "long", payloads: bool = False, broadcast_rows: int = BROADCAST_ROWS, held_bytes: int = HELD_BYTES) -> DataFrame:
     """One row per record of the packages: page_id, payload_bytes, payload_digest, record_type, refers_to (and payload).
 
     payload_digest is bare base32 SHA-1; a revisit has the length and digest of the payload it refers to, and no payload.  An
     empty id reads as null.  A broken package raises ValueError.  An empty table gives no rows; other columns are not read.
+    Packages of up to ``held_bytes`` are read where their blocks lie together; the result is the same in any order of the blocks.
     """
-    schema = "page string, payload_bytes long, payload_digest string, record_type string, refers string" + ", payload binary" * payloads
-
-    def parse(row: dict, data: bytes) -> Iterator[tuple]:
-        kind, page, size, digest, refers, payload = parsed(data)
-        yield (page, size, digest, kind, refers, payload) if payloads else (page, size, digest, kind, refers)
-
-    found = fetch(blocks, record_ranges(blocks, broadcast_rows), broadcast_rows).select("pieces").mapInArrow(_mapped(parse, schema), schema)
+    schema = RECORD + ", payload binary" * payloads
+    own = [c.split()[0] for c in schema.split(", ")]
+    blocks = blocks.select("package", "size", "block", "bytes")
+    read = stored(blocks.where(F.col("size") <= held_bytes).mapInArrow(_in_place(payloads), f"{schema}, {BLOCK}"), "records")
+    found = read.where("package is null").select(*own)
+    rest = blocks.where(F.col("size") > held_bytes).union(read.where("package is not null").select(*blocks.columns))
+    if not rest.isEmpty():
+        row_of = _record_rows(payloads)
+        ranged = fetch(rest, record_ranges(rest, broadcast_rows), broadcast_rows).select("pieces").mapInArrow(_mapped(lambda _, data: [row_of(data)], schema), schema)
+        found = found.union(stored(ranged, "ranged"))
     return found.select(_id("page", id_type).alias("page_id"), "payload_bytes", "payload_digest", "record_type", _id("refers", id_type).alias("refers_to"), *["payload"] * payloads)
 
 
@@ -323,7 +389,7 @@ def archive_and_read(pages: DataFrame, least_revisit_bytes: int = 0, zip64: bool
     """
     kind = pages.schema["page_id"].dataType.simpleString()
     blocks = stored(write_packages(pages, least_revisit_bytes, zip64, broadcast_rows=broadcast_rows), "packages")
-    found = stored(read_packages(blocks, kind, payloads, broadcast_rows), "records")
+    found = read_packages(blocks, kind, payloads, broadcast_rows)
     named = ["page_id", "payload_bytes", "payload_digest"]
     responses = found.where("record_type = 'response'").select(*named)
     revisits = found.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), *named[1:]).distinct()
