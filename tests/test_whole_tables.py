@@ -1,6 +1,7 @@
 """Registered queries read whole tables, and volumes of any depth."""
 
 import itertools
+import math
 
 import duckdb
 import pytest
@@ -117,3 +118,12 @@ def test_percentiles_by_range_are_exact(spark):
     out = {r.g: r.p for r in I.percentiles_by_range(rows, ["g"], "v", asked).collect()}
     for g, vs in groups.items():
         assert out[g] == pytest.approx(np.quantile(vs, asked).tolist(), rel=1e-12)
+
+
+def test_arc_points_at_an_end_that_repeats(spark):
+    """Lengths for which (n - 1) * (length / (n - 1)) is rounded either way; the end stands three times."""
+    lengths = [k * 0.7 for k in range(1, 400)]
+    rows = [(k, o, z, 0.0, 0.0, 1.0) for k, length in enumerate(lengths) for o, z in enumerate((0.0, length, length, length))]
+    points = R.arc_points(spark.createDataFrame(rows, "c int, o int, z double, y double, x double, r double"), "c", "o", "r", 2.5)
+    got = {r.c: (r.n, r.d) for r in points.groupBy("c").agg(F.count("*").alias("n"), F.countDistinct("point").alias("d")).collect()}
+    assert got == {k: (max(2, math.ceil(length / 2.5) + 1),) * 2 for k, length in enumerate(lengths)}
