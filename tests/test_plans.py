@@ -5,6 +5,7 @@ import re
 import pytest
 
 from voluma.operators import evaluation, grid
+from voluma.plans import fixtures
 from voluma.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +36,12 @@ def test_joins_of_voxels_are_dealt(spark, plans, name):
     assert not any(re.search(r"BroadcastHashJoin .*BuildLeft", p) for p in plans)
     keys = broadcast_keys([*plans, out._jdf.queryExecution().executedPlan().toString()])
     assert not keys & {"z", "y", "x", "run", "_u", "_v", "root"}, keys
+
+
+def test_values_of_large_volumes_are_in_no_buffer(spark, monkeypatch):
+    """The scores are the same from percentiles by range, whose plan has no aggregation that holds a volume's values."""
+    by_buffer = QUERIES["gaussian_smooth"](spark, SF).collect()
+    monkeypatch.setattr(fixtures, "AT_ONCE", 0)
+    out = QUERIES["gaussian_smooth"](spark, SF)
+    assert "percentile" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(out.collect()) == sorted(by_buffer) and by_buffer
