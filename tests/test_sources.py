@@ -63,3 +63,20 @@ def test_target_affine_keeps_the_centre():
     assert np.allclose(affine @ [2, 3, 1, 1], new @ [1, 1.5, 1, 1]) and np.allclose(np.sqrt((new[:3, :3] ** 2).sum(axis=0)), 0.8)
     with pytest.raises(ValueError, match="independent"):
         S.target_affine(np.zeros(16).tolist(), [2, 2, 2], [2, 2, 2], 1.0)
+
+
+def test_axes_beyond_16_bits(spark, tmp_path):
+    """NIfTI-1 has no room for a size above 32,767; a part holds the planes that a task may hold."""
+    from voluma.sources import bundles, planes, volumes
+
+    affine = [float(v) for v in (0.5, 0, 0, 1, 0, 0.25, 0, 2, 0, 0, 2, 3, 0, 0, 0, 1)]
+    heads = spark.createDataFrame([("long", 40_000, 1, 20, affine), ("wide", 5, 4, 3, affine)], "volume_id string, nz int, ny int, nx int, affine array<double>")
+    rows = spark.createDataFrame([("long", 39_999, 0, 19, 7.0), ("long", 3, 0, 12, 5.0), ("wide", 4, 3, 2, 9.0)], "volume_id string, z int, y int, x int, value double")
+    assert sorted((r.volume_id, r.part) for r in bundles.volume_parts(rows, heads).select("volume_id", "part").collect()) == [("long", 0), ("long", 1), ("wide", 0)]
+    bundles.write_prepared(rows, heads, f"{tmp_path}/out")
+    found = planes.scan_voxels(spark, f"{tmp_path}/out").where("value > 0").select("volume_id", "z", "y", "x", "value").collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, rows.collect()))
+    head = {r.volume_id: r for r in volumes.read_headers(spark, f"{tmp_path}/out").collect()}["long"]
+    assert (head.nz, head.ny, head.nx, head.unit, head.qform, head.sform, head.zooms) == (40_000, 1, 20, 3, 1, 2, [0.5, 0.25, 2.0]) and head.affine == pytest.approx(affine)
+    turned = volumes.nifti_head((40_000, 1, 20), np.dtype("f4"), affine, 3, 1, 0)
+    assert volumes.nifti_header(turned).affine == pytest.approx(affine)

@@ -25,6 +25,8 @@ from .results import finite
 from .volumes import MICRON, nifti_head
 
 FILES = "file string, part int, content binary"
+#: Voxels of a part of a volume's file, which a task holds at once; a part has one plane at least.
+PART = 1 << 19
 
 
 @dataclass
@@ -119,29 +121,31 @@ def write_files(files: DataFrame, path: str, overwrite: bool = False) -> None:
 
 
 def volume_parts(voxels: DataFrame, volumes: DataFrame, value: str = "value", dtype: str = "f4", planes: int = 16) -> DataFrame:
-    """volume_id, part, content: a gzipped NIfTI file per volume in parts, the header and then some planes of its slowest axis (x) each.
+    """volume_id, part, content: a gzipped NIfTI file per volume in parts, the header and then some planes of its slowest axis (x) each,
+    ``planes`` of them or as many as have PART voxels.
 
     Volumes are dense from the sizes in ``volumes`` (with affine and, if they are there, unit, qform and sform; else micron, 0 and
     2); absent voxels are 0, a voxel outside its volume's size is an error.
     """
     given = {"unit": MICRON, "qform": 0, "sform": 2}
     codes = [F.col(c).cast("int") if c in volumes.columns else F.lit(v).alias(c) for c, v in given.items()]
-    heads = volumes.select("volume_id", "nz", "ny", "nx", "affine", *codes)
-    last = F.ceil(F.col("nx") / planes).cast("int") - 1
+    each = F.greatest(F.lit(1), F.least(F.lit(planes), F.floor(F.lit(PART) / (F.col("nz").cast("long") * F.col("ny"))))).cast("int").alias("_each")
+    heads = volumes.select("volume_id", "nz", "ny", "nx", "affine", each, *codes)
+    last = F.ceil(F.col("nx") / F.col("_each")).cast("int") - 1
     ranges = heads.withColumn("part", F.explode(F.sequence(F.lit(0), F.when(last > 0, last).otherwise(0))))
     inside = (F.col("z") >= 0) & (F.col("z") < F.col("nz")) & (F.col("y") >= 0) & (F.col("y") < F.col("ny")) & (F.col("x") >= 0) & (F.col("x") < F.col("nx"))
     wrong = F.raise_error(F.concat(F.col("volume_id").cast("string"), F.lit(" has voxels outside its size"))).cast("int")
-    sizes = volumes.select(F.col("volume_id").alias("_id"), "nz", "ny", "nx")
-    rows = voxels.select(F.col("volume_id").alias("_own"), "z", "y", "x", F.col(value).cast("double").alias("v")).join(sizes, F.col("_own") == F.col("_id"))
+    sizes = volumes.select(F.col("volume_id").alias("_id"), "nz", "ny", "nx", each)
+    rows = voxels.select(F.col("volume_id").alias("_own"), "z", "y", "x", F.col(value).cast("double").alias("v")).join(F.broadcast(sizes), F.col("_own") == F.col("_id"))
     placed = rows.withColumnRenamed("_own", "volume_id").drop("_id")
-    placed = placed.select("volume_id", F.when(inside, F.floor(F.col("x") / planes).cast("int")).otherwise(wrong).alias("part"), "z", "y", "x", "v")
+    placed = placed.select("volume_id", F.when(inside, F.floor(F.col("x") / F.col("_each")).cast("int")).otherwise(wrong).alias("part"), "z", "y", "x", "v")
     kind = np.dtype(dtype)
 
     def run(own: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         if own.empty:
             return pd.DataFrame({"volume_id": [], "part": [], "content": []})
         h = own.iloc[0]
-        first, count = int(h.part) * planes, min(planes, int(h.nx) - int(h.part) * planes)
+        first, count = int(h.part) * int(h._each), min(int(h._each), int(h.nx) - int(h.part) * int(h._each))
         out = np.zeros((int(h.nz), int(h.ny), count), kind)
         out[there["z"], there["y"], there["x"] - first] = there["v"]
         content = gzip.compress(out.astype(kind.newbyteorder("<")).tobytes(order="F"), mtime=0)

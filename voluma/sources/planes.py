@@ -22,7 +22,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .volumes import HEADER, MICRON, nifti_header, volume_name
+from .volumes import HEADER, HEADS, MICRON, nifti_header, volume_name
 
 VOXELS = "volume_id string, path string, z int, y int, x int, value float"
 HEADERS = f"path string, {HEADER}"
@@ -94,10 +94,10 @@ def layout_of(path: str, spacing: float = 1.0) -> Layout:
     if path.endswith((".nii", ".nii.gz")):
         if path.endswith(".gz"):
             with fs.open_input_stream(inner, compression="gzip") as f:
-                head = f.read(352)
+                head = f.read(HEADS[1])
         else:
             with fs.open_input_file(inner) as f:
-                head = f.read_at(352, 0)
+                head = f.read_at(HEADS[1], 0)
         h = nifti_header(head)
         return Layout(path, h.shape, h.dtype, h.offset, False, h.scale, h.affine, h.zooms, h.unit, h.qform, h.sform)
     affine, zooms = np.diag([spacing] * 3 + [1.0]).ravel().tolist(), [spacing] * 3
