@@ -29,7 +29,7 @@ def broadcast_keys(plans):
     return {re.sub(r"#\d+L?", "", k) for m in joins for k in m.split(", ")}
 
 
-@pytest.mark.parametrize("name", ["depth_rows", "depth_trend_rows", "neighbor_correction_round2", "neighbor_correction_round1", "correction_counts", "corrected_metrics", "depth_slab_corrected", "case_macro_cube", "evaluate_masks", "evaluate_masks_valid", "topology_betti26", "components18", "components26"])
+@pytest.mark.parametrize("name", ["depth_rows", "depth_trend_rows", "neighbor_correction_round2", "neighbor_correction_round1", "correction_counts", "corrected_metrics", "depth_slab_corrected", "case_macro_cube", "evaluate_masks", "evaluate_masks_valid", "topology_betti26", "components18", "components26", "topology_betti"])
 def test_joins_of_voxels_are_dealt(spark, plans, name):
     """Nor are voxels the side that is broadcast of their join with a row per volume."""
     out = QUERIES[name](spark, SF)
